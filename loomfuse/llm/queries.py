@@ -17,6 +17,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomfuse.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomfuse.llm.line_dedup import line_dedup
 
@@ -29,4 +35,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op7_line_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_substring_dedup, op7_line_dedup, op9_quality_rules)}

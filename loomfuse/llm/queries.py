@@ -23,6 +23,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomfuse.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomfuse.llm.line_dedup import line_dedup
 
@@ -35,4 +41,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_substring_dedup, op7_line_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_substring_dedup, op6_jaccard_join, op7_line_dedup, op9_quality_rules)}

@@ -10,6 +10,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomfuse.llm.packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomfuse.llm.decontaminate import decontaminate
 
@@ -41,4 +47,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_substring_dedup, op6_jaccard_join, op7_line_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_decontaminate, op3_substring_dedup, op6_jaccard_join, op7_line_dedup, op9_quality_rules)}

@@ -47,4 +47,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_decontaminate, op3_substring_dedup, op6_jaccard_join, op7_line_dedup, op9_quality_rules)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomfuse.llm.quality_classifier import classify
+
+    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_decontaminate, op3_substring_dedup, op6_jaccard_join, op7_line_dedup, op9_quality_rules, op10_quality_classifier)}

@@ -29,6 +29,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomfuse.llm.lm_score import lm_score
+
+    return lm_score(_read(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomfuse.llm.jaccard_join import jaccard_components
 
@@ -53,4 +59,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_decontaminate, op3_substring_dedup, op6_jaccard_join, op7_line_dedup, op9_quality_rules, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_decontaminate, op3_substring_dedup, op5_lm_score, op6_jaccard_join, op7_line_dedup, op9_quality_rules, op10_quality_classifier)}

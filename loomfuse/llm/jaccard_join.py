@@ -143,33 +143,60 @@ def stars(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return sent.withColumn("lead", lead).select("key", F.when(F.col("b").isNull(), F.col("lead")).otherwise(F.col("a")).alias("a"), F.coalesce("b", "a").alias("b")).where("a <> b")
 
 
-def members_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """doc_id, members (hashes as bytes) of the documents in ``ids``."""
+def own_band(n: int) -> int:
+    return int(np.searchsorted(LOW, n, "right")) - 1
+
+
+def sketches_of(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n, own, next (sketches in its band and, if a partner can lie there, in the next), text of the documents in ``ids``."""
 
     def run(batches):
         for b in batches:
             for part in pieces(b, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in text_sets(*buffers(part.column(1)), k)], pa.binary())], ["doc_id", "members"])
+                sets = text_sets(*buffers(part.column(1)), k)
+                made = [[sketch(s, band, percent).tobytes() for band in layouts(len(s), percent)] for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] if len(m) > 1 else None for m in made], pa.binary()), part.column(1)], ["doc_id", "n", "own", "next", "text"])
 
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, members binary").dropDuplicates(["doc_id"])
+    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, n long, own binary, next binary, text string")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of the pairs that link."""
+def near(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and sketches allow a link; the Hamming distance never exceeds the true difference."""
 
     def run(batches):
         for b in batches:
             yes = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
-                both = len(x) + len(y)
-                same = both - len(np.union1d(x, y))
-                yes.append(100 * same >= percent * (both - same))
+            for n, m, x, x2, y, y2 in zip(*(b.column(i).to_pylist() for i in range(2, 8))):
+                if n > m:
+                    n, m, x, x2, y, y2 = m, n, y, y2, x, x2
+                if own_band(n) != own_band(m):
+                    x = x2 if own_band(n) + 1 == own_band(m) else None
+                yes.append(100 * n >= percent * m and x is not None and int(np.bitwise_count(np.frombuffer(x, U) ^ np.frombuffer(y, U)).sum()) <= most_apart(n, percent))
             yield b.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
-    one = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    one = held.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("own").alias("xa"), F.col("next").alias("ya"))
+    two = held.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("own").alias("xb"), F.col("next").alias("yb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "xa", "ya", "xb", "yb").mapInArrow(run, "a long, b long")
+
+
+def verify(pairs: DataFrame, held: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b of the pairs that link: the sketches first, then the sets of those left."""
+    left = cut(near(pairs, held, percent), "jaccard-near")
+
+    def run(batches):
+        for b in batches:
+            for part in pieces(b, "x"):
+                yes = []
+                for x, y in zip(text_sets(*buffers(part.column(2)), k), text_sets(*buffers(part.column(3)), k)):
+                    both = len(x) + len(y)
+                    same = both - len(np.union1d(x, y))
+                    yes.append(100 * same >= percent * (both - same))
+                yield part.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+
+    texts = held.select("doc_id", "text").join(left.select(F.col("a").alias("doc_id")).union(left.select(F.col("b").alias("doc_id"))).distinct(), "doc_id", "left_semi")
+    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
+    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
+    return left.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def unsettled(star: DataFrame, labels: DataFrame) -> DataFrame:
@@ -181,19 +208,18 @@ def unsettled(star: DataFrame, labels: DataFrame) -> DataFrame:
     return each.select("key", F.col("a").alias("id"), F.col("la").alias("label")).unionByName(each.select("key", F.col("b").alias("id"), F.col("lb").alias("label"))).distinct()
 
 
-def proposals(groups: DataFrame, sets: DataFrame, refuted: DataFrame, percent: int) -> DataFrame:
+def proposals(groups: DataFrame, held: DataFrame, refuted: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs across components whose sketches are close enough, a forest of them for each pair of chunks."""
     order = Window.partitionBy("key").orderBy("id")
     placed = groups.withColumn("c", F.floor((F.row_number().over(order) - 1) / CHUNK)).withColumn("top", F.max("c").over(Window.partitionBy("key")))
     each = placed.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top")))).select("key", F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d"), "id", "label")
     known = refuted.select(F.col("a").alias("id"), "b").groupBy("id").agg(F.collect_set("b").alias("no"))
-    full = each.join(known, "id", "left").join(sets.withColumnRenamed("doc_id", "id"), "id")
+    full = each.join(known, "id", "left").join(held.select(F.col("doc_id").alias("id"), "n", "own", "next"), "id")
 
     def run(t: pa.Table) -> pa.Table:
         ids, labels = t["id"].to_numpy(), t["label"].to_numpy()
         no = [set(x or ()) for x in t["no"].to_pylist()]
-        sets = [np.frombuffer(x, U) for x in t["members"].to_pylist()]
-        sizes = np.array([len(s) for s in sets])
+        sizes, drawn = t["n"].to_numpy(), [t["own"].to_pylist(), t["next"].to_pylist()]
         root = {int(x): int(x) for x in labels}
 
         def find(x):
@@ -205,7 +231,7 @@ def proposals(groups: DataFrame, sets: DataFrame, refuted: DataFrame, percent: i
         out = []
         for band in sorted({b for n in sizes.tolist() for b in layouts(n, percent)}):
             here = [i for i in range(len(ids)) if band in layouts(int(sizes[i]), percent)]
-            flat = np.array([sketch(sets[i], band, percent) for i in here])
+            flat = np.array([np.frombuffer(drawn[band - own_band(int(sizes[i]))][i], U) for i in here])
             for p, i in enumerate(here):
                 rest = np.array(here[p + 1 :], np.int64)
                 if not len(rest):
@@ -237,19 +263,19 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     star = star.join(at("a"), "a").join(at("b"), "b").select("key", F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")).where("a <> b").distinct()
     star = cut(star, "jaccard-stars")
     ids = star.select(F.col("a").alias("doc_id")).union(star.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(members_of(named, ids, k), "jaccard-sets")
+    held = cut(sketches_of(named, ids, k, percent), "jaccard-sketches")
     tried = cut(star.select("a", "b").distinct(), "jaccard-tried")
-    links = cut(verify(tried, sets, percent), "jaccard-links")
+    links = cut(verify(tried, held, k, percent), "jaccard-links")
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     while True:
         groups = cut(unsettled(star, labels), "jaccard-open")
         if groups.isEmpty():
             break
-        more = cut(proposals(groups, sets, tried, percent), "jaccard-more")
+        more = cut(proposals(groups, held, tried, percent), "jaccard-more")
         if more.isEmpty():
             break
         tried = cut(tried.unionByName(more).distinct(), "jaccard-tried")
-        new = cut(verify(more, sets, percent), "jaccard-links")
+        new = cut(verify(more, held, k, percent), "jaccard-links")
         links = cut(links.unionByName(new).distinct(), "jaccard-links")
         labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     count = links.select(F.col("a").alias("head")).union(links.select(F.col("b").alias("head"))).groupBy("head").agg(F.count("*").alias("n_links"))

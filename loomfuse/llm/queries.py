@@ -29,6 +29,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's WARC records against a replica that a fixed rule has damaged."""
+    from loomfuse.llm.warc import audit, damaged, to_records
+
+    pages = _read(spark, sf_dir, "pages")
+    return audit(to_records(pages), to_records(damaged(pages)))
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomfuse.llm.lm_score import lm_score
 
@@ -47,6 +55,12 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomfuse.llm.secret_scan import fit, labelled_findings, scan
+
+    return scan(_read(spark, sf_dir, "documents"), fit(labelled_findings()))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomfuse.llm.quality_rules import quality_rules
 
@@ -59,4 +73,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_decontaminate, op3_substring_dedup, op5_lm_score, op6_jaccard_join, op7_line_dedup, op9_quality_rules, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_decontaminate, op3_substring_dedup, op4_warc_audit, op5_lm_score, op6_jaccard_join, op7_line_dedup, op8_secret_scan, op9_quality_rules, op10_quality_classifier)}

@@ -266,3 +266,27 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Line dedup of one batch: doc_id, n_lines, n_dropped, kept (text)."""
     index = LineIndex.create(docs.sparkSession, docs.select("doc_id").count(), min_chars).insert(docs)
     return index.apply(docs).select(real_id(), "n_lines", "n_dropped", "kept")
+
+
+def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The rows of ``docs``, all columns, with the lines left in ``text`` and their number of characters in ``n_chars``, if there is one."""
+    index = LineIndex.create(docs.sparkSession, docs.select("doc_id").count(), min_chars).insert(docs)
+    names = {c.lower(): c for c in docs.columns}
+    every = docs.withColumn("_id", doc_key()).join(index.drops().select(F.col("doc_id").alias("_gone_id"), F.col("keys").alias("_keys")), F.col("_id") == F.col("_gone_id"), "left")
+    schema = docs.schema
+
+    def run(batches):
+        for b in batches:
+            at = b.schema.get_field_index(names["text"])
+            out = []
+            for text, keys in zip(b.column(at), b.column(b.schema.get_field_index("_keys"))):
+                gone = set(keys.as_py() or ())
+                out.append(b"\n".join(x for x in text.as_py().encode().split(b"\n") if line_key(x, min_chars) not in gone).decode() if gone and text.is_valid else text.as_py())
+            cols = [b.column(i) for i in range(len(schema))]
+            cols[at] = pa.array(out, pa.string())
+            if "n_chars" in names:
+                i = b.schema.get_field_index(names["n_chars"])
+                cols[i] = pa.array([len(t) if k.is_valid and t is not None else n for t, k, n in zip(out, b.column(b.schema.get_field_index("_keys")), b.column(i).to_pylist())], b.column(i).type)
+            yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema])
+
+    return every.select(*docs.columns, "_keys").mapInArrow(run, schema)

@@ -13,7 +13,7 @@ import numpy as np
 from loomfuse.llm.common import hash_spans, ragged, spans
 
 DEFAULT = "word_bpe_49k.json"
-SLOTS, MOST_WORDS = 1 << 21, 3_000_000
+SLOTS, MOST_WORDS = 1 << 20, 1_500_000
 
 
 def default_path() -> str:

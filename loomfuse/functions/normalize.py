@@ -24,13 +24,13 @@ def phone(c: Column | str, region: Column | str) -> Column:
     codes: dict[str, list[str]] = {}
     for code, _, national in R.PHONE_PLANS.values():
         codes.setdefault(code, []).append(national)
-    plus = F.coalesce(*[F.when(digits.rlike(f"^{code}(?:{'|'.join(sorted(set(n)))})$"), F.concat(F.lit("+"), digits)) for code, n in sorted(codes.items())])
-    local = F.lit(None).cast("string")
-    for name, (code, trunk, national) in R.PHONE_PLANS.items():
-        bare = F.regexp_replace(digits, f"^{trunk}(?=(?:{national})$)", "") if trunk else digits
-        full = F.regexp_replace(digits, f"^{code}(?=(?:{national})$)", "")
-        number = F.when(bare.rlike(f"^(?:{national})$"), bare).when(full.rlike(f"^(?:{national})$"), full)
-        local = F.when(region == name, F.concat(F.lit(f"+{code}"), number)).otherwise(local)
+    known = "|".join(f"{code}(?:{'|'.join(sorted(set(n)))})" for code, n in sorted(codes.items()))
+    plus = F.when(digits.rlike(f"^(?:{known})$"), F.concat(F.lit("+"), digits))
+    code, trunk, national = (lookup({k: v[i] for k, v in R.PHONE_PLANS.items()}, region) for i in range(3))
+    number = F.concat(F.lit("(?:"), national, F.lit(")$"))
+    without = lambda prefix: F.regexp_replace(digits, F.concat(F.lit("^"), prefix, F.lit("(?="), number, F.lit(")")), F.lit(""))
+    whole = F.concat(F.lit("^"), number)
+    local = F.concat(F.lit("+"), code, F.when(F.rlike(without(trunk), whole), without(trunk)).when(F.rlike(without(code), whole), without(code)))
     return F.when(able, F.when(x.startswith("+"), plus).otherwise(local))
 
 

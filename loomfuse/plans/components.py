@@ -46,7 +46,7 @@ def _mark(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``u``, ``label``: the smallest node of the component, for every node of ``edges`` (u, v: comparable, not null) but the smallest
     ones themselves. Loops and repeated edges do no harm; no edges give no rows."""
-    now = _cut(edges.select("u", "v").where("u <> v").distinct())
+    now = _cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(now)
     for _ in range(rounds):
         if not mark[0]:

@@ -64,7 +64,7 @@ def to_records(pages: DataFrame, per_file: int = FILE_IDS) -> DataFrame:
     page = F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID))
     head = F.concat(F.lit(f"WARC/1.0{CRLF}WARC-Type: response{CRLF}WARC-Record-ID: <urn:page:"), page.cast("string"), F.lit(f">{CRLF}WARC-Target-URI: "), F.coalesce(F.col("url").cast("string"), F.lit("")), F.lit(f"{CRLF}Content-Length: "), F.octet_length(html).cast("string"), F.lit(CRLF * 2))
     record = F.concat(head, html, F.lit(CRLF * 2))
-    base = pages.select(((page - F.pmod(page, F.lit(per_file))) / per_file).cast("long").alias("file"), page.alias("page_id"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"))
+    base = pages.select(F.when(page == NO_ID, F.lit(-1).cast("long")).otherwise(F.expr(f"floor(coalesce(cast(page_id as decimal(20,0)), 0) / {per_file})").cast("long")).alias("file"), page.alias("page_id"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"))
     order = Window.partitionBy("file").orderBy("page_id", "digest")  # a file's records, bounded by its ids
     return base.select(
         "file", "page_id", F.row_number().over(Window.partitionBy("file", "page_id", "digest").orderBy("length")).cast("long").alias("copy"), (F.row_number().over(order) - 1).cast("long").alias("ord"),
@@ -83,11 +83,11 @@ def level_up(nodes: DataFrame) -> DataFrame:
 
 
 def tree(floor: DataFrame, levels: int) -> list[DataFrame]:
-    """Nodes by level, from the records up; the two lowest levels are written, the rest is a fraction of them."""
+    """Nodes by level, from the records up; each level is written, and is a fraction of the one below."""
     out = [floor]
     for k in range(levels):
         nodes = level_up(out[-1].select("idx", "hash"))
-        out.append(cut(nodes, "warc-nodes") if k == 0 else nodes)
+        out.append(cut(nodes, "warc-nodes"))
     return out
 
 
@@ -105,9 +105,9 @@ def audit(one: DataFrame, two: DataFrame) -> DataFrame:
         if wrong is not None:
             up = F.floor(F.col("idx") / FANOUT).cast("long")
             x, y = (d.withColumn("up", up).join(wrong.withColumnRenamed("idx", "up"), "up", "left_semi").drop("up") for d in (x, y))
-        wrong = x.join(y, "idx", "full").where(~F.col("x").eqNullSafe(F.col("y"))).select("idx")
+        wrong = cut(x.join(y, "idx", "full").where(~F.col("x").eqNullSafe(F.col("y"))).select("idx"), "warc-wrong")
     up = F.floor(F.col("idx") / FANOUT).cast("long")
-    x, y = (t[0].withColumn("up", up).join(wrong.withColumnRenamed("idx", "up"), "up", "left_semi").select("file", "page_id", "hash", "copy", "offset", "length") for t in (a, b))
+    x, y = (cut(t[0].withColumn("up", up).join(wrong.withColumnRenamed("idx", "up"), "up", "left_semi").select("file", "page_id", "hash", "copy", "offset", "length"), "warc-suspects") for t in (a, b))
     # equal records of an id are intact wherever they lie; those left are paired in order
     same, turn = ["file", "page_id", "hash", "copy"], Window.partitionBy("file", "page_id").orderBy("hash", "copy")
     left = lambda d, other, n: d.join(other.select(*same), same, "left_anti").select("file", "page_id", F.row_number().over(turn).cast("long").alias("copy"), F.col("offset").alias(f"o{n}"), F.col("length").alias(f"l{n}"), F.col("hash").alias(n))

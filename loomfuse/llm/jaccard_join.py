@@ -200,16 +200,36 @@ def verify(pairs: DataFrame, held: DataFrame, k: int, percent: int) -> DataFrame
 
 
 def unsettled(star: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, id, label of all members of groups with three members or more that lie in several components."""
+    """key, id of all members of groups with three members or more that lie in several components; groups of the same members once."""
     named = lambda c: labels.select(F.col("u").alias(c), F.col("label").alias(f"label_{c}"))
     both = star.join(named("a"), "a", "left").join(named("b"), "b", "left").select("key", "a", "b", F.coalesce("label_a", "a").alias("la"), F.coalesce("label_b", "b").alias("lb"))
     open_keys = both.groupBy("key").agg(F.max(F.col("la") != F.col("lb")).alias("open"), F.count("*").alias("n")).where("open and n > 1").select("key")
-    each = both.join(open_keys, "key", "left_semi")
-    return each.select("key", F.col("a").alias("id"), F.col("la").alias("label")).unionByName(each.select("key", F.col("b").alias("id"), F.col("lb").alias("label"))).distinct()
+    each = star.join(open_keys, "key", "left_semi")
+    each = each.select("key", F.col("a").alias("id")).unionByName(each.select("key", F.col("b").alias("id"))).distinct()
+    hashed = lambda seed: F.sum(F.xxhash64("id", F.lit(seed)).cast("decimal(38,0)"))
+    once = each.groupBy("key").agg(F.count("*").alias("n"), hashed(1).alias("h1"), hashed(2).alias("h2")).groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key")
+    return each.join(once, "key", "left_semi")
+
+
+def with_labels(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, id, label of the groups that still lie in several components."""
+    named = groups.join(labels.withColumnRenamed("u", "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    split = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    return named.join(split, "key", "left_semi")
+
+
+def merged(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """Labels (u, label) after links (a, b) between nodes of different components."""
+    ends = new.select(F.col("a").alias("u")).union(new.select(F.col("b").alias("u"))).distinct()
+    nodes = labels.unionByName(ends.join(labels, "u", "left_anti").select("u", F.col("u").alias("label")))
+    of = lambda c, n: labels.select(F.col("u").alias(c), F.col("label").alias(n))
+    edges = new.join(of("a", "la"), "a", "left").join(of("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("u"), F.coalesce("lb", "b").alias("v"))
+    up = connected_components(edges).select(F.col("u").alias("label"), F.col("label").alias("to"))
+    return nodes.join(up, "label", "left").select("u", F.coalesce("to", "label").alias("label"))
 
 
 def proposals(groups: DataFrame, held: DataFrame, refuted: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs across components whose sketches are close enough, a forest of them for each pair of chunks."""
+    """key, a, b: pairs across components whose sketches are close enough, a forest of them for each pair of chunks of a group."""
     order = Window.partitionBy("key").orderBy("id")
     placed = groups.withColumn("c", F.floor((F.row_number().over(order) - 1) / CHUNK)).withColumn("top", F.max("c").over(Window.partitionBy("key")))
     each = placed.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top")))).select("key", F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d"), "id", "label")
@@ -246,9 +266,9 @@ def proposals(groups: DataFrame, held: DataFrame, refuted: DataFrame, percent: i
                     if r != s and b not in no[i] and b not in no[j] and a not in no[i] and a not in no[j]:
                         root[max(r, s)] = min(r, s)
                         out.append((a, b))
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+        return pa.table({"key": pa.array([t["key"][0].as_py()] * len(out), pa.int64()), "a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    return full.groupBy("key", "c", "d").applyInArrow(run, "a long, b long").distinct()
+    return full.groupBy("key", "c", "d").applyInArrow(run, "key long, a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -267,17 +287,20 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     tried = cut(star.select("a", "b").distinct(), "jaccard-tried")
     links = cut(verify(tried, held, k, percent), "jaccard-links")
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    groups = cut(unsettled(star, labels), "jaccard-groups")
     while True:
-        groups = cut(unsettled(star, labels), "jaccard-open")
-        if groups.isEmpty():
+        now = cut(with_labels(groups, labels), "jaccard-open")
+        if now.isEmpty():
             break
-        more = cut(proposals(groups, held, tried, percent), "jaccard-more")
-        if more.isEmpty():
-            break
-        tried = cut(tried.unionByName(more).distinct(), "jaccard-tried")
+        found = cut(proposals(now, held, tried, percent), "jaccard-more")
+        more = found.select("a", "b").distinct()
         new = cut(verify(more, held, k, percent), "jaccard-links")
-        links = cut(links.unionByName(new).distinct(), "jaccard-links")
-        labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        # a group without proposals has none later: labels only grow together. The others go on with what was tried.
+        groups = cut(now.select("key", "id").join(found.select("key").distinct(), "key", "left_semi"), "jaccard-groups")
+        tried = cut(tried.unionByName(more).distinct(), "jaccard-tried")
+        if not new.isEmpty():
+            links = cut(links.unionByName(new).distinct(), "jaccard-links")
+            labels = cut(merged(labels, new), "jaccard-labels")
     count = links.select(F.col("a").alias("head")).union(links.select(F.col("b").alias("head"))).groupBy("head").agg(F.count("*").alias("n_links"))
     tied = of.join(labels.withColumnRenamed("u", "head"), "head", "left").join(count, "head", "left").select("doc_id", F.coalesce("label", "head").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     out = sizes.select("doc_id", "n", "s1", "s2").join(tied, "doc_id", "left")

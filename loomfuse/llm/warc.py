@@ -95,8 +95,9 @@ def audit(one: DataFrame, two: DataFrame) -> DataFrame:
     """Per damaged record: file, page_id, copy, offset and length (in the first replica, else the second), expected, found, status."""
     floors = [cut(leaves(r), "warc-leaves") for r in (one, two)]
     low, high = floors[0].select("idx").union(floors[1].select("idx")).agg(F.min("idx"), F.max("idx")).first()
-    levels = 1
-    while low is not None and (low // FANOUT**levels) != (high // FANOUT**levels):
+    base, levels = (low or 0) // FANOUT**FILE_LEVELS * FANOUT**FILE_LEVELS, 1  # ids may be negative: nodes count from the first file
+    floors = [f.withColumn("idx", F.col("idx") - base) for f in floors]
+    while low is not None and (high - base) >= FANOUT**levels:
         levels += 1
     a, b = (tree(f, levels) for f in floors)
     wrong = None

@@ -25,7 +25,7 @@ MAX_LABELLED, MAX_POOL, ROUNDS, TAKE = 12_000, 4_000, 3, 400
 MIN_DF, CUT, LEAST_G, COVER = 4, 0.5, 20.0, 3
 #: How sure a pseudo-label must be, and its weight: a view that one kind of bad document eludes is told, not overruled.
 SURE, PSEUDO = 0.97, 0.25
-#: Bounds of the bins of a layout figure, finer at both ends where odd documents lie.
+#: Bounds of the bins of a layout figure, finer at both ends where odd documents lie; small samples take sixths.
 QUANTILES = np.r_[0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.07, np.linspace(0.1, 0.9, 17), 0.93, 0.95, 0.97, 0.98, 0.99, 0.995, 0.998]
 #: Bytes of the word beginnings that count as features besides words.
 STEMS = (4, 5, 6)
@@ -68,7 +68,7 @@ class Logistic:
     def __init__(self, n: int):
         self.w, self.b = np.zeros(n), 0.0
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int = 250, rate: float = 0.08, l2: float = 2e-5) -> Logistic:
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int = 250, rate: float = 0.08, l2: float = 3e-4) -> Logistic:
         at, of = np.concatenate(rows) if rows else np.zeros(0, np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         m, v, mb, vb = np.zeros_like(self.w), np.zeros_like(self.w), 0.0, 0.0
         for t in range(1, steps + 1):
@@ -158,7 +158,7 @@ class Model:
         every = [*sample, *pool]
         self.vocab = telling_words([r[0] for r, f in zip(sample, fold) if not f], y[~fold])
         layout = np.array([r[1] for r in every])
-        self.edges = [np.unique(np.quantile(layout[:, j], QUANTILES)) for j in range(layout.shape[1])]
+        self.edges = [np.unique(np.quantile(layout[:, j], QUANTILES if len(sample) >= 3000 else np.linspace(0, 1, 7)[1:-1])) for j in range(layout.shape[1])]
         self.names = {k: i for i, k in enumerate(sorted({("lang", r[2]) for r in every} | {("source", r[3]) for r in every}, key=repr))}
         self.n_meta = len(META) * 34 + len(self.names)
         # a third of the rows go without their source and language, so that values not seen here get a fair score

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from loomfuse.llm.common import NO_ID, buffers, hash_spans, mix, norm_docs, pieces, real_id, spans
 
-MAX_LABELLED, MAX_POOL, ROUNDS, TAKE = 12_000, 4_000, 3, 400
+MAX_LABELLED, MAX_POOL, ROUNDS, TAKE = 8_000, 3_000, 3, 400
 MIN_DF, CUT, LEAST_G, COVER = 4, 0.5, 20.0, 3
 #: How sure a pseudo-label must be, and its weight: a view that one kind of bad document eludes is told, not overruled.
 SURE, PSEUDO = 0.97, 0.25

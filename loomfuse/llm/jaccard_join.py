@@ -220,8 +220,10 @@ def with_labels(groups: DataFrame, labels: DataFrame) -> DataFrame:
 
 def merged(labels: DataFrame, new: DataFrame) -> DataFrame:
     """Labels (u, label) after links (a, b) between nodes of different components."""
-    ends = new.select(F.col("a").alias("u")).union(new.select(F.col("b").alias("u"))).distinct()
-    nodes = labels.unionByName(ends.join(labels, "u", "left_anti").select("u", F.col("u").alias("label")))
+    # the smallest node of a component has no row in labels, and may be no end of a link either
+    least = labels.select(F.col("label").alias("u"))
+    more = least.union(new.select(F.col("a").alias("u"))).union(new.select(F.col("b").alias("u"))).distinct()
+    nodes = labels.unionByName(more.join(labels, "u", "left_anti").select("u", F.col("u").alias("label")))
     of = lambda c, n: labels.select(F.col("u").alias(c), F.col("label").alias(n))
     edges = new.join(of("a", "la"), "a", "left").join(of("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("u"), F.coalesce("lb", "b").alias("v"))
     up = connected_components(edges).select(F.col("u").alias("label"), F.col("label").alias("to"))

@@ -168,6 +168,18 @@ def test_jaccard(spark, rows, chunk, monkeypatch):
         assert J.jaccard_components(empty(spark)).count() == 0
 
 
+def test_jaccard_merged_takes_roots(spark):
+    from loomfuse.llm.jaccard_join import merged
+
+    frame_of = lambda rows, names: spark.createDataFrame(rows, names)
+    labels = frame_of([(2, 1), (6, 4), (9, 8)], "u long, label long")
+    got = merged(labels, frame_of([(2, 6), (6, 11)], "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (4, 1), (6, 1), (8, 8), (9, 8), (11, 1)]
+    # a third round, again at nodes that are no roots
+    again = merged(got, frame_of([(9, 11)], "a long, b long"))
+    assert {r.u: r.label for r in again.collect()} == dict.fromkeys((1, 2, 4, 6, 8, 9, 11), 1)
+
+
 def test_quality_rules(spark):
     from loomfuse.llm.quality_rules import quality_rules
 

@@ -191,3 +191,16 @@ def test_stream(spark, tmp_path):
         add(n, name)
         write_profiles(read_records(spark, str(src)), *args).awaitTermination()
     assert spark.read.parquet(f"{args[1]}/batch=1").count() == 1
+
+
+def test_phone_query_takes_whole_texts(spark, tmp_path):
+    import re
+
+    from loomfuse.plans.queries import phone_digit_filter
+
+    texts = ["call 9876543210 now", "card 4111 1111 1111 1111 1, id 123456789012345678 and (212) 555-0123, 212-555-0199.", "a1234567 b 20202020x c 555 01 02 03", "no digit", "", None, "7 654 321 0, 7 654 321 0", "x415-555-0100 +34 612 345 678"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    pattern = re.compile(r"(?<!\w)(\+?\d[\d\s().\-]{6,}\d)(?!\w)")
+    want = {(i, p.strip()) for i, t in enumerate(texts) for p in pattern.findall(t or "") if 7 <= sum(c.isdigit() for c in p) <= 15}
+    got = [tuple(r) for r in phone_digit_filter(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and {(0, "9876543210"), (1, "212-555-0199"), (7, "+34 612 345 678")} <= want

@@ -5,14 +5,16 @@ patterns are all windows of ten consecutive words of an item (an item of fewer w
 A document word inside any occurrence of a pattern is hit.
 
 Null or wordless texts and items: no words, no hits. An empty benchmark leaves every document clean.
-Items that repeat, or share windows, are each reported. Repeated document rows get the same result; where the
-benchmark needs more than one automaton, they become one row.
+Items that repeat, or share windows, are each reported. Each document row gives one row, however large the benchmark is.
+Items with a null id are patterns as well: together they count as one item, null in ``items`` and absent from its checksum.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -20,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfuse.llm.common import norm_docs, real_id
+from loomfuse.llm.common import cut, norm_docs, real_id
 
 WINDOW = 10
 #: Bytes of benchmark texts that one automaton may hold; more items go to further automata, each with a pass of its own.
 MOST_BYTES = 2 << 20
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-SCHEMA = "doc_id long, n_words long, hits array<struct<first:long,last:long>>, spans array<struct<start:long,stop:long>>, items array<string>"
+SCHEMA = "doc_id long, n_words long, hits array<struct<first:long,last:long>>, spans array<struct<start:long,stop:long>>, items array<string>, row long"
 _BUILT: dict = {}
 
 
@@ -34,7 +36,7 @@ def fold(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-def patterns(items: list[tuple[str, str]], window: int = WINDOW) -> dict[str, tuple[int, set[str]]]:
+def patterns(items: list[tuple[str | None, str]], window: int = WINDOW) -> dict[str, tuple[int, set[str]]]:
     """Pattern text (each word with a blank on both sides) -> words in it, ids of the items that hold it."""
     found: dict[str, tuple[int, set[str]]] = {}
     for item, text in items:
@@ -87,7 +89,7 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, in
 
 def groups(benchmark: DataFrame, most: int = MOST_BYTES) -> list[list[tuple[str, str]]]:
     """Items by groups of bounded size, fetched one item at a time: the driver holds one group in memory at once."""
-    rows = benchmark.select(F.col("item_id").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit(""))).where("item_id is not null")
+    rows = benchmark.select(F.col("item_id").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     group, size = [], 0
     for item, text in rows.toLocalIterator():
         if group and size + len(text) > most:
@@ -99,6 +101,7 @@ def groups(benchmark: DataFrame, most: int = MOST_BYTES) -> list[list[tuple[str,
 
 
 def hits(docs: DataFrame, items: list[tuple[str, str]], window: int = WINDOW) -> DataFrame:
+    """By rows of ``docs`` (doc_id, text, row): what the items' automaton finds."""
     held = docs.sparkSession.sparkContext.broadcast(items)  # at most MOST_BYTES of text
     key = hashlib.md5(repr((window, items)).encode()).hexdigest()
 
@@ -112,24 +115,27 @@ def hits(docs: DataFrame, items: list[tuple[str, str]], window: int = WINDOW) ->
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 text = text.as_py()
                 n, runs, ids = scan(machine, text)
-                for col, x in zip(rows, (doc, n, [{"first": a, "last": z} for a, z in runs], [{"start": a, "stop": z} for a, z in original_spans(text, runs)], sorted(ids))):
+                for col, x in zip(rows, (doc, n, [{"first": a, "last": z} for a, z in runs], [{"start": a, "stop": z} for a, z in original_spans(text, runs)], sorted(ids, key=lambda x: (x is None, x or "")))):
                     col.append(x)
             pair = lambda a, z: pa.list_(pa.struct([(a, pa.int64()), (z, pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pair("first", "last")), pa.array(rows[3], pair("start", "stop")), pa.array(rows[4], pa.list_(pa.string()))], ["doc_id", "n_words", "hits", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pair("first", "last")), pa.array(rows[3], pair("start", "stop")), pa.array(rows[4], pa.list_(pa.string())), b.column(2)], ["doc_id", "n_words", "hits", "spans", "items", "row"])
 
-    return norm_docs(docs).mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, SCHEMA)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = MOST_BYTES) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (character ranges of
     the original text), items. A benchmark beyond ``most`` bytes takes one pass over the texts for each group."""
-    parts = [hits(docs, g, window) for g in groups(benchmark, most)]
-    found = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        # hit runs of a document are merged again below; the grouping is by document, its size bounded by its words
-        found = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    row = F.monotonically_increasing_id().alias("row")
+    each = groups(benchmark, most)
+    held = [next(each), *islice(each, 1)]
+    if len(held) == 1:
+        found = hits(norm_docs(docs, row), held[0], window)
+    else:
+        named = cut(norm_docs(docs, row), "decontaminate-rows")  # written, so that all passes see the same row numbers
+        found = reduce(DataFrame.unionByName, [hits(named, g, window) for g in chain(held, each)])
+        # hit runs of a row are merged again below; the size of a group is bounded by the row's words
+        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
 
     def merged(col: str, a: str, z: str):
         start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))

@@ -59,6 +59,17 @@ def test_decontaminate(spark, rows):
     assert kept.columns == frame(spark, rows).columns and kept.count() == len(rows) - sum(r.contaminated for r in got.values())
 
 
+def test_decontaminate_rows_and_null_items_at_every_size(spark):
+    from loomfuse.llm.decontaminate import decontaminate
+
+    rows = [(i, t, "en", "s", 1, 0.0, None) for i, t in ((1, "a b c d"), (1, "a b c d"), (None, "x a b"), (None, "c d"), (None, None), (2, "c d nobody a b"), (3, "nobody has it"))]
+    bench = spark.createDataFrame([(7, "a b"), (None, "nobody"), (None, "c d"), (8, "d")], "item_id long, text string")
+    want = sorted((NONE if i is None else i, n, hit, items, sha(ids)) for i, n, hit, items, ids in ((1, 4, 4, 3, "7,8"), (1, 4, 4, 3, "7,8"), (None, 3, 2, 1, "7"), (None, 2, 2, 2, "8"), (None, 0, 0, 0, ""), (2, 5, 5, 3, "7,8"), (3, 3, 1, 1, "")))
+    for most in (1 << 20, 1):
+        got = decontaminate(frame(spark, rows), bench, most=most).collect()
+        assert sorted((NONE if r.doc_id is None else r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got) == want
+
+
 @pytest.mark.parametrize("combine", [40 << 20, 1])
 def test_substring_dedup(spark, rows, combine, monkeypatch):
     from loomfuse.llm import substring_dedup as S

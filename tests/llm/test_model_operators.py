@@ -218,3 +218,18 @@ def test_pipeline(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == seen[3]
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 4096
+
+
+def test_pipeline_near_duplicate_limit(spark, tmp_path):
+    import corpus_pipeline
+
+    def pair(name, n, changes):
+        words = [f"{name}{k}" for k in range(n)]
+        other = [f"new{k}" if k in changes else w for k, w in enumerate(words)]
+        return " ".join(words), " ".join(other)
+
+    # n - 4 shingles of five words, of which two changes replace ten: 86/106, 80/100 (the limit), 79/99
+    pairs = [pair("a", 100, (30, 60)), pair("b", 94, (30, 60)), pair("c", 93, (30, 60))]
+    rows = [(2 * k + i, t, "en", "s", len(t), 0.0, None) for k, p in enumerate(pairs) for i, t in enumerate(p)]
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, rows), str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {0, 2, 4, 5}

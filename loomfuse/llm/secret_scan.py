@@ -27,8 +27,8 @@ PATTERNS = [
     ("access_key", r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{12,20})(?![A-Za-z0-9])"),
     ("service_token", r"(?<![A-Za-z0-9])((?:gh[pousr]_|glpat-|xox[abpr]-|sk_live_|sk-)[A-Za-z0-9_\-]{16,})"),
     ("signed_token", r"(?<![A-Za-z0-9])(eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})"),
-    ("assignment", r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>,;]{6,200})"),
-    ("long_run", r"(?<![A-Za-z0-9+/_\-])((?=[A-Za-z+/_\-]{0,60}[0-9])[A-Za-z0-9+/_\-]{20,200}={0,2})(?![A-Za-z0-9+/_\-])"),
+    ("assignment", r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>,;]{6,})"),
+    ("long_run", r"(?<![A-Za-z0-9+/_\-])((?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{20,}={0,2})(?![A-Za-z0-9+/_\-])"),
 ]
 ALL = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS))
 NAMES = [k for k, _ in PATTERNS]

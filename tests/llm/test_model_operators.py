@@ -157,6 +157,20 @@ def test_secret_scan(spark):
     assert fit([]).predict(np.zeros((2, 3))).tolist() == [1, 1]
 
 
+@pytest.mark.parametrize("size", [200, 201, 5000])
+def test_secret_candidates_are_whole(size):
+    import random
+
+    from loomfuse.llm.secret_scan import candidates
+
+    r = random.Random(size)
+    letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(size - 1))
+    key = letters + "7"  # the digit stands last
+    for text, at, kind in ((f"x {key}== y", key + "==", "long_run"), (f"x password={key} y", key, "assignment"), (f"x {key}", key, "long_run")):
+        assert [(text[a:z], k) for a, z, k in candidates(text)] == [(at, kind)]
+    assert candidates(f"x {letters} 7") == []
+
+
 def corpus(n=400):
     """Clean, toxic (a word) and junk (symbols, repeats) documents, with labels of two thirds."""
     import random

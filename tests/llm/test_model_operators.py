@@ -141,6 +141,62 @@ def test_lm_is_a_causal_distribution():
     assert sorted(seen) == list(range(300))
 
 
+def test_lm_trains_on_every_token():
+    from loomfuse.llm import lm_score as L
+
+    r = np.random.default_rng(2)
+    sizes = [1, 5, 0, L.WIDE, L.WIDE + 1, 3 * L.WIDE + 7] + [9] * 30
+    off = np.r_[0, np.cumsum(sizes)]
+    counted = (np.arange(off[-1]) + 1).astype(np.float32)
+    seen = [c[m] for _, _, c, m in L.batches_of(r.integers(1, 20, off[-1]), off, counted, 32)]
+    assert sorted(np.concatenate(seen).tolist()) == counted.tolist()
+    # what stands at masked places does not matter
+    v = L.Vocabulary(r.integers(0, 50, L.IDS).astype(float), np.zeros(L.IDS, bool), 30)
+    m = L.Attention(v).ready()
+    x, first, c, mask = next(L.batches_of(r.integers(1, v.size, 9), np.array([0, 9]), np.full(9, 0.1, np.float32)))
+    y, d = x.copy(), c.copy()
+    y[:, 10:], d[~mask] = 7, 0.5
+    one, two = m.gradients(x, first, c, mask), m.gradients(y, first, d, mask)
+    assert mask.sum() == 9 and abs(one[0] - two[0]) < 1e-6 and all(np.allclose(one[1][k], two[1][k], atol=1e-6) for k in m.NAMES)
+
+
+def test_lm_keeps_all_trigrams(spark):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from loomfuse.llm import lm_score as L
+    from loomfuse.llm.common import buffers, norm_docs
+    from loomfuse.llm.tokens import WordTokens
+
+    rows = [(i, " ".join(f"{'ab' * (1 + i % 3)}{chr(97 + i % 26)}ing{chr(97 + k)}qz" for k in range(12)), "en", "s", 1, 0.0, None) for i in range(60)]
+    docs = norm_docs(frame(spark, rows))
+    told = L.answer(L.ask(docs, 3), None, 3)
+    train = [t for i, t, *_ in rows if not L.held_out(i)]
+    tool = WordTokens(None, L.END)
+    ends = L.word_ends(tool)
+
+    def keys(texts):
+        ids, off = tool.encode(*buffers(pa.array(texts)))
+        begin = np.zeros(len(ids), bool)
+        begin[off[:-1]] = True
+        one, two = L.contexts(ids, begin, ends)
+        return (two << 32 | one << 16 | ids.astype(np.int64)).tolist()
+
+    want = Counter(keys(train))
+    summed, single = L.trigram_counts(told, len(train))
+    assert {r.v: r.n for r in summed.collect()} == want and single.sum() == sum(want.values())
+    vocab = L.Vocabulary(single, ends, 20)  # most ids are rare
+    got = L.chunk_trigrams(docs, summed, vocab, None).collect()
+    asked = {k for k in keys([r[1] for r in rows]) if k in want}
+    assert {r.v: r.n for r in got if r.rare is None} == {k: want[k] for k in asked}
+    total, rare = Counter(), Counter()
+    for k, n in want.items():
+        total[k >> 16] += n
+        rare[k >> 16] += n * (vocab.of[k & 0xFFFF] == 1)
+    assert {r.v: (r.n, r.rare) for r in got if r.rare is not None} == {k: (total[k], rare[k]) for k in {k >> 16 for k in keys([r[1] for r in rows])} if k in total}
+
+
 def test_secret_scan(spark):
     from loomfuse.llm.secret_scan import candidates, dictionary, features, fit, labelled_findings, scan
 

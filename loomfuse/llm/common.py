@@ -10,7 +10,6 @@ Conventions that every operator here follows:
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -18,17 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomfuse.plans.components import shared_dir
+
 NO_ID = -(2**63)
 WORD_SEP = "[\\x20\\x09-\\x0D]+"
 
 
 def workdir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: ``spark.checkpoint.dir``, or an own one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomfuse-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """The shared folder for cut lineage: ``spark.checkpoint.dir``; where that is unset one in the warehouse, or on a single machine a temporary one."""
+    return shared_dir(spark)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -36,7 +33,35 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{workdir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Delete what ``cut`` wrote for tables that nothing reads any more."""
+    for df in written:
+        path = getattr(df, "cut_path", None)
+        if path and hasattr(df.sparkSession, "_jvm"):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose doc_id is not in ``gone`` (doc_id, null for the document without id).
+
+    The ids go by names that no column of ``docs`` has."""
+    name = free_name(docs, "gone")
+    ids = gone.select(doc_key().alias(name)).distinct()
+    return docs.join(ids, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == ids[name], "left_anti")
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken, name = {c.lower() for c in df.columns}, stem
+    while name in taken:
+        name += "_"
+    return name
 
 
 def norm_docs(df: DataFrame, *extra: str) -> DataFrame:

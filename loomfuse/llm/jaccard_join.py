@@ -4,64 +4,79 @@ A document's set: the distinct three-word shingles of its text, A-Z lower-cased;
 whole sequence. Two documents link when 100 * |A and B| >= 90 * |A or B|.
 
 Such a pair differs in d <= |A| / 9 shingles, |A| <= |B|. A sketch has one bit a shingle hash, XORed; its
-Hamming distance is at most d. It is cut into blocks of 64 bits, one more than d can be, so that one block at
-least is equal (pigeonhole). Sizes are banded; sizes within 10/9 of the next band are sketched for both.
-Equal blocks are joined as stars, never as pairs of a group, and every pair kept is verified on the sets.
-Groups whose stars leave several components go through rounds over chunks, in which the sketches' Hamming distance
-picks pairs that may still connect two of them, until none is left; so no link between different texts is lost.
+Hamming distance is at most d. It is cut into B > d + 1 blocks of 64 bits, of which linked sets share B - d at least
+(pigeonhole); so their d + 1 rarest blocks, in one order for all, have one in common, and only these are joined: blocks
+that many documents share (a common passage, an empty block) come last in that order and are left out without losing a link.
+Sizes are banded; sizes within 10/9 of the next band are sketched for both. Equal blocks are joined as stars, never as
+pairs of a group, and every pair kept is verified on the sets. A group whose stars leave several components is
+settled in numpy, chunk by chunk: only members of different components are compared, by the sketches' Hamming distance, and a forest of the
+pairs that may still link is verified; so no link between different texts is lost.
 
 Null or empty texts, and texts without words, have an empty set and no links. Equal sets always link. Repeated rows are one document.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import cache
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomfuse.llm.common import buffers, cut, hash_spans, hash_windows, mix, norm_docs, pieces, real_id, spans
+from loomfuse.llm.common import NO_ID, buffers, cut, hash_spans, hash_windows, mix, norm_docs, pieces, ragged, real_id, release, spans, without
 from loomfuse.plans.components import connected_components
 
 SHINGLE, PERCENT = 3, 90
-#: Rows of blocks that a task combines at once; members of a group that are compared in one step.
-COMBINE, CHUNK = 1_000_000, 512
+#: Rows of blocks that a task combines at once; bytes of sketches of a group's members that are compared in one step.
+COMBINE, CHUNK = 1_000_000, 2 << 20
+#: Blocks whose order is set by how many documents share them; others are ordered by their hash. Only the speed depends on it.
+COMMON = 1 << 17
 U = np.uint64
 
 
-def bands(top: int = 1 << 40) -> np.ndarray:
-    """Lowest sizes of the bands, each about half as large again as the one before."""
+@cache
+def bands(percent: int = PERCENT) -> np.ndarray:
+    """Lowest sizes of the bands; a linked set lies in the same band or the next."""
     low = [1]
-    while low[-1] < top:
-        low.append(low[-1] * 3 // 2 + 1)
+    while low[-1] < 1 << 40:
+        low.append(max(low[-1] + 1, -(-low[-1] * 6 // 5), -(-low[-1] * 100 // percent)))
     return np.array(low, np.int64)
 
 
-LOW = bands()
-
-
 def most_apart(size: int, percent: int = PERCENT) -> int:
     """The largest symmetric difference of a linked pair whose smaller set has ``size`` members."""
     return (100 - percent) * size // percent
 
 
+def own_band(n: int, percent: int = PERCENT) -> int:
+    return int(np.searchsorted(bands(percent), n, "right")) - 1
+
+
 def layouts(n: int, percent: int = PERCENT) -> list[int]:
     """Bands in which a set of ``n`` members is sketched: its own, and the next if a partner can lie there."""
-    own = int(np.searchsorted(LOW, n, "right")) - 1
-    return [own, own + 1] if 100 * n // percent >= LOW[own + 1] else [own]
+    own = own_band(n, percent)
+    return [own, own + 1] if 100 * n // percent >= bands(percent)[own + 1] else [own]
+
+
+def n_blocks(band: int, percent: int = PERCENT) -> int:
+    least = most_apart(int(bands(percent)[band + 1]) - 1, percent) + 1
+    return least + least // 3 + 1
 
 
 def sketch(members: np.ndarray, band: int, percent: int = PERCENT) -> np.ndarray:
     """64-bit blocks of the parity sketch of a set of hashes."""
-    blocks = most_apart(int(LOW[band + 1]) - 1, percent) + 1
+    blocks = n_blocks(band, percent)
     r = mix(members ^ U(band * 0x9E3779B97F4A7C15 % 2**64))
     at = ((r >> U(32)) % U(blocks)).astype(np.int64) * 64 + (r & U(63)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=64 * blocks) & 1).astype(np.uint8)).view(U)
 
 
-def block_keys(blocks: np.ndarray, band: int) -> np.ndarray:
-    place = np.arange(len(blocks), dtype=U) * U(0xD6E8FEB86659FD93) + U(band * 0xA24BAED4963EE407 % 2**64)
-    return mix(mix(blocks) ^ mix(place)).view(np.int64)
+def block_keys(blocks: np.ndarray, place: np.ndarray, band: np.ndarray) -> np.ndarray:
+    where = place.astype(U) * U(0xD6E8FEB86659FD93) + band.astype(U) * U(0xA24BAED4963EE407)
+    return mix(mix(blocks) ^ mix(where))
 
 
 def text_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -87,27 +102,95 @@ def signature(members: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.add.reduce(x).view(np.int64)) for x in (one, two))
 
 
-def set_sizes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n, s1, s2: size and signature of each row's set."""
+def sketched(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n, s1, s2 (size and signature of each row's set), own, next (sketches in its band and, if a partner can lie there,
+    in the next; null where only equal sets link)."""
 
     def run(batches):
         for b in batches:
             for part in pieces(b, "text"):
                 sets = text_sets(*buffers(part.column(1)), k)
                 sig = [signature(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in sig], pa.int64()), pa.array([x[1] for x in sig], pa.int64())], ["doc_id", "n", "s1", "s2"])
+                made = [[sketch(s, band, percent).tobytes() for band in layouts(len(s), percent)] if most_apart(len(s), percent) else [] for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in sig], pa.int64()), pa.array([x[1] for x in sig], pa.int64()), *(pa.array([m[i] if len(m) > i else None for m in made], pa.binary()) for i in (0, 1))],
+                    ["doc_id", "n", "s1", "s2", "own", "next"],
+                )
+
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, own binary, next binary")
+
+
+def keys_of(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all blocks of a batch (doc_id, n, own, next), the row of each key's document, and how many keys lie before each of its layouts."""
+    n = batch.column(1).to_numpy()
+    band = np.searchsorted(bands(percent), n, "right") - 1
+    sizes, rows, which, raw = [], [], [], []
+    for turn in (0, 1):
+        col = batch.column(2 + turn)
+        there = np.flatnonzero(col.is_valid().to_numpy(zero_copy_only=False))
+        texts = [x for x in col.to_pylist() if x is not None]
+        raw += texts
+        sizes += [len(x) // 8 for x in texts]
+        rows.append(there)
+        which.append(band[there] + turn)
+    sizes, rows, which = np.array(sizes, np.int64), np.concatenate(rows), np.concatenate(which)
+    keys = block_keys(np.frombuffer(b"".join(raw), U), ragged(np.zeros(len(sizes), np.int64), sizes), np.repeat(which, sizes))
+    return keys, rows, np.r_[0, np.cumsum(sizes)]
+
+
+def common_blocks(held: DataFrame, percent: int, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` keys that most documents share (sorted), and about how many these are."""
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+    def run(batches):
+        seen, size = [], 0
 
+        def flush():
+            keys, n = np.unique(np.concatenate(seen), return_counts=True)
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1])], ["key", "n"])
 
-def stars(docs: DataFrame, k: int, percent: int) -> DataFrame:
+        for b in batches:
+            for part in pieces(b, "own"):
+                keys = keys_of(part, percent)[0]
+                seen.append(keys)
+                size += len(keys)
+                if size > COMBINE:
+                    yield flush()
+                    size = 0
+        if size:
+            yield flush()
+
+    told = held.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(most).toArrow()
+    keys, n = told["key"].to_numpy().astype(np.int64).view(U), told["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def rarest(batch: pa.RecordBatch, common: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, rows): of each sketch the d + 1 keys that come first in the order of all keys."""
+    keys, rows, upto = keys_of(batch, percent)
+    if not len(keys):
+        return keys, rows
+    rank = np.zeros(len(keys), U)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], keys), len(common[0]) - 1)
+        rank = np.where(common[0][at] == keys, np.minimum(common[1][at], 65535), 0).astype(U)
+    part = np.repeat(np.arange(len(rows)), np.diff(upto))
+    order = np.lexsort(((rank << U(48)) | (mix(keys) >> U(16)), part))
+    wanted = (100 - percent) * batch.column(1).to_numpy()[rows] // percent + 1
+    at = order[ragged(upto[:-1], wanted)]
+    return keys[at], np.repeat(rows, wanted)
+
+
+def stars(held: DataFrame, percent: int) -> DataFrame:
     """key, a, b: for each block key with two documents or more, edges that connect all of them (a < b)."""
+    common = held.sparkSession.sparkContext.broadcast(common_blocks(held, percent))  # at most COMMON keys
 
     def run(batches):
-        held, rows, seen = [], 0, {}
+        seen, size = [], 0
 
         def flush():
-            keys, ids = (np.concatenate(x) for x in zip(*held))
+            keys, ids = (np.concatenate(x) for x in zip(*seen))
             order = np.lexsort((ids, keys))
             keys, ids = keys[order], ids[order]
             head = np.r_[True, keys[1:] != keys[:-1]]
@@ -117,49 +200,24 @@ def stars(docs: DataFrame, k: int, percent: int) -> DataFrame:
             yield out(keys[head], keys[head], ids[head], None)
             # edges found here need no place beside their key: they are dealt evenly
             yield out(mix((keys[same] + ids[same]).view(U)).view(np.int64), keys[same], lead[same], ids[same])
-            held.clear()
+            seen.clear()
 
         for b in batches:
-            for part in pieces(b, "text"):
-                for doc, members in zip(part.column(0).to_pylist(), text_sets(*buffers(part.column(1)), k)):
-                    sig = signature(members)
-                    if most_apart(len(members), percent) < 1 or sig in seen:
-                        continue  # links with equal sets only; those are known by their signatures
-                    if len(seen) > COMBINE:
-                        seen.clear()
-                    seen[sig] = True
-                    for band in layouts(len(members), percent):
-                        keys = block_keys(sketch(members, band, percent), band)
-                        held.append((keys, np.full(len(keys), doc)))
-                        rows += len(keys)
-                if rows > COMBINE:
+            for part in pieces(b, "own"):
+                keys, rows = rarest(part, common.value, percent)
+                seen.append((keys.view(np.int64), part.column(0).to_numpy()[rows]))
+                size += len(keys)
+                if size > COMBINE:
                     yield from flush()
-                    rows = 0
-        if held:
+                    size = 0
+        if size:
             yield from flush()
 
-    sent = docs.mapInArrow(run, "part long, key long, a long, b long")
+    sent = held.select("doc_id", "n", "own", "next").mapInArrow(run, "part long, key long, a long, b long")
     lead = F.min(F.when(F.col("b").isNull(), F.col("a"))).over(Window.partitionBy("part", "key"))
     return sent.withColumn("lead", lead).select("key", F.when(F.col("b").isNull(), F.col("lead")).otherwise(F.col("a")).alias("a"), F.coalesce("b", "a").alias("b")).where("a <> b")
 
 
-def own_band(n: int) -> int:
-    return int(np.searchsorted(LOW, n, "right")) - 1
-
-
-def sketches_of(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, own, next (sketches in its band and, if a partner can lie there, in the next), text of the documents in ``ids``."""
-
-    def run(batches):
-        for b in batches:
-            for part in pieces(b, "text"):
-                sets = text_sets(*buffers(part.column(1)), k)
-                made = [[sketch(s, band, percent).tobytes() for band in layouts(len(s), percent)] for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] if len(m) > 1 else None for m in made], pa.binary()), part.column(1)], ["doc_id", "n", "own", "next", "text"])
-
-    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, n long, own binary, next binary, text string")
-
-
 def near(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and sketches allow a link; the Hamming distance never exceeds the true difference."""
 
@@ -169,9 +227,12 @@ def near(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
             for n, m, x, x2, y, y2 in zip(*(b.column(i).to_pylist() for i in range(2, 8))):
                 if n > m:
                     n, m, x, x2, y, y2 = m, n, y, y2, x, x2
-                if own_band(n) != own_band(m):
-                    x = x2 if own_band(n) + 1 == own_band(m) else None
-                yes.append(100 * n >= percent * m and x is not None and int(np.bitwise_count(np.frombuffer(x, U) ^ np.frombuffer(y, U)).sum()) <= most_apart(n, percent))
+                if 100 * n < percent * m:
+                    yes.append(False)
+                    continue
+                one = own_band(n, percent)
+                x = x if (two := own_band(m, percent)) == one else x2 if two == one + 1 else None
+                yes.append(x is not None and int(np.bitwise_count(np.frombuffer(x, U) ^ np.frombuffer(y, U)).sum()) <= most_apart(n, percent))
             yield b.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
     one = held.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("own").alias("xa"), F.col("next").alias("ya"))
@@ -179,9 +240,8 @@ def near(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "xa", "ya", "xb", "yb").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, held: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b of the pairs that link: the sketches first, then the sets of those left."""
-    left = cut(near(pairs, held, percent), "jaccard-near")
+def verified(pairs: DataFrame, named: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b, link: whether the sets of each pair link."""
 
     def run(batches):
         for b in batches:
@@ -191,12 +251,13 @@ def verify(pairs: DataFrame, held: DataFrame, k: int, percent: int) -> DataFrame
                     both = len(x) + len(y)
                     same = both - len(np.union1d(x, y))
                     yes.append(100 * same >= percent * (both - same))
-                yield part.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(yes, pa.bool_())], ["a", "b", "link"])
 
-    texts = held.select("doc_id", "text").join(left.select(F.col("a").alias("doc_id")).union(left.select(F.col("b").alias("doc_id"))).distinct(), "doc_id", "left_semi")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = named.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    return left.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, link boolean")
 
 
 def unsettled(star: DataFrame, labels: DataFrame) -> DataFrame:
@@ -230,87 +291,111 @@ def merged(labels: DataFrame, new: DataFrame) -> DataFrame:
     return nodes.join(up, "label", "left").select("u", F.coalesce("to", "label").alias("label"))
 
 
-def proposals(groups: DataFrame, held: DataFrame, refuted: DataFrame, percent: int) -> DataFrame:
-    """key, a, b: pairs across components whose sketches are close enough, a forest of them for each pair of chunks of a group."""
-    order = Window.partitionBy("key").orderBy("id")
-    placed = groups.withColumn("c", F.floor((F.row_number().over(order) - 1) / CHUNK)).withColumn("top", F.max("c").over(Window.partitionBy("key")))
-    each = placed.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top")))).select("key", F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d"), "id", "label")
+def settle(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, drawn: list[list[bytes | None]], no: list[set[int]], side: np.ndarray, percent: int, most: int = 1) -> list[tuple[int, int]]:
+    """Pairs (a < b) between members of different labels whose sizes and sketches allow a link and that are not in ``no``: a forest, or
+    at most ``most`` > 1 for two labels, the closest of a member first. ``side``: only members of different sides are compared, if there are two."""
+    root = np.unique(labels, return_inverse=True)[1].astype(np.int64)
+    largest = np.bincount(root).argmax()
+    todo = root != largest  # every pair of different labels has a member here
+    out, both, told = [], len(set(side.tolist())) > 1, Counter()
+    own = np.searchsorted(bands(percent), sizes, "right") - 1
+    apart, more = (100 - percent) * sizes // percent, np.array([x is not None for x in drawn[1]])
+    for band in np.unique(own).tolist():
+        here = np.flatnonzero((own == band) | ((own == band - 1) & more))
+        if len(here) < 2:
+            continue
+        flat = np.array([np.frombuffer(drawn[band - own[i]][i], U) for i in here])
+        lead = min(12, flat.shape[1])
+        for p in np.flatnonzero(todo[here]).tolist():
+            i = here[p]
+            small, large = np.minimum(sizes[here], sizes[i]), np.maximum(sizes[here], sizes[i])
+            # a pair is compared in the band of its larger set
+            able = (root[here] != root[i]) & (100 * small >= percent * large) & (np.maximum(own[here], own[i]) == band)
+            if both:
+                able &= side[here] != side[i]
+            able = np.flatnonzero(able)
+            limit = np.minimum(apart[here[able]], apart[i])
+            # the first blocks refute most pairs already
+            ok = np.bitwise_count(flat[able, :lead] ^ flat[p, :lead]).sum(1) <= limit
+            able, limit = able[ok], limit[ok]
+            d = np.bitwise_count(flat[able] ^ flat[p]).sum(1)
+            ok = np.flatnonzero(d <= limit)
+            for q in able[ok[np.argsort(d[ok], kind="stable")]].tolist():
+                j = here[q]
+                a, b = sorted((int(ids[i]), int(ids[j])))
+                ends = (root[i], root[j]) if root[i] < root[j] else (root[j], root[i])
+                if ends[0] == ends[1] or told[ends] == most or b in no[i] or b in no[j] or a in no[i] or a in no[j]:
+                    continue
+                out.append((a, b))
+                if most == 1:
+                    root[root == root[j]] = root[i]
+                else:
+                    told[ends] += 1
+    return out
+
+
+def proposals(groups: DataFrame, held: DataFrame, refuted: DataFrame, percent: int, chunk: int = CHUNK, most: int = 1) -> DataFrame:
+    """key, a, b: pairs across components that may link, as ``settle`` picks them for each pair of chunks of a group.
+
+    ``groups``: key, id, label. A group up to ``chunk`` bytes of sketches is one chunk; pairs of chunks of one and the same label are left out."""
+    bytes_of = held.select(F.col("doc_id").alias("id"), F.octet_length("own").alias("size"))
+    order = Window.partitionBy("key").orderBy("label", "id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = groups.join(bytes_of, "id").select("key", "id", "label", F.floor((F.sum("size").over(order) - F.col("size")) / chunk).alias("c"))
+    parts = placed.groupBy("key", "c").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    other = parts.select("key", F.col("c").alias("d"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    pairs = parts.join(other, "key").where("c <= d and not (x = y and x2 = y2 and x = x2)").select("key", "c", "d", F.explode(F.array_distinct(F.array("c", "d"))).alias("at"))
+    each = placed.withColumnRenamed("c", "at").join(pairs, ["key", "at"])
     known = refuted.select(F.col("a").alias("id"), "b").groupBy("id").agg(F.collect_set("b").alias("no"))
     full = each.join(known, "id", "left").join(held.select(F.col("doc_id").alias("id"), "n", "own", "next"), "id")
 
     def run(t: pa.Table) -> pa.Table:
-        ids, labels = t["id"].to_numpy(), t["label"].to_numpy()
-        no = [set(x or ()) for x in t["no"].to_pylist()]
-        sizes, drawn = t["n"].to_numpy(), [t["own"].to_pylist(), t["next"].to_pylist()]
-        root = {int(x): int(x) for x in labels}
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        out = []
-        for band in sorted({b for n in sizes.tolist() for b in layouts(n, percent)}):
-            here = [i for i in range(len(ids)) if band in layouts(int(sizes[i]), percent)]
-            flat = np.array([np.frombuffer(drawn[band - own_band(int(sizes[i]))][i], U) for i in here])
-            for p, i in enumerate(here):
-                rest = np.array(here[p + 1 :], np.int64)
-                if not len(rest):
-                    continue
-                small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
-                able = np.flatnonzero(100 * small >= percent * large)
-                apart = np.bitwise_count(flat[p + 1 :][able] ^ flat[p]).sum(1) if len(able) else np.zeros(0, int)
-                for q in able[apart <= (100 - percent) * small[able] // percent].tolist():
-                    j = int(rest[q])
-                    a, b = sorted((int(ids[i]), int(ids[j])))
-                    r, s = find(int(labels[i])), find(int(labels[j]))
-                    if r != s and b not in no[i] and b not in no[j] and a not in no[i] and a not in no[j]:
-                        root[max(r, s)] = min(r, s)
-                        out.append((a, b))
-        return pa.table({"key": pa.array([t["key"][0].as_py()] * len(out), pa.int64()), "a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+        got = settle(t["id"].to_numpy(), t["label"].to_numpy(), t["n"].to_numpy(), [t["own"].to_pylist(), t["next"].to_pylist()], [set(x or ()) for x in t["no"].to_pylist()], t["at"].to_numpy(), percent, most)
+        return pa.table({"key": pa.array([t["key"][0].as_py()] * len(got), pa.int64()), "a": pa.array([x[0] for x in got], pa.int64()), "b": pa.array([x[1] for x in got], pa.int64())})
 
     return full.groupBy("key", "c", "d").applyInArrow(run, "key long, a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, n_links (verified links kept for it, not all there are)."""
     named = norm_docs(docs)
-    sizes = cut(set_sizes(named, k), "jaccard-sizes")
-    full = sizes.where("n > 0")
-    heads = full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("head"))
-    of = cut(full.select("doc_id", "n", "s1", "s2").distinct().join(heads, ["n", "s1", "s2"]).select("doc_id", "head"), "jaccard-classes")
-    star = stars(named, k, percent)
-    at = lambda c: of.select(F.col("doc_id").alias(c), F.col("head").alias(f"head_{c}"))
-    star = star.join(at("a"), "a").join(at("b"), "b").select("key", F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")).where("a <> b").distinct()
-    star = cut(star, "jaccard-stars")
-    ids = star.select(F.col("a").alias("doc_id")).union(star.select(F.col("b").alias("doc_id"))).distinct()
-    held = cut(sketches_of(named, ids, k, percent), "jaccard-sketches")
-    tried = cut(star.select("a", "b").distinct(), "jaccard-tried")
-    links = cut(verify(tried, held, k, percent), "jaccard-links")
+    made = cut(sketched(named, k, percent), "jaccard-sets")
+    sets = made.where("n > 0").select("doc_id", "n", "s1", "s2").distinct()
+    heads = sets.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("head"))
+    of = cut(sets.join(heads, ["n", "s1", "s2"]), "jaccard-classes")
+    firsts = of.where("doc_id = head").select("doc_id", "n", "s1", "s2")
+    held = cut(made.where("own is not null").join(firsts, ["doc_id", "n", "s1", "s2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "own", "next"), "jaccard-held")
+    star = cut(stars(held, percent).distinct(), "jaccard-stars")
+    tell = lambda pairs: cut(verified(cut(near(pairs, held, percent), "jaccard-near"), named, k, percent), "jaccard-told")
+    told = tell(star.select("a", "b").distinct())
+    links, refuted = (told.where(c).select("a", "b") for c in ("link", "not link"))
     labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     groups = cut(unsettled(star, labels), "jaccard-groups")
-    while True:
+    for turn in count():
         now = cut(with_labels(groups, labels), "jaccard-open")
         if now.isEmpty():
             break
-        found = cut(proposals(now, held, tried, percent), "jaccard-more")
-        more = found.select("a", "b").distinct()
-        new = cut(verify(more, held, k, percent), "jaccard-links")
-        # a group without proposals has none later: labels only grow together. The others go on with what was tried.
-        groups = cut(now.select("key", "id").join(found.select("key").distinct(), "key", "left_semi"), "jaccard-groups")
-        tried = cut(tried.unionByName(more).distinct(), "jaccard-tried")
+        # a forest first; pairs that only seem to link are refuted by more and more at once then
+        found = cut(proposals(now, held, refuted, percent, chunk, 8**turn), "jaccard-more")
+        if found.isEmpty():
+            break
+        told = tell(found.select("a", "b").distinct())
+        new, wrong = (told.where(c).select("a", "b") for c in ("link", "not link"))
+        # a group without proposals has none later: labels only grow together. The others go on with what was refuted.
+        then = cut(now.select("key", "id").join(found.select("key").distinct(), "key", "left_semi"), "jaccard-groups")
+        release(now, groups, found)
+        groups = then
+        refuted = refuted.unionByName(wrong)
         if not new.isEmpty():
-            links = cut(links.unionByName(new).distinct(), "jaccard-links")
+            links = links.unionByName(new)
             labels = cut(merged(labels, new), "jaccard-labels")
-    count = links.select(F.col("a").alias("head")).union(links.select(F.col("b").alias("head"))).groupBy("head").agg(F.count("*").alias("n_links"))
-    tied = of.join(labels.withColumnRenamed("u", "head"), "head", "left").join(count, "head", "left").select("doc_id", F.coalesce("label", "head").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    out = sizes.select("doc_id", "n", "s1", "s2").join(tied, "doc_id", "left")
-    return out.select(real_id(), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "doc_id"), F.lit(-(2**63))).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    degree = links.select(F.col("a").alias("head")).union(links.select(F.col("b").alias("head"))).groupBy("head").agg(F.count("*").alias("n_links"))
+    tied = of.join(labels.withColumnRenamed("u", "head"), "head", "left").join(degree, "head", "left").select("doc_id", "n", "s1", "s2", F.coalesce("label", "head").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    out = made.select("doc_id", "n", "s1", "s2").join(tied, ["doc_id", "n", "s1", "s2"], "left")
+    return out.select(real_id(), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "doc_id"), F.lit(NO_ID)).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, whose document has the smallest id of its component."""
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
-    gone = jaccard_components(docs, k, percent).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_gone"), "component_id").where(F.col("_gone") != F.coalesce("component_id", F.lit(-(2**63)))).select("_gone").distinct()
-    return docs.join(gone, key == gone["_gone"], "left_anti")
+    found = jaccard_components(docs, k, percent)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    return without(docs, gone)

@@ -153,13 +153,13 @@ def components_brute(sets):
     return label, pairs
 
 
-@pytest.mark.parametrize("chunk", [512, 2])
+@pytest.mark.parametrize("chunk", [2 << 20, 500])
 def test_jaccard(spark, rows, chunk, monkeypatch):
     import random
 
     from loomfuse.llm import jaccard_join as J
 
-    monkeypatch.setattr(J, "CHUNK", chunk)
+    monkeypatch.setattr(J, "COMMON", 50)
     r = random.Random(5)
     base, more = [f"w{k}" for k in range(300)], list(rows)
     for k in range(30):  # a chain and a cloud of near copies, of which only some are linked
@@ -170,15 +170,60 @@ def test_jaccard(spark, rows, chunk, monkeypatch):
     docs = unique(more)
     sets = shingle_sets(docs)
     want, pairs = components_brute(sets)
-    got = collected(J.jaccard_components(frame(spark, more)))
+    got = collected(J.jaccard_components(frame(spark, more), chunk=chunk))
     assert {i: (x.n_shingles, NONE if x.component_id is None else x.component_id) for i, x in got.items()} == {i: (len(sets[i]), want[i]) for i in sets}
     assert len(pairs) > 20
-    if chunk == 512:
+    if chunk > 500:
         kept = J.one_of_each(frame(spark, more))
         assert {NONE if x.doc_id is None else x.doc_id for x in kept.collect()} == {i for i in want if want[i] == i}
         assert J.jaccard_components(empty(spark)).count() == 0
 
 
+def test_jaccard_rarest_blocks_meet():
+    """Linked sets share one of the blocks that are joined, whatever blocks count as common."""
+    import numpy as np
+    import pyarrow as pa
+
+    from loomfuse.llm import jaccard_join as J
+
+    r = np.random.default_rng(4)
+    for percent, n in ((90, 9), (90, 40), (90, 333), (80, 4), (80, 57), (80, 700)):
+        for _ in range(20):
+            base = r.integers(0, 2**63, n).astype(np.uint64)
+            gone = int(r.integers(0, J.most_apart(n, percent) + 1))
+            new = int(r.integers(0, J.most_apart(n, percent) + 1 - gone))
+            other = np.r_[base[gone:], r.integers(0, 2**63, new).astype(np.uint64)]
+            both = len(np.intersect1d(base, other))
+            if 100 * both < percent * (len(base) + len(other) - both):
+                continue
+            rows = [(i, len(x), *([J.sketch(x, b, percent).tobytes() for b in J.layouts(len(x), percent)] + [None])[:2]) for i, x in enumerate((base, other))]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "n", "own", "next"])
+            some = np.unique(J.keys_of(batch, percent)[0])[::2]
+            for common in ((some[:0], np.zeros(0, np.int64)), (some, r.integers(2, 9, len(some)))):
+                keys, of = J.rarest(batch, common, percent)
+                assert set(keys[of == 0].tolist()) & set(keys[of == 1].tolist()), (percent, n)
+
+
+def test_jaccard_settle_finds_a_forest():
+    import numpy as np
+
+    from loomfuse.llm import jaccard_join as J
+
+    r = np.random.default_rng(8)
+    base = r.integers(0, 2**63, 200).astype(np.uint64)
+    sets = [np.r_[base[: 200 - k], r.integers(0, 2**63, k).astype(np.uint64)] for k in (0, 5, 10, 10, 100, 100)]
+    sizes, ids = np.array([len(x) for x in sets]), np.arange(6) * 3
+    drawn = [[(J.sketch(x, J.layouts(len(x))[t]).tobytes() if t < len(J.layouts(len(x))) else None) for x in sets] for t in (0, 1)]
+    none, one = [set() for _ in sets], np.zeros(6, np.int64)
+    got = J.settle(ids, ids, sizes, drawn, none, one, 90)
+    assert len(got) == 3 and {x for p in got for x in p} == {0, 3, 6, 9}  # the two far ones link with nobody
+    assert J.settle(ids, one, sizes, drawn, none, one, 90) == []
+    # refuted pairs are not proposed again; of two sides only pairs across are
+    assert not set(J.settle(ids, ids, sizes, drawn, [{x for p in got for x in p}] * 6, one, 90))
+    side = np.array([0, 0, 1, 1, 1, 1])
+    assert all((a < 6) != (b < 6) for a, b in J.settle(ids, ids, sizes, drawn, none, side, 90))
+
+
 def test_jaccard_merged_takes_roots(spark):
     from loomfuse.llm.jaccard_join import merged
 

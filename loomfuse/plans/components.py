@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset one in the warehouse, or on a single machine a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomfuse-")
+        local = (spark.conf.get("spark.master", None) or spark.sparkContext.master).startswith("local")
+        found = "file://" + tempfile.mkdtemp(prefix="loomfuse-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/loomfuse-work"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 

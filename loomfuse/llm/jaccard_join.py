@@ -5,8 +5,8 @@ whole sequence. Two documents link when 100 * |A and B| >= 90 * |A or B|.
 
 Such a pair differs in d <= |A| / 9 shingles, |A| <= |B|. A sketch has one bit a shingle hash, XORed; its
 Hamming distance is at most d. It is cut into B > d + 1 blocks of 64 bits, of which linked sets share B - d at least
-(pigeonhole); so their d + 1 rarest blocks, in one order for all, have one in common, and only these are joined: blocks
-that many documents share (a common passage, an empty block) come last in that order and are left out without losing a link.
+(pigeonhole); so their d + 1 first blocks, in one order for all, have one in common, and only these are joined: blocks
+that many documents share (a common passage) or that hold few shingles come last in that order and are left out without losing a link.
 Sizes are banded; sizes within 10/9 of the next band are sketched for both. Equal blocks are joined as stars, never as
 pairs of a group, and every pair kept is verified on the sets. A group whose stars leave several components is
 settled in numpy, chunk by chunk: only members of different components are compared, by the sketches' Hamming distance, and a forest of the
@@ -120,8 +120,9 @@ def sketched(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
     return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, own binary, next binary")
 
 
-def keys_of(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all blocks of a batch (doc_id, n, own, next), the row of each key's document, and how many keys lie before each of its layouts."""
+def keys_of(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all blocks of a batch (doc_id, n, own, next) and the bits set in each, the row of each sketch's document, and how many keys lie
+    before each sketch."""
     n = batch.column(1).to_numpy()
     band = np.searchsorted(bands(percent), n, "right") - 1
     sizes, rows, which, raw = [], [], [], []
@@ -134,8 +135,9 @@ def keys_of(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray
         rows.append(there)
         which.append(band[there] + turn)
     sizes, rows, which = np.array(sizes, np.int64), np.concatenate(rows), np.concatenate(which)
-    keys = block_keys(np.frombuffer(b"".join(raw), U), ragged(np.zeros(len(sizes), np.int64), sizes), np.repeat(which, sizes))
-    return keys, rows, np.r_[0, np.cumsum(sizes)]
+    blocks = np.frombuffer(b"".join(raw), U)
+    keys = block_keys(blocks, ragged(np.zeros(len(sizes), np.int64), sizes), np.repeat(which, sizes))
+    return keys, np.bitwise_count(blocks), rows, np.r_[0, np.cumsum(sizes)]
 
 
 def common_blocks(held: DataFrame, percent: int, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +170,7 @@ def common_blocks(held: DataFrame, percent: int, most: int = COMMON) -> tuple[np
 
 def rarest(batch: pa.RecordBatch, common: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, rows): of each sketch the d + 1 keys that come first in the order of all keys."""
-    keys, rows, upto = keys_of(batch, percent)
+    keys, bits, rows, upto = keys_of(batch, percent)
     if not len(keys):
         return keys, rows
     rank = np.zeros(len(keys), U)
@@ -176,7 +178,7 @@ def rarest(batch: pa.RecordBatch, common: tuple[np.ndarray, np.ndarray], percent
         at = np.minimum(np.searchsorted(common[0], keys), len(common[0]) - 1)
         rank = np.where(common[0][at] == keys, np.minimum(common[1][at], 65535), 0).astype(U)
     part = np.repeat(np.arange(len(rows)), np.diff(upto))
-    order = np.lexsort(((rank << U(48)) | (mix(keys) >> U(16)), part))
+    order = np.lexsort(((rank << U(48)) | ((64 - bits).astype(U) << U(40)) | (mix(keys) >> U(24)), part))
     wanted = (100 - percent) * batch.column(1).to_numpy()[rows] // percent + 1
     at = order[ragged(upto[:-1], wanted)]
     return keys[at], np.repeat(rows, wanted)

@@ -1,15 +1,18 @@
 """Co-training of a text-content and a page-metadata classifier.
 
-Target: a document is good if quality is 1 and toxic is 0. View one sees which words and word beginnings a text has; view two sees
-language, source, length and layout. Both start from the labelled sample; in each round a view's most
-confident calibrated verdicts on an unlabelled pool become pseudo-labels for the other view. Both are then
-calibrated (Platt) on held-out labelled documents, and the calibrated logits are combined, by a logistic
-model fitted on the same fold, to score every document.
-
-Fitting takes a bounded sample: at most ``max_labelled`` labelled and ``max_pool`` other documents, by the hash
-of their ids; scoring reads all. Null or empty text has no words; null labels are not used; a null language or source
-is a value of its own. With labels of one class only or none, every score is that class's share (1.0 if none).
-Repeated rows get the same score.
+Target: a document is good if quality is 1 and toxic is 0. View one sees which telling words and word beginnings a text has; view two
+sees language, source, length and layout. Both start from the labelled sample. In each round both views score all documents, and
+each view's most confident calibrated verdicts become pseudo-labels for the other view. Logits are calibrated (Platt) on one half of
+the labelled documents and combined, by a logistic model, on the other half; there they are those of models that had not seen the
+document (stratified folds). The combined model scores all documents.
+
+Fitting takes a bounded sample: at most ``max_labelled`` labelled documents, by the hash of their ids, and ``take`` pseudo-labels a round,
+view and class. Words are counted on executors; only rows of telling words reach the driver. All texts are read once: what the views see of a
+document is written as a small row, which the rounds and the final scores read.
+
+Null or empty text has no words; null labels are not used; a null language or source is a value of its own. With fewer than two
+labels of either class, every score is the share of good labels (1.0 if there are none). Repeated rows get the same score and are one
+labelled document. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,14 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfuse.llm.common import NO_ID, buffers, hash_spans, mix, norm_docs, pieces, real_id, spans
+from loomfuse.llm.common import buffers, cut, hash_spans, mix, norm_docs, pieces, real_id, spans, without
 
-MAX_LABELLED, MAX_POOL, ROUNDS, TAKE = 8_000, 3_000, 3, 400
+MAX_LABELLED, ROUNDS, TAKE, FOLDS = 12_000, 3, 400, 4
 MIN_DF, CUT, LEAST_G, COVER = 4, 0.5, 20.0, 3
 #: How sure a pseudo-label must be, and its weight: a view that one kind of bad document eludes is told, not overruled.
 SURE, PSEUDO = 0.97, 0.25
-#: Bounds of the bins of a layout figure, finer at both ends where odd documents lie; small samples take sixths.
-QUANTILES = np.r_[0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.07, np.linspace(0.1, 0.9, 17), 0.93, 0.95, 0.97, 0.98, 0.99, 0.995, 0.998]
+#: Strength of the prior on weights, in observations.
+PRIOR = 3.0
+#: Bounds of the bins of a layout figure: sixths, and finer ones at both ends where odd documents lie. A figure counts in both.
+COARSE = np.linspace(0, 1, 7)[1:-1]
+FINE = np.r_[0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.07, np.linspace(0.1, 0.9, 17), 0.93, 0.95, 0.97, 0.98, 0.99, 0.995, 0.998]
 #: Bytes of the word beginnings that count as features besides words.
 STEMS = (4, 5, 6)
 SEP = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
@@ -62,27 +68,52 @@ def view_rows(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+class Ragged:
+    """Rows of feature indexes, flat."""
+
+    def __init__(self, values: np.ndarray, off: np.ndarray):
+        self.values, self.off = np.asarray(values, np.int64), np.asarray(off, np.int64)
+        self.of = np.repeat(np.arange(len(self.off) - 1), np.diff(self.off))
+
+    @staticmethod
+    def of_lists(rows: list) -> Ragged:
+        return Ragged(np.concatenate(rows) if rows else [], np.cumsum([0, *map(len, rows)]))
+
+    @staticmethod
+    def of_matrix(x: np.ndarray) -> Ragged:
+        return Ragged(x.ravel(), np.arange(len(x) + 1) * x.shape[1])
+
+    def __len__(self) -> int:
+        return len(self.off) - 1
+
+    def pick(self, at: np.ndarray) -> Ragged:
+        return Ragged.of_lists([self.values[self.off[i] : self.off[i + 1]] for i in at])
+
+    def only(self, wanted: np.ndarray) -> Ragged:
+        """Without the features that ``wanted`` (a mask) lacks."""
+        keep = wanted[self.values]
+        return Ragged(self.values[keep], np.r_[0, np.cumsum(np.bincount(self.of[keep], minlength=len(self)))])
+
+
 class Logistic:
     """L2-regularised logistic regression on rows of feature indexes, fitted by full-batch Adam."""
 
     def __init__(self, n: int):
         self.w, self.b = np.zeros(n), 0.0
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int = 250, rate: float = 0.08, l2: float = 3e-4) -> Logistic:
-        at, of = np.concatenate(rows) if rows else np.zeros(0, np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    def fit(self, rows: Ragged, y: np.ndarray, weight: np.ndarray, steps: int = 200, rate: float = 0.08) -> Logistic:
         m, v, mb, vb = np.zeros_like(self.w), np.zeros_like(self.w), 0.0, 0.0
+        l2 = PRIOR / weight.sum()
         for t in range(1, steps + 1):
-            z = np.bincount(of, self.w[at], len(rows)) + self.b
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / weight.sum()
-            gw, gb = np.bincount(at, g[of], len(self.w)) + l2 * self.w, g.sum()
+            g = (prob(self.logit(rows)) - y) * weight / weight.sum()
+            gw, gb = np.bincount(rows.values, g[rows.of], len(self.w)) + l2 * self.w, g.sum()
             m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
             self.w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-10)
             self.b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-10)
         return self
 
-    def logit(self, rows: list[np.ndarray]) -> np.ndarray:
-        of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        return np.bincount(of, self.w[np.concatenate(rows)] if len(of) else None, len(rows)) + self.b
+    def logit(self, rows: Ragged) -> np.ndarray:
+        return np.bincount(rows.of, self.w[rows.values], len(rows)) + self.b
 
 
 def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
@@ -106,160 +137,264 @@ def prob(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def telling_words(rows: list[np.ndarray], y: np.ndarray, least: float = LEAST_G, most: int = 2000) -> np.ndarray:
-    """Words found in bad documents too often for chance, chosen by sequential covering.
-
-    The word with the largest log-likelihood ratio is taken, bad documents that hold ``COVER`` of those taken are set aside, and the rest is counted
-    anew, until no ratio reaches ``least``; so words that only come along with a telling one (in copies, say) are left out."""
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    words, back = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.uint64), return_inverse=True)
-    good = np.bincount(back[y[of] == 1], minlength=len(words)).astype(float)
-    keep = y[of] == 0
-    of, back = of[keep], back[keep]
-    bad = np.bincount(back, minlength=len(words)).astype(float)
-    n_good, n_bad, out = float((y == 1).sum()), float((y == 0).sum()), []
-    order = np.argsort(back, kind="stable")
-    first = np.searchsorted(back[order], np.arange(len(words) + 1))
-    begin = np.searchsorted(of, np.arange(len(rows) + 1))
-    taken = np.zeros(len(words), bool)
-    free = np.full(len(rows), COVER)
-    while n_bad >= MIN_DF and len(out) < most:
-        df, share = good + bad, n_bad / (n_bad + n_good)
-        part = lambda k, s: k * np.log(np.maximum(k, 1e-9) / (np.maximum(df, 1) * s))  # noqa: E731, B023
-        g = np.where(~taken & (df >= MIN_DF) & (bad > share * df), 2 * (part(bad, share) + part(good, 1 - share)), 0)
-        best = int(np.argmax(g)) if len(g) else 0
-        if not len(g) or g[best] < least:
+def g_of(here: np.ndarray, df: np.ndarray, share: float) -> np.ndarray:
+    """Log-likelihood ratio of words found ``here`` of ``df`` times, where ``share`` was to be expected; 0 if they are not more frequent here."""
+    part = lambda k, s: k * np.log(np.maximum(k, 1e-9) / (np.maximum(df, 1) * s))
+    return np.where((df >= MIN_DF) & (here > share * df), 2 * (part(here, share) + part(df - here, 1 - share)), 0.0)
+
+
+def telling_words(rows: Ragged, n: int, y: np.ndarray, label: int, least: float = LEAST_G) -> np.ndarray:
+    """Of the ``n`` words those found in documents with ``label`` too often for chance, chosen by sequential covering.
+
+    The word with the largest log-likelihood ratio is taken, documents of the label that hold ``COVER`` of those taken are set aside, and the
+    rest is counted anew, until no ratio reaches ``least``; so words that only come along with a telling one (in copies, say) are left out."""
+    mine = y[rows.of] == label
+    others = np.bincount(rows.values[~mine], minlength=n).astype(float)
+    values, of = rows.values[mine], rows.of[mine]
+    here = np.bincount(values, minlength=n).astype(float)
+    n_others, n_here, out = float((y != label).sum()), float((y == label).sum()), []
+    order = np.argsort(values, kind="stable")
+    first, begin = np.searchsorted(values[order], np.arange(n + 1)), np.searchsorted(of, np.arange(len(rows) + 1))
+    free, open_ = np.full(len(rows), COVER), np.ones(n, bool)
+    while n and n_here >= MIN_DF:
+        g = np.where(open_, g_of(here, here + others, n_here / (n_here + n_others)), 0)
+        best = int(np.argmax(g))
+        if g[best] < least:
             break
         out.append(best)
-        taken[best] = True
+        open_[best] = False
         for d in of[order[first[best] : first[best + 1]]].tolist():
             if free[d]:
                 free[d] -= 1
-                if free[d]:
-                    continue
-                n_bad -= 1
-                bad[back[begin[d] : begin[d + 1]]] -= 1
-    return np.sort(words[out]) if out else words[:0]
+                if not free[d]:
+                    n_here -= 1
+                    here[values[begin[d] : begin[d + 1]]] -= 1
+    return np.array(sorted(out), np.int64)
+
+
+class Views:
+    """What the two views see of documents: rows of words (indexes into the candidates) and of layout, language and source."""
+
+    def __init__(self, layout: np.ndarray, lang: list, source: list):
+        quantiles = lambda q: [np.unique(np.quantile(x, q)) for x in layout.T]
+        self.edges = [*quantiles(COARSE), *quantiles(FINE)]
+        self.first = np.cumsum([0, *(len(e) + 1 for e in self.edges)])
+        self.names = {k: int(self.first[-1]) + i for i, k in enumerate(sorted({("lang", x) for x in lang} | {("source", x) for x in source}, key=repr))}
+        self.size = int(self.first[-1]) + len(self.names) + 1  # the last stands for values not seen here
+
+    def meta(self, layout: np.ndarray, lang: list, source: list) -> np.ndarray:
+        bins = [at + np.searchsorted(e, x) for at, e, x in zip(self.first, self.edges, [*layout.T, *layout.T])]
+        named = [np.array([self.names.get((kind, x), self.size - 1) for x in col], np.int64) for kind, col in (("lang", lang), ("source", source))]
+        return np.array([*bins, *named], np.int64).T
 
 
 class Model:
     """What scoring needs; its size is bounded by the sample."""
 
-    def __init__(self, sample: list[tuple], y: np.ndarray, pool: list[tuple], rounds: int = ROUNDS, take: int = TAKE):
-        """Rows: (word hashes, layout, lang, source); y: 1 good, 0 bad."""
-        self.share = float(np.mean(y)) if len(y) else 1.0
-        self.ready = len(y) >= 20 and 0 < self.share < 1
-        if not self.ready:
-            return
-        fold = np.arange(len(y)) % 4 == 0
-        if len(set(y[fold])) < 2 or len(set(y[~fold])) < 2:
-            fold = np.zeros(len(y), bool)
-        hold = fold if fold.any() else ~fold
-        every = [*sample, *pool]
-        self.vocab = telling_words([r[0] for r, f in zip(sample, fold) if not f], y[~fold])
-        layout = np.array([r[1] for r in every])
-        self.edges = [np.unique(np.quantile(layout[:, j], QUANTILES if len(sample) >= 3000 else np.linspace(0, 1, 7)[1:-1])) for j in range(layout.shape[1])]
-        self.names = {k: i for i, k in enumerate(sorted({("lang", r[2]) for r in every} | {("source", r[3]) for r in every}, key=repr))}
-        self.n_meta = len(META) * 34 + len(self.names)
+    def __init__(self, words: Ragged, n_words: int, views: Views, meta: np.ndarray, y: np.ndarray, folds: int = FOLDS):
+        """Labelled rows of both views; y: 1 good, 0 bad."""
+        self.views, self.y = views, y
         # a third of the rows go without their source and language, so that values not seen here get a fair score
-        text, meta = [self.words(r) for r in every], [self.meta(r if i % 3 else (*r[:2], self, self)) for i, r in enumerate(every)]
-        train = {0: {i: int(y[i]) for i in np.flatnonzero(~fold)}, 1: {i: int(y[i]) for i in np.flatnonzero(~fold)}}
-        waiting = set(range(len(sample), len(every)))
-        views = (text, meta)
-        hold_at = np.flatnonzero(hold)
-        for turn in range(rounds + 1):
-            self.models = []
-            for v in (0, 1):
-                at = list(train[v])
-                self.models.append(Logistic(len(self.vocab) if v == 0 else self.n_meta).fit([views[v][i] for i in at], np.array([train[v][i] for i in at], float), np.where(np.array(at) < len(sample), 1.0, PSEUDO)))
-            self.platt = [fit_dense(self.models[v].logit([views[v][i] for i in hold_at])[:, None], y[hold]) for v in (0, 1)]
-            if turn == rounds or not waiting:
-                break
-            order = np.array(sorted(waiting))
-            for v in (0, 1):
-                p = self.calibrated(v, [views[v][i] for i in order])
-                for label, sure, rank in ((1, p >= SURE, -p), (0, p <= 1 - SURE, p)):
-                    chosen = np.flatnonzero(sure)
-                    for i in order[chosen[np.argsort(rank[chosen], kind="stable")][:take]].tolist():
-                        if i in waiting:
-                            train[1 - v][i] = label
-                            waiting.discard(i)
-        self.pseudo = tuple(len(train[v]) - int((~fold).sum()) for v in (0, 1))
-        x = np.c_[[self.models[v].logit([views[v][i] for i in hold_at]) * self.platt[v][0] + self.platt[v][1] for v in (0, 1)]].T
-        self.joint = fit_dense(x, y[hold])
-
-    def words(self, row) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.vocab, row[0]), max(len(self.vocab) - 1, 0))
-        return at[self.vocab[at] == row[0]] if len(self.vocab) else at[:0]
-
-    def meta(self, row) -> np.ndarray:
-        at = [34 * j + int(np.searchsorted(e, x)) for j, (e, x) in enumerate(zip(self.edges, row[1]))]
-        at += [34 * len(META) + self.names[k] for k in (("lang", row[2]), ("source", row[3])) if k in self.names]
-        return np.array(at, np.int64)
-
-    def calibrated(self, view: int, rows: list[np.ndarray]) -> np.ndarray:
-        return prob(self.models[view].logit(rows) * self.platt[view][0] + self.platt[view][1])
-
-    def score(self, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        blind = meta.copy()
+        blind[::3, -2:] = views.size - 1
+        self.rows = [words, Ragged.of_matrix(blind)]
+        self.sizes, self.n = [n_words, views.size], len(y)
+        turn = np.empty(len(y), np.int64)  # stratified folds, by the order of the rows
+        for label in (0, 1):
+            turn[y == label] = np.arange((y == label).sum())
+        self.fold = turn % folds
+        self.train = [np.flatnonzero(self.fold != k) for k in range(folds)] + [np.arange(len(y))]
+        self.test = [np.flatnonzero(self.fold == k) for k in range(folds)]
+        self.told = []  # telling words, by fold and for all
+        for at in self.train:
+            mask = np.zeros(n_words, bool)
+            for label in (0, 1):
+                mask[telling_words(words.pick(at), n_words, y[at], label)] = True
+            self.told.append(mask)
+        self.pseudo = [(Ragged.of_lists([]), np.zeros(0)), (Ragged.of_lists([]), np.zeros(0))]
+
+    def fit(self) -> Model:
+        self.models, logits = [], []
+        for v in (0, 1):
+            extra, labels = self.pseudo[v]
+            z = np.zeros(self.n)
+            for k, at in enumerate(self.train):
+                rows, more = self.rows[v].pick(at), extra
+                if v == 0:
+                    rows, more = rows.only(self.told[k]), extra.only(self.told[k])
+                both = Ragged(np.r_[rows.values, more.values], np.r_[rows.off, rows.off[-1] + more.off[1:]])
+                m = Logistic(self.sizes[v]).fit(both, np.r_[self.y[at], labels], np.r_[np.ones(len(at)), np.full(len(labels), PSEUDO)])
+                if k < len(self.test):
+                    z[self.test[k]] = m.logit(self.rows[v].pick(self.test[k]).only(self.told[k] if v == 0 else np.ones(self.sizes[v], bool)))
+            self.models.append(m)
+            logits.append(z)
+        half = self.fold % 2 == 0
+        self.platt = [fit_dense(z[half, None], self.y[half]) for z in logits]
+        calibrated = np.array([z * w[0] + w[1] for z, w in zip(logits, self.platt)]).T
+        self.joint = fit_dense(calibrated[~half], self.y[~half])
+        return self
+
+    def learn(self, view: int, words: Ragged, meta: np.ndarray, labels: np.ndarray) -> None:
+        """Pseudo-labels for a view."""
+        rows, known = self.pseudo[view]
+        new = words if view == 0 else Ragged.of_matrix(meta)
+        self.pseudo[view] = Ragged(np.r_[rows.values, new.values], np.r_[rows.off, rows.off[-1] + new.off[1:]]), np.r_[known, labels]
+
+    def scorer(self) -> Scorer:
+        return Scorer(self.views, self.models, self.platt, self.joint, self.told[-1])
+
+
+class Scorer:
+    """The fitted weights alone."""
+
+    def __init__(self, views: Views, models: list[Logistic], platt: list[np.ndarray], joint: np.ndarray, told: np.ndarray):
+        self.views, self.models, self.platt, self.joint = views, models, platt, joint
+        self.models[0].w = np.where(told, self.models[0].w, 0.0)
+
+    def score(self, words: Ragged, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated chances of being good by text, by metadata, by both."""
-        if not self.ready:
-            return (np.full(len(rows), self.share),) * 3
-        z = np.c_[[self.models[v].logit([f(r) for r in rows]) * self.platt[v][0] + self.platt[v][1] for v, f in ((0, self.words), (1, self.meta))]]
-        return prob(z[0]), prob(z[1]), prob(np.c_[z.T, np.ones(len(rows))] @ self.joint)
+        z = np.array([m.logit(rows) * w[0] + w[1] for m, rows, w in zip(self.models, (words, Ragged.of_matrix(meta)), self.platt)]).T
+        return prob(z[:, 0]), prob(z[:, 1]), prob(np.c_[z, np.ones(len(z))] @ self.joint)
 
 
-def with_views(docs: DataFrame) -> DataFrame:
+def with_views(docs: DataFrame, *extra: str) -> DataFrame:
     """The columns that the views read; a missing lang or source column counts as null."""
     have = {c.lower() for c in docs.columns}
-    return norm_docs(docs, *((F.col(c).cast("string") if c in have else F.lit(None).cast("string")).alias(c) for c in ("lang", "source")))
+    return norm_docs(docs, *((F.col(c).cast("string") if c in have else F.lit(None).cast("string")).alias(c) for c in ("lang", "source")), *extra)
 
 
-def _features(named: DataFrame) -> list[tuple]:
+def candidate_words(sample: DataFrame, share: float) -> np.ndarray:
+    """Hashes of the words and beginnings in ``sample`` (text, y) that could become telling ones, counted by documents on executors."""
+
     def run(batches):
         for b in batches:
             for part in pieces(b, "text"):
-                rows = view_rows(part)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary()), part.column("lang"), part.column("source")], ["doc_id", "words", "layout", "lang", "source"])
+                rows, y = view_rows(part), part.column("y").to_numpy()
+                words, at = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+                good = np.bincount(at, np.repeat(y, [len(r[0]) for r in rows]), len(words)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(good), pa.array(np.bincount(at, minlength=len(words)))], ["h", "good", "df"])
 
-    got = named.mapInArrow(run, "doc_id long, words binary, layout binary, lang string, source string").toArrow().to_pylist()
-    return sorted(((r["doc_id"], (np.frombuffer(r["words"], np.uint64), np.frombuffer(r["layout"]), r["lang"], r["source"])) for r in got), key=lambda x: (x[0], x[1][0].tobytes()))
+    counted = sample.select("text", "y").mapInArrow(run, "h long, good long, df long").groupBy("h").agg(F.sum("good").alias("good"), F.sum("df").alias("df")).where(F.col("df") >= MIN_DF)
+    # covering only lowers a word's own count; a quarter of the limit (half its root) leaves room for the shares to move
+    likely = counted.where(F.abs(F.col("good") - share * F.col("df")) >= 0.5 * F.sqrt(LEAST_G * share * (1 - share) * F.col("df")))
+    return np.sort(likely.select("h").toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL, rounds: int = ROUNDS) -> Model:
-    named = with_views(docs)
-    good = F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0))
-    usable = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(good.alias("y"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()  # bounded by max_labelled
-    spark = docs.sparkSession
-    known = {r[0]: r[1] for r in chosen}
-    ids = F.broadcast(spark.createDataFrame([(i,) for i in known], "doc_id long"))
-    sample = [(known[i], row) for i, row in _features(named.join(ids, "doc_id"))]
-    total = docs.select("doc_id").count()
-    every = max(1, total // max(max_pool, 1))
-    pool = [row for i, row in _features(named.where(F.pmod(F.xxhash64(F.col("doc_id") + 1), F.lit(every)) == 0).limit(2 * max_pool)) if i not in known]
-    turn = np.random.default_rng(5).permutation(len(sample))  # folds do not follow the ids
-    return Model([sample[i][1] for i in turn], np.array([sample[i][0] for i in turn], float), pool, rounds)
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Per document row: doc_id, p_text, p_meta, score (chance of being good), rejected."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+def seen_by(docs: DataFrame, words: np.ndarray, *extra: str) -> DataFrame:
+    """doc_id, words (indexes into ``words``), layout, lang, source of each row: all that the views see."""
+    held = docs.sparkSession.sparkContext.broadcast(words)  # words of the labelled sample, bounded by it
+    fields = {f.name: f for f in docs.schema}
 
     def run(batches):
+        words = held.value
         for b in batches:
             for part in pieces(b, "text"):
-                rows = [(*r, lang, source) for r, lang, source in zip(view_rows(part), part.column("lang").to_pylist(), part.column("source").to_pylist())]
-                p = held.value.score(rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, p), pa.array(p[2] < CUT)], ["doc_id", "p_text", "p_meta", "score", "rejected"])
+                rows = view_rows(part)
+                found = []
+                for r in rows:
+                    at = np.minimum(np.searchsorted(words, r[0]), max(len(words) - 1, 0))
+                    found.append(np.sort(at[words[at] == r[0]]).astype(np.int32) if len(words) else at[:0].astype(np.int32))
+                off = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(found) if found else [], pa.int32())), pa.array([list(r[1]) for r in rows], pa.list_(pa.float64())), part.column("lang"), part.column("source"), *(part.column(c) for c in extra)],
+                    ["doc_id", "words", "layout", "lang", "source", *extra],
+                )
+
+    return docs.mapInArrow(run, "doc_id long, words array<int>, layout array<double>, lang string, source string" + "".join(f", {c} {fields[c].dataType.simpleString()}" for c in extra))
 
-    return with_views(docs).mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, rejected boolean").withColumn("doc_id", real_id())
 
+def view_arrays(t) -> tuple[Ragged, np.ndarray, list, list]:
+    """(rows of words, layout matrix, lang, source) of an Arrow table or batch of ``seen_by``."""
+    if isinstance(t, pa.Table):
+        t = t.combine_chunks()
+    col = lambda n: t.column(n).combine_chunks() if isinstance(t, pa.Table) else t.column(t.schema.get_field_index(n))
+    words, layout = col("words"), col("layout")
+    sizes = np.diff(words.offsets.to_numpy())
+    return Ragged(words.flatten().to_numpy(), np.r_[0, np.cumsum(sizes)]), layout.flatten().to_numpy().reshape(-1, len(META)), col("lang").to_pylist(), col("source").to_pylist()
+
+
+def confident(seen: DataFrame, scorer: Scorer, used: np.ndarray, turn: int, take: int) -> pa.Table:
+    """The documents not in ``used`` that a view is most sure of: view, label and what the views see; at most ``take`` of each view and label."""
+    held = seen.sparkSession.sparkContext.broadcast((scorer, used))
+
+    def run(batches):
+        scorer, used = held.value
+        for b in batches:
+            words, layout, lang, source = view_arrays(b)
+            p = scorer.score(words, scorer.views.meta(layout, lang, source))[:2]
+            new = ~np.isin(b.column(0).to_numpy(), used)
+            sure = [pa.array(np.where(new & (x >= SURE), x, np.where(new & (x <= 1 - SURE), x, np.nan)), from_pandas=True) for x in p]
+            yield pa.RecordBatch.from_arrays([*b.columns, *sure], [*b.schema.names, "p0", "p1"])
+
+    scored = seen.mapInArrow(run, "doc_id long, words array<int>, layout array<double>, lang string, source string, p0 double, p1 double")
+    best = []
+    for view in (0, 1):
+        for label in (1, 0):
+            p = F.col(f"p{view}")
+            rank = p.desc() if label else p.asc()
+            mine = scored.where(p > 0.5 if label else p < 0.5).orderBy(rank, F.xxhash64("doc_id", F.lit(turn)), "doc_id").limit(take)
+            best.append(mine.select(F.lit(view).alias("view"), F.lit(label).alias("label"), "doc_id", "words", "layout", "lang", "source"))
+    return best[0].unionByName(best[1]).unionByName(best[2]).unionByName(best[3]).toArrow()
+
+
+def score_rows(seen: DataFrame, scorer: Scorer | None, share: float) -> DataFrame:
+    """Per row: doc_id, p_text, p_meta, score (chance of being good), rejected."""
+    held = seen.sparkSession.sparkContext.broadcast(scorer)  # bounded by the sample
 
-def classify(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
-    return score(docs, fit(docs, labels, **bounds))
+    def run(batches):
+        for b in batches:
+            if held.value is None:
+                p = (np.full(b.num_rows, share),) * 3
+            else:
+                words, layout, lang, source = view_arrays(b)
+                p = held.value.score(words, held.value.views.meta(layout, lang, source))
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, p), pa.array(p[2] < CUT)], ["doc_id", "p_text", "p_meta", "score", "rejected"])
+
+    return seen.mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, rejected boolean").withColumn("doc_id", real_id())
+
+
+def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, take: int = TAKE) -> DataFrame:
+    """Per document row: doc_id, p_text, p_meta, score (chance of being good), rejected."""
+    spark, named = docs.sparkSession, with_views(docs)
+    good = F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0))
+    usable = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(good.alias("y"))
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()  # bounded by max_labelled
+    known = F.broadcast(spark.createDataFrame([(r[0], r[1]) for r in chosen], "doc_id long, y int"))
+    sample = cut(named.join(known, "doc_id").dropDuplicates(["doc_id"]), "quality-sample")
+    count = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
+    total = sum(count.values())
+    share = count.get(1, 0) / total if total else 1.0
+    if min(count.get(0, 0), count.get(1, 0)) < 2:
+        return score_rows(seen_by(named, np.zeros(0, np.uint64)), None, share)
+    words = candidate_words(sample, share)
+    t = seen_by(sample, words, "y").toArrow().sort_by("doc_id")  # rows of candidates; their number is bounded by max_labelled
+    t = t.take(pa.array(np.random.default_rng(5).permutation(t.num_rows)))  # folds do not follow the ids
+    rows, layout, lang, source = view_arrays(t)
+    views = Views(layout, lang, source)
+    model = Model(rows, len(words), views, views.meta(layout, lang, source), t["y"].to_numpy().astype(float), min(FOLDS, count[0], count[1]))
+    # from here on only words that tell in some fold are looked for
+    tells = np.any(model.told, axis=0)
+    new_at = np.cumsum(tells) - 1
+    rows = rows.only(tells)
+    model.rows[0] = Ragged(new_at[rows.values], rows.off)
+    model.told, model.sizes[0] = [m[tells] for m in model.told], int(tells.sum())
+    seen = cut(seen_by(named, words[tells]), "quality-views")
+    used = t["doc_id"].to_numpy()
+    for turn in range(rounds):
+        model.fit()
+        sure = confident(seen, model.scorer(), used, turn, take)
+        if not sure.num_rows:
+            break
+        rows, layout, lang, source = view_arrays(sure)
+        view, label = sure["view"].to_numpy(), sure["label"].to_numpy().astype(float)
+        meta = views.meta(layout, lang, source)
+        for v in (0, 1):
+            at = np.flatnonzero(view == v)
+            model.learn(1 - v, rows.pick(at), meta[at], label[at])
+        used = np.unique(np.r_[used, sure["doc_id"].to_numpy()])
+    return score_rows(seen, model.fit().scorer(), share)
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """The rows of ``docs``, all columns, that the classifier keeps. A rejected id takes all its rows along."""
-    gone = classify(docs, labels, **bounds).where("rejected").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_gone")).distinct()
-    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == gone["_gone"], "left_anti")
+    return without(docs, classify(docs, labels, **bounds).where("rejected").select("doc_id"))

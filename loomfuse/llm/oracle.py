@@ -67,4 +67,21 @@ c AS (SELECT x AS doc_id, min(y) AS component FROM r GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
-ORACLE = {"op6_jaccard_join": OP6, "op2_decontaminate": OP2, "op3_substring_dedup": OP3, "op7_line_dedup": OP7, "op9_quality_rules": OP9}
+OP4 = """
+WITH base AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+both AS (SELECT 'x' AS r, * FROM base
+  UNION ALL SELECT 'y', page_id, url, CASE WHEN page_id % 100 = 3 THEN substr(html, 1, 20) || '?' || substr(html, 22) ELSE html END FROM base WHERE coalesce(page_id % 100 <> 7, true)
+  UNION ALL SELECT 'y', page_id, url, html || '<!-- again -->' FROM base WHERE page_id % 100 = 11),
+text AS (SELECT r, page_id, 'WARC/1.0' || nl || 'WARC-Type: response' || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl || 'WARC-Target-URI: ' || url || nl || 'Content-Length: ' || strlen(html) || nl || nl || html || nl || nl AS t
+  FROM both, (SELECT chr(13) || chr(10) AS nl)),
+rec AS (SELECT r, CAST(floor(page_id / 1000) AS BIGINT) AS file, page_id, sha256(t) AS digest, count(*) AS n, CAST(strlen(any_value(t)) AS BIGINT) AS len FROM text GROUP BY r, page_id, sha256(t)),
+laid AS (SELECT *, CAST(sum(n * len) OVER (PARTITION BY r, file ORDER BY page_id, digest) - n * len AS BIGINT) AS off FROM rec),
+x AS (SELECT * FROM laid WHERE r = 'x'), y AS (SELECT * FROM laid WHERE r = 'y'),
+only_x AS (SELECT *, row_number() OVER (PARTITION BY file, page_id ORDER BY digest) AS copy FROM (SELECT x.*, unnest(range(x.n - coalesce(y.n, 0))) AS i FROM x LEFT JOIN y USING (file, page_id, digest) WHERE x.n > coalesce(y.n, 0))),
+only_y AS (SELECT *, row_number() OVER (PARTITION BY file, page_id ORDER BY digest) AS copy FROM (SELECT y.*, unnest(range(y.n - coalesce(x.n, 0))) AS i FROM y LEFT JOIN x USING (file, page_id, digest) WHERE y.n > coalesce(x.n, 0)))
+SELECT coalesce(a.file, b.file) AS file, coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.copy, b.copy) AS copy, coalesce(a.off, b.off) AS "offset", coalesce(a.len, b.len) AS length, a.digest AS expected, b.digest AS found,
+  CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' ELSE 'changed' END AS status
+FROM only_x a FULL JOIN only_y b ON a.file = b.file AND a.page_id = b.page_id AND a.copy = b.copy
+"""
+
+ORACLE = {"op4_warc_audit": OP4, "op6_jaccard_join": OP6, "op2_decontaminate": OP2, "op3_substring_dedup": OP3, "op7_line_dedup": OP7, "op9_quality_rules": OP9}

@@ -96,6 +96,25 @@ def test_warc_round_trip_and_audit(spark):
     assert audit(to_records(a), to_records(none)).count() == len(rows)
 
 
+def test_warc_moved_records_large_ids_and_copies(spark):
+    from loomfuse.llm.warc import audit, to_records
+
+    schema = "page_id long, url string, html string, volume string, hash string"
+    ids = [-(2**63) + 1, -5000, -1, 0, 1, 2, 999, 1000, 2**62, 2**63 - 1]
+    rows = [(i, "u", f"page {i}", "v", "h") for i in ids] + [(7, "u", "same", "v", "h")] * 5 + [(None, "u", f"n{k % 3}", "v", "h") for k in range(9)]
+    a = spark.createDataFrame(rows, schema)
+    one = to_records(a).cache()
+    assert audit(one, one).count() == 0
+    # an offset table that says another place for one record; those after it lie where they did
+    two = one.withColumn("offset", F.when(F.col("page_id") == 1, F.col("offset") + 3).otherwise(F.col("offset")))
+    assert {(r.page_id, r.status) for r in audit(one, two).collect()} == {(1, "moved")}
+    # two of five copies gone, one record without id changed, one of the largest ids gone
+    left = rows[:-9] + [(None, "u", f"n{k % 3}" if k else "other", "v", "h") for k in range(9)]
+    left = [r for i, r in enumerate(left) if r[0] != 2**63 - 1 and not (r[0] == 7 and i % 5 in (1, 3))]
+    got = sorted(((r.page_id, r.copy, r.status, r.expected == r.found) for r in audit(one, to_records(spark.createDataFrame(left, schema))).collect()), key=repr)
+    assert got == sorted([(7, 1, "missing", False), (7, 2, "missing", False), (None, 1, "changed", False), (2**63 - 1, 1, "missing", False)], key=repr)
+
+
 def test_lm_base_score_and_gain(spark):
     from loomfuse.llm.lm_score import held_out, lm_score
 

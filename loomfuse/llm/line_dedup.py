@@ -6,11 +6,11 @@ points held by two documents or more keep their lines only in the document with
 State (``LineIndex``), all Parquet in the shared folder:
   docs     doc_id, keys          forward table: the distinct keys of each indexed document
   refs     shard, key, n, owner  exact reference counts and smallest holder
-  filters  shard, blob           a cuckoo filter of the shard's keys
+  filters  shard, blob           cuckoo filters of the shard's keys
 
-``insert`` asks a shard's filter first: a key that it denies is new and skips the exact look-up.
-``delete`` lowers the counts of the deleted documents' keys, takes keys without references out of the
-filter, and finds a new owner where the old one left; insert followed by delete restores the state.
+``insert`` asks a shard's filters first, without the exact table: a key that they deny is new and is appended; only keys that
+they do not deny are joined with the exact table. ``delete`` lowers the counts of the deleted documents' keys, takes keys without
+references out of the filters, and finds a new owner where the old one left; insert followed by delete restores the state.
 
 Null or empty text is one empty line. Short lines are never keys. Repeated rows are one document.
 """
@@ -21,10 +21,11 @@ import hashlib
 from array import array
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfuse.llm.common import cut, doc_key, norm_docs, real_id
+from loomfuse.llm.common import NO_ID, cut, doc_key, free_name, norm_docs, real_id
 
 MIN_CHARS = 10
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -41,7 +42,7 @@ def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
 
 
 class CuckooFilter:
-    """Buckets of four 16-bit fingerprints, with two candidate buckets for each key. A full filter doubles from the exact keys."""
+    """Buckets of four 16-bit fingerprints, with two candidate buckets for each key."""
 
     def __init__(self, slots: int = 1 << 10, keys=()):
         keys = list(keys)
@@ -72,15 +73,18 @@ class CuckooFilter:
                 if not self.cells[i]:
                     self.cells[i] = mark
                     return True
-        bucket, turn = one, 0
+        bucket, moved = one, []
         for turn in range(200):
             i = 4 * bucket + turn % 4
+            moved.append((i, self.cells[i]))
             mark, self.cells[i] = self.cells[i], mark
             bucket = self._other(bucket, mark)
             for i in range(4 * bucket, 4 * bucket + 4):
                 if not self.cells[i]:
                     self.cells[i] = mark
                     return True
+        for i, old in reversed(moved):  # no place: as before
+            self.cells[i] = old
         return False
 
     def delete(self, key: bytes) -> bool:
@@ -103,28 +107,24 @@ class CuckooFilter:
         return self
 
 
-class Shard:
-    """Exact counts of a shard's keys behind its filter."""
+class ShardFilter:
+    """The cuckoo filters of a shard: when one is full, another of twice its size takes the next keys."""
 
-    def __init__(self, rows=(), blob: bytes | None = None):
-        self.refs = {k: [n, owner] for k, n, owner in rows}
-        self.filter = CuckooFilter.frombytes(blob) if blob else CuckooFilter(keys=self.refs)
+    def __init__(self, blobs=()):
+        self.filters = [CuckooFilter.frombytes(b) for b in blobs] or [CuckooFilter()]
 
-    def add(self, key: bytes, n: int, owner: int) -> None:
-        if key in self.filter and (found := self.refs.get(key)):
-            found[0] += n
-            found[1] = min(found[1], owner)
-            return
-        self.refs[key] = [n, owner]
-        if not self.filter.insert(key):
-            self.filter = CuckooFilter(slots=8 * self.filter.n, keys=self.refs)
+    def __contains__(self, key: bytes) -> bool:
+        return any(key in f for f in self.filters)
+
+    def insert(self, key: bytes) -> None:
+        if not self.filters[-1].insert(key):
+            self.filters.append(CuckooFilter(slots=8 * self.filters[-1].n, keys=[key]))
+
+    def delete(self, key: bytes) -> None:
+        any(f.delete(key) for f in self.filters)
 
-    def drop(self, key: bytes, n: int) -> None:
-        if key in self.filter and (found := self.refs.get(key)):
-            found[0] -= n
-            if found[0] <= 0:
-                del self.refs[key]
-                self.filter.delete(key)
+    def blobs(self) -> list[bytes]:
+        return [f.tobytes() for f in self.filters]
 
 
 def forward(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -168,75 +168,97 @@ def combined(fwd: DataFrame, shards: int) -> DataFrame:
     return fwd.mapInArrow(run, "shard int, key binary, n long, owner long")
 
 
-STATE = "shard int, key binary, n long, owner long, blob binary"
+STATE = "shard int, key binary, n long, owner long, known boolean, blob binary"
 
 
 class LineIndex:
-    def __init__(self, spark: SparkSession, shards: int, min_chars: int = MIN_CHARS, docs: DataFrame | None = None, state: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, shards: int, min_chars: int = MIN_CHARS, docs: DataFrame | None = None, refs: DataFrame | None = None, filters: DataFrame | None = None, looked_up: DataFrame | None = None):
         self.spark, self.shards, self.min_chars = spark, shards, min_chars
         self.docs = docs if docs is not None else spark.createDataFrame([], "doc_id long, keys array<binary>")
-        self.state = state if state is not None else spark.createDataFrame([], STATE)
+        self.refs = refs if refs is not None else spark.createDataFrame([], "shard int, key binary, n long, owner long")
+        self.filters = filters if filters is not None else spark.createDataFrame([], "shard int, blob binary")
+        #: The keys that the last insertion had to look up in the exact table.
+        self.looked_up = looked_up
+        self.empty = refs is None
 
     @classmethod
     def create(cls, spark: SparkSession, rows: int, min_chars: int = MIN_CHARS, rows_per_shard: int = 20_000) -> LineIndex:
-        """An empty index. A shard's keys are held in memory by one task, so their number follows the expected rows."""
+        """An empty index. A task holds the filters of one shard, a few bytes a key."""
         return cls(spark, max(8, -(-rows // rows_per_shard)), min_chars)
 
-    @property
-    def refs(self) -> DataFrame:
-        return self.state.where("blob is null").select("shard", "key", "n", "owner")
-
-    def _apply(self, change: DataFrame) -> DataFrame:
-        """The state after adding (n > 0) or dropping (n < 0) references; owners of dropped keys are left as they are."""
-        # filters first, then what the index holds, then the change
-        held = self.state.where("blob is null").withColumn("turn", F.lit(1))
-        both = self.state.where("blob is not null").withColumn("turn", F.lit(0)).unionByName(held).unionByName(change.withColumn("blob", F.lit(None).cast("binary")).withColumn("turn", F.lit(2)))
+    def _probe(self, change: DataFrame, insert: bool) -> DataFrame:
+        """``change`` (shard, key, n, owner: one row a key) with known, what the filters said of each key, and rows of the filters (blob) with
+        these keys inserted or deleted. The exact table is not read."""
+        # a shard's filters first, then the keys
+        held = self.filters.select("shard", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("owner"), "blob", F.lit(0).alias("turn"))
+        both = held.unionByName(change.select("shard", "key", "n", "owner", F.lit(None).cast("binary").alias("blob"), F.lit(1).alias("turn")))
         both = both.repartition(self.shards, "shard").sortWithinPartitions("shard", "turn")
 
         def run(batches):
-            def done(number, shard):
-                keys = list(shard.refs)
-                m = len(keys)
-                for at in range(0, m, 50_000):
-                    part = keys[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(part), pa.int32()), pa.array(part, pa.binary()), pa.array([shard.refs[k][0] for k in part], pa.int64()), pa.array([shard.refs[k][1] for k in part], pa.int64()), pa.array([None] * len(part), pa.binary())], ["shard", "key", "n", "owner", "blob"])
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([shard.filter.tobytes()], pa.binary())], ["shard", "key", "n", "owner", "blob"])
-
-            number, shard, blob = None, None, None
+            names = ["shard", "key", "n", "owner", "known", "blob"]
+
+            def done(number, held):
+                blobs = held.blobs()
+                none = pa.nulls(len(blobs))
+                return pa.RecordBatch.from_arrays([pa.array([number] * len(blobs), pa.int32()), none.cast(pa.binary()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.bool_()), pa.array(blobs, pa.binary())], names)
+
+            number, blobs, held = None, [], None
             for b in batches:
-                for no, key, n, owner, bits, turn in zip(*(c.to_pylist() for c in b.columns)):
+                known = []
+                for no, key, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist()):
                     if no != number:
-                        if shard is not None:
-                            yield from done(number, shard)
-                        number, shard = no, Shard()
-                    if turn == 0:
-                        shard.filter = CuckooFilter.frombytes(bits)
-                    elif turn == 1:
-                        shard.refs[key] = [n, owner]
-                    elif n > 0:
-                        shard.add(key, n, owner)
-                    else:
-                        shard.drop(key, -n)
-            if shard is not None:
-                yield from done(number, shard)
-
-        return cut(both.select("shard", "key", "n", "owner", "blob", "turn").mapInArrow(run, STATE), "line-state")
+                        if number is not None:
+                            yield done(number, held or ShardFilter(blobs))
+                        number, blobs, held = no, [], None
+                    if key is None:
+                        blobs.append(bits)
+                        known.append(None)
+                        continue
+                    held = held or ShardFilter(blobs)
+                    known.append(key in held)
+                    if insert and not known[-1]:
+                        held.insert(key)
+                    elif not insert:
+                        held.delete(key)
+                out = pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(known, pa.bool_()), pa.nulls(b.num_rows, pa.binary())], names)
+                yield out.filter(pa.compute.is_valid(b.column(1)))
+            if number is not None:
+                yield done(number, held or ShardFilter(blobs))
+
+        return cut(both.select("shard", "key", "n", "owner", "blob", "turn").mapInArrow(run, STATE), "line-probed")
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with ``docs`` added; documents whose id it holds already are left as they are."""
-        fwd = cut(forward(docs, self.min_chars).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys")).join(self.docs.select("doc_id"), "doc_id", "left_anti"), "line-docs")
-        return LineIndex(self.spark, self.shards, self.min_chars, self.docs.unionByName(fwd), self._apply(combined(fwd, self.shards)))
+        fwd = forward(docs, self.min_chars).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+        fwd = cut(fwd if self.empty else fwd.join(self.docs.select("doc_id"), "doc_id", "left_anti"), "line-docs")
+        change = combined(fwd, self.shards).groupBy("shard", "key").agg(F.sum("n").alias("n"), F.min("owner").alias("owner"))
+        probed = self._probe(change, True)
+        filters = probed.where("blob is not null").select("shard", "blob")
+        # a key that its shard's filter denied is new; only the others are looked up in the exact table
+        new, maybe = (probed.where(c).select("shard", "key", "n", "owner") for c in ("not known", "known"))
+        if self.empty:
+            # an empty index has nothing to look up, so that a key known to the filter was taken for one of this batch
+            return LineIndex(self.spark, self.shards, self.min_chars, fwd, new.unionByName(maybe), filters, maybe.select("key").limit(0))
+        found = self.refs.join(maybe.select("key"), "key", "left_semi").select("key", F.col("n").alias("n_old"), F.col("owner").alias("owner_old"))
+        more = maybe.join(found, "key", "left").select("shard", "key", (F.col("n") + F.coalesce("n_old", F.lit(0))).alias("n"), F.least("owner", "owner_old").alias("owner"))
+        refs = self.refs.join(maybe.select("key"), "key", "left_anti").select("shard", "key", "n", "owner")
+        return LineIndex(self.spark, self.shards, self.min_chars, self.docs.unionByName(fwd), cut(refs.unionByName(new).unionByName(more), "line-refs"), filters, maybe.select("key"))
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """The index without the documents whose doc_id is in ``ids``."""
         ids = ids.select(doc_key().alias("doc_id")).distinct()
         gone = cut(self.docs.join(ids, "doc_id", "left_semi"), "line-gone")
         left = cut(self.docs.join(ids, "doc_id", "left_anti"), "line-docs")
-        state = self._apply(combined(gone, self.shards).withColumn("n", -F.col("n")))
-        lost = state.where("blob is null").join(ids.withColumnRenamed("doc_id", "owner"), "owner", "left_semi").select("key")
+        change = combined(gone, self.shards).groupBy("key").agg(F.sum("n").alias("less"))
+        refs = self.refs.join(change, "key", "left").select("shard", "key", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n"), "owner")
+        refs = cut(refs, "line-refs")
+        # keys that nobody holds leave the filters; where the owner left, the next document that holds the key follows
+        filters = self._probe(refs.where("n <= 0"), False).where("blob is not null").select("shard", "blob")
+        refs = refs.where("n > 0")
+        lost = refs.join(ids.withColumnRenamed("doc_id", "owner"), "owner", "left_semi").select("key")
         heirs = left.select("doc_id", F.explode("keys").alias("key")).join(lost, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("heir"))
-        state = cut(state.join(heirs, "key", "left").select("shard", "key", "n", F.coalesce("heir", "owner").alias("owner"), "blob"), "line-state")
-        return LineIndex(self.spark, self.shards, self.min_chars, left, state)
+        refs = cut(refs.join(heirs, "key", "left").select("shard", "key", "n", F.coalesce("heir", "owner").alias("owner")), "line-refs")
+        return LineIndex(self.spark, self.shards, self.min_chars, left, refs, filters)
 
     def drops(self) -> DataFrame:
         """doc_id, keys: the keys whose lines each document loses."""
@@ -269,24 +291,27 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The rows of ``docs``, all columns, with the lines left in ``text`` and their number of characters in ``n_chars``, if there is one."""
+    """The rows of ``docs``, all columns, with the lines left in ``text`` and their number of characters in ``n_chars``, if there is one.
+
+    Null texts stay null; other columns may have any names."""
     index = LineIndex.create(docs.sparkSession, docs.select("doc_id").count(), min_chars).insert(docs)
-    names = {c.lower(): c for c in docs.columns}
-    every = docs.withColumn("_id", doc_key()).join(index.drops().select(F.col("doc_id").alias("_gone_id"), F.col("keys").alias("_keys")), F.col("_id") == F.col("_gone_id"), "left")
-    schema = docs.schema
+    schema, names = docs.schema, {c.lower(): i for i, c in enumerate(docs.columns)}
+    here, there = free_name(docs, "keys"), free_name(docs, "id")
+    drops = index.drops().select(F.col("doc_id").alias(there), F.col("keys").alias(here))
+    every = docs.join(drops, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == drops[there], "left").drop(there)
 
     def run(batches):
+        at = names["text"]
         for b in batches:
-            at = b.schema.get_field_index(names["text"])
-            out = []
-            for text, keys in zip(b.column(at), b.column(b.schema.get_field_index("_keys"))):
-                gone = set(keys.as_py() or ())
+            keys, out = b.column(len(schema)), []
+            for text, gone in zip(b.column(at), keys):
+                gone = set(gone.as_py() or ())
                 out.append(b"\n".join(x for x in text.as_py().encode().split(b"\n") if line_key(x, min_chars) not in gone).decode() if gone and text.is_valid else text.as_py())
-            cols = [b.column(i) for i in range(len(schema))]
+            cols = list(b.columns[: len(schema)])
             cols[at] = pa.array(out, pa.string())
             if "n_chars" in names:
-                i = b.schema.get_field_index(names["n_chars"])
-                cols[i] = pa.array([len(t) if k.is_valid and t is not None else n for t, k, n in zip(out, b.column(b.schema.get_field_index("_keys")), b.column(i).to_pylist())], b.column(i).type)
-            yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema])
+                i = names["n_chars"]
+                cols[i] = pa.array([len(t) if k.is_valid and t is not None else n for t, k, n in zip(out, keys, b.column(i).to_pylist())], b.column(i).type)
+            yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return every.select(*docs.columns, "_keys").mapInArrow(run, schema)
+    return every.mapInArrow(run, schema)

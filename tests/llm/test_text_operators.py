@@ -122,10 +122,40 @@ def test_line_dedup_and_reversal(spark, rows):
     assert line_dedup(empty(spark)).count() == 0
 
 
+def test_line_filter_spares_look_ups(spark):
+    from loomfuse.llm.line_dedup import LineIndex, line_key
+
+    lines = [f"line number {k} of them" for k in range(400)]
+    rows = lambda first, ids: frame(spark, [(i, "\n".join(lines[first + 10 * k : first + 10 * k + 10]), "en", "s", 1, 0.0, None) for k, i in enumerate(ids)])
+    one = LineIndex.create(spark, 100).insert(rows(0, range(20)))  # 200 keys
+    both = one.insert(rows(150, range(100, 120)))  # 50 of them again, 150 new ones
+    asked = {bytes(r.key) for r in both.looked_up.collect()}
+    again = {line_key(x.encode()) for x in lines[150:200]}
+    assert again <= asked and len(asked) <= 55  # but for a few that the filter mistakes
+    count = {bytes(r.key): (r.n, r.owner) for r in both.refs.collect()}
+    assert len(count) == 350 and all(count[k] == (2, 15 + i // 10) for i, k in enumerate(line_key(x.encode()) for x in lines[150:200]))
+
+
+def test_documents_with_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    from loomfuse.llm.common import without
+    from loomfuse.llm.line_dedup import dedup_documents
+
+    df = frame(spark)
+    for c in ("_id", "_keys", "keys", "id", "gone", "_gone", "_gone_id"):
+        df = df.withColumn(c, F.lit(1))
+    out = dedup_documents(df)
+    assert out.columns == df.columns and out.count() == df.count() and out.where("id = 1 and keys = 1").count() == df.count()
+    assert out.where("doc_id is null").count() == 1
+    left = without(df, df.where("doc_id is null or doc_id = 0").select("doc_id"))
+    assert left.columns == df.columns and left.count() == df.count() - 2
+
+
 def test_cuckoo_filter():
     import os
 
-    from loomfuse.llm.line_dedup import CuckooFilter
+    from loomfuse.llm.line_dedup import CuckooFilter, ShardFilter
 
     keys = [os.urandom(16) for _ in range(3000)]
     f = CuckooFilter(keys=keys[:2000])
@@ -134,6 +164,18 @@ def test_cuckoo_filter():
         assert f.delete(k)
     assert all(k in f for k in keys[1000:2000]) and sum(k in f for k in keys[:1000]) < 5
     assert all(k in CuckooFilter.frombytes(f.tobytes()) for k in keys[1000:2000])
+    # a filter that is full refuses keys and keeps those it has
+    small = CuckooFilter(slots=64)
+    held = [k for k in keys if small.insert(k)]
+    assert 50 <= len(held) <= 64 and all(k in small for k in held)
+    shard = ShardFilter()
+    for k in keys:
+        shard.insert(k)
+    again = ShardFilter(shard.blobs())
+    assert len(again.filters) > 1 and all(k in again for k in keys)
+    for k in keys[:1500]:
+        again.delete(k)
+    assert all(k in again for k in keys[1500:]) and sum(k in again for k in keys[:1500]) < 10
 
 
 def shingle_sets(docs):

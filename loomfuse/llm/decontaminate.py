@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfuse.llm.common import cut, norm_docs, real_id
+from loomfuse.llm.common import cut, norm_docs, real_id, without
 
 WINDOW = 10
 #: Bytes of benchmark texts that one automaton may hold; more items go to further automata, each with a pass of its own.
@@ -133,7 +133,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         found = hits(norm_docs(docs, row), held[0], window)
     else:
         named = cut(norm_docs(docs, row), "decontaminate-rows")  # written, so that all passes see the same row numbers
-        found = reduce(DataFrame.unionByName, [hits(named, g, window) for g in chain(held, each)])
+        # one group at a time: its automaton is gone before the next is built
+        found = reduce(DataFrame.unionByName, [cut(hits(named, g, window), "decontaminate-hits") for g in chain(held, each)])
         # hit runs of a row are merged again below; the size of a group is bounded by the row's words
         found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
 
@@ -151,5 +152,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, all columns, without contaminated documents."""
-    bad = decontaminate(docs, benchmark, window).where("contaminated").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_bad")).distinct()
-    return docs.join(bad, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))) == bad["_bad"], "left_anti")
+    return without(docs, decontaminate(docs, benchmark, window).where("contaminated").select("doc_id"))

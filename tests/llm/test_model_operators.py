@@ -119,67 +119,102 @@ def test_lm_base_score_and_gain(spark):
     from loomfuse.llm.lm_score import held_out, lm_score
 
     rows = documents(3, 120)
-    got = {r.doc_id: r for r in lm_score(frame(spark, rows), rate=1, least=5).collect()}
-    low = {i: [w.lower() for w in (t or "").split()] for i, t in ((r[0], r[1]) for r in rows)}
-    held = {i: (zlib.crc32(str(i).encode()) if i is not None else 0) % 5 == 1 for i in low}
+    got = lm_score(frame(spark, rows), least=5).collect()
+    # some ids have several texts here: rows are compared, not ids
+    low = [(r[0], [w.translate({c: c + 32 for c in range(65, 91)}) for w in (r[1] or "").split()]) for r in rows]
+    held = [(zlib.crc32(str(i).encode()) if i is not None else 0) % 5 == 1 for i, _ in low]
     counts, n = {}, 0
-    for r in rows:
-        if not held[r[0]]:
-            for w in [*(x.lower() for x in (r[1] or "").split()), None]:
-                counts[w] = counts.get(w, 0) + 1
-                n += 1
-    for i, w in low.items():
-        base = sum(math.log10((counts.get(x, 0) + 0.5) / (n + 0.5 * (len(counts) + 1))) for x in [*w, None])
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w) + 1, sum(x in counts for x in [*w, None]), n)
-        assert abs(r.base_score - base) < 1e-6 * max(1, -base) and math.isfinite(r.score) and r.score < 0
+    for (_, w), h in zip(low, held):
+        for x in [] if h else [*w, None]:
+            counts[x] = counts.get(x, 0) + 1
+            n += 1
+    log = lambda x: math.log10((counts.get(x, 0) + 0.5) / (n + 0.5 * (len(counts) + 1)))
+    want = [(-1 if i is None else i, h, len(w) + 1, sum(x in counts for x in [*w, None]), n, round(sum(map(log, [*w, None])), 4)) for (i, w), h in zip(low, held)]
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == sorted(want)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
     assert held_out(7) == (zlib.crc32(b"7") % 5 == 1)
     assert lm_score(empty(spark), least=5).count() == 0
 
 
+def lm_window(L, r, size, n_words):
+    """A vocabulary, a model, and one window whose words are drawn from ``n_words`` with their tokens and frequencies."""
+    v = L.Vocabulary(r.integers(1, 50, L.IDS).astype(float), size)
+    m = L.Attention(v, r.integers(0, 9, (40, v.size)).astype(float)).ready()
+    token, often = r.integers(1, v.size, n_words), r.dirichlet(np.ones(n_words)).astype(np.float32)
+    words = np.r_[-1, r.integers(0, n_words, L.WIDE)][None]
+    x = np.where(words < 0, 0, token[words])
+    return v, m, token, often, x, words
+
+
 def test_lm_is_a_causal_distribution():
-    """Probabilities of the next token sum to one, and do not depend on later tokens."""
+    """Chances of the next word sum to one over all words, and do not depend on later ones."""
     from loomfuse.llm import lm_score as L
 
     r = np.random.default_rng(1)
-    v = L.Vocabulary(r.integers(0, 50, L.IDS).astype(float), np.zeros(L.IDS, bool), 30)
-    m = L.Attention(v, (r.integers(0, 9, (40, v.size)).astype(float),) * 2).ready()
-    x = r.integers(1, v.size, (1, L.WIDE + 1))
-    counted = np.full((1, L.WIDE), 1 / (v.size - 1))
-    total = 0.0
-    for t in range(1, v.size):
-        y = x.copy()
-        y[0, 41] = t
-        total += np.exp(m.forward(y, 0, counted)[0, 40])
-    assert abs(total - 1) < 1e-3
-    y = x.copy()
-    y[0, 50:] = 1
-    assert np.allclose(m.forward(x, 0, counted)[0, :49], m.forward(y, 0, counted)[0, :49], atol=1e-5)
-    tokens, off = r.integers(1, v.size, 300), np.array([0, 0, 200, 201, 300])
-    seen = [i for _, _, at in L.windows_of(tokens, off) for i in at[at >= 0].tolist()]
-    assert sorted(seen) == list(range(300))
-
-
-def test_lm_trains_on_every_token():
+    v, m, token, often, x, words = lm_window(L, r, 30, 25)
+    m.q *= 40  # scores far apart: some far below the largest
+    rest = np.full((1, L.WIDE), -3.0, np.float32)
+    for place in (0, 1, 40):
+        total = 0.0
+        for t in range(1, v.size):  # by experts: every token, the chances of all its spellings sum to one
+            y = x.copy()
+            y[0, place + 1] = t
+            w = words.copy()
+            w[0, place + 1] = 99
+            total += np.exp(m.forward(y, 0, w, np.zeros((1, L.WIDE), np.float32), rest * 0)[0, place])
+        for k in range(25):  # by frequency and copy: every word
+            y, w, o = x.copy(), words.copy(), np.zeros((1, L.WIDE), np.float32)
+            y[0, place + 1], w[0, place + 1], o[0, place] = token[k], k, often[k]
+            total += np.exp(m.forward(y, 0, w, o, rest * 0 - 1e9)[0, place])
+        assert abs(total - 1) < 1e-3, place
+    o = often[words[:, 1:]]
+    y, w = x.copy(), words.copy()
+    y[0, 50:], w[0, 50:] = 1, 3
+    assert np.allclose(m.forward(x, 0, words, o, rest)[0, :49], m.forward(y, 0, w, o, rest)[0, :49], atol=1e-5)
+
+
+def test_lm_gradients():
+    from loomfuse.llm import lm_score as L
+
+    r = np.random.default_rng(3)
+    v, m, token, often, x, words = lm_window(L, r, 20, 12)
+    args = (x, 0, words, often[words[:, 1:]], np.full((1, L.WIDE), -2.0, np.float32), np.arange(L.WIDE)[None] < 50)
+    _, d = m.gradients(*args)
+    for name in m.NAMES:
+        a = getattr(m, name)
+        at = np.unravel_index(np.argmax(np.abs(d[name])), a.shape)
+        old, loss = a[at], []
+        for step in (1e-2, -1e-2):
+            a[at] = old + step
+            loss.append(m.ready().gradients(*args)[0])
+        a[at] = old
+        m.ready()
+        assert abs((loss[0] - loss[1]) / 2e-2 - d[name][at]) < 0.05 * abs(d[name][at]) + 1e-4, name
+
+
+def test_lm_windows_take_every_word_once():
     from loomfuse.llm import lm_score as L
 
     r = np.random.default_rng(2)
     sizes = [1, 5, 0, L.WIDE, L.WIDE + 1, 3 * L.WIDE + 7] + [9] * 30
     off = np.r_[0, np.cumsum(sizes)]
-    counted = (np.arange(off[-1]) + 1).astype(np.float32)
-    seen = [c[m] for _, _, c, m in L.batches_of(r.integers(1, 20, off[-1]), off, counted, 32)]
-    assert sorted(np.concatenate(seen).tolist()) == counted.tolist()
+    n = int(off[-1])
+    t = L.Texts(r.integers(1, 20, n), r.integers(0, 50, n), r.random(n).astype(np.float32) / 50, -r.random(n).astype(np.float32), off)
+    for overlap in (True, False):
+        seen = [at[at >= 0] for _, at in t.batches(overlap, 32)]
+        assert sorted(np.concatenate(seen).tolist()) == list(range(n))
     # what stands at masked places does not matter
-    v = L.Vocabulary(r.integers(0, 50, L.IDS).astype(float), np.zeros(L.IDS, bool), 30)
-    m = L.Attention(v).ready()
-    x, first, c, mask = next(L.batches_of(r.integers(1, v.size, 9), np.array([0, 9]), np.full(9, 0.1, np.float32)))
-    y, d = x.copy(), c.copy()
-    y[:, 10:], d[~mask] = 7, 0.5
-    one, two = m.gradients(x, first, c, mask), m.gradients(y, first, d, mask)
+    m = L.Attention(L.Vocabulary(r.integers(0, 50, L.IDS).astype(float), 20)).ready()
+    short = L.Texts(t.token[:9], t.word[:9], t.often[:9], t.rest[:9], np.array([0, 9]))
+    x, first, words, often, rest, mask = next(short.training())
+    y, w, o, q = x.copy(), words.copy(), often.copy(), rest.copy()
+    y[:, 10:], w[:, 10:], o[~mask], q[~mask] = 7, 3, 0.5, -9
+    one, two = m.gradients(x, first, words, often, rest, mask), m.gradients(y, first, w, o, q, mask)
     assert mask.sum() == 9 and abs(one[0] - two[0]) < 1e-6 and all(np.allclose(one[1][k], two[1][k], atol=1e-6) for k in m.NAMES)
 
 
-def test_lm_keeps_all_trigrams(spark):
+def test_lm_spelling_counts_all_training_words(spark):
+    """Word counts and spellings that reach the chunks are those of brute force, and spellings are distributions."""
     from collections import Counter
 
     import pyarrow as pa
@@ -188,32 +223,63 @@ def test_lm_keeps_all_trigrams(spark):
     from loomfuse.llm.common import buffers, norm_docs
     from loomfuse.llm.tokens import WordTokens
 
-    rows = [(i, " ".join(f"{'ab' * (1 + i % 3)}{chr(97 + i % 26)}ing{chr(97 + k)}qz" for k in range(12)), "en", "s", 1, 0.0, None) for i in range(60)]
+    rows = documents(3, 60)
     docs = norm_docs(frame(spark, rows))
-    told = L.answer(L.ask(docs, 3), None, 3)
-    train = [t for i, t, *_ in rows if not L.held_out(i)]
-    tool = WordTokens(None, L.END)
-    ends = L.word_ends(tool)
-
-    def keys(texts):
-        ids, off = tool.encode(*buffers(pa.array(texts)))
-        begin = np.zeros(len(ids), bool)
-        begin[off[:-1]] = True
-        one, two = L.contexts(ids, begin, ends)
-        return (two << 32 | one << 16 | ids.astype(np.int64)).tolist()
-
-    want = Counter(keys(train))
-    summed, single = L.trigram_counts(told, len(train))
-    assert {r.v: r.n for r in summed.collect()} == want and single.sum() == sum(want.values())
-    vocab = L.Vocabulary(single, ends, 20)  # most ids are rare
-    got = L.chunk_trigrams(docs, summed, vocab, None).collect()
-    asked = {k for k in keys([r[1] for r in rows]) if k in want}
-    assert {r.v: r.n for r in got if r.rare is None} == {k: want[k] for k in asked}
-    total, rare = Counter(), Counter()
-    for k, n in want.items():
-        total[k >> 16] += n
-        rare[k >> 16] += n * (vocab.of[k & 0xFFFF] == 1)
-    assert {r.v: (r.n, r.rare) for r in got if r.rare is not None} == {k: (total[k], rare[k]) for k in {k >> 16 for k in keys([r[1] for r in rows])} if k in total}
+    asked = L.ask(docs, 3)
+    asked = spark.createDataFrame(asked.collect(), asked.schema)  # numbers of words are those of one run
+    known = L.lexicon(asked, None, 3)
+    texts = [(-(2**63) if i is None else i, (t or "").lower() if (t or "").isascii() else (t or "").translate({c: c + 32 for c in range(65, 91)})) for i, t, *_ in rows]
+    count = Counter(w for i, t in texts if not L.held_out(i) for w in t.split())
+    every = sorted({w for _, t in texts for w in t.split()})
+    data, off = buffers(pa.array(every))
+    ids, upto = WordTokens(None, None).encode(data, off)
+    words = L.Words(ids, upto)
+    three, two, later, begin = Counter(), Counter(), np.zeros(L.IDS), np.zeros(L.IDS)
+    for k, w in enumerate(every):
+        seq = words.ids[words.off[k] : words.off[k + 1]].tolist()
+        assert seq[-1] == L.STOP
+        begin[seq[0]] += count[w]
+        for p in range(1, len(seq)):
+            later[seq[p]] += count[w]
+            two[seq[p - 1], seq[p]] += count[w]
+            three[seq[p - 2] if p > 1 else L.BEFORE, seq[p - 1], seq[p]] += count[w]
+    total2, total3 = Counter(), Counter()
+    for (a, _), n in two.items():
+        total2[a] += n
+    for (a, b, _), n in three.items():
+        total3[a, b] += n
+    spelling, vocab = L.Spelling(later), L.Vocabulary(begin, 200)
+
+    def brute(k, less):
+        seq, out = words.ids[words.off[k] : words.off[k + 1]].tolist(), vocab.log_rare[words.ids[words.off[k]]]
+        for p in range(1, len(seq)):
+            q = (later[seq[p]] + 0.5) / (later.sum() + 0.5 * L.IDS)
+            for n, t in ((two[seq[p - 1], seq[p]], total2[seq[p - 1]]), (three[seq[p - 2] if p > 1 else L.BEFORE, seq[p - 1], seq[p]], total3[seq[p - 2] if p > 1 else L.BEFORE, seq[p - 1]])):
+                q = (n - less + L.SMOOTH * q) / (t - less + L.SMOOTH)
+            out += math.log(q)
+        return out
+
+    told = L.answers(known, L.gram_counts(known, 3), vocab, spelling, 3).collect()
+    place = {w: k for k, w in enumerate(every)}
+    seen = 0
+    for a in asked.where("bucket = -1").collect():
+        chunk = L.Chunk(a.blob, [r.blob for r in sorted((r for r in told if r.chunk == a.chunk), key=lambda r: r.bucket)], 1, 5)
+        of = dict(texts)
+        at = 0
+        for doc, size in zip(chunk.ids.tolist(), chunk.sizes.tolist()):
+            for i, w in zip(chunk.at[at : at + size].tolist(), of[doc].split()):
+                k = place[w]
+                assert chunk.count[i] == count[w] and chunk.token[i] == vocab.of[words.ids[words.off[k]]]
+                if seen % 7 == 0:
+                    assert abs(chunk.rest[i] - brute(k, 0)) < 1e-3 and abs(chunk.rest_less[i] - brute(k, min(count[w], 1))) < 1e-3
+                seen += 1
+            at += size
+    assert seen == sum(len(t.split()) for _, t in texts)
+    for a, b in [*list(total3)[:40], (7, 8), (L.BEFORE, 9)]:
+        ids = np.arange(L.IDS)
+        col = lambda c, *head: np.array([c[(*head, i)] for i in ids.tolist()], float)
+        p = spelling.prob(ids, (col(two, b), np.full(L.IDS, float(total2[b]))), (col(three, a, b), np.full(L.IDS, float(total3[a, b]))))
+        assert abs(p.sum() - 1) < 1e-9
 
 
 def test_secret_scan(spark):

@@ -8,8 +8,9 @@ Hamming distance is at most d. It is cut into B > d + 1 blocks of 64 bits, of wh
 (pigeonhole); so their d + 1 first blocks, in one order for all, have one in common, and only these are joined: blocks
 that many documents share (a common passage) or that hold few shingles come last in that order and are left out without losing a link.
 Sizes are banded; sizes within 10/9 of the next band are sketched for both. Equal blocks are joined as stars, never as
-pairs of a group, and every pair kept is verified on the sets. A group whose stars leave several components is
-settled in numpy, chunk by chunk: only members of different components are compared, by the sketches' Hamming distance, and a forest of the
+pairs of a group. Pairs are compared by the Hamming distance of folded sketches (blocks XORed to an eighth, so that it is a lower
+bound as well), and every pair that is left is verified on the sets. A group whose stars leave several components is
+settled in numpy, chunk by chunk: only members of different components are compared, by the folded sketches, and a forest of the
 pairs that may still link is verified; so no link between different texts is lost.
 
 Null or empty texts, and texts without words, have an empty set and no links. Equal sets always link. Repeated rows are one document.
@@ -30,10 +31,10 @@ from loomfuse.llm.common import NO_ID, buffers, cut, hash_spans, hash_windows, m
 from loomfuse.plans.components import connected_components
 
 SHINGLE, PERCENT = 3, 90
-#: Rows of blocks that a task combines at once; bytes of sketches of a group's members that are compared in one step.
-COMBINE, CHUNK = 1_000_000, 2 << 20
+#: Rows of blocks that a task combines at once; bytes of folded sketches of a group's members that are compared in one step.
+COMBINE, CHUNK = 1_000_000, 1 << 19
 #: Blocks whose order is set by how many documents share them; others are ordered by their hash. Only the speed depends on it.
-COMMON = 1 << 17
+COMMON = 1 << 18
 U = np.uint64
 
 
@@ -74,11 +75,53 @@ def sketch(members: np.ndarray, band: int, percent: int = PERCENT) -> np.ndarray
     return np.packbits((np.bincount(at, minlength=64 * blocks) & 1).astype(np.uint8)).view(U)
 
 
+def folded(blocks: np.ndarray) -> np.ndarray:
+    """An eighth of the blocks, eight at least: a parity sketch of the same set with fewer bits."""
+    width = max(8, -(-len(blocks) // 8))
+    if len(blocks) <= width:
+        return blocks
+    return np.bitwise_xor.reduce(np.r_[blocks, np.zeros(-len(blocks) % width, U)].reshape(-1, width), axis=0)
+
+
 def block_keys(blocks: np.ndarray, place: np.ndarray, band: np.ndarray) -> np.ndarray:
     where = place.astype(U) * U(0xD6E8FEB86659FD93) + band.astype(U) * U(0xA24BAED4963EE407)
     return mix(mix(blocks) ^ mix(where))
 
 
+class Drawn:
+    """The sketches of some sets, flat: the set of each, its keys, and how many keys lie before each."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
+        self.percent, self.n = percent, np.array([len(x) for x in sets], np.int64)
+        made = [(i, band, sketch(x, band, percent)) for i, x in enumerate(sets) if most_apart(len(x), percent) for band in layouts(len(x), percent)]
+        self.rows, bands_ = (np.array([m[i] for m in made], np.int64) for i in (0, 1))
+        self.blocks = [m[2] for m in made]
+        sizes = np.array([len(x) for x in self.blocks], np.int64)
+        flat = np.concatenate([*self.blocks, np.zeros(0, U)])
+        self.upto, self.bits = np.r_[0, np.cumsum(sizes)], np.bitwise_count(flat)
+        self.keys = block_keys(flat, ragged(np.zeros(len(sizes), np.int64), sizes), np.repeat(bands_, sizes))
+
+    def folds(self) -> list[list[bytes | None]]:
+        """Own and next folded sketch of each set, or None."""
+        out: list[list] = [[None] * len(self.n), [None] * len(self.n)]
+        for i, x in zip(self.rows.tolist(), self.blocks):
+            out[out[0][i] is not None][i] = folded(x).tobytes()
+        return out
+
+    def rarest(self, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, sets): of each sketch the d + 1 keys that come first in the order of all keys."""
+        if not len(self.keys):
+            return self.keys, self.rows
+        rank = np.zeros(len(self.keys), U)
+        if len(common[0]):
+            at = np.minimum(np.searchsorted(common[0], self.keys), len(common[0]) - 1)
+            rank = np.where(common[0][at] == self.keys, np.minimum(common[1][at], 65535), 0).astype(U)
+        part = np.repeat(np.arange(len(self.rows)), np.diff(self.upto))
+        order = np.lexsort(((rank << U(48)) | ((64 - self.bits).astype(U) << U(40)) | (mix(self.keys) >> U(24)), part))
+        wanted = (100 - self.percent) * self.n[self.rows] // self.percent + 1
+        return self.keys[order[ragged(self.upto[:-1], wanted)]], np.repeat(self.rows, wanted)
+
+
 def text_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
     """The set (sorted distinct hashes) of each text."""
     starts, ends, upto = spans(data, offsets)
@@ -103,96 +146,53 @@ def signature(members: np.ndarray) -> tuple[int, int]:
 
 
 def sketched(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, s1, s2 (size and signature of each row's set), own, next (sketches in its band and, if a partner can lie there,
-    in the next; null where only equal sets link)."""
-
-    def run(batches):
-        for b in batches:
-            for part in pieces(b, "text"):
-                sets = text_sets(*buffers(part.column(1)), k)
-                sig = [signature(s) for s in sets]
-                made = [[sketch(s, band, percent).tobytes() for band in layouts(len(s), percent)] if most_apart(len(s), percent) else [] for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in sig], pa.int64()), pa.array([x[1] for x in sig], pa.int64()), *(pa.array([m[i] if len(m) > i else None for m in made], pa.binary()) for i in (0, 1))],
-                    ["doc_id", "n", "s1", "s2", "own", "next"],
-                )
-
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, own binary, next binary")
-
-
-def keys_of(batch: pa.RecordBatch, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all blocks of a batch (doc_id, n, own, next) and the bits set in each, the row of each sketch's document, and how many keys lie
-    before each sketch."""
-    n = batch.column(1).to_numpy()
-    band = np.searchsorted(bands(percent), n, "right") - 1
-    sizes, rows, which, raw = [], [], [], []
-    for turn in (0, 1):
-        col = batch.column(2 + turn)
-        there = np.flatnonzero(col.is_valid().to_numpy(zero_copy_only=False))
-        texts = [x for x in col.to_pylist() if x is not None]
-        raw += texts
-        sizes += [len(x) // 8 for x in texts]
-        rows.append(there)
-        which.append(band[there] + turn)
-    sizes, rows, which = np.array(sizes, np.int64), np.concatenate(rows), np.concatenate(which)
-    blocks = np.frombuffer(b"".join(raw), U)
-    keys = block_keys(blocks, ragged(np.zeros(len(sizes), np.int64), sizes), np.repeat(which, sizes))
-    return keys, np.bitwise_count(blocks), rows, np.r_[0, np.cumsum(sizes)]
-
-
-def common_blocks(held: DataFrame, percent: int, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` keys that most documents share (sorted), and about how many these are."""
+    """doc_id, n, s1, s2 (size and signature of each row's set), own, next (folded sketches in its band and, if a partner can lie there,
+    in the next; null where only equal sets link); and, in rows with no n, key and times of block keys that a task saw twice or more."""
+    names = ["doc_id", "n", "s1", "s2", "own", "next", "key", "times"]
 
     def run(batches):
         seen, size = [], 0
 
         def flush():
             keys, n = np.unique(np.concatenate(seen), return_counts=True)
+            keys, n, none = keys[n > 1], n[n > 1], pa.nulls(int((n > 1).sum()))
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1])], ["key", "n"])
+            return pa.RecordBatch.from_arrays([*(none.cast(t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())), pa.array(keys.view(np.int64)), pa.array(n)], names)
 
         for b in batches:
-            for part in pieces(b, "own"):
-                keys = keys_of(part, percent)[0]
-                seen.append(keys)
-                size += len(keys)
+            for part in pieces(b, "text"):
+                sets = text_sets(*buffers(part.column(1)), k)
+                sig, drawn = [signature(s) for s in sets], Drawn(sets, percent)
+                seen.append(drawn.keys)
+                size += len(drawn.keys)
+                none = pa.nulls(len(sets), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(drawn.n), *(pa.array([x[i] for x in sig], pa.int64()) for i in (0, 1)), *(pa.array(f, pa.binary()) for f in drawn.folds()), none, none], names)
                 if size > COMBINE:
                     yield flush()
                     size = 0
         if size:
             yield flush()
 
-    told = held.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(most).toArrow()
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, own binary, next binary, key long, times long")
+
+
+def common_blocks(made: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` keys that most documents share (sorted), and about how many these are."""
+    told = made.where("n is null").groupBy("key").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "key").limit(most).toArrow()
     keys, n = told["key"].to_numpy().astype(np.int64).view(U), told["n"].to_numpy()
     order = np.argsort(keys)
     return keys[order], n[order]
 
 
-def rarest(batch: pa.RecordBatch, common: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, rows): of each sketch the d + 1 keys that come first in the order of all keys."""
-    keys, bits, rows, upto = keys_of(batch, percent)
-    if not len(keys):
-        return keys, rows
-    rank = np.zeros(len(keys), U)
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], keys), len(common[0]) - 1)
-        rank = np.where(common[0][at] == keys, np.minimum(common[1][at], 65535), 0).astype(U)
-    part = np.repeat(np.arange(len(rows)), np.diff(upto))
-    order = np.lexsort(((rank << U(48)) | ((64 - bits).astype(U) << U(40)) | (mix(keys) >> U(24)), part))
-    wanted = (100 - percent) * batch.column(1).to_numpy()[rows] // percent + 1
-    at = order[ragged(upto[:-1], wanted)]
-    return keys[at], np.repeat(rows, wanted)
-
-
-def stars(held: DataFrame, percent: int) -> DataFrame:
-    """key, a, b: for each block key with two documents or more, edges that connect all of them (a < b)."""
-    common = held.sparkSession.sparkContext.broadcast(common_blocks(held, percent))  # at most COMMON keys
+def stars(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
+    """key, a, b: for each block key with two documents or more, edges that connect all of them (a < b). Of equal sets a task takes one."""
+    held = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON keys
 
     def run(batches):
-        seen, size = [], 0
+        kept, size, known = [], 0, set()
 
         def flush():
-            keys, ids = (np.concatenate(x) for x in zip(*seen))
+            keys, ids = (np.concatenate(x) for x in zip(*kept))
             order = np.lexsort((ids, keys))
             keys, ids = keys[order], ids[order]
             head = np.r_[True, keys[1:] != keys[:-1]]
@@ -202,12 +202,20 @@ def stars(held: DataFrame, percent: int) -> DataFrame:
             yield out(keys[head], keys[head], ids[head], None)
             # edges found here need no place beside their key: they are dealt evenly
             yield out(mix((keys[same] + ids[same]).view(U)).view(np.int64), keys[same], lead[same], ids[same])
-            seen.clear()
+            kept.clear()
 
         for b in batches:
-            for part in pieces(b, "own"):
-                keys, rows = rarest(part, common.value, percent)
-                seen.append((keys.view(np.int64), part.column(0).to_numpy()[rows]))
+            for part in pieces(b, "text"):
+                sets, ids = text_sets(*buffers(part.column(1)), k), part.column(0).to_numpy()
+                new = []
+                for i, x in enumerate(sets):
+                    if (sig := signature(x)) not in known:
+                        new.append(i)
+                        known.add(sig)
+                if len(known) > COMBINE:
+                    known.clear()
+                keys, rows = Drawn([sets[i] for i in new], percent).rarest(held.value)
+                kept.append((keys.view(np.int64), ids[np.array(new, np.int64)[rows]]))
                 size += len(keys)
                 if size > COMBINE:
                     yield from flush()
@@ -215,13 +223,13 @@ def stars(held: DataFrame, percent: int) -> DataFrame:
         if size:
             yield from flush()
 
-    sent = held.select("doc_id", "n", "own", "next").mapInArrow(run, "part long, key long, a long, b long")
+    sent = docs.mapInArrow(run, "part long, key long, a long, b long")
     lead = F.min(F.when(F.col("b").isNull(), F.col("a"))).over(Window.partitionBy("part", "key"))
     return sent.withColumn("lead", lead).select("key", F.when(F.col("b").isNull(), F.col("lead")).otherwise(F.col("a")).alias("a"), F.coalesce("b", "a").alias("b")).where("a <> b")
 
 
 def near(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and sketches allow a link; the Hamming distance never exceeds the true difference."""
+    """The pairs whose sizes and folded sketches allow a link; the Hamming distance never exceeds the true difference."""
 
     def run(batches):
         for b in batches:
@@ -361,12 +369,15 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     """Per document row: doc_id, n_shingles, component_id, n_links (verified links kept for it, not all there are)."""
     named = norm_docs(docs)
     made = cut(sketched(named, k, percent), "jaccard-sets")
-    sets = made.where("n > 0").select("doc_id", "n", "s1", "s2").distinct()
+    rows = made.where("n is not null").select("doc_id", "n", "s1", "s2")
+    sets = rows.where("n > 0").distinct()
     heads = sets.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("head"))
     of = cut(sets.join(heads, ["n", "s1", "s2"]), "jaccard-classes")
     firsts = of.where("doc_id = head").select("doc_id", "n", "s1", "s2")
     held = cut(made.where("own is not null").join(firsts, ["doc_id", "n", "s1", "s2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "own", "next"), "jaccard-held")
-    star = cut(stars(held, percent).distinct(), "jaccard-stars")
+    at = lambda c: of.select(F.col("doc_id").alias(c), F.col("head").alias(f"head_{c}"))
+    star = stars(named, common_blocks(made, COMMON), k, percent).join(at("a"), "a").join(at("b"), "b")
+    star = cut(star.select("key", F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")).where("a <> b").distinct(), "jaccard-stars")
     tell = lambda pairs: cut(verified(cut(near(pairs, held, percent), "jaccard-near"), named, k, percent), "jaccard-told")
     told = tell(star.select("a", "b").distinct())
     links, refuted = (told.where(c).select("a", "b") for c in ("link", "not link"))
@@ -392,7 +403,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
             labels = cut(merged(labels, new), "jaccard-labels")
     degree = links.select(F.col("a").alias("head")).union(links.select(F.col("b").alias("head"))).groupBy("head").agg(F.count("*").alias("n_links"))
     tied = of.join(labels.withColumnRenamed("u", "head"), "head", "left").join(degree, "head", "left").select("doc_id", "n", "s1", "s2", F.coalesce("label", "head").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    out = made.select("doc_id", "n", "s1", "s2").join(tied, ["doc_id", "n", "s1", "s2"], "left")
+    out = rows.join(tied, ["doc_id", "n", "s1", "s2"], "left")
     return out.select(real_id(), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "doc_id"), F.lit(NO_ID)).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 

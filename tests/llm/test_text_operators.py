@@ -224,7 +224,6 @@ def test_jaccard(spark, rows, chunk, monkeypatch):
 def test_jaccard_rarest_blocks_meet():
     """Linked sets share one of the blocks that are joined, whatever blocks count as common."""
     import numpy as np
-    import pyarrow as pa
 
     from loomfuse.llm import jaccard_join as J
 
@@ -238,12 +237,16 @@ def test_jaccard_rarest_blocks_meet():
             both = len(np.intersect1d(base, other))
             if 100 * both < percent * (len(base) + len(other) - both):
                 continue
-            rows = [(i, len(x), *([J.sketch(x, b, percent).tobytes() for b in J.layouts(len(x), percent)] + [None])[:2]) for i, x in enumerate((base, other))]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["doc_id", "n", "own", "next"])
-            some = np.unique(J.keys_of(batch, percent)[0])[::2]
+            drawn = J.Drawn([base, other], percent)
+            some = np.unique(drawn.keys)[::2]
             for common in ((some[:0], np.zeros(0, np.int64)), (some, r.integers(2, 9, len(some)))):
-                keys, of = J.rarest(batch, common, percent)
+                keys, of = drawn.rarest(common)
                 assert set(keys[of == 0].tolist()) & set(keys[of == 1].tolist()), (percent, n)
+            # a folded sketch differs in no more bits than the sets do
+            one, two = sorted((base, other), key=len)
+            band = J.own_band(len(two), percent)
+            x, y = (J.folded(J.sketch(z, band, percent)) for z in (one, two))
+            assert np.bitwise_count(x ^ y).sum() <= len(base) + len(other) - 2 * both
 
 
 def test_jaccard_settle_finds_a_forest():
@@ -255,7 +258,7 @@ def test_jaccard_settle_finds_a_forest():
     base = r.integers(0, 2**63, 200).astype(np.uint64)
     sets = [np.r_[base[: 200 - k], r.integers(0, 2**63, k).astype(np.uint64)] for k in (0, 5, 10, 10, 100, 100)]
     sizes, ids = np.array([len(x) for x in sets]), np.arange(6) * 3
-    drawn = [[(J.sketch(x, J.layouts(len(x))[t]).tobytes() if t < len(J.layouts(len(x))) else None) for x in sets] for t in (0, 1)]
+    drawn = J.Drawn(sets).folds()
     none, one = [set() for _ in sets], np.zeros(6, np.int64)
     got = J.settle(ids, ids, sizes, drawn, none, one, 90)
     assert len(got) == 3 and {x for p in got for x in p} == {0, 3, 6, 9}  # the two far ones link with nobody

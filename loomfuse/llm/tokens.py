@@ -110,3 +110,8 @@ def word_tokens(path: str | None = None, end: int | None = 2) -> WordTokens:
         _MADE.clear()
         _MADE[path, end] = WordTokens(path, end)
     return _MADE[path, end]
+
+
+def release_tools() -> None:
+    """Drop the process's tokenizer and its cache."""
+    _MADE.clear()

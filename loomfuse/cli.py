@@ -1,4 +1,4 @@
-"""Command line: ``python -m loomfuse.cli -s [TYPE=]PATH … [-c CONFIG] [-o OUT] [--no-validate] [--canonical] [--keywords TEXT] [-q]``."""
+"""Command line: ``python -m loomfuse.cli -s [TYPE=]PATH … [-c CONFIG] [-o OUT | --lines FOLDER] [--no-validate] [--canonical] [--keywords TEXT] [-q]``."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ import json
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from loomfuse.operators.ranking import rank
 from loomfuse.plans.config import OutputConfig
-from loomfuse.plans.pipeline import Source, run
+from loomfuse.plans.pipeline import Source, run, write_outputs
 from loomfuse.sources.readers import READERS
 
 
@@ -25,6 +26,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("-s", "--source", action="append", default=[], metavar="[TYPE=]PATH")
     parser.add_argument("-c", "--config")
     parser.add_argument("-o", "--out")
+    parser.add_argument("--lines", metavar="FOLDER", help="write JSON lines by Spark instead of one document")
     parser.add_argument("--no-validate", action="store_true")
     parser.add_argument("-q", "--quiet", action="store_true")
     parser.add_argument("--canonical", action="store_true", help="wrap the output with full profiles and warnings")
@@ -39,7 +41,10 @@ def main(argv: list[str] | None = None) -> int:
     outputs = done.outputs
     if args.keywords:
         order = rank(done.profiles, args.keywords).select("cluster", "match_fraction", "overall_confidence")
-        outputs = outputs.join(order, "cluster").orderBy("match_fraction", "overall_confidence", ascending=False)
+        outputs = outputs.join(order, "cluster").orderBy(F.desc("match_fraction"), F.coalesce("overall_confidence", F.lit(0.0)).desc(), "candidate_id", "cluster")
+    if args.lines:
+        write_outputs(outputs, args.lines)
+        return 0
     rows = [json.loads(r["json"]) for r in outputs.select("json").toLocalIterator()]
     warnings = [f"{r['source']}: {r['message']}" for r in done.warnings.toLocalIterator()]
     body = {"candidates": rows, "_canonical": [r.asDict(True) for r in done.profiles.drop("cluster").toLocalIterator()], "warnings": warnings} if args.canonical else rows

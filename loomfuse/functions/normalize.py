@@ -8,7 +8,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from loomfuse.functions import rules as R
-from loomfuse.functions.text import blank_to_null, clean, col, first_match, lookup, squash, strip
+from loomfuse.functions.text import blank_to_null, clean, col, first_match, let, lookup, squash, strip
 
 
 def email(c: Column | str) -> Column:
@@ -35,23 +35,19 @@ def phone(c: Column | str, region: Column | str) -> Column:
 
 
 def month(c: Column | str) -> Column:
-    """``YYYY-MM``; null for words that mean now."""
-    s = F.lower(strip(col(c).cast("string")))
-    number = lookup({k: f"{v:02d}" for k, v in R.MONTHS.items()}, F.regexp_extract(s, r"^([a-z]+)\.?\s+\d{4}$", 1))
-    two = lambda n: F.lpad(n, 2, "0")
-    valid = lambda n: n.cast("int").between(1, 12)
-    a, b = F.regexp_extract(s, r"^(\d{4})[-/.](\d{1,2})$", 1), F.regexp_extract(s, r"^(\d{4})[-/.](\d{1,2})$", 2)
-    m, y = F.regexp_extract(s, r"^(\d{1,2})[-/](\d{4})$", 1), F.regexp_extract(s, r"^(\d{1,2})[-/](\d{4})$", 2)
-    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}(?:.\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?(?:z|[+-]\d{2}(?::?\d{2})?)?)?$") & F.try_to_timestamp(F.substring(s, 1, 10), F.lit("yyyy-MM-dd")).isNotNull(), F.substring(s, 1, 7))
-    return F.when(
-        ~s.isin(*R.PRESENT, ""),
-        F.coalesce(
-            F.when(number.isNotNull(), F.concat(F.regexp_extract(s, r"(\d{4})$", 1), F.lit("-"), number)),
-            F.when(F.nullif(b, F.lit("")).isNotNull() & valid(F.nullif(b, F.lit(""))), F.concat(a, F.lit("-"), two(b))),
-            F.when(F.nullif(m, F.lit("")).isNotNull() & valid(F.nullif(m, F.lit(""))), F.concat(y, F.lit("-"), two(m))),
-            F.when(s.rlike(r"^\d{4}$"), F.concat(s, F.lit("-01"))), iso,
-        ),
-    )
+    """``YYYY-MM``; null for words that mean now. The cleaned text is computed once, and each shape has one pattern."""
+    iso = r"^\d{4}-\d{2}-\d{2}(?:.\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?(?:z|[+-]\d{2}(?::?\d{2})?)?)?$"
+    joined = lambda y, m: let(F.lpad(m, 2, "0"), lambda x: F.when(x.between("01", "12"), F.concat(y, F.lit("-"), x)))
+
+    def shapes(s: Column) -> Column:
+        named = let(lookup({k: f"{v:02d}" for k, v in R.MONTHS.items()}, F.regexp_extract(s, "^[a-z]+", 0)), lambda x: F.concat(F.right(s, F.lit(4)), F.lit("-"), x))
+        return (
+            F.when(s.isin(*R.PRESENT, ""), None).when(s.rlike(r"^\d{4}$"), F.concat(s, F.lit("-01"))).when(s.rlike(r"^\d{4}[-/.]\d{1,2}$"), joined(F.left(s, F.lit(4)), F.substring(s, 6, 2)))
+            .when(s.rlike(r"^\d{1,2}[-/]\d{4}$"), joined(F.right(s, F.lit(4)), F.substring_index(F.substring_index(s, "/", 1), "-", 1))).when(s.rlike(r"^[a-z]+\.?\s+\d{4}$"), named)
+            .when(s.rlike(iso) & F.try_to_timestamp(F.left(s, F.lit(10)), F.lit("yyyy-MM-dd")).isNotNull(), F.left(s, F.lit(7)))
+        )
+
+    return let(F.lower(strip(col(c).cast("string"))), shapes)
 
 
 def year(c: Column | str) -> Column:

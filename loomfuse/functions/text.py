@@ -57,3 +57,8 @@ def lookup(pairs: dict, key: Column) -> Column:
 
 def no_strings() -> Column:
     return F.array().cast("array<string>")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

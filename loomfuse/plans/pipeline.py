@@ -85,8 +85,8 @@ def _pasted(spark: SparkSession) -> str:
 
 
 def build_profiles(raw: DataFrame, default_region: str = "US") -> DataFrame:
-    """Profiles of RAW rows, one a cluster."""
-    return merge_clusters(clusters(_cut(normalize_records(raw, default_region))))
+    """Profiles of RAW rows, one a cluster. Records with their clusters are written, as three aggregations read them."""
+    return merge_clusters(_cut(clusters(_cut(normalize_records(raw, default_region)))))
 
 
 def shape(profiles: DataFrame, config: OutputConfig | None = None, validate: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -114,3 +114,8 @@ def run(spark: SparkSession, sources: list[Source | str], config: OutputConfig |
     return Result(outputs.orderBy(*order), profiles.orderBy(*order), warnings.unionByName(bad))
 
 
+
+
+def write_outputs(outputs: DataFrame, path: str) -> None:
+    """The outputs as JSON lines, by Spark's own writer: nothing passes through the driver."""
+    outputs.select("json").write.mode("overwrite").text(path)

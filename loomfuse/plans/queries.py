@@ -4,22 +4,24 @@ The tables hold no person records, so each query builds an operator's input from
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfuse.functions import normalize as N
 from loomfuse.functions import rules as R
-from loomfuse.functions.confidence import field_weight, mean_times, method, noisy_or, priority
-from loomfuse.functions.text import distinct_present, round4, strip
+from loomfuse.functions.confidence import field_weight, mean_times, method
+from loomfuse.functions.text import distinct_present, round4
 from loomfuse.operators import identity, profiles, ranking
 from loomfuse.operators.projection import project, render
 from loomfuse.operators.records import normalize_records
-from loomfuse.operators.validation import config_errors, default_errors
-from loomfuse.plans.components import connected_components
+from loomfuse.operators.validation import config_errors
+from loomfuse.plans.components import connected_components, shared_dir
 from loomfuse.plans.config import OutputConfig
-from loomfuse.plans.pipeline import build_profiles
+from loomfuse.plans.pipeline import Source, build_profiles, extract_all, shape, write_outputs
 from loomfuse.sources import readers
-from loomfuse.sources.schemas import RAW, as_raw
+from loomfuse.sources.schemas import as_raw
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,17 +163,19 @@ def noisy_or_multi_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.evidence(_claims(spark, sf_dir)).select("cluster", "value", "conf", "source", F.concat_ws(",", "sources").alias("sources"))
 
 
-@query(f"WITH {_EVIDENCE} SELECT cluster, value, conf, {_SOURCES}[best + 1] AS source FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY conf DESC, best, value) AS rn FROM ev) WHERE rn = 1")
+@query(f"WITH {_EVIDENCE} SELECT 's' || cluster || '@example.com' AS email, value AS headline, {_SOURCES}[best + 1] AS source FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY conf DESC, best, value) AS rn FROM ev) WHERE rn = 1")
 def scalar_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = profiles.evidence(_claims(spark, sf_dir))
-    best = F.min_by(F.struct("value", "conf", "source"), F.struct(-F.col("conf"), "prio", "value")).alias("x")
-    return ev.groupBy("cluster").agg(best).select("cluster", "x.value", "x.conf", "x.source")
+    """The headline that profiles choose among those of four sources, and whose it is."""
+    source = F.get(F.array(*map(F.lit, R.SOURCE_TRUST)), (F.col("o_orderkey") % 4).cast("int"))
+    raw = _t(spark, sf_dir, "orders").select(F.lit(0).alias("spec_idx"), F.col("o_orderkey").alias("pos"), source.alias("source"), F.array(F.concat(F.lit("s"), F.col("o_custkey").cast("string"), F.lit("@example.com"))).alias("emails"), F.col("o_orderpriority").alias("headline"))
+    told = F.get(F.filter("provenance", lambda p: p["field"] == "headline"), F.lit(0))["source"]
+    return build_profiles(as_raw(raw)).select(F.get("emails", F.lit(0)).alias("email"), "headline", told.alias("source"))
 
 
 @query(f"""SELECT s AS source, f AS field, w, m FROM (SELECT unnest({_SOURCES}) AS s, unnest([0.9, 0.85, 0.76, 0.35]::DOUBLE[]) AS w, 'emails' AS f, unnest(['direct+x', 'remapped+x', 'extracted+x', 'extracted+x']) AS m)""")
 def trust_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("source")
-    df = _t(spark, sf_dir, "region").limit(0).select(F.lit("").alias("source")).unionByName(spark.createDataFrame([(k,) for k in R.SOURCE_TRUST], "source string"))
+    df = spark.createDataFrame([(k,) for k in R.SOURCE_TRUST], "source string")
     return df.select("source", F.lit("emails").alias("field"), field_weight(s, "emails").alias("w"), method(s, "x").alias("m"))
 
 
@@ -204,14 +208,14 @@ def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PEOPLE = """p AS (SELECT 0 AS spec, c_custkey AS pos, 'Customer ' || c_custkey AS name, 'p' || c_nationkey || '.' || c_custkey % 40 || '@example.com' AS mail, 0.9::DOUBLE AS w FROM customer UNION ALL SELECT 1, s_suppkey, 'Supplier ' || s_suppkey, 'p' || s_nationkey || '.' || s_suppkey % 40 || '@example.com', 0.85::DOUBLE FROM supplier)"""
 
 
-@query(f"""WITH {_PEOPLE}, g AS (SELECT mail, count(*) FILTER (spec = 0) AS c, count(*) FILTER (spec = 1) AS s FROM p GROUP BY mail)
-SELECT mail AS email, 'cand_' || substr(sha1(mail), 1, 10) AS candidate_id, CASE WHEN c > 0 THEN 'IN' ELSE 'ES' END AS any_country, c + s AS names FROM g""")
+_LAND = "CASE WHEN c > 0 AND CAST(printf('%.4f', 1.0 - pow(0.145, c)) AS DOUBLE) >= CAST(printf('%.4f', 1.0 - pow(0.1925, s)) AS DOUBLE) THEN 'IN' ELSE 'ES' END"
+
+
+@query(f"""WITH {_PEOPLE}, g AS (SELECT mail, count(*) FILTER (spec = 0) AS c, count(*) FILTER (spec = 1) AS s, min(name) FILTER (spec = 0) AS cn, min(name) FILTER (spec = 1) AS sn FROM p GROUP BY mail)
+SELECT mail AS email, 'cand_' || substr(sha1(mail), 1, 10) AS candidate_id, coalesce(cn, sn) AS full_name, {_LAND} AS country, CASE WHEN {_LAND} = 'IN' THEN 'Bengaluru' ELSE 'Madrid' END AS city FROM g""")
 def profile_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole engine over records of two sources: normalize, resolve, merge."""
-    raw = _people(spark, sf_dir)
-    found = build_profiles(raw)
-    n = identity.clusters(normalize_records(raw)).groupBy("cluster").agg(F.count("*").alias("names"), F.max(F.col("source") == "recruiter_csv").alias("csv"))
-    return found.join(n, "cluster").select(F.get("emails", F.lit(0)).alias("email"), "candidate_id", F.when(F.col("csv"), "IN").otherwise("ES").alias("any_country"), "names")
+    return build_profiles(_people(spark, sf_dir)).select(F.get("emails", F.lit(0)).alias("email"), "candidate_id", "full_name", F.col("location.country").alias("country"), F.col("location.city").alias("city"))
 
 
 _CONFIG = {"fields": [{"path": "who.mail", "from": "emails[0]", "type": "string", "required": True}, {"path": "country", "from": "location.country", "normalize": "iso3166", "type": "string"}, {"path": "sites", "from": "links.other", "on_missing": "omit"}, {"path": "first_skill", "from": "skills[0].name"}], "include_confidence": False, "include_provenance": False}
@@ -229,7 +233,7 @@ def project_config_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyword_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = ranking.parse_keywords("The, MIT  License;der\nthe")
     text = F.lower("text")
-    hits = sum((F.when(ranking.bounded(text, w.lower()), 1).otherwise(0) for w in words), F.lit(0))
+    hits = sum((F.when(ranking.keyword_hit(w, text, F.array(F.lit("no skill"))), 1).otherwise(0) for w in words), F.lit(0))
     df = _t(spark, sf_dir, "documents").select("doc_id", hits.cast("long").alias("hits"))
     return df.select("doc_id", "hits", ranking.blend(F.lit(0.5), F.col("hits") / F.lit(3.0)).alias("score"))
 
@@ -245,4 +249,220 @@ def ordered_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("user_id", F.concat_ws(",", distinct_present("ks")).alias("kinds"), "n")
 
 
-_USED = (priority, noisy_or, strip, default_errors, RAW)
+# ---- readers and what follows them ----------------------------------------------------------------------
+
+
+def _letters(key: str) -> Column:
+    """A word of letters for a number, as names have no digits."""
+    return F.translate(F.col(key).cast("string"), "0123456789", "abcdefghij")
+
+
+_L = "translate(CAST({} AS VARCHAR), '0123456789', 'abcdefghij')"
+
+
+@query("""SELECT CAST(c_custkey AS BIGINT) AS k, 'Customer ' || c_custkey AS full_name, 'c' || c_custkey || '@example.com' AS email, '+1 415 555 ' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'Firm, ' || c_nationkey END AS company, c_mktsegment AS title, 'recruiter_csv' AS source FROM customer WHERE c_custkey % 5 <> 0
+  UNION ALL SELECT c_custkey, NULL, 'c' || c_custkey || '@example.com', NULL, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'Firm, ' || c_nationkey END, c_mktsegment, 'recruiter_csv' FROM customer WHERE c_custkey % 5 = 0""")
+def delimited_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as a delimited export with other header spellings and blank cells, and read back."""
+    k = F.col("c_custkey")
+    named = k % 5 != 0
+    sheet = _t(spark, sf_dir, "customer").select(
+        F.when(named, F.concat(F.lit("Customer "), k.cast("string"))).alias("Candidate Name"), F.concat(F.lit("c"), k.cast("string"), F.lit("@example.com")).alias("E-Mail"), F.when(named, F.concat(F.lit("+1 415 555 "), F.lpad((k % 10000).cast("string"), 4, "0"))).otherwise("  ").alias("Mobile"),
+        F.when(k % 3 != 0, F.concat(F.lit("Firm, "), F.col("c_nationkey").cast("string"))).alias("Employer"), F.col("c_mktsegment").alias("Role"), F.lit("x").alias("Unknown column"),
+    )
+    folder = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}.csv"
+    sheet.write.option("header", True).csv(folder)
+    got = readers.READERS[readers.detect_type("export.CSV")](spark, folder)
+    job = F.get("experience", F.lit(0))
+    number = F.regexp_extract(F.get("emails", F.lit(0)), r"\d+", 0).cast("long")
+    return got.select(number.alias("k"), "full_name", F.get("emails", F.lit(0)).alias("email"), F.get("phones", F.lit(0)).alias("phone"), job["company"].alias("company"), job["title"].alias("title"), "source")
+
+
+@query(f"""SELECT CAST(c_custkey AS BIGINT) AS k, 'Customer ' || c_custkey AS full_name, CASE WHEN c_custkey % 2 = 0 THEN 'a' || c_custkey || '@x.com,b' || c_custkey || '@x.com' ELSE 'a' || c_custkey || '@x.com' END AS emails, c_mktsegment AS city, CASE WHEN c_custkey % 3 = 0 THEN 'https://github.com/u' || c_custkey ELSE 'http://github.com/u' || c_custkey END AS github,
+  CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey % 30 AS DOUBLE) END AS years_num, CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey % 30) || ' years' END AS years_txt, CASE WHEN c_custkey % 7 = 0 THEN 'Python' ELSE 'Python,k8s' END AS skills, 'Firm ' || c_nationkey || '/Engineer/2019-0' || (c_custkey % 9 + 1) AS job, 'School ' || c_nationkey || '/B.Sc/20' || lpad(CAST(c_custkey % 20 AS VARCHAR), 2, '0') AS course FROM customer""")
+def json_export_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports of nested JSON, one a nation, that wrap applicants under other names and spell keys, lists and links in other ways."""
+    k, text = F.col("c_custkey"), lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    n = k.cast("string")
+    contact = F.struct(F.when(k % 2 == 0, text("a", n, "@x.com")).alias("primaryEmail"), F.when(k % 2 == 1, text("a", n, "@x.com")).alias("email"), F.when(k % 2 == 0, text("b", n, "@x.com")).alias("altEmail"))
+    social = F.struct(F.when(k % 3 == 0, text("u", n)).alias("githubHandle"), F.when(k % 3 != 0, text("http://github.com/u", n)).alias("githubUrl"))
+    job = F.struct(text("Firm ", F.col("c_nationkey").cast("string")).alias("employer"), F.lit("Engineer").alias("designation"), text("2019-0", (k % 9 + 1).cast("string")).alias("from"))
+    course = F.struct(text("School ", F.col("c_nationkey").cast("string")).alias("school"), F.lit("B.Sc").alias("qualification"), (F.lit(2000) + k % 20).alias("yearOfPassing"))
+    person = F.struct(
+        text("Customer ", n).alias("applicant_name"), contact.alias("contact"), F.struct(F.col("c_mktsegment").alias("town")).alias("addr"), social.alias("social"), F.when(k % 4 == 0, k % 30).alias("yearsOfExperience"), F.when(k % 4 != 0, text((k % 30).cast("string"), " years")).alias("experienceYears"),
+        F.when(k % 7 == 0, F.lit("Python")).alias("skills"), F.when(k % 7 != 0, F.array(F.lit("Python"), F.lit("k8s"))).alias("skillSet"), F.array(job).alias("employmentHistory"), course.alias("academics"), k.alias("number"),
+    )
+    files = _t(spark, sf_dir, "customer").groupBy("c_nationkey", (F.col("c_custkey") % 64).alias("part")).agg(F.collect_list(person).alias("people"))
+    files = files.select(F.col("c_nationkey").alias("spec_idx"), F.lit("export.json").alias("path"), F.when(F.col("part") % 2 == 0, F.to_json(F.struct(F.col("people").alias("applicants")))).otherwise(F.to_json("people")).alias("text"))
+    got = readers.read_json(files)
+    job, course = F.get("experience", F.lit(0)), F.get("education", F.lit(0))
+    return got.select(
+        F.regexp_extract("full_name", r"\d+", 0).cast("long").alias("k"), "full_name", F.array_join("emails", ",").alias("emails"), "city", "github", "years_num", "years_txt", F.array_join("skills", ",").alias("skills"),
+        F.concat_ws("/", job["company"], job["title"], job["start"]).alias("job"), F.concat_ws("/", course["institution"], course["degree"], course["end_year"]).alias("course"),
+    )
+
+
+@query(f"""SELECT 'Mx ' || {_L.format('c_custkey')} AS full_name, 'p' || c_custkey || '@example.com' AS email, '+1 415 555 ' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone, CAST(c_custkey % 20 + 1 AS VARCHAR) AS years_txt, CASE WHEN c_custkey % 2 = 0 THEN 'k8s,python' ELSE 'golang' END AS skills FROM customer""")
+def notes_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of free text, one file a nation and number, with a block for each customer."""
+    k = F.col("c_custkey")
+    block = F.concat(
+        F.lit("Candidate: Mx "), _letters("c_custkey"), F.lit(" <p"), k.cast("string"), F.lit("@example.com>\nabout "), (k % 20 + 1).cast("string"), F.lit("+ yrs, call +1 415 555 "), F.lpad((k % 10000).cast("string"), 4, "0"), F.when(k % 2 == 0, F.lit(". Knows Python and k8s well.")).otherwise(F.lit(". Golang, not Javanese.")),
+    )
+    files = _t(spark, sf_dir, "customer").groupBy("c_nationkey", (k % 64).alias("part")).agg(F.array_join(F.collect_list(block), "\n\n").alias("text"))
+    got = readers.read_notes(files.select(F.col("c_nationkey").alias("spec_idx"), F.lit("notes.txt").alias("path"), "text"))
+    one = lambda c: F.get(c, F.lit(0))
+    return got.select("full_name", one("emails").alias("email"), one("phones").alias("phone"), "years_txt", F.array_join(F.array_sort("skills"), ",").alias("skills"))
+
+
+@query(f"""SELECT 'Kim ' || upper(substr(w, 1, 1)) || substr(w, 2) AS full_name, 'Chief of ' || w AS headline, 'k' || s_suppkey || '@example.com' AS email, 'github.com/k' || s_suppkey AS github, 'Engineer at Firm ' || w || ' (' || 'Mar 2019 to present) Built things. Ran them.' AS job, 'B.S.|Physics|' || 'Upper ' || w || ' University|' || (2000 + s_suppkey % 20) AS course, 'Python;Go;' || w AS skills FROM (SELECT s_suppkey, {_L.format('s_suppkey')} AS w FROM supplier)""")
+def resume_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A résumé for each supplier: header, experience with bullets, education, skills."""
+    k, w = F.col("s_suppkey").cast("string"), _letters("s_suppkey")
+    part = lambda *xs: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in xs))
+    text = part(
+        "Kim ", F.initcap(w), "\nChief of ", w, "\nk", k, "@example.com | github.com/k", k, "\n\nEXPERIENCE\nEngineer at Firm ", w, ", Mar 2019 - Present\n- Built things.\n• Ran them.\n\nEducation:\nB.S. in Physics, Upper ", w, " University, ", (F.lit(2000) + F.col("s_suppkey") % 20).cast("string"), "\nTechnical Skills\nPython, Go | ", w, "\n",
+    )
+    got = readers.read_resumes(_t(spark, sf_dir, "supplier").select(F.lit(0).alias("spec_idx"), F.lit("cv.txt").alias("path"), text.alias("text")))
+    job, course = F.get("experience", F.lit(0)), F.get("education", F.lit(0))
+    return got.select(
+        "full_name", "headline", F.get("emails", F.lit(0)).alias("email"), "github", F.concat(job["title"], F.lit(" at "), job["company"], F.lit(" ("), job["start"], F.lit(" to "), F.lower(job["end"]), F.lit(") "), job["summary"]).alias("job"),
+        F.concat_ws("|", course["degree"], course["field"], course["institution"], course["end_year"]).alias("course"), F.array_join("skills", ";").alias("skills"),
+    )
+
+
+@query(r"""SELECT page_id, n - 1 AS n, links[n] AS link FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS n FROM (SELECT page_id, regexp_extract_all(html || ' ' || url || ' see www.site' || page_id || '.org/a|b github.com/x', '((?:https?://)?(?:www\.)?[A-Za-z0-9.\-]+\.[A-Za-z]{2,}/[^\s|]+)', 1) AS links FROM pages))""")
+def url_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses in all pages, with some more behind them, in order."""
+    text = F.concat("html", F.lit(" "), "url", F.lit(" see www.site"), F.col("page_id").cast("string"), F.lit(".org/a|b github.com/x"))
+    return _t(spark, sf_dir, "pages").select("page_id", F.posexplode(readers.scan_links(text)).alias("n", "link")).select("page_id", F.col("n").cast("long").alias("n"), "link")
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN p_size + 0.5 WHEN 2 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS years FROM part""")
+def years_of_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number, a text with one, a negative number, a text that starts otherwise."""
+    n, size = F.col("p_size") % 4, F.col("p_size")
+    num = F.when(n == 0, size.cast("double")).when(n == 2, -size.cast("double"))
+    txt = F.when(n == 1, F.concat(size.cast("string"), F.lit(".5 years"))).when(n == 3, F.concat(F.lit("around "), size.cast("string"), F.lit("+ yrs")))
+    return _t(spark, sf_dir, "part").select("p_partkey", N.years_experience(num, txt).alias("years"))
+
+
+_NATIONS = {"ALGERIA": "DZ", "ARGENTINA": "AR", "BRAZIL": "BR", "CANADA": "CA", "CHINA": "CN", "EGYPT": "EG", "ETHIOPIA": "ET", "FRANCE": "FR", "GERMANY": "DE", "INDIA": "IN", "INDONESIA": "ID", "IRAN": "IR", "IRAQ": "IQ", "JAPAN": "JP", "JORDAN": "JO", "KENYA": "KE", "MOROCCO": "MA", "MOZAMBIQUE": "MZ", "PERU": "PE", "ROMANIA": "RO", "RUSSIA": "RU", "SAUDI ARABIA": "SA", "UNITED KINGDOM": "GB", "UNITED STATES": "US", "VIETNAM": "VN"}
+
+
+@query(f"""SELECT n_nationkey, CASE upper(n_name) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _NATIONS.items())} END AS iso FROM nation""")
+def country_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "nation").select("n_nationkey", N.country("n_name").alias("iso"))
+
+
+@query("""SELECT c_custkey, 'customer' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '|' || CASE WHEN c_custkey % 2 = 0 THEN 'firm' ELSE lower('IN') END AS weak FROM customer""")
+def weak_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name with first employer, else country."""
+    job = F.array(F.struct(F.when(F.col("c_custkey") % 2 == 0, "Firm").otherwise(" ").alias("company")))
+    name = F.concat(F.lit("Customer#"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
+    df = _t(spark, sf_dir, "customer").select("c_custkey", name.alias("name"), job.alias("jobs"), F.lit("IN").alias("land"))
+    return df.select("c_custkey", identity.weak_key("name", F.when(F.col("c_custkey") % 2 == 0, F.col("jobs")).otherwise(F.array(F.struct(F.lit("").alias("company")))), "land").alias("weak"))
+
+
+def _staff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RAW rows of orders (JSON or résumé) and customers (delimited): those of one customer share an e-mail."""
+    nothing = F.lit(None).cast("string")
+    job = lambda c, t, a, z, s: F.struct(c.alias("company"), t.alias("title"), a.alias("start"), z.alias("end"), s.alias("summary"))
+    k = F.col("o_orderkey")
+    mail = lambda n: F.array(F.concat(F.lit("s"), n.cast("string"), F.lit("@example.com")))
+    course = F.struct(F.lit("Upper College").alias("institution"), F.concat(F.lit("Degree "), (k % 2).cast("string")).alias("degree"), F.when(k % 4 == 0, "Physics").alias("field"), F.concat(F.lit("in 20"), F.lpad((k % 2).cast("string"), 2, "0")).alias("end_year"))
+    o = _t(spark, sf_dir, "orders").select(
+        F.lit(0).alias("spec_idx"), k.alias("pos"), F.when(k % 2 == 0, "ats_json").otherwise("resume").alias("source"), mail(F.col("o_custkey")).alias("emails"), F.when(k % 2 == 0, F.array(F.lit("py"), F.lit("K8S"))).otherwise(F.array(F.lit("Python"), F.lit("weird  skill"))).alias("skills"),
+        F.array(job(F.concat(F.lit("Firm "), (k % 3).cast("string")), F.lit("Engineer"), F.concat(F.lit("201"), (k % 3).cast("string"), F.lit("-05")), F.lit("present"), nothing)).alias("experience"), F.array(course).alias("education"),
+    )
+    c = _t(spark, sf_dir, "customer").select(F.lit(1).alias("spec_idx"), F.col("c_custkey").alias("pos"), F.lit("recruiter_csv").alias("source"), F.concat(F.lit("Cust "), _letters("c_custkey")).alias("full_name"), mail(F.col("c_custkey")).alias("emails"))
+    return as_raw(o).unionByName(as_raw(c))
+
+
+_STAFF = """o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderkey % 2 AS r FROM orders),
+g AS (SELECT c, count(*) FILTER (r = 0) AS a, count(*) FILTER (r = 1) AS z FROM o GROUP BY c)"""
+_OR = "CAST(printf('%.4f', 1.0 - list_reduce(list_prepend(1.0::DOUBLE, list_concat(list_transform(range({0}), lambda x: {1}::DOUBLE), list_transform(range({2}), lambda x: {3}::DOUBLE))), lambda p, w: p * (1.0 - w))) AS DOUBLE)"
+
+
+@query(f"""WITH {_STAFF}, s AS (SELECT c, unnest([{{'n': 'Python', 'a': a, 'z': z}}, {{'n': 'Kubernetes', 'a': a, 'z': 0}}, {{'n': 'Weird Skill', 'a': 0, 'z': z}}]) AS s FROM g)
+SELECT 's' || c || '@example.com' AS email, s.n AS skill, {_OR.format('s.a', '0.765', 's.z', '0.8')} AS conf, CASE WHEN s.a > 0 AND s.z > 0 THEN 'ats_json,resume' WHEN s.a > 0 THEN 'ats_json' ELSE 'resume' END AS sources FROM s WHERE s.a + s.z > 0""")
+def profile_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skills of profiles with confidence and sources."""
+    got = build_profiles(_staff(spark, sf_dir))
+    return got.select(F.get("emails", F.lit(0)).alias("email"), F.explode("skills").alias("s")).select("email", F.col("s.name").alias("skill"), F.col("s.confidence").alias("conf"), F.array_join("s.sources", ",").alias("sources"))
+
+
+@query(f"""WITH {_STAFF}, j AS (SELECT DISTINCT c, k % 3 AS f FROM o)
+SELECT 's' || c || '@example.com' AS email, 'Firm ' || f AS company, 'Engineer' AS title, '201' || f || '-05' AS start, CAST(NULL AS VARCHAR) AS "end", row_number() OVER (PARTITION BY c ORDER BY f DESC) - 1 AS place FROM j""")
+def profile_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Employments of profiles, merged by company and title, the latest first."""
+    got = build_profiles(_staff(spark, sf_dir))
+    job = got.select(F.get("emails", F.lit(0)).alias("email"), F.posexplode("experience").alias("place", "x"))
+    return job.select("email", "x.company", "x.title", "x.start", "x.end", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH {_STAFF}, e AS (SELECT c, k % 2 AS d, max(CASE WHEN k % 4 = 0 THEN 'Physics' END) AS field FROM o GROUP BY c, k % 2)
+SELECT 's' || c || '@example.com' AS email, 'Upper College' AS institution, 'Degree ' || d AS degree, field, CAST(2000 + d AS INTEGER) AS end_year, row_number() OVER (PARTITION BY c ORDER BY d DESC) - 1 AS place FROM e""")
+def profile_education(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Courses of profiles, merged by institution and degree, the latest first; a field that only some records tell is kept."""
+    got = build_profiles(_staff(spark, sf_dir))
+    course = got.select(F.get("emails", F.lit(0)).alias("email"), F.posexplode("education").alias("place", "x"))
+    return course.select("email", "x.institution", "x.degree", "x.field", "x.end_year", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH {_STAFF}, who AS (SELECT c_custkey AS c, coalesce(a, 0) AS a, coalesce(z, 0) AS z FROM customer LEFT JOIN g ON c = c_custkey), m AS (SELECT 's' || c || '@example.com' AS email, * FROM who)
+SELECT email, 'full_name' AS field, 'recruiter_csv' AS source, 'direct' AS method, 1 AS n FROM m
+UNION ALL SELECT email, 'emails', 'recruiter_csv', 'direct+lowercased', 1 FROM m UNION ALL SELECT email, 'emails', 'ats_json', 'remapped+lowercased', 1 FROM m WHERE a > 0 UNION ALL SELECT email, 'emails', 'resume', 'extracted+lowercased', 1 FROM m WHERE z > 0
+UNION ALL SELECT email, 'skills:Python', 'ats_json', 'remapped+canonical', 1 FROM m WHERE a > 0 UNION ALL SELECT email, 'skills:Python', 'resume', 'extracted+canonical', 1 FROM m WHERE z > 0""")
+def profile_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which source says what, and how it was read, of names, e-mails and one skill."""
+    got = build_profiles(_staff(spark, sf_dir)).select(F.get("emails", F.lit(0)).alias("email"), F.explode("provenance").alias("p"))
+    return got.select("email", "p.*").where(F.col("field").isin("full_name", "emails", "skills:Python")).groupBy("email", "field", "source", "method").agg(F.count("*").cast("int").alias("n"))
+
+
+_VIEW = {"fields": [{"path": "name", "from": "full_name"}, {"path": "skills", "from": "skills[].name", "type": "string[]"}, {"path": "firms", "from": "experience[].company", "on_missing": "omit"}, {"path": "sure", "from": "skills[0].confidence"}], "include_confidence": False, "include_provenance": False}
+
+
+@query(f"""WITH {_STAFF}, w AS (SELECT c_custkey AS c, a, z, {_L.format('c_custkey')} AS l FROM customer LEFT JOIN g ON c = c_custkey),
+f AS (SELECT c, string_agg('"Firm ' || f || '"', ',' ORDER BY f DESC) AS firms FROM (SELECT DISTINCT c, k % 3 AS f FROM o) GROUP BY c),
+s AS (SELECT c, string_agg('"' || n || '"', ',' ORDER BY conf DESC, n) AS skills, first(conf ORDER BY conf DESC, n) AS sure FROM (SELECT c, s.n, {_OR.format('s.a', '0.765', 's.z', '0.8')} AS conf FROM (SELECT c, unnest([{{'n': 'Python', 'a': a, 'z': z}}, {{'n': 'Kubernetes', 'a': a, 'z': 0}}, {{'n': 'Weird Skill', 'a': 0, 'z': z}}]) AS s FROM g) WHERE s.a + s.z > 0) GROUP BY c)
+SELECT '{{"name": "Cust ' || upper(l[1]) || substr(l, 2) || '", "skills": ' || CASE WHEN skills IS NULL THEN 'null' ELSE '[' || skills || ']' END || CASE WHEN firms IS NULL THEN '' ELSE ', "firms": [' || firms || ']' END || ', "sure": ' || coalesce(CAST(sure AS VARCHAR), 'null') || '}}' AS json FROM w LEFT JOIN f USING (c) LEFT JOIN s USING (c)""")
+def wildcard_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists over all elements, one element, and a list that is left out where it is missing."""
+    config = OutputConfig.from_dict(_VIEW)
+    df = project(build_profiles(_staff(spark, sf_dir)), config)
+    return df.select(render(df, [f.path for f in config.fields]).alias("json"))
+
+
+@query(f"""WITH {_STAFF} SELECT 's' || c_custkey || '@example.com' AS email, CASE WHEN z > 0 THEN 'python,weird skill' WHEN a > 0 THEN 'python' ELSE '' END AS matched, CAST((CASE WHEN a + z > 0 THEN 1 ELSE 0 END + CASE WHEN z > 0 THEN 1 ELSE 0 END) AS DOUBLE) / 3.0 AS match_fraction FROM customer LEFT JOIN g ON c = c_custkey""")
+def keyword_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords found in skills and texts of profiles."""
+    got = ranking.keyword_match(build_profiles(_staff(spark, sf_dir)), ["python", "weird skill", "haskell"])
+    return got.select(F.get("emails", F.lit(0)).alias("email"), F.array_join("matched", ",").alias("matched"), "match_fraction")
+
+
+@query(f"""WITH {_STAFF} SELECT 's' || c_custkey || '@example.com' AS email, 'Cust ' || upper(l[1]) || substr(l, 2) AS title, 'C' || upper(l[1]) AS initials FROM (SELECT *, {_L.format('c_custkey')} AS l FROM customer)""")
+def profile_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat view of profiles."""
+    got = build_profiles(_staff(spark, sf_dir))
+    return got.select("cluster", F.get("emails", F.lit(0)).alias("email")).join(ranking.card(got), "cluster").select("email", "title", "initials")
+
+
+@query("""SELECT 'cand_' || substr(sha1('s' || c_custkey || '@example.com'), 1, 10) AS candidate_id, 's' || c_custkey || '@example.com' AS email, 13 AS n_fields FROM customer""")
+def default_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles in the default form, checked, written as JSON lines and read back."""
+    good, bad = shape(build_profiles(_staff(spark, sf_dir)))
+    folder = f"{shared_dir(spark)}/outputs-{uuid.uuid4().hex}"
+    write_outputs(good, folder)
+    back = spark.read.text(folder).select(F.try_parse_json("value").alias("v"))
+    keys = F.array_size(F.json_object_keys(F.to_json("v")))
+    return back.select(F.try_variant_get("v", "$.candidate_id", "string").alias("candidate_id"), F.try_variant_get("v", "$.emails[0]", "string").alias("email"), keys.cast("int").alias("n_fields"))
+
+
+@query("""SELECT * FROM (VALUES ('notes.xyz', 'source type not recognised; skipped'), ('mail=', 'no reader for type ''mail''; skipped'), ('absent', 'contributed no records'), ('pasted ats_json', 'contributed no records')) t(source, message)""")
+def source_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that cannot be read give one warning each, and the others go on."""
+    sources = [Source("notes.xyz"), Source("mail=", "mail"), Source(f"{shared_dir(spark)}/absent-{uuid.uuid4().hex}.csv"), Source(type="ats_json", text="{broken"), Source(type="recruiter_notes", text="Candidate: Ann Bee\nann@example.com")]
+    raw, warnings = extract_all(spark, sources)
+    message = F.when(F.col("message").startswith("contributed no records"), "contributed no records").otherwise(F.col("message"))
+    return warnings.select(F.regexp_extract("source", r"(absent|[^/]*$)", 1).alias("source"), message.alias("message"))

@@ -121,6 +121,11 @@ def scan_emails(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(R.EMAIL), F.lit(0)))
 
 
+def scan_links(text: Column) -> Column:
+    """Addresses with a path, in the order of the text."""
+    return F.regexp_extract_all(text, F.lit(R.URL), F.lit(1))
+
+
 def scan_skills(text: Column) -> Column:
     """Every spelling of a skill that stands by itself, longer ones first."""
     low = F.lower(text)
@@ -231,7 +236,7 @@ def read_resumes(files: DataFrame) -> DataFrame:
     rows = rows.select("*", F.array_position(F.transform("header", looks_like_name), True).alias("at"))
     plain = lambda x: ~x.contains("@") & ~x.rlike(R.PHONE) & ~x.contains("|") & ~x.rlike(R.URL)
     later = F.filter(F.slice("header", F.col("at").cast("int") + 1, F.greatest(F.size("header"), F.lit(1))), plain)
-    links = F.regexp_extract_all(F.col("text"), F.lit(R.URL), F.lit(1))
+    links = scan_links(F.col("text"))
     in_ = "linkedin"
     is_in, is_hub = (lambda u: F.lower(u).contains(in_)), (lambda u: F.lower(u).contains("github"))
     linkedin = F.get(F.filter(links, is_in), F.lit(0))

@@ -69,11 +69,11 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) A
 
 OP4 = """
 WITH base AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
-both AS (SELECT 'x' AS r, * FROM base
+pair AS (SELECT 'x' AS r, * FROM base
   UNION ALL SELECT 'y', page_id, url, CASE WHEN page_id % 100 = 3 THEN substr(html, 1, 20) || '?' || substr(html, 22) ELSE html END FROM base WHERE coalesce(page_id % 100 <> 7, true)
   UNION ALL SELECT 'y', page_id, url, html || '<!-- again -->' FROM base WHERE page_id % 100 = 11),
 text AS (SELECT r, page_id, 'WARC/1.0' || nl || 'WARC-Type: response' || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl || 'WARC-Target-URI: ' || url || nl || 'Content-Length: ' || strlen(html) || nl || nl || html || nl || nl AS t
-  FROM both, (SELECT chr(13) || chr(10) AS nl)),
+  FROM pair, (SELECT chr(13) || chr(10) AS nl)),
 rec AS (SELECT r, CAST(floor(page_id / 1000) AS BIGINT) AS file, page_id, sha256(t) AS digest, count(*) AS n, CAST(strlen(any_value(t)) AS BIGINT) AS len FROM text GROUP BY r, page_id, sha256(t)),
 laid AS (SELECT *, CAST(sum(n * len) OVER (PARTITION BY r, file ORDER BY page_id, digest) - n * len AS BIGINT) AS off FROM rec),
 x AS (SELECT * FROM laid WHERE r = 'x'), y AS (SELECT * FROM laid WHERE r = 'y'),

@@ -96,7 +96,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 22):
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
     """Slices of a batch with about ``most`` bytes of text each (one row at least), to bound numpy's working memory."""
     _, off = buffers(batch.column(batch.schema.get_field_index(column)))
     at, n = 0, batch.num_rows

@@ -32,7 +32,9 @@ from loomfuse.plans.components import connected_components
 
 SHINGLE, PERCENT = 3, 90
 #: Rows of blocks that a task combines at once; bytes of folded sketches of a group's members that are compared in one step.
-COMBINE, CHUNK = 1_000_000, 1 << 19
+COMBINE, CHUNK = 500_000, 1 << 19
+#: Members of a group that is settled along with others.
+SMALL = 256
 #: Blocks whose order is set by how many documents share them; others are ordered by their hash. Only the speed depends on it.
 COMMON = 1 << 18
 U = np.uint64
@@ -212,7 +214,7 @@ def stars(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, percen
                     if (sig := signature(x)) not in known:
                         new.append(i)
                         known.add(sig)
-                if len(known) > COMBINE:
+                if len(known) > 50_000:  # forgotten copies come once more
                     known.clear()
                 keys, rows = Drawn([sets[i] for i in new], percent).rarest(held.value)
                 kept.append((keys.view(np.int64), ids[np.array(new, np.int64)[rows]]))
@@ -344,6 +346,59 @@ def settle(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, drawn: list[l
     return out
 
 
+def settle_small(group: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, drawn: list[list[bytes | None]], no: list[set[int]], side: np.ndarray, percent: int, most: int = 1) -> list[tuple[int, int, int]]:
+    """(group, a, b): what ``settle`` finds in many small groups at once; rows are sorted by group."""
+    own = np.searchsorted(bands(percent), sizes, "right") - 1
+    apart = (100 - percent) * sizes // percent
+    two = np.minimum.reduceat(side, head := np.flatnonzero(np.r_[True, group[1:] != group[:-1]])) != np.maximum.reduceat(side, head)
+    two = np.repeat(two, np.diff(np.r_[head, len(group)]))
+    # pairs by their distance in the order of rows
+    found = [[], []]
+    for t in range(1, int(np.diff(np.r_[head, len(group)]).max())):
+        i = np.flatnonzero((group[t:] == group[:-t]) & (labels[t:] != labels[:-t]))
+        j = i + t
+        small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+        ok = (100 * small >= percent * large) & (np.abs(own[i] - own[j]) < 2) & (~two[i] | (side[i] != side[j]))
+        found[0].append(i[ok])
+        found[1].append(j[ok])
+    if not found[0]:
+        return []
+    i, j = (np.concatenate(x) for x in found)
+    band, d = np.maximum(own[i], own[j]), np.full(len(i), 1 << 40)
+    for b in np.unique(band).tolist():
+        pairs = np.flatnonzero(band == b)
+        rows = np.unique(np.r_[i[pairs], j[pairs]])
+        flat = [drawn[b - own[r]][r] for r in rows.tolist()]
+        width = max(len(x) for x in flat if x is not None) if any(x is not None for x in flat) else 0
+        there = np.array([x is not None for x in flat])
+        table = np.frombuffer(b"".join(x if x is not None else bytes(width) for x in flat), U).reshape(len(rows), -1)
+        for at in range(0, len(pairs), 20_000):
+            part = pairs[at : at + 20_000]
+            x, y = np.searchsorted(rows, i[part]), np.searchsorted(rows, j[part])
+            d[part] = np.where(there[x] & there[y], np.bitwise_count(table[x] ^ table[y]).sum(1), 1 << 40)
+    near_ = np.flatnonzero(d <= np.minimum(apart[i], apart[j]))
+    out, root, told = [], {}, Counter()
+
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            x = up
+        return x
+
+    for q in near_[np.lexsort((d[near_], group[i[near_]]))].tolist():
+        r, s = int(i[q]), int(j[q])
+        g = int(group[r])
+        a, b = sorted((int(ids[r]), int(ids[s])))
+        ends = sorted((find((g, int(labels[r]))), find((g, int(labels[s])))))
+        if ends[0] == ends[1] or told[(*ends,)] == most or b in no[r] or b in no[s] or a in no[r] or a in no[s]:
+            continue
+        out.append((g, a, b))
+        if most == 1:
+            root[ends[1]] = ends[0]
+        else:
+            told[(*ends,)] += 1
+    return out
+
+
 def proposals(groups: DataFrame, held: DataFrame, refuted: DataFrame, percent: int, chunk: int = CHUNK, most: int = 1) -> DataFrame:
     """key, a, b: pairs across components that may link, as ``settle`` picks them for each pair of chunks of a group.
 
@@ -358,11 +413,35 @@ def proposals(groups: DataFrame, held: DataFrame, refuted: DataFrame, percent: i
     known = refuted.select(F.col("a").alias("id"), "b").groupBy("id").agg(F.collect_set("b").alias("no"))
     full = each.join(known, "id", "left").join(held.select(F.col("doc_id").alias("id"), "n", "own", "next"), "id")
 
-    def run(t: pa.Table) -> pa.Table:
-        got = settle(t["id"].to_numpy(), t["label"].to_numpy(), t["n"].to_numpy(), [t["own"].to_pylist(), t["next"].to_pylist()], [set(x or ()) for x in t["no"].to_pylist()], t["at"].to_numpy(), percent, most)
-        return pa.table({"key": pa.array([t["key"][0].as_py()] * len(got), pa.int64()), "a": pa.array([x[0] for x in got], pa.int64()), "b": pa.array([x[1] for x in got], pa.int64())})
+    def settled(t: pa.Table) -> pa.RecordBatch:
+        """Whole groups, one after the other."""
+        key, c, d = (t[n].to_numpy() for n in ("key", "c", "d"))
+        head = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])])
+        size = np.diff(np.r_[head, len(key)])
+        group = np.repeat(np.arange(len(head)), size)
+        out = []
+        cols = lambda t: (t["id"].to_numpy(), t["label"].to_numpy(), t["n"].to_numpy(), [t["own"].to_pylist(), t["next"].to_pylist()], [set(x or ()) for x in t["no"].to_pylist()], t["at"].to_numpy())
+        small = np.flatnonzero(size[group] <= SMALL)
+        if len(small):
+            out += [(int(key[head[g]]), a, b) for g, a, b in settle_small(group[small], *cols(t.take(pa.array(small))), percent, most)]
+        for g in np.flatnonzero(size > SMALL).tolist():
+            out += [(int(key[head[g]]), a, b) for a, b in settle(*cols(t.slice(int(head[g]), int(size[g]))), percent, most)]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["key", "a", "b"])
 
-    return full.groupBy("key", "c", "d").applyInArrow(run, "key long, a long, b long")
+    def run(batches):
+        left = None  # the rows of a group that may go on
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([left, t]).combine_chunks() if left is not None else t
+            key, c, d = (t[n].to_numpy() for n in ("key", "c", "d"))
+            last = int(np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])])[-1]) if len(key) else 0
+            if last:
+                yield settled(t.slice(0, last))
+            left = t.slice(last)
+        if left is not None and left.num_rows:
+            yield settled(left)
+
+    return full.select("key", "c", "d", "at", "id", "label", "n", "own", "next", "no").repartition("key", "c", "d").sortWithinPartitions("key", "c", "d").mapInArrow(run, "key long, a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:

@@ -202,6 +202,7 @@ def test_jaccard(spark, rows, chunk, monkeypatch):
     from loomfuse.llm import jaccard_join as J
 
     monkeypatch.setattr(J, "COMMON", 50)
+    monkeypatch.setattr(J, "SMALL", 256 if chunk > 500 else 3)
     r = random.Random(5)
     base, more = [f"w{k}" for k in range(300)], list(rows)
     for k in range(30):  # a chain and a cloud of near copies, of which only some are linked
@@ -266,7 +267,17 @@ def test_jaccard_settle_finds_a_forest():
     # refuted pairs are not proposed again; of two sides only pairs across are
     assert not set(J.settle(ids, ids, sizes, drawn, [{x for p in got for x in p}] * 6, one, 90))
     side = np.array([0, 0, 1, 1, 1, 1])
-    assert all((a < 6) != (b < 6) for a, b in J.settle(ids, ids, sizes, drawn, none, side, 90))
+    across = J.settle(ids, ids, sizes, drawn, none, side, 90)
+    assert all((a < 6) != (b < 6) for a, b in across)
+    # small groups at once: the same verdicts for each
+    rows = np.r_[np.arange(6), np.arange(6), [0, 4]]
+    group = np.repeat([0, 1, 2], [6, 6, 2])
+    many = J.settle_small(group, ids[rows], ids[rows], sizes[rows], [[d[i] for i in rows] for d in drawn], [set() for _ in rows], np.r_[one, side, [0, 0]], 90)
+    joined = lambda pairs: {frozenset(p) for p in pairs}
+    assert len([p for p in many if p[0] == 0]) == 3 and {x for p in many if p[0] == 0 for x in p[1:]} == {0, 3, 6, 9} and not [p for p in many if p[0] == 2]
+    assert joined(p[1:] for p in many if p[0] == 1) <= {frozenset((x, y)) for x in (0, 3) for y in (6, 9)} and len([p for p in many if p[0] == 1]) == len(across)
+    every = J.settle_small(group[:6], ids, ids, sizes, drawn, none, one, 90, 8)
+    assert joined(p[1:] for p in every) == joined(J.settle(ids, ids, sizes, drawn, none, one, 90, 8))
 
 
 def test_jaccard_merged_takes_roots(spark):

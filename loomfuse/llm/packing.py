@@ -1,13 +1,15 @@
 """Lexical retrieval packing into sequences of at most 4096 tokens.
 
-Documents are dealt by the hash of their id to shards of about ``shard_rows``. A shard holds a BM25 inverted index
+Documents are sorted by content, by two of the terms that tell most of them (``telling_terms``), and each ``shard_rows`` in that order are a
+shard, so that documents of one subject and copies meet whatever their number. A shard holds a BM25 inverted index
 of its documents; idf and mean length are those of all documents. A document fills whole windows by itself
 first. What is left seeds windows, the longest first: the index returns its unused neighbours by BM25 score,
 those that fit are taken in that order, and the best of the others is cut to fill the window; its rest stays
 unused. Cuts lie on a grid of ``GRID`` tokens, so that a piece's checksum follows from those of prefixes and no
 token ids are shuffled. Each shard leaves one sequence that may be short.
 
-Null text is empty: a document of the end id alone. Each row is packed, repeated ones too. An empty table gives no rows.
+Null text is empty: a document of the end id alone. Each row is packed, repeated ones too; rows of one id are dealt like others. An
+empty table gives no rows. Tokenizers of more than 65,536 ids are refused.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfuse.llm.common import buffers, cut, norm_docs, pieces, ragged, real_id, shuffle_parts
+from loomfuse.llm.common import buffers, cut, mix, norm_docs, pieces, ragged, real_id, shuffle_parts
 from loomfuse.llm.tokens import word_tokens
 
 WINDOW, GRID, END, SHARD_ROWS = 4096, 32, 2, 2048
@@ -65,10 +68,12 @@ def crc_of_rest(whole: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.nda
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n (ids), crcs (uint32 of the prefixes at each grid point and at the end), terms (uint16), tf (uint16) of each row."""
+    """doc_id, n (ids), crcs (uint32 of the prefixes at each grid point and at the end), terms (uint16), tf (uint32) of each row."""
 
     def run(batches):
         tool = word_tokens(path, END)
+        if tool.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("packing takes tokenizers of at most 65,536 ids")
         for b in batches:
             for part in pieces(b, "text"):
                 ids, off = tool.encode(*buffers(part.column(1)))
@@ -82,7 +87,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                     own = np.sort(ids[a:z].astype(np.uint16), kind="stable")
                     head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                     terms.append(own[head].tobytes())
-                    tfs.append(np.minimum(np.diff(np.r_[head, len(own)]), 65535).astype(np.uint16).tobytes())
+                    tfs.append(np.diff(np.r_[head, len(own)]).astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(crcs, pa.binary()), pa.array(terms, pa.binary()), pa.array(tfs, pa.binary())], ["doc_id", "n", "crcs", "terms", "tfs"])
 
     return docs.mapInArrow(run, "doc_id long, n long, crcs binary, terms binary, tfs binary")
@@ -104,6 +109,40 @@ def document_frequencies(made: DataFrame) -> np.ndarray:
     return out
 
 
+def telling_terms(terms: np.ndarray, tfs: np.ndarray, of: np.ndarray, n: int, df: np.ndarray, n_docs: int) -> np.ndarray:
+    """(n, 2): of each document two terms, drawn by weight among those that another document has too; 65535 for none.
+
+    The weight is a term's BM25 score, and the draw the same for all documents (the least of exponential numbers over weights), so that
+    two documents draw the same term about as often as their weighted terms are the same. ``of``: the document of each term, rising; each has
+    a term."""
+    tf = tfs.astype(np.float64)
+    weight = np.where(df[terms] > 1, tf / (tf + K1) * np.log1p((n_docs - df[terms] + 0.5) / (df[terms] + 0.5)), 0.0)
+    out, first = np.full((n, 2), 65535), np.searchsorted(of, np.arange(n))
+    for k in (0, 1):
+        chance = (mix(np.arange(1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(k + 1)) >> np.uint64(11)).astype(np.float64) / 2**53
+        score = weight / -np.log(np.maximum(chance, 1e-12))[terms]
+        best = np.maximum.reduceat(score, first)
+        at = np.flatnonzero((score == best[of]) & (score > 0))
+        docs, one = np.unique(of[at], return_index=True)  # the smallest term of equal ones
+        out[docs, k] = terms[at[one]]
+    return out
+
+
+def by_content(made: DataFrame, df: np.ndarray, n_docs: int) -> DataFrame:
+    """``made`` with t1 and t2, the telling terms."""
+    held = made.sparkSession.sparkContext.broadcast(df)  # 2**16 numbers
+    names = ["doc_id", "n", "crcs", "terms", "tfs", "t1", "t2"]
+
+    def run(batches):
+        for b in batches:
+            terms, tfs = (b.column(i).to_pylist() for i in (3, 4))
+            sizes = [len(t) // 2 for t in terms]
+            t = telling_terms(np.frombuffer(b"".join(terms), np.uint16), np.frombuffer(b"".join(tfs), np.uint32), np.repeat(np.arange(len(sizes)), sizes), len(sizes), held.value, n_docs) if sizes else np.zeros((0, 2), int)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t[:, 0], pa.int32()), pa.array(t[:, 1], pa.int32())], names)
+
+    return made.select(*names[:5]).mapInArrow(run, "doc_id long, n long, crcs binary, terms binary, tfs binary, t1 int, t2 int")
+
+
 # ---- one shard ----------------------------------------------------------------------------------
 
 
@@ -174,35 +213,40 @@ def pack(docs: DataFrame, path: str | None = None, shard_rows: int = SHARD_ROWS)
     n_docs, total = made.agg(F.count("*"), F.sum("n")).first()
     df = document_frequencies(made)
     held = spark.sparkContext.broadcast(df)  # 2**16 numbers
-    shards = max(1, -(-n_docs // shard_rows))
     mean = (total or 1) / max(n_docs, 1)
-    dealt = made.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).repartition(max(1, min(shards, 4 * shuffle_parts(spark))), "shard").sortWithinPartitions("shard", "doc_id", "n", "crcs")
+    order = ["t1", "t2", "n", "doc_id", "crcs"]
+    parts = max(1, min(-(-n_docs // shard_rows), 4 * shuffle_parts(spark)))
+    dealt = by_content(made, df, n_docs).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
-    def shard_rows_of(shard, ids, n, crcs, terms, tfs):
+    def packed(number, ids, n, crcs, terms, tfs):
         n = np.array(n, np.int64)
-        index = Index([np.frombuffer(t, np.uint16) for t in terms], [np.frombuffer(t, np.uint16) for t in tfs], n, held.value, n_docs, mean)
+        index = Index([np.frombuffer(t, np.uint16) for t in terms], [np.frombuffer(t, np.uint32) for t in tfs], n, held.value, n_docs, mean)
         d, s, size, seq, off = np.array(pack_shard(n, index.neighbours), np.int64).T
         flat = np.frombuffer(b"".join(crcs), np.uint32)
         first = np.r_[0, np.cumsum([len(c) // 4 for c in crcs])[:-1]]
         whole = flat[first[d] + -(-(s + size) // GRID) - 1]
         head = np.where(s > 0, flat[first[d] + np.maximum(s // GRID - 1, 0)], 0)
-        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[d]), pa.array(s), pa.array(size), pa.array(crc_of_rest(whole, head, 4 * size).astype(np.int64)), pa.array(n[d]), pa.array((shard << 32) + seq), pa.array(off)], names)
+        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[d]), pa.array(s), pa.array(size), pa.array(crc_of_rest(whole, head, 4 * size).astype(np.int64)), pa.array(n[d]), pa.array(number + seq), pa.array(off)], names)
 
     def run(batches):
-        shard, rows = None, [[] for _ in range(5)]
+        # sequences count on from shard to shard; a partition has fewer than 2**40
+        number, rows = TaskContext.get().partitionId() << 40, [[] for _ in range(5)]
+
+        def shards(last: bool):
+            nonlocal number, rows
+            # of the rows that are left at the end, half a shard or less joins the shard before
+            while len(rows[0]) >= 2 * shard_rows or (last and rows[0]):
+                take = shard_rows if len(rows[0]) > 1.5 * shard_rows else len(rows[0])
+                out = packed(number, *(r[:take] for r in rows))
+                number, rows = int(np.max(out.column(5).to_numpy())) + 1, [r[take:] for r in rows]
+                yield out
+
         for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            cuts = np.flatnonzero(np.diff(np.array(cols[5]))) + 1
-            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
-                if cols[5][a] != shard and rows[0]:
-                    yield shard_rows_of(shard, *rows)
-                    rows = [[] for _ in range(5)]
-                shard = cols[5][a]
-                for r, c in zip(rows, cols):
-                    r.extend(c[a:z])
-        if rows[0]:
-            yield shard_rows_of(shard, *rows)
-
-    out = dealt.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+            for r, c in zip(rows, b.columns):
+                r.extend(c.to_pylist())
+            yield from shards(False)
+        yield from shards(True)
+
+    out = dealt.select("doc_id", "n", "crcs", "terms", "tfs").mapInArrow(run, ", ".join(f"{x} long" for x in names))
     return out.withColumn("doc_id", real_id())

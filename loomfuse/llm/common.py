@@ -10,6 +10,9 @@ Conventions that every operator here follows:
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
 import uuid
 
 import numpy as np
@@ -197,3 +200,13 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def table(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+
+def one_thread() -> None:
+    """Numpy's linear algebra on one thread, where its library lets it be said: a task has one core, on which threads of small products only wait."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break

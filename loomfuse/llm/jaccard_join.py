@@ -5,8 +5,8 @@ whole sequence. Two documents link when 100 * |A and B| >= 90 * |A or B|.
 
 Such a pair differs in d <= |A| / 9 shingles, |A| <= |B|. A sketch has one bit a shingle hash, XORed; its
 Hamming distance is at most d. It is cut into B > d + 1 blocks of 64 bits, of which linked sets share B - d at least
-(pigeonhole); so their d + 1 first blocks, in one order for all, have one in common, and only these are joined: blocks
-that many documents share (a common passage) or that hold few shingles come last in that order and are left out without losing a link.
+(pigeonhole); so their d + 1 first blocks, in one order for all, have one in common, and only these are joined, by the shingles in
+them: blocks of few shingles, or only of such that many documents share (a common passage), come last in that order and are left out without losing a link.
 Sizes are banded; sizes within 10/9 of the next band are sketched for both. Equal blocks are joined as stars, never as
 pairs of a group. Pairs are compared by the Hamming distance of folded sketches (blocks XORed to an eighth, so that it is a lower
 bound as well), and every pair that is left is verified on the sets. A group whose stars leave several components is
@@ -35,8 +35,8 @@ SHINGLE, PERCENT = 3, 90
 COMBINE, CHUNK = 500_000, 1 << 19
 #: Members of a group that is settled along with others.
 SMALL = 256
-#: Blocks whose order is set by how many documents share them; others are ordered by their hash. Only the speed depends on it.
-COMMON = 1 << 18
+#: Shingles that count as common at most; how often a task must see one at least. Only the speed depends on them.
+COMMON, LEAST = 1 << 20, 3
 U = np.uint64
 
 
@@ -69,12 +69,17 @@ def n_blocks(band: int, percent: int = PERCENT) -> int:
     return least + least // 3 + 1
 
 
+def placed(members: np.ndarray, band: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Block of each member, and its bit there."""
+    r = mix(members ^ U(band * 0x9E3779B97F4A7C15 % 2**64))
+    return ((r >> U(32)) % U(n_blocks(band, percent))).astype(np.int64), U(1) << (r & U(63))
+
+
 def sketch(members: np.ndarray, band: int, percent: int = PERCENT) -> np.ndarray:
     """64-bit blocks of the parity sketch of a set of hashes."""
-    blocks = n_blocks(band, percent)
-    r = mix(members ^ U(band * 0x9E3779B97F4A7C15 % 2**64))
-    at = ((r >> U(32)) % U(blocks)).astype(np.int64) * 64 + (r & U(63)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=64 * blocks) & 1).astype(np.uint8)).view(U)
+    out = np.zeros(n_blocks(band, percent), U)
+    np.bitwise_xor.at(out, *placed(members, band, percent))
+    return out
 
 
 def folded(blocks: np.ndarray) -> np.ndarray:
@@ -85,43 +90,43 @@ def folded(blocks: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduce(np.r_[blocks, np.zeros(-len(blocks) % width, U)].reshape(-1, width), axis=0)
 
 
-def block_keys(blocks: np.ndarray, place: np.ndarray, band: np.ndarray) -> np.ndarray:
-    where = place.astype(U) * U(0xD6E8FEB86659FD93) + band.astype(U) * U(0xA24BAED4963EE407)
-    return mix(mix(blocks) ^ mix(where))
-
-
 class Drawn:
-    """The sketches of some sets, flat: the set of each, its keys, and how many keys lie before each."""
+    """The sketches of some sets, flat: the set of each, and how many blocks lie before each."""
 
     def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
         self.percent, self.n = percent, np.array([len(x) for x in sets], np.int64)
-        made = [(i, band, sketch(x, band, percent)) for i, x in enumerate(sets) if most_apart(len(x), percent) for band in layouts(len(x), percent)]
-        self.rows, bands_ = (np.array([m[i] for m in made], np.int64) for i in (0, 1))
-        self.blocks = [m[2] for m in made]
-        sizes = np.array([len(x) for x in self.blocks], np.int64)
-        flat = np.concatenate([*self.blocks, np.zeros(0, U)])
-        self.upto, self.bits = np.r_[0, np.cumsum(sizes)], np.bitwise_count(flat)
-        self.keys = block_keys(flat, ragged(np.zeros(len(sizes), np.int64), sizes), np.repeat(bands_, sizes))
+        made = [(i, band, sets[i], *placed(sets[i], band, percent)) for i in range(len(sets)) if most_apart(len(sets[i]), percent) for band in layouts(len(sets[i]), percent)]
+        self.rows, self.bands = (np.array([m[i] for m in made], np.int64) for i in (0, 1))
+        self.upto = np.cumsum([0, *(n_blocks(b, percent) for b in self.bands.tolist())])
+        self.members = np.concatenate([*(m[2] for m in made), np.zeros(0, U)])
+        self.at = np.concatenate([*(m[3] + a for m, a in zip(made, self.upto.tolist())), np.zeros(0, np.int64)])
+        self.blocks = np.zeros(int(self.upto[-1]), U)
+        np.bitwise_xor.at(self.blocks, self.at, np.concatenate([*(m[4] for m in made), np.zeros(0, U)]))
 
     def folds(self) -> list[list[bytes | None]]:
         """Own and next folded sketch of each set, or None."""
         out: list[list] = [[None] * len(self.n), [None] * len(self.n)]
-        for i, x in zip(self.rows.tolist(), self.blocks):
-            out[out[0][i] is not None][i] = folded(x).tobytes()
+        for i, a, z in zip(self.rows.tolist(), self.upto.tolist(), self.upto[1:].tolist()):
+            out[out[0][i] is not None][i] = folded(self.blocks[a:z]).tobytes()
         return out
 
-    def rarest(self, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, sets): of each sketch the d + 1 keys that come first in the order of all keys."""
-        if not len(self.keys):
-            return self.keys, self.rows
-        rank = np.zeros(len(self.keys), U)
-        if len(common[0]):
-            at = np.minimum(np.searchsorted(common[0], self.keys), len(common[0]) - 1)
-            rank = np.where(common[0][at] == self.keys, np.minimum(common[1][at], 65535), 0).astype(U)
-        part = np.repeat(np.arange(len(self.rows)), np.diff(self.upto))
-        order = np.lexsort(((rank << U(48)) | ((64 - self.bits).astype(U) << U(40)) | (mix(self.keys) >> U(24)), part))
+    def first_keys(self, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, sets): of each sketch the d + 1 keys that come first in the order of all keys, that of the most shingles which are not ``common``
+        (sorted hashes) first, then that of the most shingles. A key names the shingles of a block, so that the order is one for all sets."""
+        if not len(self.blocks):
+            return self.blocks, self.rows
+        rare = np.ones(len(self.members), bool)
+        if len(common):
+            rare = common[np.minimum(np.searchsorted(common, self.members), len(common) - 1)] != self.members
+        own = np.zeros(len(self.blocks), U)
+        np.bitwise_xor.at(own, self.at, mix(self.members))
+        few, all_ = (63 - np.minimum(np.bincount(self.at, w, len(self.blocks)), 63).astype(np.int64) for w in (rare, None))
+        sizes = np.diff(self.upto)
+        place = ragged(np.zeros(len(sizes), np.int64), sizes).astype(U) * U(0xD6E8FEB86659FD93) + np.repeat(self.bands, sizes).astype(U) * U(0xA24BAED4963EE407)
+        keys = mix(mix(own) ^ mix(place))
+        order = np.lexsort((few.astype(U) << U(48) | all_.astype(U) << U(40) | mix(keys) >> U(24), np.repeat(np.arange(len(sizes)), sizes)))
         wanted = (100 - self.percent) * self.n[self.rows] // self.percent + 1
-        return self.keys[order[ragged(self.upto[:-1], wanted)]], np.repeat(self.rows, wanted)
+        return keys[order[ragged(self.upto[:-1], wanted)]], np.repeat(self.rows, wanted)
 
 
 def text_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -149,7 +154,7 @@ def signature(members: np.ndarray) -> tuple[int, int]:
 
 def sketched(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n, s1, s2 (size and signature of each row's set), own, next (folded sketches in its band and, if a partner can lie there,
-    in the next; null where only equal sets link); and, in rows with no n, key and times of block keys that a task saw twice or more."""
+    in the next; null where only equal sets link); and, in rows with no n, key and times of shingles that a task saw in ``LEAST`` sets or more."""
     names = ["doc_id", "n", "s1", "s2", "own", "next", "key", "times"]
 
     def run(batches):
@@ -157,7 +162,7 @@ def sketched(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
 
         def flush():
             keys, n = np.unique(np.concatenate(seen), return_counts=True)
-            keys, n, none = keys[n > 1], n[n > 1], pa.nulls(int((n > 1).sum()))
+            keys, n, none = keys[n >= LEAST], n[n >= LEAST], pa.nulls(int((n >= LEAST).sum()))
             seen.clear()
             return pa.RecordBatch.from_arrays([*(none.cast(t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())), pa.array(keys.view(np.int64)), pa.array(n)], names)
 
@@ -165,11 +170,11 @@ def sketched(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
             for part in pieces(b, "text"):
                 sets = text_sets(*buffers(part.column(1)), k)
                 sig, drawn = [signature(s) for s in sets], Drawn(sets, percent)
-                seen.append(drawn.keys)
-                size += len(drawn.keys)
+                seen += sets
+                size += int(drawn.n.sum())
                 none = pa.nulls(len(sets), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(drawn.n), *(pa.array([x[i] for x in sig], pa.int64()) for i in (0, 1)), *(pa.array(f, pa.binary()) for f in drawn.folds()), none, none], names)
-                if size > COMBINE:
+                if size > 4 * COMBINE:
                     yield flush()
                     size = 0
         if size:
@@ -178,17 +183,15 @@ def sketched(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
     return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, own binary, next binary, key long, times long")
 
 
-def common_blocks(made: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` keys that most documents share (sorted), and about how many these are."""
-    told = made.where("n is null").groupBy("key").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "key").limit(most).toArrow()
-    keys, n = told["key"].to_numpy().astype(np.int64).view(U), told["n"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
+def common_shingles(made: DataFrame, most: int) -> np.ndarray:
+    """The ``most`` shingles that most documents share, sorted."""
+    told = made.where("n is null").groupBy("key").agg(F.sum("times").alias("n")).orderBy(F.desc("n"), "key").limit(most).select("key").toArrow()
+    return np.sort(told["key"].to_numpy().astype(np.int64).view(U))
 
 
-def stars(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
+def stars(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> DataFrame:
     """key, a, b: for each block key with two documents or more, edges that connect all of them (a < b). Of equal sets a task takes one."""
-    held = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON keys
+    held = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON hashes
 
     def run(batches):
         kept, size, known = [], 0, set()
@@ -216,7 +219,7 @@ def stars(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], k: int, percen
                         known.add(sig)
                 if len(known) > 50_000:  # forgotten copies come once more
                     known.clear()
-                keys, rows = Drawn([sets[i] for i in new], percent).rarest(held.value)
+                keys, rows = Drawn([sets[i] for i in new], percent).first_keys(held.value)
                 kept.append((keys.view(np.int64), ids[np.array(new, np.int64)[rows]]))
                 size += len(keys)
                 if size > COMBINE:
@@ -455,7 +458,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     firsts = of.where("doc_id = head").select("doc_id", "n", "s1", "s2")
     held = cut(made.where("own is not null").join(firsts, ["doc_id", "n", "s1", "s2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "own", "next"), "jaccard-held")
     at = lambda c: of.select(F.col("doc_id").alias(c), F.col("head").alias(f"head_{c}"))
-    star = stars(named, common_blocks(made, COMMON), k, percent).join(at("a"), "a").join(at("b"), "b")
+    star = stars(named, common_shingles(made, COMMON), k, percent).join(at("a"), "a").join(at("b"), "b")
     star = cut(star.select("key", F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")).where("a <> b").distinct(), "jaccard-stars")
     tell = lambda pairs: cut(verified(cut(near(pairs, held, percent), "jaccard-near"), named, k, percent), "jaccard-told")
     told = tell(star.select("a", "b").distinct())

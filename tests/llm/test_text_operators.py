@@ -222,8 +222,8 @@ def test_jaccard(spark, rows, chunk, monkeypatch):
         assert J.jaccard_components(empty(spark)).count() == 0
 
 
-def test_jaccard_rarest_blocks_meet():
-    """Linked sets share one of the blocks that are joined, whatever blocks count as common."""
+def test_jaccard_first_blocks_meet():
+    """Linked sets share one of the blocks that are joined, whatever shingles count as common."""
     import numpy as np
 
     from loomfuse.llm import jaccard_join as J
@@ -239,9 +239,9 @@ def test_jaccard_rarest_blocks_meet():
             if 100 * both < percent * (len(base) + len(other) - both):
                 continue
             drawn = J.Drawn([base, other], percent)
-            some = np.unique(drawn.keys)[::2]
-            for common in ((some[:0], np.zeros(0, np.int64)), (some, r.integers(2, 9, len(some)))):
-                keys, of = drawn.rarest(common)
+            some = np.unique(np.r_[base, other])
+            for common in (some[:0], some[::2], some):
+                keys, of = drawn.first_keys(common)
                 assert set(keys[of == 0].tolist()) & set(keys[of == 1].tolist()), (percent, n)
             # a folded sketch differs in no more bits than the sets do
             one, two = sorted((base, other), key=len)

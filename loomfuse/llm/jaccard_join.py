@@ -295,15 +295,11 @@ def with_labels(groups: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def merged(labels: DataFrame, new: DataFrame) -> DataFrame:
-    """Labels (u, label) after links (a, b) between nodes of different components."""
-    # the smallest node of a component has no row in labels, and may be no end of a link either
-    least = labels.select(F.col("label").alias("u"))
-    more = least.union(new.select(F.col("a").alias("u"))).union(new.select(F.col("b").alias("u"))).distinct()
-    nodes = labels.unionByName(more.join(labels, "u", "left_anti").select("u", F.col("u").alias("label")))
-    of = lambda c, n: labels.select(F.col("u").alias(c), F.col("label").alias(n))
-    edges = new.join(of("a", "la"), "a", "left").join(of("b", "lb"), "b", "left").select(F.coalesce("la", "a").alias("u"), F.coalesce("lb", "b").alias("v"))
-    up = connected_components(edges).select(F.col("u").alias("label"), F.col("label").alias("to"))
-    return nodes.join(up, "label", "left").select("u", F.coalesce("to", "label").alias("label"))
+    """Labels (u, label) after links (a, b) between nodes of different components; smallest nodes have rows as well."""
+    edges = labels.select("u", F.col("label").alias("v")).unionByName(new.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    found = connected_components(edges)
+    roots = labels.where("u = label").select("u").join(found, "u", "left_anti").union(found.select(F.col("label").alias("u"))).distinct()
+    return found.unionByName(roots.select("u", F.col("u").alias("label")))
 
 
 def settle(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, drawn: list[list[bytes | None]], no: list[set[int]], side: np.ndarray, percent: int, most: int = 1) -> list[tuple[int, int]]:
@@ -406,15 +402,15 @@ def proposals(groups: DataFrame, held: DataFrame, refuted: DataFrame, percent: i
     """key, a, b: pairs across components that may link, as ``settle`` picks them for each pair of chunks of a group.
 
     ``groups``: key, id, label. A group up to ``chunk`` bytes of sketches is one chunk; pairs of chunks of one and the same label are left out."""
-    bytes_of = held.select(F.col("doc_id").alias("id"), F.octet_length("own").alias("size"))
-    order = Window.partitionBy("key").orderBy("label", "id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = groups.join(bytes_of, "id").select("key", "id", "label", F.floor((F.sum("size").over(order) - F.col("size")) / chunk).alias("c"))
-    parts = placed.groupBy("key", "c").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    other = parts.select("key", F.col("c").alias("d"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pairs = parts.join(other, "key").where("c <= d and not (x = y and x2 = y2 and x = x2)").select("key", "c", "d", F.explode(F.array_distinct(F.array("c", "d"))).alias("at"))
-    each = placed.withColumnRenamed("c", "at").join(pairs, ["key", "at"])
     known = refuted.select(F.col("a").alias("id"), "b").groupBy("id").agg(F.collect_set("b").alias("no"))
-    full = each.join(known, "id", "left").join(held.select(F.col("doc_id").alias("id"), "n", "own", "next"), "id")
+    full = groups.join(held.select(F.col("doc_id").alias("id"), "n", "own", "next"), "id").join(known, "id", "left")
+    order = Window.partitionBy("key").orderBy("label", "id").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.octet_length("own")
+    full = full.withColumn("at", F.floor((F.sum(size).over(order) - size) / chunk))
+    parts = full.groupBy("key", "at").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    one, two = (parts.select("key", F.col("at").alias(c), F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}")) for c in "cd")
+    pairs = one.join(two, "key").where("c <= d and not (xc = yc and xd = yd and xc = xd)").select("key", "c", "d")
+    full = full.join(pairs, "key").where("at = c or at = d")
 
     def settled(t: pa.Table) -> pa.RecordBatch:
         """Whole groups, one after the other."""
@@ -469,8 +465,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
         now = cut(with_labels(groups, labels), "jaccard-open")
         if now.isEmpty():
             break
-        # a forest first; pairs that only seem to link are refuted by more and more at once then
-        found = cut(proposals(now, held, refuted, percent, chunk, 8**turn), "jaccard-more")
+        # pairs that only seem to link are refuted by more and more at once
+        found = cut(proposals(now, held, refuted, percent, chunk, 8 ** (turn + 1)), "jaccard-more")
         if found.isEmpty():
             break
         told = tell(found.select("a", "b").distinct())

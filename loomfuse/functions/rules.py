@@ -35,6 +35,21 @@ CSV_HEADERS = {
     "name": "name", "full name": "name", "candidate": "name", "candidate name": "name", "email": "email", "e-mail": "email", "email address": "email", "phone": "phone", "phone number": "phone", "mobile": "phone", "contact": "phone",
     "current_company": "company", "current company": "company", "company": "company", "employer": "company", "organization": "company", "title": "title", "job title": "title", "role": "title", "position": "title", "location": "location", "city": "location",
 }
+#: Names under which JSON exports hold their applicants, and spellings of their keys; the first that is present counts.
+JSON_WRAPS = ("candidates", "applicants", "results", "data", "records")
+JSON_KEYS = {
+    "contact": ("contact", "contactInfo"), "addr": ("addr", "address", "location"), "social": ("social", "links", "socialProfiles"), "years": ("totalExperienceYears", "yearsOfExperience", "experienceYears"),
+    "full_name": ("applicant_name", "fullName", "name", "candidateName"), "email": ("primaryEmail", "email"), "other_email": ("altEmail", "secondaryEmail"), "phone": ("mobileNumber", "phone", "mobile"),
+    "city": ("town", "city"), "region": ("state", "region", "province"), "country": ("nation", "country", "countryCode"), "linkedin": ("linkedinUrl", "linkedin"), "github": ("githubUrl", "github", "githubHandle"), "portfolio": ("website", "portfolio", "blog"),
+    "headline": ("headline", "summary", "professionalSummary"), "skills": ("skillSet", "skills", "keySkills"), "experience": ("employmentHistory", "experience", "workHistory"), "education": ("academics", "education", "educationHistory"),
+}
+JSON_JOB = {"company": ("employer", "company", "organisation", "organization"), "title": ("designation", "role", "title", "jobTitle"), "start": ("from", "startDate", "since", "start"), "end": ("to", "endDate", "until", "end"), "summary": ("description", "summary", "responsibilities")}
+JSON_COURSE = {"institution": ("school", "institution", "university", "college"), "degree": ("qualification", "degree"), "field": ("specialization", "field", "major", "fieldOfStudy"), "end_year": ("yearOfPassing", "endYear", "graduationYear", "year")}
+#: Notes: the label of a name, where blocks begin, what ends a name, and years of experience.
+NOTE_LABEL = r"(?im)^(?:candidate|name|re|subject)\s*[:\-]\s*(.+)$"
+NOTE_BLOCK = r"(?im)(?=^(?:candidate|name|re)\s*[:\-])"
+NOTE_NAME_END = r"[<(,|]|\s—\s|\s-\s"
+NOTE_YEARS = r"(?iU)(\d+(?:\.\d+)?)\s*\+?\s*(?:years|yrs|yr)\b"
 HEADINGS = {
     "summary": "summary", "objective": "summary", "profile": "summary", "about": "summary", "experience": "experience", "work experience": "experience", "employment": "experience", "professional experience": "experience", "work history": "experience",
     "education": "education", "academics": "education", "academic background": "education", "skills": "skills", "technical skills": "skills", "core skills": "skills", "technologies": "skills",

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from loomfuse.functions.normalize import KINDS
 from loomfuse.plans.config import FieldSpec, OutputConfig
 
+#: Fixed value: the grammar of one step of a path.
 TOKEN = re.compile(r"^([A-Za-z_]\w*)?(\[(\d*)\])?$")
 Typed = tuple[Column, T.DataType]
 

@@ -10,11 +10,11 @@ TYPES = ("string", "number", "integer", "boolean", "string[]", "number[]", "obje
 
 
 class ProjectionError(Exception):
-    """A field that must not be missing is."""
+    """A field that must not be missing is, in a strict run."""
 
 
 class ValidationError(Exception):
-    """An output row breaks its schema."""
+    """An output row breaks its schema, in a strict run."""
 
 
 @dataclass

@@ -13,7 +13,7 @@ from loomfuse.operators.projection import project, render
 from loomfuse.operators.records import normalize_records
 from loomfuse.operators.validation import DEFAULT_SCHEMA, config_errors, default_errors
 from loomfuse.plans.components import _cut
-from loomfuse.plans.config import OutputConfig
+from loomfuse.plans.config import OutputConfig, ProjectionError, ValidationError
 from loomfuse.sources.readers import READERS, TEXT_READERS, detect_type
 from loomfuse.sources.schemas import RAW
 
@@ -105,11 +105,14 @@ def shape(profiles: DataFrame, config: OutputConfig | None = None, validate: boo
     return good, bad
 
 
-def run(spark: SparkSession, sources: list[Source | str], config: OutputConfig | None = None, validate: bool = True) -> Result:
-    """Read, normalize, resolve, merge, shape and check."""
+def run(spark: SparkSession, sources: list[Source | str], config: OutputConfig | None = None, validate: bool = True, strict: bool = False) -> Result:
+    """Read, normalize, resolve, merge, shape and check. ``strict``: the first row that breaks the configuration or a schema raises
+    ProjectionError or ValidationError; else such rows become warnings."""
     raw, warnings = extract_all(spark, sources)
     profiles = _cut(build_profiles(raw, config.default_region if config else "US"))
     outputs, bad = shape(profiles, config, validate)
+    if strict and (first := bad.orderBy("source").first()) is not None:
+        raise (ProjectionError if first["message"].startswith("required value") else ValidationError)(f"{first['source']}: {first['message']}")
     order = ["candidate_id", "cluster"]
     return Result(outputs.orderBy(*order), profiles.orderBy(*order), warnings.unionByName(bad))
 

@@ -85,33 +85,29 @@ def json_list(v: Column, *keys: str) -> Column:
 def read_json(files: DataFrame) -> DataFrame:
     """Applicants of JSON exports: a list, an object that wraps one, or a single object. Unreadable text gives no rows."""
     doc = files.select("spec_idx", F.try_parse_json("text").alias("v"))
-    wraps = [F.try_variant_get("v", f"$.{k}", "array<variant>") for k in ("candidates", "applicants", "results", "data", "records")]
+    wraps = [F.try_variant_get("v", f"$.{k}", "array<variant>") for k in R.JSON_WRAPS]
     every = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), *wraps, F.when(is_object(F.col("v")), F.array("v")), F.array().cast("array<variant>"))
     df = doc.select("spec_idx", F.posexplode(every).alias("pos", "a")).where(is_object(F.col("a")))
-    a = F.col("a")
-    df = df.select("spec_idx", "pos", "a", json_value(a, "contact", "contactInfo").alias("contact"), json_value(a, "addr", "address", "location").alias("addr"), json_value(a, "social", "links", "socialProfiles").alias("social"), json_value(a, "totalExperienceYears", "yearsOfExperience", "experienceYears").alias("years"))
+    a, keys = F.col("a"), R.JSON_KEYS
+    df = df.select("spec_idx", "pos", "a", *(json_value(a, *keys[k]).alias(k) for k in ("contact", "addr", "social", "years")))
     contact, addr, social, years = (F.col(c) for c in ("contact", "addr", "social", "years"))
     present = lambda *cs: F.filter(F.array(*cs), lambda x: x.isNotNull())
-    hub = json_text(social, "githubUrl", "github", "githubHandle")
+    text = lambda v, k: json_text(v, *keys[k])
+    hub = text(social, "github")
     textual = F.schema_of_variant(years) == "STRING"
     strings = lambda x: F.filter(F.transform(x, lambda s: F.try_variant_get(s, "$", "string")), lambda s: s.isNotNull() & (s != ""))
-    job = lambda j: F.struct(*(json_text(j, *k).alias(n) for n, k in (("company", ("employer", "company", "organisation", "organization")), ("title", ("designation", "role", "title", "jobTitle")), ("start", ("from", "startDate", "since", "start")), ("end", ("to", "endDate", "until", "end")), ("summary", ("description", "summary", "responsibilities")))))
-    course = lambda e: F.struct(*(json_text(e, *k).alias(n) for n, k in (("institution", ("school", "institution", "university", "college")), ("degree", ("qualification", "degree")), ("field", ("specialization", "field", "major", "fieldOfStudy")), ("end_year", ("yearOfPassing", "endYear", "graduationYear", "year")))))
+    entries = lambda k, names: F.transform(F.filter(json_list(a, *keys[k]), is_object), lambda e: F.struct(*(json_text(e, *ks).alias(n) for n, ks in names.items())))
     return as_raw(
-        df, source=F.lit("ats_json"), full_name=json_text(a, "applicant_name", "fullName", "name", "candidateName"),
-        emails=present(json_text(contact, "primaryEmail", "email"), json_text(contact, "altEmail", "secondaryEmail"), json_text(a, "email")), phones=present(json_text(contact, "mobileNumber", "phone", "mobile"), json_text(a, "phone")),
-        city=json_text(addr, "town", "city"), region=json_text(addr, "state", "region", "province"), country_text=json_text(addr, "nation", "country", "countryCode"), location_text=F.when(F.schema_of_variant(addr) == "STRING", F.try_variant_get(addr, "$", "string")),
-        linkedin=json_text(social, "linkedinUrl", "linkedin"), github=F.when(hub.startswith("http"), hub).otherwise(F.concat(F.lit("https://github.com/"), hub)), portfolio=json_text(social, "website", "portfolio", "blog"),
-        headline=json_text(a, "headline", "summary", "professionalSummary"), years_num=F.when(~textual, F.coalesce(F.try_variant_get(years, "$", "double"), F.try_variant_get(years, "$", "boolean").cast("double"))), years_txt=F.when(textual, F.try_variant_get(years, "$", "string")),
-        skills=strings(json_list(a, "skillSet", "skills", "keySkills")), experience=F.transform(F.filter(json_list(a, "employmentHistory", "experience", "workHistory"), is_object), job), education=F.transform(F.filter(json_list(a, "academics", "education", "educationHistory"), is_object), course),
+        df, source=F.lit("ats_json"), full_name=text(a, "full_name"), emails=present(text(contact, "email"), text(contact, "other_email"), json_text(a, "email")), phones=present(text(contact, "phone"), json_text(a, "phone")),
+        city=text(addr, "city"), region=text(addr, "region"), country_text=text(addr, "country"), location_text=F.when(F.schema_of_variant(addr) == "STRING", F.try_variant_get(addr, "$", "string")),
+        linkedin=text(social, "linkedin"), github=F.when(hub.startswith("http"), hub).otherwise(F.concat(F.lit("https://github.com/"), hub)), portfolio=text(social, "portfolio"), headline=text(a, "headline"),
+        years_num=F.when(~textual, F.coalesce(F.try_variant_get(years, "$", "double"), F.try_variant_get(years, "$", "boolean").cast("double"))), years_txt=F.when(textual, F.try_variant_get(years, "$", "string")),
+        skills=strings(json_list(a, *keys["skills"])), experience=entries("experience", R.JSON_JOB), education=entries("education", R.JSON_COURSE),
     )
 
 
 # ---- notes ------------------------------------------------------------------------------------------------
 
-LABEL = r"(?im)^(?:candidate|name|re|subject)\s*[:\-]\s*(.+)$"
-
-
 def scan_phones(text: Column) -> Column:
     """Phone-like runs of 7 to 15 digits, each once."""
     return F.array_distinct(F.transform(F.filter(F.regexp_extract_all(text, F.lit(R.PHONE), F.lit(1)), lambda x: F.length(F.regexp_replace(x, r"(?U)\D", "")).between(7, 15)), strip))
@@ -135,12 +131,12 @@ def scan_skills(text: Column) -> Column:
 
 def split_notes(text: Column) -> Column:
     """Blocks: before each label, else paragraphs."""
-    blocks = F.when(text.rlike(LABEL), F.split(text, r"(?im)(?=^(?:candidate|name|re)\s*[:\-])")).otherwise(F.split(text, r"\n\s*\n"))
+    blocks = F.when(text.rlike(R.NOTE_LABEL), F.split(text, R.NOTE_BLOCK)).otherwise(F.split(text, r"\n\s*\n"))
     return F.filter(blocks, lambda b: strip(b) != "")
 
 
 def note_name(block: Column) -> Column:
-    value = strip(F.get(F.split(strip(F.regexp_extract(block, LABEL, 1)), r"[<(,|]|\s—\s|\s-\s"), F.lit(0)))
+    value = strip(F.get(F.split(strip(F.regexp_extract(block, R.NOTE_LABEL, 1)), R.NOTE_NAME_END), F.lit(0)))
     return blank_to_null(F.regexp_replace(F.regexp_replace(value, R.EMAIL, ""), r"^[ .,\-]+|[ .,\-]+$", ""))
 
 
@@ -148,7 +144,7 @@ def read_notes(files: DataFrame) -> DataFrame:
     """A record for each block with a name, an e-mail, a phone or a skill."""
     df = files.select("spec_idx", F.posexplode(split_notes(F.col("text"))).alias("pos", "block"))
     b = F.col("block")
-    df = df.select("spec_idx", "pos", note_name(b).alias("full_name"), scan_emails(b).alias("emails"), scan_phones(b).alias("phones"), first_match(b, r"(?iU)(\d+(?:\.\d+)?)\s*\+?\s*(?:years|yrs|yr)\b", 1).alias("years_txt"), scan_skills(b).alias("skills"))
+    df = df.select("spec_idx", "pos", note_name(b).alias("full_name"), scan_emails(b).alias("emails"), scan_phones(b).alias("phones"), first_match(b, R.NOTE_YEARS, 1).alias("years_txt"), scan_skills(b).alias("skills"))
     return as_raw(df.where("full_name is not null or size(emails) > 0 or size(phones) > 0 or size(skills) > 0"), source=F.lit("recruiter_notes"))
 
 

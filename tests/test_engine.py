@@ -204,3 +204,30 @@ def test_phone_query_takes_whole_texts(spark, tmp_path):
     want = {(i, p.strip()) for i, t in enumerate(texts) for p in pattern.findall(t or "") if 7 <= sum(c.isdigit() for c in p) <= 15}
     got = [tuple(r) for r in phone_digit_filter(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and {(0, "9876543210"), (1, "212-555-0199"), (7, "+34 612 345 678")} <= want
+
+
+def test_strict_runs_raise(spark):
+    from loomfuse.plans.config import ProjectionError, ValidationError
+
+    source = [Source(type="recruiter_notes", text="Candidate: Ann Lee\nann@lee.org, knows Go")]
+    needs = OutputConfig.from_dict({"fields": [{"path": "headline", "on_missing": "error"}]})
+    with pytest.raises(ProjectionError, match="headline"):
+        run(spark, source, needs, strict=True)
+    assert run(spark, source, needs).warnings.count() == 1
+    odd = OutputConfig.from_dict({"fields": [{"path": "full_name", "type": "number"}]})
+    with pytest.raises(ValidationError, match="expected number"):
+        run(spark, source, odd, strict=True)
+    assert run(spark, source, strict=True).outputs.count() == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from loomfuse.cli import main
+
+    (tmp_path / "notes.txt").write_text("Candidate: Ann Lee\nann@lee.org, knows Go\n\nCandidate: Bo Ray\nbo@ray.org, knows Rust")
+    (tmp_path / "bad.xyz").write_text("")
+    assert main(["-s", f"recruiter_notes={tmp_path}/notes.txt", "-s", f"{tmp_path}/bad.xyz", "--keywords", "rust", "-o", str(tmp_path / "out.json")]) == 0
+    rows = json.loads((tmp_path / "out.json").read_text())
+    assert [r["full_name"] for r in rows] == ["Bo Ray", "Ann Lee"] and "not recognised" in capsys.readouterr().err
+    assert main(["-s", f"{tmp_path}/notes.txt", "-q", "--lines", str(tmp_path / "lines")]) == 0
+    assert sorted(json.loads(r.value)["full_name"] for r in spark.read.text(str(tmp_path / "lines")).collect()) == ["Ann Lee", "Bo Ray"]
+    assert main([]) == 2

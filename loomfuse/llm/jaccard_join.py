@@ -404,13 +404,17 @@ def proposals(groups: DataFrame, held: DataFrame, refuted: DataFrame, percent: i
     ``groups``: key, id, label. A group up to ``chunk`` bytes of sketches is one chunk; pairs of chunks of one and the same label are left out."""
     known = refuted.select(F.col("a").alias("id"), "b").groupBy("id").agg(F.collect_set("b").alias("no"))
     full = groups.join(held.select(F.col("doc_id").alias("id"), "n", "own", "next"), "id").join(known, "id", "left")
-    order = Window.partitionBy("key").orderBy("label", "id").rowsBetween(Window.unboundedPreceding, 0)
     size = F.octet_length("own")
-    full = full.withColumn("at", F.floor((F.sum(size).over(order) - size) / chunk))
-    parts = full.groupBy("key", "at").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    one, two = (parts.select("key", F.col("at").alias(c), F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}")) for c in "cd")
-    pairs = one.join(two, "key").where("c <= d and not (xc = yc and xd = yd and xc = xd)").select("key", "c", "d")
-    full = full.join(pairs, "key").where("at = c or at = d")
+    large = cut(groups.join(held.select(F.col("doc_id").alias("id"), size.alias("size")), "id").groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") > chunk).select("key"), "jaccard-large")
+    none = F.lit(0).cast("long")
+    every = full.join(large, "key", "left_anti").withColumn("at", none).withColumn("c", none).withColumn("d", none)
+    if not large.isEmpty():
+        order = Window.partitionBy("key").orderBy("label", "id").rowsBetween(Window.unboundedPreceding, 0)
+        cuts = full.join(large, "key", "left_semi").withColumn("at", F.floor((F.sum(size).over(order) - size) / chunk))
+        parts = cuts.groupBy("key", "at").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+        one, two = (parts.select("key", F.col("at").alias(c), F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}")) for c in "cd")
+        pairs = one.join(two, "key").where("c <= d and not (xc = yc and xd = yd and xc = xd)").select("key", "c", "d")
+        every = every.unionByName(cuts.join(pairs, "key").where("at = c or at = d"))
 
     def settled(t: pa.Table) -> pa.RecordBatch:
         """Whole groups, one after the other."""
@@ -440,7 +444,7 @@ def proposals(groups: DataFrame, held: DataFrame, refuted: DataFrame, percent: i
         if left is not None and left.num_rows:
             yield settled(left)
 
-    return full.select("key", "c", "d", "at", "id", "label", "n", "own", "next", "no").repartition("key", "c", "d").sortWithinPartitions("key", "c", "d").mapInArrow(run, "key long, a long, b long")
+    return every.select("key", "c", "d", "at", "id", "label", "n", "own", "next", "no").repartition("key", "c", "d").sortWithinPartitions("key", "c", "d").mapInArrow(run, "key long, a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:

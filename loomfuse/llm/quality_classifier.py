@@ -29,7 +29,7 @@ MIN_DF, CUT, LEAST_G, COVER = 4, 0.5, 20.0, 3
 #: How sure a pseudo-label must be, and its weight: a view that one kind of bad document eludes is told, not overruled.
 SURE, PSEUDO = 0.97, 0.25
 #: Strength of the prior on weights, in observations.
-PRIOR = 1.0
+PRIOR = 3.0
 #: Bounds of the bins of a layout figure: sixths, and finer ones at both ends where odd documents lie. A figure counts in both.
 COARSE = np.linspace(0, 1, 7)[1:-1]
 FINE = np.r_[0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.07, np.linspace(0.1, 0.9, 17), 0.93, 0.95, 0.97, 0.98, 0.99, 0.995, 0.998]

@@ -447,8 +447,10 @@ def proposals(groups: DataFrame, held: DataFrame, refuted: DataFrame, percent: i
     return every.select("key", "c", "d", "at", "id", "label", "n", "own", "next", "no").repartition("key", "c", "d").sortWithinPartitions("key", "c", "d").mapInArrow(run, "key long, a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id, n_links (verified links kept for it, not all there are)."""
+def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, chunk: int = CHUNK, first: int = 1) -> DataFrame:
+    """Per document row: doc_id, n_shingles, component_id, n_links (verified links kept for it, not all there are).
+
+    ``first``: the round whose number of proposals the first one takes; 0 spares proposals, 1 spares a round. The rows are the same."""
     named = norm_docs(docs)
     made = cut(sketched(named, k, percent), "jaccard-sets")
     rows = made.where("n is not null").select("doc_id", "n", "s1", "s2")
@@ -469,8 +471,8 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
         now = cut(with_labels(groups, labels), "jaccard-open")
         if now.isEmpty():
             break
-        # a forest first; pairs that only seem to link are refuted by more and more at once then
-        found = cut(proposals(now, held, refuted, percent, chunk, 8**turn), "jaccard-more")
+        # a forest, then more: pairs that only seem to link are refuted by more and more at once
+        found = cut(proposals(now, held, refuted, percent, chunk, 8 ** (turn + first)), "jaccard-more")
         if found.isEmpty():
             break
         told = tell(found.select("a", "b").distinct())
@@ -491,6 +493,6 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, whose document has the smallest id of its component."""
-    found = jaccard_components(docs, k, percent)
+    found = jaccard_components(docs, k, percent, first=0)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
     return without(docs, gone)

@@ -73,4 +73,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_decontaminate, op3_substring_dedup, op4_warc_audit, op5_lm_score, op6_jaccard_join, op7_line_dedup, op8_secret_scan, op9_quality_rules, op10_quality_classifier)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomfuse.llm.token_counts import token_counts
+
+    return token_counts(_read(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomfuse.llm.whitening import whiten
+
+    return whiten(_read(spark, sf_dir, "embeddings"), id_col="vec_id", vector="embedding")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs in all documents, of which a fixed rule makes every tenth periodic from some word on."""
+    from loomfuse.llm.periodic_runs import periodic_runs
+
+    return periodic_runs(_read(spark, sf_dir, "documents"), planted=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_decontaminate, op3_substring_dedup, op4_warc_audit, op5_lm_score, op6_jaccard_join, op7_line_dedup, op8_secret_scan, op9_quality_rules, op10_quality_classifier, op11_token_counts, op12_embedding_whitening, op13_periodic_runs)}

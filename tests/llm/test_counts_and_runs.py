@@ -26,3 +26,65 @@ def test_token_counts(spark):
     assert token_counts(empty(spark)).count() == 0
     clash = frame(spark, rows[:5]).selectExpr("doc_id", "text", "1 as row", "2 as pre", "3 as often", "4 as n_tokens", "5 as n_bytes")
     assert sorted(x.n_tokens for x in token_counts(clash).collect()) == sorted(len(tok.encode(t, add_special_tokens=False).ids) for _, t, *_ in rows[:5])
+
+
+def whitened_by_numpy(rows, most=4):
+    """The contract in plain numpy and Python integers."""
+    good = [(i, [int(np.floor(256 * float(c)) + 0) for c in v]) for i, v in rows if v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    lengths = [len(x) for _, x in good]
+    d = max(set(lengths), key=lambda k: (lengths.count(k), k))
+    good = [g for g in good if len(g[1]) == d]
+    fit = sorted({tuple(x) for _, x in good})
+    n, sums = len(fit), [sum(c) for c in zip(*fit)]
+    y = np.array([[x - s / n for x, s in zip(v, sums)] for v in fit])
+    values, vectors = np.linalg.eigh(y.T @ y / n)
+    out = []
+    for i, x in good:
+        for k in range(min(most, d)):
+            e, u = values[-1 - k], vectors[:, -1 - k]
+            if e > 1e-9:
+                out.append((i, k + 1, n, sum((n * a - s) ** 2 for a, s in zip(x, sums)), abs(float(np.dot([a - s / n for a, s in zip(x, sums)], u) / np.sqrt(e))), e / values.sum()))
+    return out
+
+
+VECTORS = "vec_id long, embedding array<double>, label int"
+
+
+def test_whitening(spark):
+    from loomfuse.llm.whitening import whiten
+
+    r = np.random.default_rng(4)
+    base = r.normal(size=(300, 6)) * [3, 2, 1, 0.5, 0.1, 0.02] @ r.normal(size=(6, 6))
+    rows = [(int(i), [*map(float, v)], 1) for i, v in enumerate(base)] + [(500 + i, [*map(float, base[7])], 2) for i in range(40)]
+    rows += [(600, None, 1), (601, [None, 1.0, 1.0, 1.0, 1.0, 1.0], 1), (602, [float("nan")] * 6, 1), (603, [float("inf"), *[0.0] * 5], 1), (604, [], 1), (605, [1.0], 1), (None, [0.0] * 6, 1), (3, rows[3][1], 1)]
+    got = whiten(spark.createDataFrame(rows, VECTORS).selectExpr("*", "7 as n", "8 as component")).collect()
+    want = whitened_by_numpy([(r[0], r[1]) for r in rows])
+    key = lambda t: (t[0] is None, t[0] or 0, t[1])
+    have = sorted(((g.vec_id, g.component, g.n, g.deviation, abs(g.whitened), g.explained) for g in got), key=key)
+    assert len(have) == len(want) == (300 + 40 + 2) * 4
+    for a, b in zip(have, sorted(want, key=key)):
+        assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], abs=1e-8) and a[5] == pytest.approx(b[5], rel=1e-10)
+    assert len({g.identity_error for g in got}) == 1 and got[0].identity_error < 1e-9
+    signs = {}
+    for g in got:  # one sign a component: copies agree
+        if g.vec_id == 7 or (g.vec_id or 0) >= 500 and g.vec_id is not None:
+            assert signs.setdefault(g.component, g.whitened) == pytest.approx(g.whitened)
+
+
+def test_whitening_small_and_degenerate(spark):
+    from loomfuse.llm.whitening import one_sided_jacobi, pivoted_cholesky, whiten
+
+    make = lambda rows: whiten(spark.createDataFrame(rows, VECTORS))
+    assert make([]).count() == 0 and make([(1, None, 1)]).count() == 0 and make([(1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1)]).count() == 0
+    line = make([(i, [float(i), 2.0 * i, 5.0], 1) for i in range(5)]).collect()  # rank one
+    assert {g.component for g in line} == {1} and line[0].explained == pytest.approx(1) and line[0].identity_error < 1e-9
+    huge = make([(1, [1e300, 0.0], 1), (2, [-1e300, 1.0], 1), (3, [0.0, 3.0], 1)]).collect()
+    assert {g.deviation for g in huge} == {None, 1638401} and len(huge) >= 3
+    r = np.random.default_rng(1)
+    for d, rank in ((1, 1), (7, 7), (12, 5), (33, 33)):
+        a = r.normal(size=(d, rank)) * 10.0 ** -r.integers(0, 6, rank)
+        v = a @ a.T
+        order, factor = pivoted_cholesky(v)
+        assert factor.shape[1] <= rank and np.allclose(np.triu(factor, 1), 0) and np.allclose(factor @ factor.T, v[np.ix_(order, order)], atol=1e-12 * v.max())
+        values, unit = one_sided_jacobi(factor)
+        assert np.allclose(values[:4], np.sort(np.linalg.eigvalsh(v))[::-1][: min(4, len(values))], rtol=1e-9, atol=1e-12) and np.allclose(unit @ unit.T, np.eye(len(unit)), atol=1e-10)

@@ -9,8 +9,8 @@ Three passes, in none of which a text's ids exist:
   3. these rows are joined with the dictionary and summed by document. No key of that join is frequent.
 
 Pre-tokens are the library's own. White space ends one, but for a blank before a word, so that a text is taken apart at
-ASCII white space and each chunk (a word with the blank before it, a run of white space) goes to the library once a
-process. Texts with other white space, or with the special token's string, which the library takes for that token, go to it whole.
+ASCII white space and each chunk (a word with the blank before it, a run of white space) is cut once a process, by the
+library unless it is plainly a word of ASCII letters. Texts with other white space, or with the special token's string, which the library takes for that token, go to it whole.
 
 Null text is the empty text, with no tokens. Rows are counted one by one, so a repeated row is returned as often as it is there.
 Other columns are not read.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,10 @@ from loomfuse.llm.common import buffers, cut, hash_spans, norm_docs, pieces, rag
 
 FILE, SPECIAL, LIMIT = "byte_bpe_50k.json", "<|endoftext|>", 1024
 #: At most so many entries of the dictionary are broadcast, of at most 40 bytes each.
-COMMON = 1 << 17
-SLOTS, MOST_PRE, MOST_IDS, MOST_CHARS = 1 << 18, 400_000, 6_000_000, 48_000_000
+COMMON = 1 << 20
+SLOTS, MOST_PRE, MOST_IDS, MOST_CHARS = 1 << 20, 700_000, 8_000_000, 48_000_000
+#: A chunk that needs no library: a blank or none, ASCII letters, a mark or none. The library writes a leading blank as Ġ.
+PLAIN = re.compile(rb"( ?)([A-Za-z]+)([.,;:!?]?)")
 #: White space beyond ASCII, or the special token.
 WHOLE = regex.compile(r"(?! )\p{Z}|[\x85\u180e]|<\|endoftext\|>")
 #: Between a letter or digit and a mark, or a letter and a digit, pre-tokens always part.
@@ -75,39 +78,42 @@ class PreTokens:
         return len(self.names) > MOST_PRE or self.used > MOST_IDS or self.chars > MOST_CHARS
 
     def _numbers(self, text: str) -> list[int]:
-        out, number = [], self.number
+        out: list[int] = []
         at, n = 0, len(text)
         while at < n:  # a long text in parts, to bound the library's lists
             end = n
             if n - at > PART and (m := SAFE.search(text, at + PART)):
                 end = m.start()
-            for name, _ in self.cut(text[at:end]):
-                i = number.get(name)
-                if i is None:
-                    i = number[name] = len(self.names)
-                    self.names.append(name)
-                    self.chars += len(name)
-                out.append(i)
+            out += [self._one(name) for name, _ in self.cut(text[at:end])]
             at = end
         return out
 
-    def _special(self) -> int:
-        if SPECIAL not in self.number:
-            self.number[SPECIAL] = len(self.names)
-            self.names.append(SPECIAL)
-        return self.number[SPECIAL]
+    def _one(self, name: str) -> int:
+        i = self.number.get(name)
+        if i is None:
+            i = self.number[name] = len(self.names)
+            self.names.append(name)
+            self.chars += len(name)
+        return i
+
+    def _chunk(self, chunk: bytes) -> list[int]:
+        m = PLAIN.fullmatch(chunk)
+        if not m:
+            return self._numbers(chunk.decode())
+        word = self._one(("Ġ" if m[1] else "") + m[2].decode())
+        return [word, self._one(m[3].decode())] if m[3] else [word]
 
     def whole(self, text: str) -> np.ndarray:
         """Pre-tokens of a text that may hold the special token, cut by the library from end to end."""
         out: list[int] = []
         for i, part in enumerate(text.split(SPECIAL)):
             if i:
-                out.append(self._special())
+                out.append(self._one(SPECIAL))
             out += self._numbers(part)
         return np.array(out, np.int64)
 
     def _add(self, texts: list[bytes]) -> np.ndarray:
-        found = [self._numbers(t.decode()) for t in texts]
+        found = [self._chunk(t) for t in texts]
         size, ids = len(found), sum(map(len, found))
         while self.chunks + size > len(self.first):
             self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
@@ -227,7 +233,8 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, c
     spark, texts = docs.sparkSession, norm_docs(docs)
     words = cut(with_pieces(corpus_pre_tokens(texts, path), path), "pre-tokens")
     total = words.agg(F.sum("docs")).first()[0] or 0
-    often = spark.sparkContext.broadcast({short(r.pre): r.n_pieces for r in words.where(F.col("docs") * common >= total).collect()})
+    top = words.where(F.col("docs") * common >= total).select("pre", "n_pieces").toArrow()
+    often = spark.sparkContext.broadcast(dict(zip(map(short, top.column(0).to_pylist()), top.column(1).to_pylist())))
     kind = "row long, doc_id long, n_bytes long, n_tokens long, n_pre_tokens long, pre string, often long"
 
     def run(batches):

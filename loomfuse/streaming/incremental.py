@@ -1,15 +1,38 @@
-"""Records as a stream: normalization is stateless and streams as it is; profiles are rebuilt from all records of a micro-batch's keys."""
+"""Records that arrive in batches: identity and profiles are kept up by reading and writing only the clusters that a batch touches.
+
+A ``ProfileStore`` is a folder of four logs. Each batch adds one version to each, in buckets by a hash of the column that
+it is looked up by; nothing is rewritten:
+
+  keys      key -> root      which cluster a blocking key belongs to; the latest version of a key counts     (by key)
+  members   root, record     the normalized records of a cluster                                             (by root)
+  profiles  root, profile    the latest version of a root counts                                             (by root)
+  gone      root             clusters that have become part of another                                       (by root)
+
+A cluster's root is its smallest record, so a batch is solved on its own small graph: its records, and the roots of the old
+clusters that share a key with one of them, each a single node (the old cluster, contracted). The smallest node of a component
+is the new root. Old clusters whose root changes are carried over to it; a root that is gone never comes back, since
+clusters only grow, so what the logs still hold under it is never read. Then the touched clusters alone are merged anew.
+
+A version reads only versions before it, and replaces what an earlier try of the same version wrote: repeating a batch, whole or
+half done, changes nothing. Buckets of batch keys and touched roots become partition filters of the scans. (spec_idx, pos) must
+tell records of all batches apart. ``compacted`` copies what counts into a store of one version.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from loomfuse.operators.identity import blocking_keys, star_edges
+from loomfuse.operators.profiles import merge_clusters
 from loomfuse.operators.records import normalize_records
-from loomfuse.plans.pipeline import build_profiles
+from loomfuse.plans.components import _cut, connected_components
 from loomfuse.sources.schemas import RAW
 
+BUCKETS = 64
+
 
 def read_records(spark: SparkSession, folder: str, per_trigger: int = 100) -> DataFrame:
     """RAW rows from JSON-lines files that arrive in ``folder``."""
@@ -21,15 +44,109 @@ def normalized_stream(raw: DataFrame, default_region: str = "US") -> DataFrame:
     return normalize_records(raw, default_region)
 
 
-def write_profiles(raw: DataFrame, store: str, out: str, checkpoint: str, default_region: str = "US") -> StreamingQuery:
-    """Keep all RAW rows in ``store`` (by batch) and, after each micro-batch, the profiles of all of them in ``out``/batch=N.
+def _some(df: DataFrame) -> bool:
+    return df.first() is not None
+
+
+class ProfileStore:
+    def __init__(self, spark: SparkSession, folder: str, default_region: str = "US", buckets: int = BUCKETS):
+        self.spark, self.folder, self.region, self.buckets = spark, folder.rstrip("/"), default_region, buckets
+        record = normalize_records(spark.createDataFrame([], RAW), default_region)
+        root = T.StructField("root", record.schema["rec"].dataType)
+        profile = merge_clusters(record.withColumn("cluster", F.col("rec"))).drop("cluster").schema
+        self.schemas = {
+            "keys": T.StructType([T.StructField("key", T.StringType()), root]), "members": T.StructType([root, *record.schema]), "profiles": T.StructType([root, *profile]), "gone": T.StructType([root]),
+        }
+
+    # ---- the logs ----
+
+    def _path(self, table: str) -> str:
+        return f"{self.folder}/{table}"
+
+    def _bucket(self, c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
+
+    def _exists(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def _read(self, table: str, before: int | None, buckets: list[int] | None = None) -> DataFrame:
+        """Rows of the versions before one (None: of all), of some buckets, with their version."""
+        kind = T.StructType([*self.schemas[table], T.StructField("version", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
+        if not self._exists(self._path(table)):
+            return self.spark.createDataFrame([], kind).drop("bucket")
+        df = self.spark.read.schema(kind).parquet(self._path(table))
+        if before is not None:
+            df = df.where(F.col("version") < before)
+        return (df if buckets is None else df.where(F.col("bucket").isin(buckets))).drop("bucket")
+
+    def _write(self, table: str, df: DataFrame, version: int, by: str) -> None:
+        rows = df.select(*self.schemas[table].names).withColumn("bucket", self._bucket(by))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self._path(table)}/version={version}")
+
+    def _buckets_of(self, df: DataFrame, c: str) -> list[int]:
+        """Buckets that hold the values of a column: at most ``buckets`` numbers."""
+        return sorted(r[0] for r in df.select(self._bucket(c).alias("b")).distinct().collect())
+
+    # ---- one batch ----
+
+    def known_roots(self, keys: DataFrame, version: int) -> DataFrame:
+        """key, root of those of ``keys`` (key) that the store knows."""
+        log = self._read("keys", version, self._buckets_of(keys, "key"))
+        return log.join(keys.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max_by("root", "version").alias("root"))
+
+    def members_of(self, roots: DataFrame, version: int) -> DataFrame:
+        """The records of the clusters ``roots`` (root)."""
+        return self._read("members", version, self._buckets_of(roots, "root")).join(roots, "root", "left_semi").drop("version")
+
+    def add(self, raw: DataFrame, version: int) -> None:
+        """Take a batch of RAW rows as version ``version`` (0, 1, …)."""
+        new = _cut(normalize_records(raw, self.region))
+        keys = _cut(new.select("rec", F.explode(blocking_keys("emails", "phones", "full_name")).alias("key")))
+        known = _cut(self.known_roots(keys, version))
+        # the batch's graph: stars of its own keys, and from each key that the store knows one edge to the old cluster
+        leads = keys.join(known, "key").groupBy("key").agg(F.min("rec").alias("u"), F.first("root").alias("v"))
+        labels = _cut(connected_components(star_edges(keys, "key", "rec").unionByName(leads.select("u", "v"))))
+        label = lambda df, c: df.join(labels.select(F.col("u").alias(c), "label"), c, "left").withColumn("now", F.coalesce("label", c)).drop("label")
+        touched = _cut(label(known.select("root").distinct(), "root"))
+        moved = touched.where("root <> now").select("root")
+        old = self.members_of(touched.select("root"), version).join(touched, "root")
+        old = _cut(old.select(F.col("now").alias("root"), (F.col("root") != F.col("now")).alias("carried"), *new.columns))
+        arrived = _cut(label(new, "rec").withColumnRenamed("now", "root").select("root", F.lit(True).alias("carried"), *new.columns))
+        every = old.unionByName(arrived)
+        fresh = every.where("carried").drop("carried")
+        self._write("members", fresh, version, "root")
+        self._write("keys", fresh.select("root", F.explode(blocking_keys("emails", "phones", "full_name")).alias("key")).distinct(), version, "key")
+        self._write("gone", moved, version, "root")
+        self._write("profiles", merge_clusters(every.drop("carried").withColumnRenamed("root", "cluster")).withColumnRenamed("cluster", "root"), version, "root")
+
+    # ---- what counts ----
+
+    def profiles(self, upto: int | None = None) -> DataFrame:
+        """The profiles after all versions (up to and with ``upto``): cluster and the default output fields."""
+        before = None if upto is None else upto + 1
+        log, names = self._read("profiles", before), self.schemas["profiles"].names
+        last = log.groupBy("root").agg(F.max_by(F.struct(*names), "version").alias("p")).select("p.*")
+        return last.join(self._read("gone", before).select("root"), "root", "left_anti").withColumnRenamed("root", "cluster")
+
+    def compacted(self, folder: str) -> ProfileStore:
+        """A store of one version (0) with the same clusters, in a new folder."""
+        out, gone = ProfileStore(self.spark, folder, self.region, self.buckets), self._read("gone", None).select("root")
+        out._write("keys", self._read("keys", None).groupBy("key").agg(F.max_by("root", "version").alias("root")), 0, "key")
+        out._write("members", self._read("members", None).join(gone, "root", "left_anti"), 0, "root")
+        out._write("profiles", self.profiles().withColumnRenamed("cluster", "root"), 0, "root")
+        out._write("gone", gone.limit(0), 0, "root")
+        return out
+
+
+def write_profiles(raw: DataFrame, store: str, checkpoint: str, default_region: str = "US") -> StreamingQuery:
+    """Keep the profiles of all records of a stream of RAW rows in a ``ProfileStore``, a version for each micro-batch.
 
-    Identity links reach over any distance of time, so the state is the table of records, not an operator's."""
+    Identity links reach over any distance of time, so the state is the store, not an operator's. Micro-batch N is version N: one that is
+    repeated after a failure replaces itself."""
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")  # a repeated batch replaces itself
-        spark = batch.sparkSession
-        every = spark.read.parquet(store).where(F.col("batch") <= number).drop("batch")
-        build_profiles(every, default_region).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if _some(batch):
+            ProfileStore(batch.sparkSession, store, default_region).add(batch, number)
 
     return raw.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -180,17 +180,58 @@ def test_ranking(people):
     assert keyword_match(people.profiles, []).first().match_fraction == 0.0
 
 
+def record(pos, source, name=None, emails=(), phones=(), spec=0, **more):
+    base = {"spec_idx": spec, "pos": pos, "source": source, "full_name": name, "emails": list(emails), "phones": list(phones), "other_links": [], "skills": [], "experience": [], "education": []}
+    return base | more
+
+
 def test_stream(spark, tmp_path):
-    from loomfuse.streaming.incremental import read_records, write_profiles
+    from loomfuse.streaming.incremental import ProfileStore, read_records, write_profiles
 
     src = tmp_path / "in"
     src.mkdir()
-    add = lambda n, name: (src / f"{n}.json").write_text(json.dumps({"spec_idx": 0, "pos": n, "source": "ats_json", "full_name": name, "emails": ["a@b.co"], "phones": [], "other_links": [], "skills": [], "experience": [], "education": []}))
-    args = [str(tmp_path / x) for x in ("store", "out", "state")]
-    for n, name in ((0, "Ann Lee"), (1, "Ann B. Lee")):
-        add(n, name)
-        write_profiles(read_records(spark, str(src)), *args).awaitTermination()
-    assert spark.read.parquet(f"{args[1]}/batch=1").count() == 1
+    store, state = str(tmp_path / "store"), str(tmp_path / "state")
+    for n, name in ((0, "Ann Lee"), (1, "Ann B. Lee"), (2, "Bob Ray")):
+        (src / f"{n}.json").write_text(json.dumps(record(n, "ats_json", name, ["a@b.co"] if n < 2 else ["c@d.co"])))
+        write_profiles(read_records(spark, str(src)), store, state).awaitTermination()
+    assert sorted(r.full_name for r in ProfileStore(spark, store).profiles().collect()) == ["Ann B. Lee", "Bob Ray"]
+    assert ProfileStore(spark, store).profiles(0).first().full_name == "Ann Lee"
+
+
+def all_of(df):
+    return sorted(json.dumps(r.asDict(True), sort_keys=True, default=str) for r in df.collect())
+
+
+def test_batches_equal_all_records(spark, tmp_path):
+    """Chains that later batches close, roots that move twice, names and phones as links, records without keys, empty batches, repeats."""
+    from loomfuse.plans.pipeline import build_profiles
+    from loomfuse.sources.schemas import RAW
+    from loomfuse.streaming.incremental import ProfileStore
+
+    batches = [
+        [record(10, "resume", "Ann Lee", ["a@x.co"], skills=["py"]), record(11, "ats_json", None, ["b@x.co"]), record(12, "ats_json", "Cy Doe", ["c@x.co"], headline="x"), record(13, "recruiter_notes")],
+        [],
+        [record(5, "recruiter_csv", None, ["a@x.co", "b@x.co"], headline="joins two"), record(20, "ats_json", "Dan Ek", ["d@x.co"])],
+        [record(1, "resume", "cy doe", ["B@X.co"]), record(2, "resume", None, [], ["+1 415 555 2671"]), record(3, "ats_json", None, ["e@x.co"], ["(415) 555-2671"])],
+        [record(30, "ats_json", "Dan Ek", [], headline="by name"), record(31, "recruiter_notes", spec=2)],
+    ]
+    store = ProfileStore(spark, str(tmp_path / "store"), buckets=8)
+    make = lambda rows: spark.read.schema(RAW).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows], 1))
+    for n, rows in enumerate(batches):
+        store.add(make(rows), n)
+        if n in (2, 4):
+            whole = all_of(build_profiles(make([r for b in batches[: n + 1] for r in b])))
+            assert all_of(store.profiles()) == whole, n
+    store.add(make(batches[4]), 4)  # a batch once more changes nothing
+    assert all_of(store.profiles()) == whole
+    # only touched clusters are merged and written
+    assert spark.read.parquet(str(tmp_path / "store/profiles/version=4")).count() == 2
+    plan = store._read("members", 4, [3])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    again = store.compacted(str(tmp_path / "compact"))
+    more = [record(40, "ats_json", None, ["d@x.co", "a@x.co"])]
+    again.add(make(more), 1)
+    assert all_of(again.profiles()) == all_of(build_profiles(make([r for b in batches for r in b] + more)))
 
 
 def test_phone_query_takes_whole_texts(spark, tmp_path):

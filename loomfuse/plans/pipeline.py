@@ -14,7 +14,7 @@ from loomfuse.operators.records import normalize_records
 from loomfuse.operators.validation import DEFAULT_SCHEMA, config_errors, default_errors
 from loomfuse.plans.components import _cut
 from loomfuse.plans.config import OutputConfig, ProjectionError, ValidationError
-from loomfuse.sources.readers import READERS, TEXT_READERS, detect_type
+from loomfuse.sources.readers import FILE_READERS, READERS, TEXT_READERS, detect_type
 from loomfuse.sources.schemas import RAW
 
 
@@ -36,44 +36,64 @@ class Result:
     warnings: DataFrame
 
 
+def places(spark: SparkSession, path: str) -> list[str]:
+    """The files and folders that a path or pattern stands for, by their full names; none if nothing is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [fs.makeQualified(s.getPath()).toString() for s in fs.globStatus(at) or []]
+
+
+def read_sources(spark: SparkSession, roots: dict[str, list[tuple[int, str]]]) -> DataFrame:
+    """RAW rows with ``file`` and ``error`` of the sources (number, full path) of each type: one scan a type, however many sources."""
+    every = spark.createDataFrame([], RAW).withColumns({"file": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+    for kind, found in roots.items():
+        names = {p for _, p in found}
+        tops = sorted(p for p in names if not any(p.startswith(q.rstrip("/") + "/") for q in names))
+        every = every.unionByName(FILE_READERS[kind](spark, tops, spark.createDataFrame(found, "spec_idx int, root string")))
+    return every
+
+
 def extract_all(spark: SparkSession, sources: list[Source | str]) -> tuple[DataFrame, DataFrame]:
-    """(RAW rows, warnings). One source that fails gives a warning and no rows; the others go on."""
-    raw, notes = spark.createDataFrame([], RAW), []
-    parts: list[tuple[int, str, DataFrame]] = []
+    """(RAW rows, warnings (source, message)). Good and bad rows come out of one plan, which runs once: a file with an error
+    contributes nothing but its warning, and the others go on. Sources of types that were added to ``READERS`` are read one by one."""
+    notes, roots, parts, told = [], {}, [], []
     for i, s in enumerate(Source(x) if isinstance(x, str) else x for x in sources):
         kind = s.type or detect_type(s.path)
-        label = s.path or f"pasted {kind}"
-        if s.text is not None:
-            if kind not in READERS or not s.text.strip():
-                continue
-            if kind == "recruiter_csv":
-                folder = f"{_pasted(spark)}/{i}"
-                spark.createDataFrame([(s.text,)], "value string").coalesce(1).write.text(folder)
-                parts.append((i, label, READERS[kind](spark, folder, i)))
-            else:
-                parts.append((i, label, TEXT_READERS[kind](spark.createDataFrame([(i, label, s.text)], "spec_idx int, path string, text string"))))
+        label, path = s.path or f"pasted {kind}", s.path
+        if s.text is not None and (kind not in READERS or not s.text.strip()):
             continue
+        if s.text is not None and kind == "recruiter_csv":
+            path = f"{_pasted(spark)}/{i}"
+            spark.createDataFrame([(s.text,)], "value string").coalesce(1).write.text(path)
         if kind is None:
             notes.append((label, "source type not recognised; skipped"))
-            continue
-        if kind not in READERS:
+        elif kind not in READERS:
             notes.append((label, f"no reader for type {kind!r}; skipped"))
-            continue
-        try:
-            parts.append((i, label, READERS[kind](spark, s.path, i)))
-        except Exception as e:  # noqa: BLE001  a source that cannot be opened must not end the run
-            notes.append((label, f"contributed no records ({type(e).__name__})"))
-    good = []
-    for i, label, rows in parts:
-        try:
-            good.append(_cut(rows))
-        except Exception as e:  # noqa: BLE001
-            notes.append((label, f"contributed no records ({type(e).__name__})"))
-    for rows in good:
-        raw = raw.unionByName(rows)
-    told = spark.createDataFrame([(i, label) for i, label, _ in parts if not any(n[0] == label for n in notes)], "spec_idx int, source string")
-    empty = told.join(raw.select("spec_idx").distinct(), "spec_idx", "left_anti").select("source", F.lit("contributed no records").alias("message"))
-    return raw, spark.createDataFrame(notes, "source string, message string").unionByName(empty)
+        elif s.text is not None and kind in TEXT_READERS:
+            told.append((i, label))
+            parts.append(TEXT_READERS[kind](spark.createDataFrame([(i, label, s.text)], "spec_idx int, path string, text string")))
+        elif kind in FILE_READERS:
+            if found := places(spark, path):
+                told.append((i, label))
+                roots.setdefault(kind, []).extend((i, p) for p in found)
+            else:
+                notes.append((label, "contributed no records (not found)"))
+        else:
+            try:
+                parts.append(READERS[kind](spark, path, i))
+                told.append((i, label))
+            except Exception as e:  # noqa: BLE001  a source that cannot be opened must not end the run
+                notes.append((label, f"contributed no records ({type(e).__name__})"))
+    every = read_sources(spark, roots)
+    for rows in parts:
+        every = every.unionByName(rows, allowMissingColumns=True)
+    every = _cut(every)
+    faults = every.where("error is not null").select("spec_idx", "file", "error").distinct()
+    raw = every.where("error is null").join(faults.select("spec_idx", "file"), ["spec_idx", "file"], "left_anti").select(*RAW.names)
+    labels = spark.createDataFrame(told, "spec_idx int, source string")
+    empty = labels.join(every.select("spec_idx").distinct(), "spec_idx", "left_anti").select("source", F.lit("contributed no records").alias("message"))
+    bad = faults.join(labels, "spec_idx").select("source", F.concat(F.lit("contributed no records ("), F.substring_index("file", "/", -1), F.lit(" "), "error", F.lit(")")).alias("message"))
+    return raw, spark.createDataFrame(notes, "source string, message string").unionByName(empty).unionByName(bad)
 
 
 def _pasted(spark: SparkSession) -> str:

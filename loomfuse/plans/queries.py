@@ -6,7 +6,9 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomfuse.functions import normalize as N
@@ -261,38 +263,41 @@ _L = "translate(CAST({} AS VARCHAR), '0123456789', 'abcdefghij')"
 @query("""SELECT CAST(c_custkey AS BIGINT) AS k, 'Customer ' || c_custkey AS full_name, 'c' || c_custkey || '@example.com' AS email, '+1 415 555 ' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'Firm, ' || c_nationkey END AS company, c_mktsegment AS title, 'recruiter_csv' AS source FROM customer WHERE c_custkey % 5 <> 0
   UNION ALL SELECT c_custkey, NULL, 'c' || c_custkey || '@example.com', NULL, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'Firm, ' || c_nationkey END, c_mktsegment, 'recruiter_csv' FROM customer WHERE c_custkey % 5 = 0""")
 def delimited_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers written as a delimited export with other header spellings and blank cells, and read back."""
+    """Customers written as two delimited files with other header spellings, blank cells and line ends in quotes, and read back by byte ranges."""
     k = F.col("c_custkey")
     named = k % 5 != 0
     sheet = _t(spark, sf_dir, "customer").select(
         F.when(named, F.concat(F.lit("Customer "), k.cast("string"))).alias("Candidate Name"), F.concat(F.lit("c"), k.cast("string"), F.lit("@example.com")).alias("E-Mail"), F.when(named, F.concat(F.lit("+1 415 555 "), F.lpad((k % 10000).cast("string"), 4, "0"))).otherwise("  ").alias("Mobile"),
-        F.when(k % 3 != 0, F.concat(F.lit("Firm, "), F.col("c_nationkey").cast("string"))).alias("Employer"), F.col("c_mktsegment").alias("Role"), F.lit("x").alias("Unknown column"),
+        F.when(k % 3 != 0, F.concat(F.lit("Firm, "), F.col("c_nationkey").cast("string"))).alias("Employer"), F.col("c_mktsegment").alias("Role"), F.concat(F.lit('says "x",\nand, on a line of its own,\n"'), k.cast("string"), F.lit('" \n')).alias("Unknown column"),
     )
     folder = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}.csv"
-    sheet.write.option("header", True).csv(folder)
+    sheet.coalesce(2).write.option("header", True).option("escape", '"').csv(folder)
     got = readers.READERS[readers.detect_type("export.CSV")](spark, folder)
     job = F.get("experience", F.lit(0))
     number = F.regexp_extract(F.get("emails", F.lit(0)), r"\d+", 0).cast("long")
     return got.select(number.alias("k"), "full_name", F.get("emails", F.lit(0)).alias("email"), F.get("phones", F.lit(0)).alias("phone"), job["company"].alias("company"), job["title"].alias("title"), "source")
 
 
-@query(f"""SELECT CAST(c_custkey AS BIGINT) AS k, 'Customer ' || c_custkey AS full_name, CASE WHEN c_custkey % 2 = 0 THEN 'a' || c_custkey || '@x.com,b' || c_custkey || '@x.com' ELSE 'a' || c_custkey || '@x.com' END AS emails, c_mktsegment AS city, CASE WHEN c_custkey % 3 = 0 THEN 'https://github.com/u' || c_custkey ELSE 'http://github.com/u' || c_custkey END AS github,
-  CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey % 30 AS DOUBLE) END AS years_num, CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey % 30) || ' years' END AS years_txt, CASE WHEN c_custkey % 7 = 0 THEN 'Python' ELSE 'Python,k8s' END AS skills, 'Firm ' || c_nationkey || '/Engineer/2019-0' || (c_custkey % 9 + 1) AS job, 'School ' || c_nationkey || '/B.Sc/20' || lpad(CAST(c_custkey % 20 AS VARCHAR), 2, '0') AS course FROM customer""")
-def json_export_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exports of nested JSON, one a nation, that wrap applicants under other names and spell keys, lists and links in other ways."""
+_APPLICANTS = f"""SELECT CAST(c_custkey AS BIGINT) AS k, 'Customer ' || c_custkey AS full_name, CASE WHEN c_custkey % 2 = 0 THEN 'a' || c_custkey || '@x.com,b' || c_custkey || '@x.com' ELSE 'a' || c_custkey || '@x.com' END AS emails, c_mktsegment AS city, CASE WHEN c_custkey % 3 = 0 THEN 'https://github.com/u' || c_custkey ELSE 'http://github.com/u' || c_custkey END AS github,
+  CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey % 30 AS DOUBLE) END AS years_num, CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey % 30) || ' years' END AS years_txt, CASE WHEN c_custkey % 7 = 0 THEN 'Python' ELSE 'Python,k8s' END AS skills, 'Firm ' || c_nationkey || '/Engineer/2019-0' || (c_custkey % 9 + 1) AS job, 'School ' || c_nationkey || '/B.Sc/20' || lpad(CAST(c_custkey % 20 AS VARCHAR), 2, '0') AS course FROM customer"""
+
+
+def _applicant() -> Column:
+    """A customer as an applicant of a JSON export."""
     k, text = F.col("c_custkey"), lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
     n = k.cast("string")
     contact = F.struct(F.when(k % 2 == 0, text("a", n, "@x.com")).alias("primaryEmail"), F.when(k % 2 == 1, text("a", n, "@x.com")).alias("email"), F.when(k % 2 == 0, text("b", n, "@x.com")).alias("altEmail"))
     social = F.struct(F.when(k % 3 == 0, text("u", n)).alias("githubHandle"), F.when(k % 3 != 0, text("http://github.com/u", n)).alias("githubUrl"))
     job = F.struct(text("Firm ", F.col("c_nationkey").cast("string")).alias("employer"), F.lit("Engineer").alias("designation"), text("2019-0", (k % 9 + 1).cast("string")).alias("from"))
     course = F.struct(text("School ", F.col("c_nationkey").cast("string")).alias("school"), F.lit("B.Sc").alias("qualification"), (F.lit(2000) + k % 20).alias("yearOfPassing"))
-    person = F.struct(
+    return F.struct(
         text("Customer ", n).alias("applicant_name"), contact.alias("contact"), F.struct(F.col("c_mktsegment").alias("town")).alias("addr"), social.alias("social"), F.when(k % 4 == 0, k % 30).alias("yearsOfExperience"), F.when(k % 4 != 0, text((k % 30).cast("string"), " years")).alias("experienceYears"),
         F.when(k % 7 == 0, F.lit("Python")).alias("skills"), F.when(k % 7 != 0, F.array(F.lit("Python"), F.lit("k8s"))).alias("skillSet"), F.array(job).alias("employmentHistory"), course.alias("academics"), k.alias("number"),
     )
-    files = _t(spark, sf_dir, "customer").groupBy("c_nationkey", (F.col("c_custkey") % 64).alias("part")).agg(F.collect_list(person).alias("people"))
-    files = files.select(F.col("c_nationkey").alias("spec_idx"), F.lit("export.json").alias("path"), F.when(F.col("part") % 2 == 0, F.to_json(F.struct(F.col("people").alias("applicants")))).otherwise(F.to_json("people")).alias("text"))
-    got = readers.read_json(files)
+
+
+def _told(got: DataFrame) -> DataFrame:
+    """What the readers found of ``_applicant``."""
     job, course = F.get("experience", F.lit(0)), F.get("education", F.lit(0))
     return got.select(
         F.regexp_extract("full_name", r"\d+", 0).cast("long").alias("k"), "full_name", F.array_join("emails", ",").alias("emails"), "city", "github", "years_num", "years_txt", F.array_join("skills", ",").alias("skills"),
@@ -300,6 +305,32 @@ def json_export_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(_APPLICANTS)
+def json_export_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exports of nested JSON, one a nation, that wrap applicants under other names and spell keys, lists and links in other ways."""
+    files = _t(spark, sf_dir, "customer").groupBy("c_nationkey", (F.col("c_custkey") % 64).alias("part")).agg(F.collect_list(_applicant()).alias("people"))
+    files = files.select(F.col("c_nationkey").alias("spec_idx"), F.lit("export.json").alias("path"), F.when(F.col("part") % 2 == 0, F.to_json(F.struct(F.col("people").alias("applicants")))).otherwise(F.to_json("people")).alias("text"))
+    return _told(readers.read_json(files))
+
+
+@query(_APPLICANTS)
+def json_ranges_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All applicants in two JSON documents, written by two tasks and read by as many as there are byte ranges."""
+    rows = _t(spark, sf_dir, "customer").select(F.to_json(_applicant()).alias("value")).repartition(2)
+
+    def document(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(['{"version": {"of": "[{"}, "applicants": ['])], names=["value"])
+        comma = ""
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([(comma if not i else ",") + x for i, x in enumerate(b.column(0).to_pylist())], pa.string())], names=["value"])
+            comma = "," if comma or b.num_rows else ""
+        yield pa.RecordBatch.from_arrays([pa.array(["]}"])], names=["value"])
+
+    folder = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    rows.mapInArrow(document, "value string").write.text(folder)
+    return _told(readers.READERS["ats_json"](spark, folder))
+
+
 @query(f"""SELECT 'Mx ' || {_L.format('c_custkey')} AS full_name, 'p' || c_custkey || '@example.com' AS email, '+1 415 555 ' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone, CAST(c_custkey % 20 + 1 AS VARCHAR) AS years_txt, CASE WHEN c_custkey % 2 = 0 THEN 'k8s,python' ELSE 'golang' END AS skills FROM customer""")
 def notes_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes of free text, one file a nation and number, with a block for each customer."""
@@ -457,10 +488,29 @@ def default_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.try_variant_get("v", "$.candidate_id", "string").alias("candidate_id"), F.try_variant_get("v", "$.emails[0]", "string").alias("email"), keys.cast("int").alias("n_fields"))
 
 
-@query("""SELECT * FROM (VALUES ('notes.xyz', 'source type not recognised; skipped'), ('mail=', 'no reader for type ''mail''; skipped'), ('absent', 'contributed no records'), ('pasted ats_json', 'contributed no records')) t(source, message)""")
+@query("""WITH c AS (SELECT c_custkey, c_nationkey AS n FROM customer), f AS (SELECT n, n % 5 AS kind, max(c_custkey) AS top FROM c GROUP BY n)
+SELECT 'k' || c_custkey || '@example.com' AS told, CAST(n AS VARCHAR) AS source FROM c JOIN f USING (n) WHERE kind IN (0, 2)
+UNION ALL SELECT CASE kind WHEN 1 THEN 'ends inside a value' WHEN 3 THEN 'is not UTF-8 text' ELSE 'holds a record that is not JSON' END, CAST(n AS VARCHAR) FROM f WHERE kind NOT IN (0, 2)""")
 def source_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that cannot be read give one warning each, and the others go on."""
-    sources = [Source("notes.xyz"), Source("mail=", "mail"), Source(f"{shared_dir(spark)}/absent-{uuid.uuid4().hex}.csv"), Source(type="ats_json", text="{broken"), Source(type="recruiter_notes", text="Candidate: Ann Bee\nann@example.com")]
+    """Exports of the customers of each nation, JSON or delimited, of which some are cut off, not UTF-8 or hold a broken record: all are read in
+    one plan, the good ones' records come through, and each bad one gives a warning."""
+    mail = F.concat(F.lit("k"), F.col("c_custkey").cast("string"), F.lit("@example.com"))
+    n = F.col("c_nationkey")
+    kind = n % 5
+    broken = F.when((kind == 4) & (F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey")) == 1), F.lit(', "x": nowhere')).otherwise("")
+    one = F.concat(F.lit('{"name": "A", "email": "'), mail, F.lit('"'), broken, F.lit("}"))
+    rows = _t(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", mail.alias("mail"), one.alias("one"), kind.alias("kind"))
+    parts = rows.groupBy("c_nationkey", "kind").agg(F.collect_list("one").alias("ones"), F.collect_list("mail").alias("mails"))
+    json = F.concat(F.lit("["), F.array_join("ones", ",\n"), F.when(F.col("kind") == 1, "").otherwise("]"))
+    sheet = F.concat(F.lit("email\n"), F.array_join("mails", "\n"))
+    text = F.when(F.col("kind").isin(2, 3), sheet).otherwise(json).cast("binary")
+    content = F.when(F.col("kind") == 3, F.concat(text, F.lit(b"\n\xff\xfe@example.com"))).otherwise(text)
+    folder = f"{shared_dir(spark)}/faults-{uuid.uuid4().hex}"
+    # a file a nation: Spark names the folders, and the text of a file goes out as it is
+    parts.select(content.cast("string").alias("value"), "c_nationkey").repartition("c_nationkey").write.partitionBy("c_nationkey").text(folder)
+    keys = [r[0] for r in parts.select("c_nationkey", "kind").collect()]  # nations
+    sources = [Source(f"{folder}/c_nationkey={k}", "recruiter_csv" if k % 5 in (2, 3) else "ats_json") for k in keys]
     raw, warnings = extract_all(spark, sources)
-    message = F.when(F.col("message").startswith("contributed no records"), "contributed no records").otherwise(F.col("message"))
-    return warnings.select(F.regexp_extract("source", r"(absent|[^/]*$)", 1).alias("source"), message.alias("message"))
+    number = F.element_at(F.array(*(F.lit(str(k)) for k in keys)), F.col("spec_idx") + 1)
+    told = F.regexp_extract("message", r"part-[^ ]* (.*)\)$", 1)
+    return raw.select(F.get("emails", F.lit(0)).alias("told"), number.alias("source")).unionByName(warnings.select(told.alias("told"), F.regexp_extract("source", r"=(\d+)$", 1).alias("source")))

@@ -4,11 +4,15 @@
 
 import os
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomfuse.functions import rules as R
-from loomfuse.functions.text import blank_to_null, clean, first_match, lookup, no_strings, strip
+from loomfuse.functions.text import blank_to_null, clean, first_match, let, lookup, no_strings, strip
+from loomfuse.sources.ranges import delimited_records, json_records
 from loomfuse.sources.schemas import as_raw
 
 DOCUMENTS = (".pdf", ".docx", ".doc")
@@ -36,23 +40,54 @@ def texts(spark: SparkSession, path: str, spec_idx: int = 0) -> DataFrame:
 # ---- delimited ---------------------------------------------------------------------------------------
 
 
-def read_delimited(spark: SparkSession, path: str, spec_idx: int = 0) -> DataFrame:
-    """Rows with a name, an e-mail or a phone. Columns by header spelling; of several for one key the first non-blank cell counts."""
-    csv = spark.read.option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
-    head = csv.option("header", False).csv(path).limit(1).collect()
-    names = [(x or "").lstrip("﻿").strip().lower() for x in head[0]] if head else ["-"]
-    rows = csv.option("header", True).option("enforceSchema", True).schema(", ".join(f"c{i} string" for i in range(len(names)))).csv(path)
-    cells: dict[str, list[Column]] = {}
-    for i, n in enumerate(names):
-        if n in R.CSV_HEADERS:
-            cells.setdefault(R.CSV_HEADERS[n], []).append(clean(f"c{i}"))
-    get = lambda k: F.coalesce(*cells[k]) if k in cells else F.lit(None).cast("string")
-    df = rows.select(F.monotonically_increasing_id().alias("pos"), *(get(k).alias(k) for k in ("name", "email", "phone", "company", "title", "location")))
+def delimited_rows(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """RAW rows (and columns to keep) of name, email, phone, company, title and location (spec_idx and pos if there); those without a name, an e-mail and a phone go."""
     df = df.where("name is not null or email is not null or phone is not null")
     works = F.col("company").isNotNull() | F.col("title").isNotNull()
     one = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).otherwise(no_strings())
     job = F.array(F.struct(F.col("company"), F.col("title"), F.lit(None).cast("string").alias("start"), F.lit("present").alias("end"), F.lit(None).cast("string").alias("summary")))
-    return as_raw(df, spec_idx=F.lit(spec_idx), source=F.lit("recruiter_csv"), full_name=F.col("name"), emails=one("email"), phones=one("phone"), location_text=F.col("location"), headline=F.when(works, F.col("title")), experience=F.when(works, job))
+    return as_raw(df, keep=keep, source=F.lit("recruiter_csv"), full_name=F.col("name"), emails=one("email"), phones=one("phone"), location_text=F.col("location"), headline=F.when(works, F.col("title")), experience=F.when(works, job))
+
+
+#: Columns of a delimited file at most; further cells are not read.
+MOST_COLUMNS = 64
+
+
+def read_delimited_files(spark: SparkSession, paths: str | list[str], specs: DataFrame | None = None) -> DataFrame:
+    """Rows of delimited files, each with its own header, by byte ranges: columns by header spelling; of several for one key the first
+    non-blank cell counts. ``file`` and ``error`` follow the RAW columns: what is not UTF-8 is an error."""
+    records, headers = delimited_records(spark, paths)
+    kind, options = ", ".join(f"c{i} string" for i in range(MOST_COLUMNS)), {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+    cells = lambda c: let(F.from_csv(c, kind, options), lambda row: F.array(*(row[f"c{i}"] for i in range(MOST_COLUMNS))))
+    title = lambda x: F.lower(F.trim(F.regexp_replace(x, "^\ufeff", "")))
+    keys = F.transform(cells(F.col("text")), lambda x: lookup(R.CSV_HEADERS, title(x)))
+    named = headers.where("text is not null").select("file", keys.alias("keys"))
+    known = F.broadcast(with_specs(named, specs, "file"))  # a row a file
+    df = records.where("text is not null").join(known, "file").withColumn("cells", F.transform(cells(F.col("text")), clean))
+    get = lambda k: F.get(F.filter(F.zip_with("cells", "keys", lambda x, key: F.when(key == k, x)), lambda x: x.isNotNull()), F.lit(0))
+    df = df.select("file", "spec_idx", ((F.col("file_no") * F.lit(1 << 42)) + F.col("pos")).alias("pos"), *(get(k).alias(k) for k in ("name", "email", "phone", "company", "title", "location")))
+    good = delimited_rows(df, keep=("file",)).withColumn("error", F.lit(None).cast("string"))
+    bad = records.where("text is null").select("file").unionByName(headers.where("text is null").select("file")).distinct()
+    return good.unionByName(fault_rows(with_specs(bad, specs, "file"), F.lit("is not UTF-8 text")))
+
+
+def with_specs(files: DataFrame, specs: DataFrame | None, col: str) -> DataFrame:
+    """``files`` with spec_idx, the sources (spec_idx, root) at or above each file's path, and file_no, which numbers files by path."""
+    numbered = files.withColumn("file_no", (F.dense_rank().over(W.orderBy(col)) - 1).cast("long"))
+    if specs is None:
+        return numbered.withColumn("spec_idx", F.lit(0))
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split(col, "/"))), lambda n: F.call_function("substring_index", F.col(col), F.lit("/"), n))
+    return numbered.withColumn("root", F.explode(above)).join(F.broadcast(specs), "root").drop("root")
+
+
+def fault_rows(files: DataFrame, error: Column) -> DataFrame:
+    """A row with an error for each of ``files`` (file, spec_idx)."""
+    return as_raw(files.select("spec_idx", F.lit(-1).alias("pos"), "file", error.alias("error")), keep=("file", "error"))
+
+
+def read_delimited(spark: SparkSession, path: str, spec_idx: int = 0) -> DataFrame:
+    """Rows with a name, an e-mail or a phone."""
+    return read_delimited_files(spark, path).where("error is null").drop("file", "error").withColumn("spec_idx", F.lit(spec_idx))
 
 
 # ---- JSON ----------------------------------------------------------------------------------------------
@@ -83,13 +118,28 @@ def json_list(v: Column, *keys: str) -> Column:
 
 
 def read_json(files: DataFrame) -> DataFrame:
-    """Applicants of JSON exports: a list, an object that wraps one, or a single object. Unreadable text gives no rows."""
+    """Applicants of JSON texts: a list, an object that wraps one, or a single object. Unreadable text gives no rows."""
     doc = files.select("spec_idx", F.try_parse_json("text").alias("v"))
     wraps = [F.try_variant_get("v", f"$.{k}", "array<variant>") for k in R.JSON_WRAPS]
     every = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), *wraps, F.when(is_object(F.col("v")), F.array("v")), F.array().cast("array<variant>"))
-    df = doc.select("spec_idx", F.posexplode(every).alias("pos", "a")).where(is_object(F.col("a")))
+    return applicants(doc.select("spec_idx", F.posexplode(every).alias("pos", "a")).where(is_object(F.col("a"))))
+
+
+def read_json_files(spark: SparkSession, paths: str | list[str], specs: DataFrame | None = None) -> DataFrame:
+    """Applicants of JSON exports, by byte ranges; ``file`` and ``error`` follow the RAW columns. A file that ends early, or holds a record
+    that is no JSON, is an error."""
+    records, files = json_records(spark, paths, R.JSON_WRAPS)
+    files = with_specs(files, specs, "file")
+    df = records.join(F.broadcast(files.where("error is null").select("file", "spec_idx", "file_no")), "file").withColumn("a", F.try_parse_json("text"))
+    df = df.select("file", "spec_idx", ((F.col("file_no") * F.lit(1 << 42)) + F.col("pos")).alias("pos"), "a")
+    good = applicants(df.where("a is not null"), keep=("file",)).withColumn("error", F.lit(None).cast("string"))
+    return good.unionByName(fault_rows(files.where("error is not null"), F.col("error"))).unionByName(fault_rows(df.where("a is null"), F.lit("holds a record that is not JSON")))
+
+
+def applicants(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """RAW rows (and columns to keep) of spec_idx, pos, a: an object as a variant."""
     a, keys = F.col("a"), R.JSON_KEYS
-    df = df.select("spec_idx", "pos", "a", *(json_value(a, *keys[k]).alias(k) for k in ("contact", "addr", "social", "years")))
+    df = df.select("spec_idx", "pos", "a", *keep, *(json_value(a, *keys[k]).alias(k) for k in ("contact", "addr", "social", "years")))
     contact, addr, social, years = (F.col(c) for c in ("contact", "addr", "social", "years"))
     present = lambda *cs: F.filter(F.array(*cs), lambda x: x.isNotNull())
     text = lambda v, k: json_text(v, *keys[k])
@@ -98,7 +148,7 @@ def read_json(files: DataFrame) -> DataFrame:
     strings = lambda x: F.filter(F.transform(x, lambda s: F.try_variant_get(s, "$", "string")), lambda s: s.isNotNull() & (s != ""))
     entries = lambda k, names: F.transform(F.filter(json_list(a, *keys[k]), is_object), lambda e: F.struct(*(json_text(e, *ks).alias(n) for n, ks in names.items())))
     return as_raw(
-        df, source=F.lit("ats_json"), full_name=text(a, "full_name"), emails=present(text(contact, "email"), text(contact, "other_email"), json_text(a, "email")), phones=present(text(contact, "phone"), json_text(a, "phone")),
+        df, keep=keep, source=F.lit("ats_json"), full_name=text(a, "full_name"), emails=present(text(contact, "email"), text(contact, "other_email"), json_text(a, "email")), phones=present(text(contact, "phone"), json_text(a, "phone")),
         city=text(addr, "city"), region=text(addr, "region"), country_text=text(addr, "country"), location_text=F.when(F.schema_of_variant(addr) == "STRING", F.try_variant_get(addr, "$", "string")),
         linkedin=text(social, "linkedin"), github=F.when(hub.startswith("http"), hub).otherwise(F.concat(F.lit("https://github.com/"), hub)), portfolio=text(social, "portfolio"), headline=text(a, "headline"),
         years_num=F.when(~textual, F.coalesce(F.try_variant_get(years, "$", "double"), F.try_variant_get(years, "$", "boolean").cast("double"))), years_txt=F.when(textual, F.try_variant_get(years, "$", "string")),
@@ -140,12 +190,12 @@ def note_name(block: Column) -> Column:
     return blank_to_null(F.regexp_replace(F.regexp_replace(value, R.EMAIL, ""), r"^[ .,\-]+|[ .,\-]+$", ""))
 
 
-def read_notes(files: DataFrame) -> DataFrame:
+def read_notes(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """A record for each block with a name, an e-mail, a phone or a skill."""
-    df = files.select("spec_idx", F.posexplode(split_notes(F.col("text"))).alias("pos", "block"))
+    df = files.select("spec_idx", *keep, F.posexplode(split_notes(F.col("text"))).alias("pos", "block"))
     b = F.col("block")
-    df = df.select("spec_idx", "pos", note_name(b).alias("full_name"), scan_emails(b).alias("emails"), scan_phones(b).alias("phones"), first_match(b, R.NOTE_YEARS, 1).alias("years_txt"), scan_skills(b).alias("skills"))
-    return as_raw(df.where("full_name is not null or size(emails) > 0 or size(phones) > 0 or size(skills) > 0"), source=F.lit("recruiter_notes"))
+    df = df.select("spec_idx", *keep, "pos", note_name(b).alias("full_name"), scan_emails(b).alias("emails"), scan_phones(b).alias("phones"), first_match(b, R.NOTE_YEARS, 1).alias("years_txt"), scan_skills(b).alias("skills"))
+    return as_raw(df.where("full_name is not null or size(emails) > 0 or size(phones) > 0 or size(skills) > 0"), keep=keep, source=F.lit("recruiter_notes"))
 
 
 # ---- résumés ----------------------------------------------------------------------------------------------
@@ -223,9 +273,9 @@ def education(lines: Column) -> Column:
     return F.filter(full, lambda e: e["institution"].isNotNull() | e["degree"].isNotNull() | e["field"].isNotNull() | e["end_year"].isNotNull())
 
 
-def read_resumes(files: DataFrame) -> DataFrame:
+def read_resumes(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One record a file with a name or an e-mail."""
-    rows = files.where(strip("text") != "").select("spec_idx", "path", "text", F.transform(F.split("text", ENDS), lambda x: F.regexp_replace(x, r"(?U)\s+$", "")).alias("lines"))
+    rows = files.where(strip("text") != "").select("spec_idx", *keep, "path", "text", F.transform(F.split("text", ENDS), lambda x: F.regexp_replace(x, r"(?U)\s+$", "")).alias("lines"))
     rows = rows.select("*", sections(F.col("lines")).alias("parts"))
     of = lambda name: F.transform(F.filter("parts", lambda p: p["section"] == name), lambda p: p["line"])
     rows = rows.select("*", F.filter(of(""), lambda x: strip(x) != "").alias("header"))
@@ -243,10 +293,10 @@ def read_resumes(files: DataFrame) -> DataFrame:
     skills = F.filter(F.transform(F.split(F.array_join(of("skills"), " , "), r"[,\n|/]"), trim), lambda s: s != "")
     named = F.col("at") > 0
     df = rows.select(
-        "spec_idx", F.monotonically_increasing_id().alias("pos"), F.when(named, strip(F.get("header", F.col("at").cast("int") - 1))).alias("full_name"), scan_emails(F.col("text")).alias("emails"), scan_phones(F.col("text")).alias("phones"),
+        "spec_idx", *keep, F.monotonically_increasing_id().alias("pos"), F.when(named, strip(F.get("header", F.col("at").cast("int") - 1))).alias("full_name"), scan_emails(F.col("text")).alias("emails"), scan_phones(F.col("text")).alias("phones"),
         linkedin.alias("linkedin"), github.alias("github"), F.when(named, strip(F.get(later, F.lit(0)))).alias("headline"), skills.alias("skills"), experience(of("experience")).alias("experience"), education(of("education")).alias("education"),
     )
-    return as_raw(df.where("full_name is not null or size(emails) > 0"), source=F.lit("resume"))
+    return as_raw(df.where("full_name is not null or size(emails) > 0"), keep=keep, source=F.lit("resume"))
 
 
 def document_text(content: bytes, path: str) -> str | None:
@@ -272,20 +322,41 @@ def document_text(content: bytes, path: str) -> str | None:
         return None
 
 
+@F.pandas_udf(T.StringType())
+def text_of(content: pd.Series, path: pd.Series) -> pd.Series:
+    return pd.Series([document_text(c, p) for c, p in zip(content, path)], dtype=object)
+
+
 def documents(spark: SparkSession, path: str, spec_idx: int = 0) -> DataFrame:
     """spec_idx, path, text of document files, read as bytes."""
-    import pandas as pd
+    return spark.read.format("binaryFile").load(path).select(F.lit(spec_idx).alias("spec_idx"), "path", text_of("content", "path").alias("text"))
 
-    @F.pandas_udf("string")
-    def text_of(content: pd.Series, path: pd.Series) -> pd.Series:
-        return pd.Series([document_text(c, p) for c, p in zip(content, path)])
 
-    return spark.read.format("binaryFile").load(path).select(F.lit(spec_idx).alias("spec_idx"), "path", text_of("content", "path").alias("text"))
+def whole_files(read, text, error: str):
+    """A reader of files that are one text each, by ``read(files, keep)``; those whose ``text(content, path)`` is null are errors."""
+
+    def reader(spark: SparkSession, paths: str | list[str], specs: DataFrame | None = None) -> DataFrame:
+        names = spark.read.format("binaryFile").load(paths).select("path")
+        files = spark.read.format("binaryFile").load(paths).select("path", text("content", "path").alias("text"))
+        files = files.join(F.broadcast(with_specs(names, specs, "path")), "path")  # a row a file
+        good = read(files.where("text is not null"), ("file_no", "path"))
+        good = good.withColumn("pos", F.col("file_no") * F.lit(1 << 42) + (F.lit(0) if read is read_resumes else F.col("pos")))
+        good = good.drop("file_no").withColumnRenamed("path", "file").withColumn("error", F.lit(None).cast("string"))
+        return good.unionByName(fault_rows(files.where("text is null").withColumnRenamed("path", "file"), F.lit(error)))
 
+    return reader
 
+
+#: Readers of many files at once, of (spark, paths, specs): RAW rows, file and error.
+FILE_READERS = {
+    "recruiter_csv": read_delimited_files,
+    "ats_json": read_json_files,
+    "resume": whole_files(read_resumes, text_of, "cannot be read as a document"),
+    "recruiter_notes": whole_files(read_notes, lambda content, _: F.try_validate_utf8(F.col(content).cast("string")), "is not UTF-8 text"),
+}
 READERS = {
     "recruiter_csv": read_delimited,
-    "ats_json": lambda spark, path, i=0: read_json(texts(spark, path, i)),
+    "ats_json": lambda spark, path, i=0: read_json_files(spark, path).where("error is null").drop("file", "error").withColumn("spec_idx", F.lit(i)),
     "resume": lambda spark, path, i=0: read_resumes(documents(spark, path, i)),
     "recruiter_notes": lambda spark, path, i=0: read_notes(texts(spark, path, i)),
 }

@@ -18,8 +18,8 @@ RAW = T.StructType(
 )
 
 
-def as_raw(df, **columns):
-    """Select the RAW columns: those given as expressions, the others of ``df`` by name, or null (empty arrays)."""
+def as_raw(df, keep: tuple[str, ...] = (), **columns):
+    """Select the RAW columns: those given as expressions, the others of ``df`` by name, or null (empty arrays); then those of ``df`` to keep."""
     from pyspark.sql import functions as F
 
     out = []
@@ -27,4 +27,4 @@ def as_raw(df, **columns):
         c = columns.get(f.name, F.col(f.name) if f.name in df.columns else F.lit(None))
         c = F.coalesce(c.cast(f.dataType), F.array().cast(f.dataType)) if isinstance(f.dataType, T.ArrayType) else c.cast(f.dataType)
         out.append(c.alias(f.name))
-    return df.select(*out)
+    return df.select(*out, *keep)

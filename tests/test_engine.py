@@ -68,7 +68,7 @@ def test_docx(spark, tmp_path):
     (tmp_path / "broken.pdf").write_bytes(b"no")
     done = run(spark, [str(tmp_path / "cv.docx"), str(tmp_path / "broken.pdf")])
     assert [r.full_name for r in done.profiles.collect()] == ["Ann Lee"]
-    assert [r.message for r in done.warnings.collect()] == ["contributed no records"]
+    assert [r.message for r in done.warnings.collect()] == ["contributed no records (broken.pdf cannot be read as a document)"]
 
 
 def test_merge_conflict_and_list_items(spark):
@@ -272,3 +272,88 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["-s", f"{tmp_path}/notes.txt", "-q", "--lines", str(tmp_path / "lines")]) == 0
     assert sorted(json.loads(r.value)["full_name"] for r in spark.read.text(str(tmp_path / "lines")).collect()) == ["Ann Lee", "Bo Ray"]
     assert main([]) == 2
+
+
+BITS = ["a", "b c", '"', '""', ",", "\n", "\r\n", "é", "x" * 30, "{", "}", "\\", "[", "]", "漢"]
+
+
+@pytest.fixture
+def small_ranges(spark):
+    names = {"spark.sql.files.maxPartitionBytes": "700b", "spark.sql.files.openCostInBytes": "0"}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k in names:
+        spark.conf.unset(k)
+
+
+def test_delimited_by_ranges(spark, tmp_path, small_ranges):
+    """Quotes, separators and line ends anywhere in fields, over many ranges, against Python's reader."""
+    import csv
+    import io
+
+    from loomfuse.sources.ranges import delimited_records, pieces, quote_open, quote_states
+
+    r = random.Random(4)
+    want = {}
+    for k in range(3):
+        rows = [["h1", "h2", "h3"]] + [["".join(r.choice(BITS) for _ in range(r.randint(0, 8))) for _ in range(3)] for _ in range(70)]
+        b = io.StringIO()
+        csv.writer(b, lineterminator=("\n", "\r\n")[k % 2]).writerows(rows)
+        (tmp_path / f"{k}.csv").write_text(b.getvalue(), newline="")
+        want[f"{k}.csv"] = rows
+    records, headers = delimited_records(spark, str(tmp_path))
+    got = {}
+    for x in records.collect():
+        got.setdefault(x.file.split("/")[-1], []).append((x.pos, x.text))
+    parse = lambda t: next(csv.reader(io.StringIO(t, newline="")))
+    for name, rows in want.items():
+        assert [parse(t) for _, t in sorted(got[name])] == rows[1:]
+    assert [parse(x.text) for x in headers.collect()] == [["h1", "h2", "h3"]] * 3
+    states = quote_states(pieces(spark, str(tmp_path), "\n")).collect()
+    assert len(states) > 10 and any(s.inside for s in states) and any(not s.inside for s in states)
+    assert [quote_open(x, i) for x, i in ((b'a,"b', False), (b'5" pipe, 6"', False), (b'b""', True), (b'b",c', True), (b'b","', True), (b'"a" x,"', False))] == [True, False, True, False, True, True]
+
+
+def test_json_by_ranges(spark, tmp_path, small_ranges):
+    """Objects found over many ranges, whatever strings hold: the wrapping key by priority, single objects, files that are cut, empty or no JSON."""
+    from loomfuse.sources.ranges import json_records
+
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice(BITS) for _ in range(n))
+    obj = lambda d: {text(2): r.choice([1, None, text(6), [{}, [{"q": "}"}]]]) if d else obj(1) for _ in range(r.randint(0, 4))}
+    recs, other = [[obj(r.randint(0, 1)) for _ in range(n)] for n in (40, 9)]
+    files = {
+        "a": (json.dumps([*recs, 5, "x", [{"no": 1}]]), recs), "b": (json.dumps({"meta": {"a": {"b": {}}}, "results": other, "candidates": recs, "n": {"x": [{"z": 1}]}}, indent=2, ensure_ascii=False), recs),
+        "c": (json.dumps({"data": recs}) + "\n", recs), "d": (json.dumps(recs[:1]), recs[:1]), "e": ('{"name": "one", "x": [{"y": 1}]}\n', [{"name": "one", "x": [{"y": 1}]}]), "f": ("[]", []), "g": ("", []),
+        "cut": (json.dumps(recs)[:-1], []), "cut2": ('{"data": [{"a": 1}\n', []), "cut3": ('[{"a": "b', []), "text": ("hello", []), "bom": ("\ufeff" + json.dumps(recs), recs),
+    }
+    for name, (t, _) in files.items():
+        (tmp_path / f"{name}.json").write_text(t, encoding="utf-8")
+    rows, told = json_records(spark, str(tmp_path), ("candidates", "applicants", "results", "data", "records"))
+    got = {}
+    for x in rows.collect():
+        got.setdefault(x.file.split("/")[-1][:-5], []).append((x.pos, x.text))
+    for name, (_, w) in files.items():
+        assert [json.loads(t) for _, t in sorted(got.get(name, []))] == w, name
+    assert {x.file.split("/")[-1][:-5] for x in told.where("error is not null").collect()} == {"cut", "cut2", "cut3", "text"}
+
+
+def test_sources_in_one_plan(spark, tmp_path):
+    """Files and folders of all types, one of them twice, with faults: good rows and warnings by source."""
+    from loomfuse.plans.pipeline import extract_all
+
+    (tmp_path / "more files").mkdir()
+    (tmp_path / "more files" / "a.csv").write_text("Email,NAME\na@x.co,Ann\n,,\nb@x.co\n")
+    (tmp_path / "more files" / "b.csv").write_text("\ufeffcandidate,,mobile\nBob,x,1\n", encoding="utf-8")
+    (tmp_path / "bad.csv").write_bytes(b"email\nc@x.co\n\xff\xfe\n")
+    (tmp_path / "cut.json").write_text('[{"email": "d@x.co"}')
+    (tmp_path / "n.txt").write_text("Name: Eve\ne@x.co\n\nName: Flo\n")
+    (tmp_path / "m.txt").write_bytes(b"Name: \xff\n")
+    sources = ["more files", "bad.csv", "cut.json", "n.txt", "m.txt", "absent.csv", "more files/a.csv"]
+    raw, warnings = extract_all(spark, [Source(str(tmp_path / s), "recruiter_csv" if s == "more files" else None) for s in sources])
+    rows = {(r.spec_idx, r.full_name, *r.emails, *r.phones) for r in raw.collect()}
+    assert rows == {(0, "Ann", "a@x.co"), (0, None, "b@x.co"), (0, "Bob", "1"), (3, "Eve", "e@x.co"), (3, "Flo"), (6, "Ann", "a@x.co"), (6, None, "b@x.co")}
+    assert raw.select("spec_idx", "pos").distinct().count() == raw.count()
+    told = {(w.source.split("/")[-1], w.message) for w in warnings.collect()}
+    assert told == {("bad.csv", "contributed no records (bad.csv is not UTF-8 text)"), ("cut.json", "contributed no records (cut.json ends inside a value)"), ("m.txt", "contributed no records (m.txt is not UTF-8 text)"), ("absent.csv", "contributed no records (not found)")}

@@ -49,7 +49,9 @@ def read_sources(spark: SparkSession, roots: dict[str, list[tuple[int, str]]]) -
     for kind, found in roots.items():
         names = {p for _, p in found}
         tops = sorted(p for p in names if not any(p.startswith(q.rstrip("/") + "/") for q in names))
-        every = every.unionByName(FILE_READERS[kind](spark, tops, spark.createDataFrame(found, "spec_idx int, root string")))
+        encoded = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).toUri().toString()  # noqa: E731  the text source tells names so
+        specs = sorted({(i, q) for i, p in found for q in (p, encoded(p))})
+        every = every.unionByName(FILE_READERS[kind](spark, tops, spark.createDataFrame(specs, "spec_idx int, root string")))
     return every
 
 

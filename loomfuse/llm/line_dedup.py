@@ -3,14 +3,16 @@
 A line's key is the line stripped of blanks, A-Z lower-cased. Keys of at least ``min_chars`` code
 points held by two documents or more keep their lines only in the document with the smallest id.
 
-State (``LineIndex``), all Parquet in the shared folder:
-  docs     doc_id, keys          forward table: the distinct keys of each indexed document
-  refs     shard, key, n, owner  exact reference counts and smallest holder
-  filters  shard, blob           cuckoo filters of the shard's keys
+State (``LineIndex``), logs in Parquet in the shared folder, of which a generation only adds rows:
+  docs     doc_id, keys, gen              forward table: the keys of each indexed document, none twice
+  gone     doc_id, gen                    documents deleted at a generation
+  refs     shard, key, n, owner, gen, set exact reference counts and smallest holder: what a generation adds, or (set) sets anew
+  filters  shard, blob                    cuckoo filters, with one cell for each key of the exact table
 
-``insert`` asks a shard's filters first, without the exact table: a key that they deny is new and is appended; only keys that
-they do not deny are joined with the exact table. ``delete`` lowers the counts of the deleted documents' keys, takes keys without
-references out of the filters, and finds a new owner where the old one left; insert followed by delete restores the state.
+``insert`` asks a shard's filters first, without the exact table: a key that they deny is new. Only the others are looked up; a key that
+the filters mistook for another gets a cell of its own, so that the deletion of one never makes the filter deny the other. ``delete``
+sets anew the counts of the deleted documents' keys, takes keys without references out of the filters, and finds a new owner where the
+old one left. Deleting what was inserted restores the counts. Logs of more than ``GENERATIONS`` are merged.
 
 Null or empty text is one empty line. Short lines are never keys. Repeated rows are one document.
 """
@@ -25,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomfuse.llm.common import NO_ID, cut, doc_key, free_name, norm_docs, real_id
+from loomfuse.llm.common import NO_ID, cut, doc_key, free_name, norm_docs, real_id, shuffle_parts
 
 MIN_CHARS = 10
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -121,7 +123,10 @@ class ShardFilter:
             self.filters.append(CuckooFilter(slots=8 * self.filters[-1].n, keys=[key]))
 
     def delete(self, key: bytes) -> None:
-        any(f.delete(key) for f in self.filters)
+        """Take a key's cell out. Where several filters have a like one its own is not known: it stays, and costs a look-up at most."""
+        like = [f for f in self.filters if key in f]
+        if len(like) == 1:
+            like[0].delete(key)
 
     def blobs(self) -> list[bytes]:
         return [f.tobytes() for f in self.filters]
@@ -169,30 +174,58 @@ def combined(fwd: DataFrame, shards: int) -> DataFrame:
 
 
 STATE = "shard int, key binary, n long, owner long, known boolean, blob binary"
+DOC, GONE, REF, FILTER = "doc_id long, keys array<binary>, gen int", "doc_id long, gen int", "shard int, key binary, n long, owner long, gen int, set boolean", "shard int, blob binary"
+#: Generations of a log before they are merged.
+GENERATIONS = 16
+
+
+def one_row_a_document(fwd: DataFrame) -> DataFrame:
+    """``fwd`` (doc_id, keys) with no key twice for a document: rows of one id, if there are more, become a row a key."""
+    repeated = fwd.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    more = fwd.join(repeated, "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key")).distinct()
+    return fwd.join(repeated, "doc_id", "left_anti").select("doc_id", "keys").unionByName(more.select("doc_id", F.array("key").alias("keys")))
 
 
 class LineIndex:
-    def __init__(self, spark: SparkSession, shards: int, min_chars: int = MIN_CHARS, docs: DataFrame | None = None, refs: DataFrame | None = None, filters: DataFrame | None = None, looked_up: DataFrame | None = None):
-        self.spark, self.shards, self.min_chars = spark, shards, min_chars
-        self.docs = docs if docs is not None else spark.createDataFrame([], "doc_id long, keys array<binary>")
-        self.refs = refs if refs is not None else spark.createDataFrame([], "shard int, key binary, n long, owner long")
-        self.filters = filters if filters is not None else spark.createDataFrame([], "shard int, blob binary")
+    def __init__(self, spark: SparkSession, shards: int, min_chars: int = MIN_CHARS, gen: int = 0, **logs: DataFrame):
+        self.spark, self.shards, self.min_chars, self.gen = spark, shards, min_chars, gen
+        self.logs = {name: logs.get(name) if logs.get(name) is not None else spark.createDataFrame([], kind) for name, kind in (("docs", DOC), ("gone", GONE), ("log", REF), ("filters", FILTER))}
+        self.empty = not gen
         #: The keys that the last insertion had to look up in the exact table.
-        self.looked_up = looked_up
-        self.empty = refs is None
+        self.looked_up = logs.get("looked_up")
 
     @classmethod
     def create(cls, spark: SparkSession, rows: int, min_chars: int = MIN_CHARS, rows_per_shard: int = 20_000) -> LineIndex:
         """An empty index. A task holds the filters of one shard, a few bytes a key."""
         return cls(spark, max(8, -(-rows // rows_per_shard)), min_chars)
 
-    def _probe(self, change: DataFrame, insert: bool) -> DataFrame:
-        """``change`` (shard, key, n, owner: one row a key) with known, what the filters said of each key, and rows of the filters (blob) with
-        these keys inserted or deleted. The exact table is not read."""
+    @property
+    def docs(self) -> DataFrame:
+        """doc_id, keys of the documents that the index holds."""
+        gone = self.logs["gone"].groupBy("doc_id").agg(F.max("gen").alias("left"))
+        return self.logs["docs"].join(gone, "doc_id", "left").where("left is null or gen > left").select("doc_id", "keys")
+
+    @property
+    def refs(self) -> DataFrame:
+        """shard, key, n, owner of the keys that a document holds."""
+        return self._state(self.logs["log"])
+
+    @staticmethod
+    def _state(log: DataFrame) -> DataFrame:
+        # the last row that sets a key anew, and what was added since: a key has a row a generation at most
+        rows = F.array_sort(F.collect_list(F.struct("gen", "set", "n", "owner")))
+        add = lambda a, x: F.when(x["set"], F.struct(x["n"].alias("n"), x["owner"].alias("owner"))).otherwise(F.struct((a["n"] + x["n"]).alias("n"), F.least(a["owner"], x["owner"]).alias("owner")))
+        none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("owner"))
+        state = log.groupBy("shard", "key").agg(rows.alias("rows")).select("shard", "key", F.aggregate("rows", none, add).alias("s"))
+        return state.select("shard", "key", "s.n", "s.owner").where("n > 0")
+
+    def _probe(self, change: DataFrame, how: str) -> DataFrame:
+        """``change`` (shard, key, n, owner: one row a key) with known, what the filters said of each key, and rows of the filters (blob). "ask":
+        keys that the filters deny get a cell; "add": all do; "drop": each loses its cell. The exact table is not read."""
         # a shard's filters first, then the keys
-        held = self.filters.select("shard", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("owner"), "blob", F.lit(0).alias("turn"))
+        held = self.logs["filters"].select("shard", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("owner"), "blob", F.lit(0).alias("turn"))
         both = held.unionByName(change.select("shard", "key", "n", "owner", F.lit(None).cast("binary").alias("blob"), F.lit(1).alias("turn")))
-        both = both.repartition(self.shards, "shard").sortWithinPartitions("shard", "turn")
+        both = both.repartition(min(self.shards, 8 * shuffle_parts(self.spark)), "shard").sortWithinPartitions("shard", "turn")
 
         def run(batches):
             names = ["shard", "key", "n", "owner", "known", "blob"]
@@ -216,10 +249,10 @@ class LineIndex:
                         continue
                     held = held or ShardFilter(blobs)
                     known.append(key in held)
-                    if insert and not known[-1]:
-                        held.insert(key)
-                    elif not insert:
+                    if how == "drop":
                         held.delete(key)
+                    elif how == "add" or not known[-1]:
+                        held.insert(key)
                 out = pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(known, pa.bool_()), pa.nulls(b.num_rows, pa.binary())], names)
                 yield out.filter(pa.compute.is_valid(b.column(1)))
             if number is not None:
@@ -227,38 +260,48 @@ class LineIndex:
 
         return cut(both.select("shard", "key", "n", "owner", "blob", "turn").mapInArrow(run, STATE), "line-probed")
 
+    def _next(self, **logs: DataFrame) -> LineIndex:
+        out = LineIndex(self.spark, self.shards, self.min_chars, self.gen + 1, **(self.logs | logs))
+        return out.merged() if out.gen % GENERATIONS == 0 else out
+
+    def merged(self) -> LineIndex:
+        """The same index with logs of one generation."""
+        docs, log = self.docs.withColumn("gen", F.lit(self.gen)), self.refs.withColumns({"gen": F.lit(self.gen), "set": F.lit(True)})
+        return LineIndex(self.spark, self.shards, self.min_chars, self.gen, docs=cut(docs, "line-docs"), log=cut(log, "line-refs"), filters=self.logs["filters"], looked_up=self.looked_up)
+
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with ``docs`` added; documents whose id it holds already are left as they are."""
-        fwd = forward(docs, self.min_chars).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
-        fwd = cut(fwd if self.empty else fwd.join(self.docs.select("doc_id"), "doc_id", "left_anti"), "line-docs")
+        return self.insert_forward(cut(one_row_a_document(forward(docs, self.min_chars)), "line-docs"))
+
+    def insert_forward(self, fwd: DataFrame) -> LineIndex:
+        """``insert`` of (doc_id, keys) with no key twice for a document."""
+        gen = F.lit(self.gen + 1).alias("gen")
+        if not self.empty:
+            fwd = fwd.join(self.docs.select("doc_id").distinct(), "doc_id", "left_anti")
         change = combined(fwd, self.shards).groupBy("shard", "key").agg(F.sum("n").alias("n"), F.min("owner").alias("owner"))
-        probed = self._probe(change, True)
-        filters = probed.where("blob is not null").select("shard", "blob")
-        # a key that its shard's filter denied is new; only the others are looked up in the exact table
-        new, maybe = (probed.where(c).select("shard", "key", "n", "owner") for c in ("not known", "known"))
-        if self.empty:
-            # an empty index has nothing to look up, so that a key known to the filter was taken for one of this batch
-            return LineIndex(self.spark, self.shards, self.min_chars, fwd, new.unionByName(maybe), filters, maybe.select("key").limit(0))
-        found = self.refs.join(maybe.select("key"), "key", "left_semi").select("key", F.col("n").alias("n_old"), F.col("owner").alias("owner_old"))
-        more = maybe.join(found, "key", "left").select("shard", "key", (F.col("n") + F.coalesce("n_old", F.lit(0))).alias("n"), F.least("owner", "owner_old").alias("owner"))
-        refs = self.refs.join(maybe.select("key"), "key", "left_anti").select("shard", "key", "n", "owner")
-        return LineIndex(self.spark, self.shards, self.min_chars, self.docs.unionByName(fwd), cut(refs.unionByName(new).unionByName(more), "line-refs"), filters, maybe.select("key"))
+        probed = self._probe(change, "ask")
+        filters, asked = probed.where("blob is not null").select("shard", "blob"), probed.where("known")
+        # keys that the filters know but the exact table does not were taken for others
+        mistaken = asked if self.empty else asked.join(self._state(self.logs["log"].join(asked.select("key"), "key", "left_semi")), "key", "left_anti")
+        again = LineIndex(self.spark, self.shards, filters=filters)._probe(mistaken, "add")
+        log = probed.where("key is not null").select("shard", "key", "n", "owner", gen, F.lit(False).alias("set"))
+        looked_up = asked.select("key").limit(0) if self.empty else asked.select("key")
+        return self._next(docs=self.logs["docs"].unionByName(fwd.select("doc_id", "keys", gen)), log=self.logs["log"].unionByName(log), filters=again.where("blob is not null").select("shard", "blob"), looked_up=looked_up)
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """The index without the documents whose doc_id is in ``ids``."""
-        ids = ids.select(doc_key().alias("doc_id")).distinct()
-        gone = cut(self.docs.join(ids, "doc_id", "left_semi"), "line-gone")
-        left = cut(self.docs.join(ids, "doc_id", "left_anti"), "line-docs")
-        change = combined(gone, self.shards).groupBy("key").agg(F.sum("n").alias("less"))
-        refs = self.refs.join(change, "key", "left").select("shard", "key", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n"), "owner")
-        refs = cut(refs, "line-refs")
-        # keys that nobody holds leave the filters; where the owner left, the next document that holds the key follows
-        filters = self._probe(refs.where("n <= 0"), False).where("blob is not null").select("shard", "blob")
-        refs = refs.where("n > 0")
-        lost = refs.join(ids.withColumnRenamed("doc_id", "owner"), "owner", "left_semi").select("key")
-        heirs = left.select("doc_id", F.explode("keys").alias("key")).join(lost, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("heir"))
-        refs = cut(refs.join(heirs, "key", "left").select("shard", "key", "n", F.coalesce("heir", "owner").alias("owner")), "line-refs")
-        return LineIndex(self.spark, self.shards, self.min_chars, left, refs, filters)
+        ids = cut(ids.select(doc_key().alias("doc_id")).distinct(), "line-gone")
+        gen = F.lit(self.gen + 1).alias("gen")
+        less = combined(self.docs.join(ids, "doc_id", "left_semi"), self.shards).groupBy("key").agg(F.sum("n").alias("less"))
+        now = self._state(self.logs["log"].join(less.select("key"), "key", "left_semi")).join(less, "key")
+        now = cut(now.select("shard", "key", (F.col("n") - F.col("less")).alias("n"), "owner"), "line-refs")
+        # where the owner left, the next document that holds the key follows
+        lost = now.where("n > 0").join(ids.withColumnRenamed("doc_id", "owner"), "owner", "left_semi").select("key")
+        left = self.docs.join(ids, "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
+        heirs = left.join(lost, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("heir"))
+        log = cut(now.join(heirs, "key", "left").select("shard", "key", "n", F.when(F.col("n") > 0, F.coalesce("heir", "owner")).alias("owner"), gen, F.lit(True).alias("set")), "line-refs")
+        filters = self._probe(now.where("n <= 0"), "drop").where("blob is not null").select("shard", "blob")
+        return self._next(gone=self.logs["gone"].unionByName(ids.select("doc_id", gen)), log=self.logs["log"].unionByName(log), filters=filters)
 
     def drops(self) -> DataFrame:
         """doc_id, keys: the keys whose lines each document loses."""
@@ -284,9 +327,24 @@ class LineIndex:
         return norm_docs(docs).join(self.drops(), "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept string")
 
 
+#: The registered query takes documents into the index in so many batches by id.
+BATCHES = 2
+
+
+def indexed(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> LineIndex:
+    """An index of ``docs``, taken in by ranges of ids, one after the other."""
+    fwd = cut(one_row_a_document(forward(docs, min_chars)), "line-docs")
+    ends = fwd.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.05) if batches > 1 else []
+    index, last = LineIndex.create(docs.sparkSession, fwd.count(), min_chars), None
+    for end in [*(int(e) for e in ends), None]:
+        part = fwd if last is None else fwd.where(F.col("doc_id") > last)
+        index, last = index.insert_forward(part if end is None else part.where(F.col("doc_id") <= end)), end
+    return index
+
+
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Line dedup of one batch: doc_id, n_lines, n_dropped, kept (text)."""
-    index = LineIndex.create(docs.sparkSession, docs.select("doc_id").count(), min_chars).insert(docs)
+    """Line dedup of a table: doc_id, n_lines, n_dropped, kept (text)."""
+    index = indexed(docs, min_chars)
     return index.apply(docs).select(real_id(), "n_lines", "n_dropped", "kept")
 
 
@@ -294,7 +352,7 @@ def dedup_documents(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, with the lines left in ``text`` and their number of characters in ``n_chars``, if there is one.
 
     Null texts stay null; other columns may have any names."""
-    index = LineIndex.create(docs.sparkSession, docs.select("doc_id").count(), min_chars).insert(docs)
+    index = indexed(docs, min_chars)
     schema, names = docs.schema, {c.lower(): i for i, c in enumerate(docs.columns)}
     here, there = free_name(docs, "keys"), free_name(docs, "id")
     drops = index.drops().select(F.col("doc_id").alias(there), F.col("keys").alias(here))

@@ -136,6 +136,56 @@ def test_line_filter_spares_look_ups(spark):
     assert len(count) == 350 and all(count[k] == (2, 15 + i // 10) for i, k in enumerate(line_key(x.encode()) for x in lines[150:200]))
 
 
+def test_line_deletion_spares_like_keys(spark):
+    """Two keys with one fingerprint and bucket have a cell each: the deletion of one leaves the other known."""
+    from loomfuse.llm.line_dedup import CuckooFilter, LineIndex, ShardFilter, line_key
+
+    a, b = "a line with number 9374 in it", "a line with number 10224 in it"
+    one = ShardFilter()
+    one.insert(line_key(a.encode()))
+    assert line_key(b.encode()) in one  # the filter takes one for the other
+    rows = lambda *xs: frame(spark, [(i, t, "en", "s", 1, 0.0, None) for i, t in xs])
+    for start in (LineIndex.create(spark, 10).insert(rows((1, a), (2, b))), LineIndex.create(spark, 10).insert(rows((1, a))).insert(rows((2, b)))):
+        index = start.delete(rows((1, a)).select("doc_id")).insert(rows((3, b), (4, a)))
+        state = {bytes(r.key): (r.n, r.owner) for r in index.refs.collect()}
+        assert state == {line_key(b.encode()): (2, 2), line_key(a.encode()): (1, 4)} and index.refs.count() == 2
+        assert [(r.doc_id, len(r["keys"])) for r in index.drops().collect()] == [(3, 1)]
+    # filters of different sizes: a cell that may be another's stays
+    keys = [line_key(f"one more line, number {k}".encode()) for k in range(30_000)]
+    shard = ShardFilter()
+    for k in keys:
+        shard.insert(k)
+    assert len(shard.filters) > 2
+    for k in keys[::2]:
+        shard.delete(k)
+    assert all(k in shard for k in keys[1::2]) and isinstance(shard.filters[0], CuckooFilter)
+
+
+def test_line_index_over_generations(spark, monkeypatch):
+    """Inserting, deleting and inserting again in any order equals an index of what is left, merged logs included; ids that many rows have."""
+    import random
+
+    from loomfuse.llm import line_dedup as L
+
+    monkeypatch.setattr(L, "GENERATIONS", 3)
+    r = random.Random(3)
+    lines = [f"some line of the number {k}" for k in range(12)]
+    index, held = L.LineIndex.create(spark, 10), {}
+    for _ in range(5):
+        new = {i: "\n".join(r.choice(lines) for _ in range(3)) for i in r.sample(range(12), 4) if i not in held}
+        index = index.insert(frame(spark, [(i, t, "en", "s", 1, 0.0, None) for i, t in new.items() for _ in range(1 + i % 2)]))
+        held |= new
+        gone = r.sample(sorted(held), min(len(held), 2))
+        index = index.delete(frame(spark, [(i, None, None, None, None, None, None) for i in gone]))
+        held = {i: t for i, t in held.items() if i not in gone}
+    want = {}
+    for i in sorted(held):
+        for key in {L.line_key(x.encode()) for x in held[i].split("\n")}:
+            n, owner = want.get(key, (0, i))
+            want[key] = (n + 1, owner)
+    assert {bytes(x.key): (x.n, x.owner) for x in index.refs.collect()} == want
+
+
 def test_documents_with_clashing_names(spark):
     from pyspark.sql import functions as F
 

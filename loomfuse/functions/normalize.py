@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import re
+import unicodedata
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -17,21 +19,30 @@ def email(c: Column | str) -> Column:
 
 
 def phone(c: Column | str, region: Column | str) -> Column:
-    """E.164 by the numbering plan of ``region``, or of the calling code after a plus sign."""
-    x, region = strip(c), col(region)
-    digits = F.regexp_replace(x, r"\D", "")
-    able = x.isNotNull() & ~x.rlike("[A-Za-z]") & (F.length(digits) >= 5)
+    """E.164 by the numbering plan of ``region``, or of the calling code after a plus sign.
+
+    What stands before the first digit or plus sign is left out, so is an extension. Three letters or more, behind three digits, are
+    those of the keypad; fewer are left out."""
+    text, region = strip(c), col(region)
+    text = F.regexp_replace(F.regexp_replace(text, R.PHONE_EXTENSION, ""), r"^[^+\d]+", "")
+    viable = text.rlike(R.PHONE_VIABLE)
+    keyed = F.when(text.rlike("(?:[^A-Za-z]*[A-Za-z]){3}"), F.translate(F.upper(text), *R.KEYPAD)).otherwise(text)
+    digits = F.regexp_replace(keyed, r"\D", "")
     codes: dict[str, list[str]] = {}
     for code, _, national in R.PHONE_PLANS.values():
         codes.setdefault(code, []).append(national)
     known = "|".join(f"{code}(?:{'|'.join(sorted(set(n)))})" for code, n in sorted(codes.items()))
-    plus = F.when(digits.rlike(f"^(?:{known})$"), F.concat(F.lit("+"), digits))
     code, trunk, national = (lookup({k: v[i] for k, v in R.PHONE_PLANS.items()}, region) for i in range(3))
     number = F.concat(F.lit("(?:"), national, F.lit(")$"))
-    without = lambda prefix: F.regexp_replace(digits, F.concat(F.lit("^"), prefix, F.lit("(?="), number, F.lit(")")), F.lit(""))
     whole = F.concat(F.lit("^"), number)
-    local = F.concat(F.lit("+"), code, F.when(F.rlike(without(trunk), whole), without(trunk)).when(F.rlike(without(code), whole), without(code)))
-    return F.when(able, F.when(x.startswith("+"), plus).otherwise(local))
+
+    def found(d: Column) -> Column:
+        plus = F.when(d.rlike(f"^(?:{known})$"), F.concat(F.lit("+"), d))
+        without = lambda prefix: F.regexp_replace(d, F.concat(F.lit("^"), prefix, F.lit("(?="), number, F.lit(")")), F.lit(""))
+        local = F.concat(F.lit("+"), code, F.when(F.rlike(without(trunk), whole), without(trunk)).when(F.rlike(without(code), whole), without(code)))
+        return F.when(viable & (F.length(d) >= 5), F.when(text.startswith("+"), plus).otherwise(local))
+
+    return let(digits, found)
 
 
 def month(c: Column | str) -> Column:
@@ -54,32 +65,43 @@ def year(c: Column | str) -> Column:
     return first_match(col(c).cast("string"), r"(?:19|20)\d{2}").cast("int")
 
 
-@functools.cache
-def _locale_countries(_: int) -> tuple[dict, dict, dict]:
-    """Country codes of two and three letters, and English names, from the Java runtime's locale data."""
-    locale = SparkSession.getActiveSession()._jvm.java.util.Locale
-    two, three, names = {}, {}, {}
-    for code in locale.getISOCountries():
-        place = locale("", code)
-        two[code] = code
-        names[place.getDisplayCountry(locale.ENGLISH).lower()] = code
-        try:
-            three[place.getISO3Country()] = code
-        except Exception:  # noqa: BLE001  a code without three letters
-            continue
-    return two, three, names
+#: Letters with marks and the plain ones that their decomposition begins with.
+_MARKED = {ch: base for ch in map(chr, range(0xC0, 0x250)) if (base := unicodedata.normalize("NFD", ch)[0]) != ch and base.isascii()}
+
 
+def fold(c: Column | str) -> Column:
+    """Lower case, letters without marks, blanks squashed, typewriter apostrophes."""
+    return F.lower(squash(F.translate(col(c), "".join(_MARKED) + "\u2019", "".join(_MARKED.values()) + "'")))
 
-def countries() -> tuple[dict, dict, dict]:
-    return _locale_countries(0)
+
+@functools.cache
+def countries() -> dict[str, str]:
+    """Country code of two letters by codes of letters and of three digits, and by folded English names, from the tables of the
+    Unicode library that comes with Spark."""
+    icu = SparkSession.getActiveSession()._jvm.com.ibm.icu
+    plain = lambda t: "".join(_MARKED.get(ch, ch) for ch in t).replace("\u2019", "'").lower()
+    names = icu.text.LocaleDisplayNames.getInstance(icu.util.ULocale.ENGLISH)
+    found: dict[str, str] = {}
+    for two in icu.util.ULocale.getISOCountries():
+        number = icu.util.Region.getInstance(two).getNumericCode()
+        if number > 894:  # a code that the standard leaves to its users
+            continue
+        name = plain(names.regionDisplayName(two))
+        for key in (two.lower(), icu.util.ULocale("", two).getISO3Country().lower(), f"{number:03d}", name, re.sub(r" \(.*\)$", "", name), name.replace("&", "and"), name.replace("st. ", "saint ")):
+            found.setdefault(key, two)
+    return found | R.COUNTRY_NAMES
 
 
 def country(c: Column | str) -> Column:
-    """ISO 3166 code of two letters, from an alias, a code or an English name."""
-    two, three, names = countries()
+    """ISO 3166 code of two letters, from an alias, a code of letters or digits, an English name, or that name in its long form, such as Republic of X."""
     base = F.lower(strip(c))
-    key = F.upper(F.regexp_replace(base, r"\.+$", ""))
-    return F.when(base != "", F.coalesce(lookup(R.COUNTRY_ALIASES, base), lookup(R.COUNTRY_ALIASES, F.lower(key)), lookup(two, key), lookup(three, key), lookup(names, base)))
+    bare = F.regexp_replace(base, r"\.+$", "")
+    table = countries()
+    codes = {k: v for k, v in table.items() if len(k) <= 3}
+    # Korea, Republic of: Republic of Korea
+    turned = lambda x: F.regexp_replace(x, "^(.*), (.* of)$", "$2 $1")
+    by_name = lambda x: F.coalesce(lookup(table, x), lookup(table, F.regexp_replace(turned(x), R.STATE_FORM, "")))
+    return F.when(base != "", F.coalesce(lookup(R.COUNTRY_ALIASES, base), lookup(R.COUNTRY_ALIASES, bare), lookup(codes, bare), let(fold(c), by_name)))
 
 
 def location(c: Column | str) -> Column:
@@ -93,7 +115,7 @@ def location(c: Column | str) -> Column:
 
 def name(c: Column | str) -> Column:
     """Tokens in one case only are capitalized; mixed ones stay."""
-    cap = lambda t: F.when((t == F.lower(t)) | (t == F.upper(t)), F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, 2, 10_000)))).otherwise(t)
+    cap = lambda t: F.when((t == F.lower(t)) | (t == F.upper(t)), F.concat(F.upper(F.substring(t, 1, 1)), F.lower(F.substring(t, F.lit(2), F.length(t))))).otherwise(t)
     return blank_to_null(F.array_join(F.transform(F.split(squash(c), " "), cap), " "))
 
 
@@ -137,7 +159,3 @@ KINDS = {
     "e164": lambda c, region: phone(c, F.lit(region)), "canonical": lambda c, _: skill(c), "iso3166": lambda c, _: country(c), "iso-3166": lambda c, _: country(c),
     "yyyy-mm": lambda c, _: month(c), "yyyymm": lambda c, _: month(c), "month": lambda c, _: month(c), "lowercase": lambda c, _: F.lower(c), "uppercase": lambda c, _: F.upper(c),
 }
-
-
-def text_or_null(c: Column | str) -> Column:
-    return clean(c)

@@ -16,6 +16,8 @@ METHODS = {"recruiter_csv": "direct", "ats_json": "remapped"}
 MONTHS = {"jan": 1, "january": 1, "feb": 2, "february": 2, "mar": 3, "march": 3, "apr": 4, "april": 4, "may": 5, "jun": 6, "june": 6, "jul": 7, "july": 7, "aug": 8, "august": 8, "sep": 9, "sept": 9, "september": 9, "oct": 10, "october": 10, "nov": 11, "november": 11, "dec": 12, "december": 12}
 PRESENT = ("present", "current", "now", "ongoing", "till date", "to date")
 COUNTRY_ALIASES = {"usa": "US", "u.s.a.": "US", "u.s.": "US", "us": "US", "united states": "US", "united states of america": "US", "america": "US", "uk": "GB", "u.k.": "GB", "england": "GB", "britain": "GB", "great britain": "GB", "united kingdom": "GB", "uae": "AE", "south korea": "KR", "korea": "KR", "russia": "RU", "bharat": "IN", "india": "IN"}
+#: Names of countries besides those in the Unicode tables.
+COUNTRY_NAMES = {"turkey": "TR", "viet nam": "VN", "russian federation": "RU", "czech republic": "CZ", "syrian arab republic": "SY", "lao people's democratic republic": "LA", "brunei darussalam": "BN", "cabo verde": "CV", "holy see": "VA", "macao": "MO", "hong kong": "HK", "swaziland": "SZ", "burma": "MM", "ivory coast": "CI"}
 US_STATES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC".split()
 
 #: Skills and the lower-case spellings that stand for them, besides their own name.
@@ -62,9 +64,11 @@ URL = r"((?:https?://)?(?:www\.)?[A-Za-z0-9.\-]+\.[A-Za-z]{2,}/[^\s|]+)"
 DATE = r"(?:[A-Za-z]{3,9}\.?\s+\d{4}|\d{1,2}[/\-]\d{4}|\d{4})"
 DATE_RANGE = rf"(?i)({DATE})\s*(?:[–\-—]|to)\s*(present|current|now|{DATE})"
 
-#: Numbering plans: calling code, trunk prefix, national number. Lengths and leading digits from the public plans; area codes are not checked.
+#: North America: area codes have no 9 in the middle and are not those of services (N11) or reserved (37x, 96x); exchanges are not N11.
+_NORTH_AMERICA = r"(?!37|96|.11)[2-9][0-8]\d(?!.11)[2-9]\d{6}"
+#: Numbering plans: calling code, trunk prefix, national number. Lengths and leading digits from the public plans.
 PHONE_PLANS = {
-    "US": ("1", "1", "[2-9]\\d{2}[2-9]\\d{6}"), "CA": ("1", "1", "[2-9]\\d{2}[2-9]\\d{6}"), "GB": ("44", "0", "[1-3789]\\d{8,9}"), "IN": ("91", "0", "[6-9]\\d{9}"), "DE": ("49", "0", "[1-9]\\d{6,12}"), "FR": ("33", "0", "[1-9]\\d{8}"),
+    "US": ("1", "1", _NORTH_AMERICA), "CA": ("1", "1", _NORTH_AMERICA), "GB": ("44", "0", "[1-3789]\\d{8,9}"), "IN": ("91", "0", "[6-9]\\d{9}"), "DE": ("49", "0", "[1-9]\\d{6,12}"), "FR": ("33", "0", "[1-9]\\d{8}"),
     "ES": ("34", "", "[6-9]\\d{8}"), "IT": ("39", "", "(?:0\\d{5,10}|3\\d{8,9})"), "PT": ("351", "", "[29]\\d{8}"), "NL": ("31", "0", "[1-9]\\d{8}"), "BE": ("32", "0", "[1-9]\\d{7,8}"), "CH": ("41", "0", "[2-9]\\d{8}"), "AT": ("43", "0", "[1-9]\\d{6,12}"),
     "IE": ("353", "0", "[1-9]\\d{6,9}"), "SE": ("46", "0", "[1-9]\\d{6,9}"), "NO": ("47", "", "[2-9]\\d{7}"), "DK": ("45", "", "[2-9]\\d{7}"), "FI": ("358", "0", "[1-9]\\d{4,11}"), "PL": ("48", "", "[1-9]\\d{8}"), "CZ": ("420", "", "[2-9]\\d{8}"),
     "GR": ("30", "", "[26]\\d{9}"), "RU": ("7", "8", "[3489]\\d{9}"), "UA": ("380", "0", "[3-9]\\d{8}"), "TR": ("90", "0", "[2-5]\\d{9}"), "IL": ("972", "0", "[2-9]\\d{7,8}"), "AE": ("971", "0", "[2-9]\\d{7,8}"), "SA": ("966", "0", "[1-9]\\d{7,8}"),
@@ -73,4 +77,10 @@ PHONE_PLANS = {
     "NZ": ("64", "0", "[2-9]\\d{7,9}"), "BR": ("55", "0", "[1-9]{2}[2-9]\\d{7,8}"), "MX": ("52", "", "[2-9]\\d{9}"), "AR": ("54", "0", "[1-9]\\d{9,10}"), "CL": ("56", "", "[2-9]\\d{8}"), "CO": ("57", "", "[36]\\d{9}"), "ZA": ("27", "0", "[1-8]\\d{8}"),
     "NG": ("234", "0", "[7-9]\\d{9}"), "KE": ("254", "0", "[17]\\d{8}"), "EG": ("20", "0", "[1-9]\\d{7,9}"),
 }
+#: An extension at the end; digits behind marks, then anything; letters of the keypad and their digits.
+PHONE_EXTENSION = r"(?i)(?:;ext=|[\s,.\-]*(?:\bext(?:ensi(?:o|ó))?n?|\bxtn?|x|#)[:.]?\s*)\d{1,7}#?$"
+PHONE_VIABLE = r"^\+?(?:[\s().\-/]*\d){3}[\s().\-/A-Za-z\d]*$"
+KEYPAD = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "22233344455566677778889999")
+#: What stands before a country's name in the long form of it.
+STATE_FORM = r"^(?:the )?(?:(?:federal|democratic|socialist|islamic|people's|arab|co-operative|cooperative|united|federative|oriental|plurinational|hashemite|independent|bolivarian) )*(?:republic|kingdom|state|states|commonwealth|union|principality|grand duchy|sultanate|federation) of (?:the )?"
 KEYWORD_WEIGHT = 0.6

@@ -62,3 +62,26 @@ def no_strings() -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def find_terms(text: Column, terms: list[str]) -> Column:
+    """Those of ``terms`` that stand in ``text`` by themselves (no a-z, A-Z, 0-9 beside them), in the order of ``terms``.
+
+    One pass, whatever the number of terms: at each place the longest term is found by one pattern without taking any text, so that the
+    next place is looked at too; the shorter ones that begin at the same place are known beforehand from the longest."""
+    terms = list(dict.fromkeys(t for t in terms if t))
+    if not terms:
+        return no_strings()
+    part = lambda c: c.isascii() and c.isalnum()
+    inside = {t: [u for u in terms if t.startswith(u) and (t == u or not part(t[len(u)]))] for t in terms}
+    quoted = lambda t: "".join(ch if ch.isalnum() else f"\\x{{{ord(ch):x}}}" for ch in t)
+    by_first: dict[str, list[str]] = {}
+    for t in sorted(terms, key=lambda t: (-len(t), t)):
+        by_first.setdefault(t[0], []).append(quoted(t[1:]))
+    tree = "|".join(f"{quoted(c)}(?:{'|'.join(rest)})(?![A-Za-z0-9])" for c, rest in by_first.items())
+    hits = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?<![A-Za-z0-9])(?=({tree}))"), F.lit(1)))
+    more = {t: F.array(*map(F.lit, found)) for t, found in inside.items() if len(found) > 1}
+    if more:
+        pairs = F.create_map(*(x for t, found in more.items() for x in (F.lit(t), found)))
+        hits = F.flatten(F.transform(hits, lambda h: F.coalesce(F.try_element_at(pairs, h), F.array(h))))
+    return let(hits, lambda found: F.when(F.size(found) > 0, F.filter(F.array(*map(F.lit, terms)), lambda t: F.array_contains(found, t))).otherwise(no_strings()))

@@ -4,6 +4,7 @@ The tables hold no person records, so each query builds an operator's input from
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import pyarrow as pa
@@ -19,11 +20,13 @@ from loomfuse.operators import identity, profiles, ranking
 from loomfuse.operators.projection import project, render
 from loomfuse.operators.records import normalize_records
 from loomfuse.operators.validation import config_errors
-from loomfuse.plans.components import connected_components, shared_dir
+from loomfuse.plans.components import _cut, connected_components, shared_dir
 from loomfuse.plans.config import OutputConfig
 from loomfuse.plans.pipeline import Source, build_profiles, extract_all, shape, write_outputs
 from loomfuse.sources import readers
+from loomfuse.sources.datasource import read_export
 from loomfuse.sources.schemas import as_raw
+from loomfuse.streaming.incremental import ProfileStore
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -172,11 +175,18 @@ def scalar_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_profiles(as_raw(raw)).select(F.get("emails", F.lit(0)).alias("email"), "headline", told.alias("source"))
 
 
-@query(f"""SELECT s AS source, f AS field, w, m FROM (SELECT unnest({_SOURCES}) AS s, unnest([0.9, 0.85, 0.76, 0.35]::DOUBLE[]) AS w, 'emails' AS f, unnest(['direct+x', 'remapped+x', 'extracted+x', 'extracted+x']) AS m)""")
+_FIELDS = ("full_name", "emails", "phones", "location", "links", "headline", "years_experience", "skills", "experience", "education")
+_WEIGHTS = ((0.9, 0.85, 0.76, 0.4), (0.9, 0.85, 0.76, 0.35), (0.9, 0.85, 0.76, 0.35), (0.855, 0.8075, 0.72, 0.25), (0.45, 0.85, 0.8, 0.2), (0.63, 0.8075, 0.72, 0.25), (0.36, 0.8075, 0.72, 0.3), (0.45, 0.765, 0.8, 0.35), (0.54, 0.765, 0.8, 0.15), (0.18, 0.765, 0.8, 0.15))
+
+
+@query(f"""SELECT c_custkey, {list(_FIELDS)}[c_custkey % 10 + 1] AS field, CASE WHEN s = 5 THEN 0.5::DOUBLE ELSE (CAST({[list(w) for w in _WEIGHTS]} AS DOUBLE[][]))[c_custkey % 10 + 1][s] END AS w,
+  ['direct+x', 'remapped+x', 'extracted+x', 'extracted+x', 'extracted+x'][s] AS m FROM (SELECT c_custkey, c_nationkey % 5 + 1 AS s FROM customer)""")
 def trust_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("source")
-    df = spark.createDataFrame([(k,) for k in R.SOURCE_TRUST], "source string")
-    return df.select("source", F.lit("emails").alias("field"), field_weight(s, "emails").alias("w"), method(s, "x").alias("m"))
+    """Weight and method of claims on every field by every source, one of them unknown."""
+    source = F.get(F.array(*map(F.lit, (*R.SOURCE_TRUST, "elsewhere"))), F.col("c_nationkey") % 5)
+    k = (F.col("c_custkey") % 10).cast("int")
+    w = F.get(F.array(*(field_weight(source, f) for f in _FIELDS)), k)
+    return _t(spark, sf_dir, "customer").select("c_custkey", F.get(F.array(*map(F.lit, _FIELDS)), k).alias("field"), w.alias("w"), method(source, "x").alias("m"))
 
 
 @query("""WITH l AS (SELECT l_orderkey, CAST(printf('%.4f', l_discount * 10) AS DOUBLE) AS c, l_linenumber FROM lineitem), g AS (SELECT l_orderkey, list(c ORDER BY l_linenumber, c) AS cs FROM l GROUP BY l_orderkey)
@@ -233,7 +243,7 @@ def project_config_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyword_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = ranking.parse_keywords("The, MIT  License;der\nthe")
     text = F.lower("text")
-    hits = sum((F.when(ranking.keyword_hit(w, text, F.array(F.lit("no skill"))), 1).otherwise(0) for w in words), F.lit(0))
+    hits = F.size(ranking.keyword_hits(words, text, F.array(F.lit("no skill"))))
     df = _t(spark, sf_dir, "documents").select("doc_id", hits.cast("long").alias("hits"))
     return df.select("doc_id", "hits", ranking.blend(F.lit(0.5), F.col("hits") / F.lit(3.0)).alias("score"))
 
@@ -260,10 +270,12 @@ def _letters(key: str) -> Column:
 _L = "translate(CAST({} AS VARCHAR), '0123456789', 'abcdefghij')"
 
 
-@query("""SELECT CAST(c_custkey AS BIGINT) AS k, 'Customer ' || c_custkey AS full_name, 'c' || c_custkey || '@example.com' AS email, '+1 415 555 ' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'Firm, ' || c_nationkey END AS company, c_mktsegment AS title, 'recruiter_csv' AS source FROM customer WHERE c_custkey % 5 <> 0
-  UNION ALL SELECT c_custkey, NULL, 'c' || c_custkey || '@example.com', NULL, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'Firm, ' || c_nationkey END, c_mktsegment, 'recruiter_csv' FROM customer WHERE c_custkey % 5 = 0""")
-def delimited_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers written as two delimited files with other header spellings, blank cells and line ends in quotes, and read back by byte ranges."""
+_SHEET = """SELECT CAST(c_custkey AS BIGINT) AS k, 'Customer ' || c_custkey AS full_name, 'c' || c_custkey || '@example.com' AS email, '+1 415 555 ' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'Firm, ' || c_nationkey END AS company, c_mktsegment AS title, 'recruiter_csv' AS source FROM customer WHERE c_custkey % 5 <> 0
+  UNION ALL SELECT c_custkey, NULL, 'c' || c_custkey || '@example.com', NULL, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'Firm, ' || c_nationkey END, c_mktsegment, 'recruiter_csv' FROM customer WHERE c_custkey % 5 = 0"""
+
+
+def _sheet(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of a delimited export of the customers, in two files."""
     k = F.col("c_custkey")
     named = k % 5 != 0
     sheet = _t(spark, sf_dir, "customer").select(
@@ -272,12 +284,28 @@ def delimited_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     folder = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}.csv"
     sheet.coalesce(2).write.option("header", True).option("escape", '"').csv(folder)
-    got = readers.READERS[readers.detect_type("export.CSV")](spark, folder)
+    return folder
+
+
+def _sheet_told(got: DataFrame) -> DataFrame:
     job = F.get("experience", F.lit(0))
     number = F.regexp_extract(F.get("emails", F.lit(0)), r"\d+", 0).cast("long")
     return got.select(number.alias("k"), "full_name", F.get("emails", F.lit(0)).alias("email"), F.get("phones", F.lit(0)).alias("phone"), job["company"].alias("company"), job["title"].alias("title"), "source")
 
 
+@query(_SHEET)
+def delimited_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as two delimited files with other header spellings, blank cells and line ends in quotes, and read back by byte ranges."""
+    return _sheet_told(readers.READERS[readers.detect_type("export.CSV")](spark, _sheet(spark, sf_dir)))
+
+
+@query(_SHEET)
+def data_source_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same export through the data source, with the columns that are asked for."""
+    columns = ["source", "full_name", "emails", "phones", "experience"]
+    return _sheet_told(read_export(spark, _sheet(spark, sf_dir), f"{shared_dir(spark)}/states-{uuid.uuid4().hex}", columns))
+
+
 _APPLICANTS = f"""SELECT CAST(c_custkey AS BIGINT) AS k, 'Customer ' || c_custkey AS full_name, CASE WHEN c_custkey % 2 = 0 THEN 'a' || c_custkey || '@x.com,b' || c_custkey || '@x.com' ELSE 'a' || c_custkey || '@x.com' END AS emails, c_mktsegment AS city, CASE WHEN c_custkey % 3 = 0 THEN 'https://github.com/u' || c_custkey ELSE 'http://github.com/u' || c_custkey END AS github,
   CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey % 30 AS DOUBLE) END AS years_num, CASE WHEN c_custkey % 4 <> 0 THEN (c_custkey % 30) || ' years' END AS years_txt, CASE WHEN c_custkey % 7 = 0 THEN 'Python' ELSE 'Python,k8s' END AS skills, 'Firm ' || c_nationkey || '/Engineer/2019-0' || (c_custkey % 9 + 1) AS job, 'School ' || c_nationkey || '/B.Sc/20' || lpad(CAST(c_custkey % 20 AS VARCHAR), 2, '0') AS course FROM customer"""
 
@@ -376,6 +404,32 @@ def years_of_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select("p_partkey", N.years_experience(num, txt).alias("years"))
 
 
+#: Region, calling code, trunk prefix and the first digits and length of numbers there.
+_PLACES = (("US", "1", "1", "415555", 10), ("GB", "44", "0", "20794", 10), ("IN", "91", "0", "98765", 10), ("DE", "49", "0", "30", 9), ("FR", "33", "0", "1", 9), ("ES", "34", "", "612", 9), ("AU", "61", "0", "4", 9), ("BR", "55", "0", "119", 11), ("JP", "81", "0", "3", 9), ("SG", "65", "", "9", 8), ("ZA", "27", "0", "82", 9), ("NL", "31", "0", "20", 9))
+_SHAPES = ("+{c} {n}", "+{c}-{a}-{z}", "(+{c}) {n}", "{t}{n}", "({t}) {a} {z}", "{n}", "tel: +{c} {n}", "+{c} {n} ext. 12", "+{c} {a}.{z}x7", "+{c} {n};ext=5", "{a}.{z}", "{n} #44", "{short}", "{n}{n}", "+{c} {a}-CALL", "no number", "{t}-{a}-CALL ext 9", "+999{n}", "+{c} {a} {z}, extension 3")
+
+
+def _shape(put, part) -> list:
+    """The shapes, each as a list of parts: ``put`` of a literal, ``part`` of a name."""
+    return [[part(x[1:-1]) if x[:1] == "{" else put(x) for x in re.split(r"(\{\w+\})", shape) if x] for shape in _SHAPES]
+
+
+_SQL_PLACES = ", ".join(f"({i}, '{c}', '{t}', '{head}', {size})" for i, (_, c, t, head, size) in enumerate(_PLACES))
+
+
+@query(f"""SELECT c_custkey, CASE WHEN shape IN (12, 13, 15, 17) THEN CAST(NULL AS VARCHAR) WHEN shape IN (14, 16) THEN '+' || c || substr(n, 1, length(n) - 4) || '2255' ELSE '+' || c || n END AS e164
+FROM (SELECT c_custkey, c, head || lpad(CAST(c_custkey % 97 AS VARCHAR), CAST(size - length(head) AS INTEGER), '0') AS n, (c_custkey // {len(_PLACES)}) % {len(_SHAPES)} AS shape FROM customer JOIN (VALUES {_SQL_PLACES}) p(i, c, t, head, size) ON c_custkey % {len(_PLACES)} = i)""")
+def phone_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of twelve regions in nineteen shapes: with and without plus sign and trunk prefix, extensions, letters, and what is none."""
+    k = F.col("c_custkey")
+    at = lambda i: F.get(F.array(*(F.lit(p[i]) for p in _PLACES)), (k % len(_PLACES)).cast("int"))
+    n = F.concat(at(3), F.lpad((k % 97).cast("string"), at(4) - F.length(at(3)), F.lit("0")))
+    df = _t(spark, sf_dir, "customer").select("c_custkey", at(0).alias("region"), at(1).alias("c"), at(2).alias("t"), n.alias("n"))
+    df = df.withColumns({"a": F.substring("n", F.lit(1), F.length("n") - 4), "z": F.right("n", F.lit(4)), "short": F.left("n", F.lit(4))})
+    shapes = F.array(*(F.concat(*parts) for parts in _shape(F.lit, F.col)))
+    return df.select("c_custkey", N.phone(F.get(shapes, (F.floor(k / len(_PLACES)) % len(_SHAPES)).cast("int")), F.col("region")).alias("e164"))
+
+
 _NATIONS = {"ALGERIA": "DZ", "ARGENTINA": "AR", "BRAZIL": "BR", "CANADA": "CA", "CHINA": "CN", "EGYPT": "EG", "ETHIOPIA": "ET", "FRANCE": "FR", "GERMANY": "DE", "INDIA": "IN", "INDONESIA": "ID", "IRAN": "IR", "IRAQ": "IQ", "JAPAN": "JP", "JORDAN": "JO", "KENYA": "KE", "MOROCCO": "MA", "MOZAMBIQUE": "MZ", "PERU": "PE", "ROMANIA": "RO", "RUSSIA": "RU", "SAUDI ARABIA": "SA", "UNITED KINGDOM": "GB", "UNITED STATES": "US", "VIETNAM": "VN"}
 
 
@@ -384,6 +438,19 @@ def country_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "nation").select("n_nationkey", N.country("n_name").alias("iso"))
 
 
+_CODES = {"DZ": ("dza", 12), "AR": ("arg", 32), "BR": ("bra", 76), "CA": ("can", 124), "CN": ("chn", 156), "EG": ("egy", 818), "ET": ("eth", 231), "FR": ("fra", 250), "DE": ("deu", 276), "IN": ("ind", 356), "ID": ("idn", 360), "IR": ("irn", 364), "IQ": ("irq", 368), "JP": ("jpn", 392), "JO": ("jor", 400), "KE": ("ken", 404), "MA": ("mar", 504), "MZ": ("moz", 508), "PE": ("per", 604), "RO": ("rou", 642), "RU": ("rus", 643), "SA": ("sau", 682), "GB": ("gbr", 826), "US": ("usa", 840), "VN": ("vnm", 704)}
+
+
+@query(f"""SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 8 THEN CAST(NULL AS VARCHAR) ELSE CASE upper(n_name) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _NATIONS.items())} END END AS iso FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def country_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' countries by name in either case, long forms, codes of two and three letters and of digits, and by what is no country."""
+    own = F.create_map(*(F.lit(x) for name, two in _NATIONS.items() for x in (name, two)))[F.upper("n_name")]
+    of = lambda i: F.create_map(*(F.lit(x) for two, codes in _CODES.items() for x in (two, codes[i])))[own]
+    forms = F.array(F.concat(F.lit("  "), F.lower("n_name"), F.lit(" ")), F.upper("n_name"), F.concat(F.lit("the Islamic Republic of "), F.initcap("n_name")), F.concat(F.initcap("n_name"), F.lit(", Kingdom of")), own, F.concat(F.upper(of(0)), F.lit(".")), F.lpad(of(1).cast("string"), 3, "0"), F.lower(own), F.concat(F.lit("New "), "n_name"))
+    df = _t(spark, sf_dir, "supplier").join(F.broadcast(_t(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 rows at any scale
+    return df.select("s_suppkey", N.country(F.get(forms, (F.col("s_suppkey") % 9).cast("int"))).alias("iso"))
+
+
 @query("""SELECT c_custkey, 'customer' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '|' || CASE WHEN c_custkey % 2 = 0 THEN 'firm' ELSE lower('IN') END AS weak FROM customer""")
 def weak_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name with first employer, else country."""
@@ -470,11 +537,11 @@ def keyword_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.get("emails", F.lit(0)).alias("email"), F.array_join("matched", ",").alias("matched"), "match_fraction")
 
 
-@query(f"""WITH {_STAFF} SELECT 's' || c_custkey || '@example.com' AS email, 'Cust ' || upper(l[1]) || substr(l, 2) AS title, 'C' || upper(l[1]) AS initials FROM (SELECT *, {_L.format('c_custkey')} AS l FROM customer)""")
+@query(f"""WITH {_STAFF} SELECT 's' || c_custkey || '@example.com' AS email, 'Cust ' || upper(l[1]) || substr(l, 2) AS title, 'C' || upper(l[1]) AS initials, CAST(NULL AS VARCHAR) AS place, 0 AS n_links FROM (SELECT *, {_L.format('c_custkey')} AS l FROM customer)""")
 def profile_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat view of profiles."""
     got = build_profiles(_staff(spark, sf_dir))
-    return got.select("cluster", F.get("emails", F.lit(0)).alias("email")).join(ranking.card(got), "cluster").select("email", "title", "initials")
+    return got.select("cluster", F.get("emails", F.lit(0)).alias("email")).join(ranking.card(got), "cluster").select("email", "title", "initials", "place", F.size("links").alias("n_links"))
 
 
 @query("""SELECT 'cand_' || substr(sha1('s' || c_custkey || '@example.com'), 1, 10) AS candidate_id, 's' || c_custkey || '@example.com' AS email, 13 AS n_fields FROM customer""")
@@ -514,3 +581,60 @@ def source_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.element_at(F.array(*(F.lit(str(k)) for k in keys)), F.col("spec_idx") + 1)
     told = F.regexp_extract("message", r"part-[^ ]* (.*)\)$", 1)
     return raw.select(F.get("emails", F.lit(0)).alias("told"), number.alias("source")).unionByName(warnings.select(told.alias("told"), F.regexp_extract("source", r"=(\d+)$", 1).alias("source")))
+
+
+# ---- batches, confidence and order ------------------------------------------------------------------------
+
+
+@query(f"""WITH g AS (SELECT c_custkey AS c, CASE WHEN c_custkey % 10 = 1 THEN c_custkey - 1 ELSE c_custkey END AS r FROM customer),
+k AS (SELECT r, count(o_orderkey) FILTER (o_orderkey % 2 = 0) AS a, count(o_orderkey) FILTER (o_orderkey % 2 = 1) AS z FROM g LEFT JOIN orders ON o_custkey = c GROUP BY r),
+m AS (SELECT a, z, CASE WHEN r % 10 = 0 THEN 2 ELSE 1 END AS n_emails, 'cand_' || substr(sha1(CASE WHEN r % 10 = 0 THEN least('s' || r || '@example.com', 's' || (r + 1) || '@example.com') ELSE 's' || r || '@example.com' END), 1, 10) AS candidate_id FROM k),
+s AS (SELECT candidate_id, n_emails, unnest([{{'n': 'Python', 'a': a, 'z': z}}, {{'n': 'Kubernetes', 'a': a, 'z': 0}}, {{'n': 'Weird Skill', 'a': 0, 'z': z}}, {{'n': '-', 'a': 0, 'z': 0}}]) AS s FROM m)
+SELECT candidate_id, CAST(n_emails AS INTEGER) AS n_emails, s.n AS skill, {_OR.format('s.a', '0.765', 's.z', '0.8')} AS conf FROM s WHERE s.a + s.z > 0 OR s.n = '-'""")
+def incremental_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and customers that come in three batches; every tenth customer also has the next one's e-mail and so joins two old clusters. The
+    profiles are kept up by reading and writing touched clusters only, and equal those of all records."""
+    raw = _staff(spark, sf_dir)
+    both = (F.col("spec_idx") == 1) & (F.col("pos") % 10 == 0)
+    next_ = F.array(F.concat(F.lit("s"), (F.col("pos") + 1).cast("string"), F.lit("@example.com")))
+    raw = raw.withColumn("emails", F.when(both, F.concat("emails", next_)).otherwise(F.col("emails")))
+    store = ProfileStore(spark, f"{shared_dir(spark)}/profiles-{uuid.uuid4().hex}")
+    for k in range(3):
+        store.add(raw.where(F.col("pos") % 3 == k), k)
+    none = F.array(F.struct(F.lit("-").alias("name"), F.lit(0.0).alias("confidence")))
+    skill = F.explode(F.concat(none, F.transform("skills", lambda s: F.struct(s["name"].alias("name"), s["confidence"].alias("confidence")))))
+    return store.profiles().select("candidate_id", F.size("emails").alias("n_emails"), skill.alias("s")).select("candidate_id", "n_emails", F.col("s.name").alias("skill"), F.col("s.confidence").alias("conf"))
+
+
+#: Overall confidence of ``_staff``: the mean of all values' confidences, in the order of the profile, times the share of fields that are there.
+_OVERALL = f"""{_STAFF}, h AS (SELECT c_custkey AS c, coalesce(a, 0) AS a, coalesce(z, 0) AS z FROM customer LEFT JOIN g ON c = c_custkey),
+sk AS (SELECT c, list(conf ORDER BY conf DESC, n) AS l FROM (SELECT c, s.n, {_OR.format('s.a', '0.765', 's.z', '0.8')} AS conf FROM (SELECT c, unnest([{{'n': 'Python', 'a': a, 'z': z}}, {{'n': 'Kubernetes', 'a': a, 'z': 0}}, {{'n': 'Weird Skill', 'a': 0, 'z': z}}]) AS s FROM h) WHERE s.a + s.z > 0) GROUP BY c),
+jo AS (SELECT c, list(conf ORDER BY f DESC) AS l FROM (SELECT c, f, {_OR.format('a', '0.765', 'z', '0.8')} AS conf FROM (SELECT c, k % 3 AS f, count(*) FILTER (r = 0) AS a, count(*) FILTER (r = 1) AS z FROM o GROUP BY c, k % 3)) GROUP BY c),
+ov AS (SELECT c, a, z, 'cand_' || substr(sha1('s' || c || '@example.com'), 1, 10) AS candidate_id, list_concat([0.9::DOUBLE, CAST(printf('%.4f', 1.0 - list_reduce(list_concat([1.0::DOUBLE, 0.9::DOUBLE], list_transform(range(a), lambda x: 0.85::DOUBLE), list_transform(range(z), lambda x: 0.76::DOUBLE)), lambda p, w: p * (1.0 - w))) AS DOUBLE)], coalesce(sk.l, []), coalesce(jo.l, []),
+  CASE WHEN z > 0 THEN [{_OR.format('0', '0.765', 'z', '0.8')}] ELSE [] END, CASE WHEN a > 0 THEN [{_OR.format('a', '0.765', '0', '0.8')}] ELSE [] END) AS cs, CASE WHEN a + z > 0 THEN 4 ELSE 2 END / 6.0::DOUBLE AS cover FROM h LEFT JOIN sk USING (c) LEFT JOIN jo USING (c)),
+al AS (SELECT *, CAST(printf('%.4f', list_reduce(list_prepend(0.0::DOUBLE, cs), lambda p, x: p + x) / len(cs) * cover) AS DOUBLE) AS overall FROM ov)"""
+
+_TOLD = {"fields": [{"path": "name", "from": "full_name"}, {"path": "skills", "on_missing": "omit"}, {"path": "gone", "from": "phones", "on_missing": "omit"}]}
+
+
+@query(f"""WITH {_OVERALL} SELECT candidate_id, overall, 1 + CASE WHEN a > 0 THEN 2 ELSE 0 END + CASE WHEN z > 0 THEN 2 ELSE 0 END AS n_provenance, a + z > 0 AS has_skills, CASE WHEN a + z > 0 THEN 'full_name,skills' ELSE 'full_name' END AS heads FROM al""")
+def project_confidence_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs with confidence and with the provenance of the fields that they show."""
+    config = OutputConfig.from_dict(_TOLD)
+    made = _cut(build_profiles(_staff(spark, sf_dir)))
+    df = project(made, config)
+    v = F.try_parse_json(render(df, [f.path for f in config.fields]))
+    fields = F.transform(F.try_variant_get(v, "$.provenance", "array<struct<field:string,source:string,method:string>>"), lambda p: F.get(F.split(p["field"], r"[.\[:]"), F.lit(0)))
+    df = df.select("cluster", F.try_variant_get(v, "$.overall_confidence", "double").alias("overall"), F.size(fields).alias("n_provenance"), F.try_variant_get(v, "$.skills[0].confidence", "double").isNotNull().alias("has_skills"), F.array_join(F.array_sort(F.array_distinct(fields)), ",").alias("heads"))
+    return df.join(made.select("cluster", "candidate_id"), "cluster").drop("cluster")
+
+
+@query(f"""WITH {_OVERALL}, f AS (SELECT candidate_id, overall, (CASE WHEN a + z > 0 THEN 1 ELSE 0 END + CASE WHEN z > 0 THEN 1 ELSE 0 END) / 3.0::DOUBLE AS part FROM al)
+SELECT candidate_id, row_number() OVER (ORDER BY part DESC, overall DESC, candidate_id) AS by_keywords, row_number() OVER (ORDER BY overall DESC, candidate_id) AS by_confidence FROM f""")
+def profile_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of profiles by keywords and by confidence, ties by id."""
+    words = ["python", "weird skill", "haskell"]
+    made = _cut(build_profiles(_staff(spark, sf_dir)))
+    one = ranking.with_rank(ranking.keyword_match(made, words).select("cluster", "candidate_id", "match_fraction", "overall_confidence"), words)
+    two = ranking.with_rank(made.select("cluster", "candidate_id", "overall_confidence"))
+    return one.select("cluster", "candidate_id", F.col("rank").alias("by_keywords")).join(two.select("cluster", F.col("rank").alias("by_confidence")), "cluster").drop("cluster")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomfuse.functions import rules as R
-from loomfuse.functions.text import blank_to_null, clean, first_match, let, lookup, no_strings, strip
+from loomfuse.functions.text import blank_to_null, clean, find_terms, first_match, let, lookup, no_strings, strip
 from loomfuse.sources.ranges import delimited_records, json_records
 from loomfuse.sources.schemas import as_raw
 
@@ -174,9 +174,7 @@ def scan_links(text: Column) -> Column:
 
 def scan_skills(text: Column) -> Column:
     """Every spelling of a skill that stands by itself, longer ones first."""
-    low = F.lower(text)
-    escape = lambda a: "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in a)
-    return F.array_compact(F.array(*(F.when(low.rlike(f"(?<![A-Za-z0-9]){escape(a)}(?![A-Za-z0-9])"), F.lit(a)) for a in R.SKILL_SPELLINGS)))
+    return find_terms(F.lower(text), R.SKILL_SPELLINGS)
 
 
 def split_notes(text: Column) -> Column:

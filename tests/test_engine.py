@@ -315,6 +315,47 @@ def test_delimited_by_ranges(spark, tmp_path, small_ranges):
     assert [quote_open(x, i) for x, i in ((b'a,"b', False), (b'5" pipe, 6"', False), (b'b""', True), (b'b",c', True), (b'b","', True), (b'"a" x,"', False))] == [True, False, True, False, True, True]
 
 
+def test_data_source(spark, tmp_path, small_ranges):
+    """The data source gives the rows of the function reader, by ranges and by whole files, and only the columns asked for."""
+    import csv
+    import io
+
+    from loomfuse.sources.datasource import PersonExport, read_export
+    from loomfuse.sources.readers import read_delimited
+
+    r = random.Random(9)
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        b = io.StringIO()
+        rows = [[f"Name {i} " + "".join(r.choice(BITS) for _ in range(r.randint(0, 6))), r.choice(["", f"m{i}@x.co"]), "".join(r.choice(BITS) for _ in range(r.randint(0, 40)))] for i in range(60)]
+        csv.writer(b).writerows([["Candidate", "E-Mail", "Remarks"], *rows])
+        (tmp_path / "in" / f"{k}.csv").write_text(b.getvalue(), newline="")
+    want = all_of(read_delimited(spark, str(tmp_path / "in")).drop("pos"))
+    got = read_export(spark, str(tmp_path / "in"), str(tmp_path / "states"))
+    assert got.rdd.getNumPartitions() > 8 and all_of(got.drop("pos")) == want and got.select("pos").distinct().count() == got.count() == 120
+    spark.dataSource.register(PersonExport)
+    whole = spark.read.format("person_export").option("columns", "full_name,emails").load(str(tmp_path / "in"))
+    assert whole.columns == ["full_name", "emails"] and all_of(whole) == all_of(got.select("full_name", "emails"))
+
+
+def test_terms_in_one_pass(spark):
+    """All terms found by one pattern, as by one for each."""
+    import re
+
+    from loomfuse.functions import rules as R
+    from loomfuse.functions.text import find_terms
+    from loomfuse.sources.readers import scan_skills
+
+    texts = ["spring boot, node.js c++ c++11 c# (react.js)", "Google Cloud Platform; java script_js rest api's", "xpython python3 py3 .NET-core", "", None, "É tf2 tf\ngo-lang go", "natural language processing NLP ml/dl"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    one = lambda t, a: re.search(rf"(?<![A-Za-z0-9]){re.escape(a)}(?![A-Za-z0-9])", t)
+    for i, found in df.select("i", scan_skills(F.col("t"))).collect():
+        assert (found or []) == [a for a in R.SKILL_SPELLINGS if texts[i] and one(texts[i].lower(), a)]
+    terms = [".net", "é", "go", "tf", "c++", "platform; java", "python", "", "api's"]
+    for i, found in df.select("i", find_terms(F.lower("t"), terms)).collect():
+        assert (found or []) == [a for a in terms if a and texts[i] and one(texts[i].lower(), a)]
+
+
 def test_json_by_ranges(spark, tmp_path, small_ranges):
     """Objects found over many ranges, whatever strings hold: the wrapping key by priority, single objects, files that are cut, empty or no JSON."""
     from loomfuse.sources.ranges import json_records

@@ -424,3 +424,82 @@ def test_pipeline_near_duplicate_limit(spark, tmp_path):
     rows = [(2 * k + i, t, "en", "s", len(t), 0.0, None) for k, p in enumerate(pairs) for i, t in enumerate(p)]
     kept = corpus_pipeline.near_duplicates(spark, frame(spark, rows), str(tmp_path))
     assert {r.doc_id for r in kept.collect()} == {0, 2, 4, 5}
+
+
+def test_secret_scan_against_plain_python(spark):
+    """Every candidate of every whole text, with the forest's chance computed one finding at a time by walking its trees."""
+    import hashlib
+
+    from loomfuse.llm.secret_scan import BESIDE, NAMES, PATTERNS, dictionary, features, fit, labelled_findings, scan
+    from loomfuse.llm import secret_scan as S
+    import re
+
+    made = labelled_findings(600)
+    forest, words = fit(made), dictionary()
+    docs = [(i, f"{before}{value}{after}\n" + "filler words " * (i % 7) + before + value, "en", path, 1, 0.0, None) for i, (value, _, before, after, path, _) in enumerate(made[:150])]
+    docs += [(900, None, None, None, None, None, None), (901, "", "en", "s", 0, 0.0, None), docs[0]]
+
+    def walk(nodes, x):
+        at = 0
+        while nodes[at][0] >= 0:
+            at = nodes[at][2] if x[nodes[at][0]] <= nodes[at][1] else nodes[at][3]
+        return nodes[at][4]
+
+    want = []
+    for doc, text, _, path, *_ in docs:
+        text, at = text or "", 0
+        while at <= len(text):  # at each place the first kind that matches
+            hit = min(((m.start(), k, m) for k, (_, p) in enumerate(PATTERNS) if (m := re.compile(p).search(text, at))), default=None, key=lambda t: t[:2])
+            if hit is None:
+                break
+            m = hit[2]
+            a, z = m.span(1)
+            x = features(text[a:z], NAMES[hit[1]], text[max(0, a - BESIDE) : a], text[z : z + BESIDE], path or "", words)
+            p = sum(walk(t, x) for t in forest.trees) / len(forest.trees)
+            want.append((doc, a, z, NAMES[hit[1]], hashlib.sha256(text[a:z].encode()).hexdigest(), round(p, 9), p >= 0.5))
+            at = max(m.end(), at + 1)
+    got = [(r.doc_id, r.start, r.stop, r.kind, r.value_sha256, round(r.score, 9), r.is_secret) for r in scan(frame(spark, docs), forest).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 250 and S.ALL is not None
+
+
+def test_classifier_loses_no_telling_word(spark):
+    """Of all words of the labelled documents, those that any fold finds telling are among the candidates, so that the choice is the same."""
+    import pyarrow as pa
+
+    from loomfuse.llm.quality_classifier import Ragged, candidate_words, telling_words, view_rows
+
+    docs, labels = corpus(300)
+    y_of = {i: int(q == 1 and t == 0) for i, q, t in labels}
+    kept = [(i, t) for i, t, *_ in docs if i in y_of]
+    y = np.array([y_of[i] for i, _ in kept])
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in kept], "text": [t for _, t in kept], "lang": ["en"] * len(kept), "source": ["s"] * len(kept)})
+    hashes = [r[0] for r in view_rows(batch)]
+    every = np.unique(np.concatenate(hashes))
+    sample = spark.createDataFrame([(i, t, "en", "s", y_of[i]) for i, t in kept], "doc_id long, text string, lang string, source string, y int")
+    few = candidate_words(sample, float(y.mean()))
+    assert len(few) < len(every) and np.isin(few, every).all()
+    fold = np.arange(len(y)) % 4
+    for k in range(5):
+        use = np.flatnonzero(fold != k)
+        for label in (0, 1):
+            found = []
+            for words in (every, few):
+                rows = Ragged.of_lists([np.searchsorted(words, h[np.isin(h, words)]) for h in (hashes[i] for i in use)])
+                told = telling_words(rows, len(words), y[use], label)
+                found.append(set(words[told].tolist()))
+            assert found[0] == found[1] and (label or found[0])
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Empty tables, and documents without text, id or label, with columns of clashing names."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, keys string, n long, terms string"
+    none = [(None, None, None, None, None, None, None, None), (1, None, None, None, None, "a", 1, "b"), (2, "", "en", "s", 0, None, None, None), (3, "some words that stay here", "en", "s", 25, "k", 2, "t"), (3, "some words that stay here", "en", "s", 25, "k", 2, "t")]
+    for name, rows in (("empty", []), ("null", none)):
+        at = tmp_path / name
+        spark.createDataFrame(rows, schema).write.parquet(str(at / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(at / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(at)).collect()
+        assert {r.doc_id for r in got} <= {r[0] for r in rows} and (not rows or 3 in {r.doc_id for r in got})

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomfuse.llm.common import buffers, cut, hash_spans, mix, norm_docs, pieces, real_id, spans, without
+from loomfuse.llm.tokens import release_tools
 
 MAX_LABELLED, ROUNDS, TAKE, FOLDS = 12_000, 3, 400, 4
 MIN_DF, CUT, LEAST_G, COVER = 4, 0.5, 20.0, 3
@@ -267,6 +268,7 @@ def candidate_words(sample: DataFrame, share: float) -> np.ndarray:
     """Hashes of the words and beginnings in ``sample`` (text, y) that could become telling ones, counted by documents on executors."""
 
     def run(batches):
+        release_tools()
         for b in batches:
             for part in pieces(b, "text"):
                 rows, y = view_rows(part), part.column("y").to_numpy()
@@ -286,6 +288,7 @@ def seen_by(docs: DataFrame, words: np.ndarray, *extra: str) -> DataFrame:
     fields = {f.name: f for f in docs.schema}
 
     def run(batches):
+        release_tools()  # what an earlier query has left in the process
         words = held.value
         for b in batches:
             for part in pieces(b, "text"):

@@ -46,7 +46,16 @@ def round4(c: Column | str) -> Column:
     return F.regexp_replace(F.format_number(col(c), 4), ",", "").cast("double")
 
 
+_KINDS = {str: "string", int: "int", float: "double"}
+
+
 def literal_map(pairs: dict) -> Column:
+    """A constant table. One of texts, or of texts to numbers, is one literal that is folded when the query is planned: a tree of
+    thousands of literals would have to be built and analysed at each use."""
+    kinds = {type(v) for v in pairs.values()}
+    if pairs and all(isinstance(k, str) for k in pairs) and len(kinds) == 1 and (kind := _KINDS.get(next(iter(kinds)))):
+        made = F.call_function("str_to_map", F.lit("\x01".join(f"{k}\x02{v!r}" if kind == "double" else f"{k}\x02{v}" for k, v in pairs.items())), F.lit("\x01"), F.lit("\x02"))
+        return made if kind == "string" else made.cast(f"map<string,{kind}>")
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 

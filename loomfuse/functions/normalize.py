@@ -100,7 +100,8 @@ def country(c: Column | str) -> Column:
     codes = {k: v for k, v in table.items() if len(k) <= 3}
     # Korea, Republic of: Republic of Korea
     turned = lambda x: F.regexp_replace(x, "^(.*), (.* of)$", "$2 $1")
-    by_name = lambda x: F.coalesce(lookup(table, x), lookup(table, F.regexp_replace(turned(x), R.STATE_FORM, "")))
+    bare_name = lambda x: F.regexp_replace(turned(x), R.STATE_FORM, "")
+    by_name = lambda x: F.coalesce(lookup(table, x), let(bare_name(x), lambda y: F.coalesce(lookup(table, y), lookup(R.COUNTRY_ALIASES, y))))
     return F.when(base != "", F.coalesce(lookup(R.COUNTRY_ALIASES, base), lookup(R.COUNTRY_ALIASES, bare), lookup(codes, bare), let(fold(c), by_name)))
 
 

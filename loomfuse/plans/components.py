@@ -25,7 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
 def _cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/components-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop_cut(*written: DataFrame) -> None:
+    """Delete what ``_cut`` wrote for tables that nothing reads any more."""
+    for df in written:
+        if path := getattr(df, "cut_path", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -53,7 +63,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not mark[0]:
             break
-        now = _cut(_small_star(_cut(_large_star(now))))
+        large = _cut(_large_star(now))
+        then = _cut(_small_star(large))
+        drop_cut(now, large)  # the next round is written
+        now = then
         before, mark = mark, _mark(now)
         if before == mark:
             break

@@ -28,7 +28,7 @@ from pyspark.sql.streaming import StreamingQuery
 from loomfuse.operators.identity import blocking_keys, star_edges
 from loomfuse.operators.profiles import merge_clusters
 from loomfuse.operators.records import normalize_records
-from loomfuse.plans.components import _cut, connected_components
+from loomfuse.plans.components import _cut, connected_components, drop_cut
 from loomfuse.sources.schemas import RAW
 
 BUCKETS = 64
@@ -106,19 +106,20 @@ class ProfileStore:
         known = _cut(self.known_roots(keys, version))
         # the batch's graph: stars of its own keys, and from each key that the store knows one edge to the old cluster
         leads = keys.join(known, "key").groupBy("key").agg(F.min("rec").alias("u"), F.first("root").alias("v"))
-        labels = _cut(connected_components(star_edges(keys, "key", "rec").unionByName(leads.select("u", "v"))))
+        labels = connected_components(star_edges(keys, "key", "rec").unionByName(leads.select("u", "v")))
         label = lambda df, c: df.join(labels.select(F.col("u").alias(c), "label"), c, "left").withColumn("now", F.coalesce("label", c)).drop("label")
         touched = _cut(label(known.select("root").distinct(), "root"))
         moved = touched.where("root <> now").select("root")
         old = self.members_of(touched.select("root"), version).join(touched, "root")
-        old = _cut(old.select(F.col("now").alias("root"), (F.col("root") != F.col("now")).alias("carried"), *new.columns))
-        arrived = _cut(label(new, "rec").withColumnRenamed("now", "root").select("root", F.lit(True).alias("carried"), *new.columns))
-        every = old.unionByName(arrived)
+        old = old.select(F.col("now").alias("root"), (F.col("root") != F.col("now")).alias("carried"), *new.columns)
+        arrived = label(new, "rec").withColumnRenamed("now", "root").select("root", F.lit(True).alias("carried"), *new.columns)
+        every = _cut(old.unionByName(arrived))
         fresh = every.where("carried").drop("carried")
         self._write("members", fresh, version, "root")
         self._write("keys", fresh.select("root", F.explode(blocking_keys("emails", "phones", "full_name")).alias("key")).distinct(), version, "key")
         self._write("gone", moved, version, "root")
         self._write("profiles", merge_clusters(every.drop("carried").withColumnRenamed("root", "cluster")).withColumnRenamed("cluster", "root"), version, "root")
+        drop_cut(new, keys, known, touched, every)
 
     # ---- what counts ----
 

@@ -57,3 +57,24 @@ def test_noisy_or_and_rounding(spark):
         assert got[i] == round(1 - p, 4)
     assert spark.range(1).select(mean_times(F.array(*map(F.lit, [0.35, 0.35, 0.4, 0.35])), F.lit(0.5))).first()[0] == 0.1813
     assert spark.range(1).select(round4(F.lit(123456.78905))).first()[0] == round(123456.78905, 4)
+
+
+def values(spark, column, given, kind="string"):
+    rows = spark.createDataFrame([(i, *(g if isinstance(g, tuple) else (g,))) for i, g in enumerate(given)], "i int, a string" + (", b string" if isinstance(given[0], tuple) else ""))
+    return [r[0] for r in rows.orderBy("i").select(column.cast(kind)).collect()]
+
+
+def test_phone_extensions_letters_and_ranges(spark):
+    given = [("+1 (415) 555-2671 ext. 12", "US"), ("1-800-FLOWERS", "US"), ("415a5552671", "US"), ("tel: 415.555.2671x77", "US"), ("911 555 1234", "US"), ("415-411-1234", "US"), ("+1 374 555 2671", "US"), ("(0)20 7946 0018", "GB"), ("+44 20 7946 0018;ext=9", "US"), ("+91-98765-43210 #3", "US"), ("call FLOWERS", "US"), ("4155552671", "ZZ"), (None, "US"), ("+1 415 555 2671 extension 4", "IN"), ("", "US")]
+    assert values(spark, N.phone("a", "b"), given) == ["+14155552671", "+18003569377", "+14155552671", "+14155552671", None, None, None, "+442079460018", "+442079460018", "+919876543210", None, None, None, "+14155552671", None]
+
+
+def test_country_codes_names_and_long_forms(spark):
+    given = ["India", "356", " republic of india ", "the Federal Republic of Germany", "Côte d\u2019Ivoire", "cote d'ivoire", "DEU.", "Türkiye", "Turkey", "Korea, Republic of", "Iran, Islamic Republic of", "XK", "983", "Czech Republic", "840", "Atlantis", "", None, "Republic of Atlantis"]
+    assert values(spark, N.country("a"), given) == ["IN", "IN", "IN", "DE", "CI", "CI", "DE", "TR", "TR", "KR", "IR", None, None, "CZ", "US", None, None, None, None]
+    table = N.countries()
+    assert len({v for k, v in table.items() if len(k) == 2}) == 249 and all(sum(len(k) == 3 and k.isdigit() and v == c for k, v in table.items()) == 1 for c in set(table.values()))
+
+
+def test_names_keep_their_tails(spark):
+    assert values(spark, N.name("a"), ["x" * 30_000 + " LEE", "McDonald o'neil"]) == ["X" + "x" * 29_999 + " Lee", "McDonald O'neil"]

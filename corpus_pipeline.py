@@ -5,11 +5,9 @@ return the columns of ``documents``."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from loomfuse.llm.common import workdir
+from loomfuse.llm.common import cut, release
 from loomfuse.llm.decontaminate import drop_contaminated
 from loomfuse.llm.jaccard_join import one_of_each
 from loomfuse.llm.line_dedup import dedup_documents
@@ -49,10 +47,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; a stage's rows are deleted when the next one's are there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        path = f"{workdir(spark)}/pipeline-{i}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES:
+        done = cut(stage(spark, docs, sf_dir), "pipeline")
+        release(docs)
+        docs = done
     return docs

@@ -84,7 +84,7 @@ def countries() -> dict[str, str]:
     found: dict[str, str] = {}
     for two in icu.util.ULocale.getISOCountries():
         number = icu.util.Region.getInstance(two).getNumericCode()
-        if number > 894:  # a code that the standard leaves to its users
+        if not 0 < number <= 894:  # a code that the standard leaves to its users or does not have
             continue
         name = plain(names.regionDisplayName(two))
         for key in (two.lower(), icu.util.ULocale("", two).getISO3Country().lower(), f"{number:03d}", name, re.sub(r" \(.*\)$", "", name), name.replace("&", "and"), name.replace("st. ", "saint ")):

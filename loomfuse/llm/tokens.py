@@ -7,12 +7,16 @@ not there go to the tokenizer. Cores and a full stop or comma after an ASCII let
 from __future__ import annotations
 
 import os
+import re
+from itertools import chain
 
 import numpy as np
 
 from loomfuse.llm.common import hash_spans, ragged, spans
 
 DEFAULT = "word_bpe_49k.json"
+#: Words that the tokenizer's normalization and splitting leave as they are.
+PLAIN = re.compile("[a-z]+").fullmatch
 SLOTS, MOST_WORDS = 1 << 20, 1_500_000
 
 
@@ -48,18 +52,28 @@ class WordTokens:
             self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
 
     def _add(self, words: list[str]) -> np.ndarray:
-        """Entries of new words."""
+        """Entries of new words. One of plain small letters is one pre-token, which goes to the model alone; others go through all of the tokenizer."""
+        found: list = [None] * len(words)
+        rest, model = [], self.tokenizer.model
+        for i, w in enumerate(words):
+            if PLAIN(w):
+                found[i] = [t.id for t in model.tokenize(w)]
+            else:
+                rest.append(i)
+        for k in range(0, len(rest), 2000):
+            part = rest[k : k + 2000]
+            got = self.tokenizer.encode([words[i] for i in part], is_pretokenized=True, add_special_tokens=False)
+            ids = got.ids
+            upto = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1)).tolist() if ids else [0] * (len(part) + 1)
+            for i, a, z in zip(part, upto, upto[1:]):
+                found[i] = ids[a:z]
+        count = np.array([len(f) for f in found], np.int64)
+        total = int(count.sum())
+        self._grow(len(words), total)
         begin = self.words
-        for i in range(0, len(words), 2000):
-            part = words[i : i + 2000]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, np.int32)
-            count = np.bincount(np.array(got.word_ids, np.int64), minlength=len(part)) if len(ids) else np.zeros(len(part), np.int64)
-            self._grow(len(part), len(ids))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.count[self.words : self.words + len(part)] = count
-            self.first[self.words : self.words + len(part)] = self.used + np.r_[0, np.cumsum(count)[:-1]]
-            self.used, self.words = self.used + len(ids), self.words + len(part)
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.int32, total)
+        self.count[begin : begin + len(words)], self.first[begin : begin + len(words)] = count, self.used + np.cumsum(count) - count
+        self.used, self.words = self.used + total, begin + len(words)
         return np.arange(begin, self.words)
 
     def entries(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

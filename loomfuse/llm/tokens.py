@@ -15,8 +15,11 @@ import numpy as np
 from loomfuse.llm.common import hash_spans, ragged, spans
 
 DEFAULT = "word_bpe_49k.json"
-#: Words that the tokenizer's normalization and splitting leave as they are.
-PLAIN = re.compile("[a-z]+").fullmatch
+#: Words that the tokenizer's normalization leaves as they are and that it splits at one known place: small letters, then marks or none.
+PLAIN = re.compile("([a-zß-öø-ÿ]+)([!#$%&*.,:;?]*)").fullmatch
+#: How the tokenizer writes bytes: those that print in Latin-1 as they are, the others as signs from 256 on, in their order.
+_PRINT = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINT)}
 SLOTS, MOST_WORDS = 1 << 20, 1_500_000
 
 
@@ -52,12 +55,13 @@ class WordTokens:
             self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
 
     def _add(self, words: list[str]) -> np.ndarray:
-        """Entries of new words. One of plain small letters is one pre-token, which goes to the model alone; others go through all of the tokenizer."""
+        """Entries of new words. The pre-tokens of a plain one go to the model alone; others go through all of the tokenizer."""
         found: list = [None] * len(words)
         rest, model = [], self.tokenizer.model
         for i, w in enumerate(words):
-            if PLAIN(w):
-                found[i] = [t.id for t in model.tokenize(w)]
+            if m := PLAIN(w):
+                letters = m[1] if m[1].isascii() else m[1].encode().decode("latin-1").translate(BYTES)
+                found[i] = [t.id for part in (letters, m[2]) if part for t in model.tokenize(part)]
             else:
                 rest.append(i)
         for k in range(0, len(rest), 2000):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+#: Trust and priority of sources.
 SOURCE_TRUST = {"recruiter_csv": 0.90, "ats_json": 0.85, "resume": 0.80, "recruiter_notes": 0.50}
 SOURCE_PRIORITY = {"recruiter_csv": 0, "ats_json": 1, "resume": 2, "recruiter_notes": 3}
 LAST_PRIORITY, DEFAULT_TRUST = 99, 0.5
@@ -13,6 +14,7 @@ FIELD_TRUST = {
 WEIGHTS = {(s, f): round(SOURCE_TRUST[s] * m, 6) for f, row in FIELD_TRUST.items() for s, m in zip(SOURCE_TRUST, row)}
 METHODS = {"recruiter_csv": "direct", "ats_json": "remapped"}
 
+#: Names of months, words for now, aliases of countries.
 MONTHS = {"jan": 1, "january": 1, "feb": 2, "february": 2, "mar": 3, "march": 3, "apr": 4, "april": 4, "may": 5, "jun": 6, "june": 6, "jul": 7, "july": 7, "aug": 8, "august": 8, "sep": 9, "sept": 9, "september": 9, "oct": 10, "october": 10, "nov": 11, "november": 11, "dec": 12, "december": 12}
 PRESENT = ("present", "current", "now", "ongoing", "till date", "to date")
 COUNTRY_ALIASES = {"usa": "US", "u.s.a.": "US", "u.s.": "US", "us": "US", "united states": "US", "united states of america": "US", "america": "US", "uk": "GB", "u.k.": "GB", "england": "GB", "britain": "GB", "great britain": "GB", "united kingdom": "GB", "uae": "AE", "south korea": "KR", "korea": "KR", "russia": "RU", "bharat": "IN", "india": "IN"}
@@ -33,6 +35,7 @@ SKILL_OF = {name.lower(): name for name in SKILLS} | {a: name for name, aliases
 #: Spellings that notes are searched for, longer ones first.
 SKILL_SPELLINGS = sorted({a for aliases in SKILLS.values() for a in aliases}, key=lambda a: (-len(a), a))
 
+#: Headers of delimited files and the keys that they stand for.
 CSV_HEADERS = {
     "name": "name", "full name": "name", "candidate": "name", "candidate name": "name", "email": "email", "e-mail": "email", "email address": "email", "phone": "phone", "phone number": "phone", "mobile": "phone", "contact": "phone",
     "current_company": "company", "current company": "company", "company": "company", "employer": "company", "organization": "company", "title": "title", "job title": "title", "role": "title", "position": "title", "location": "location", "city": "location",
@@ -52,6 +55,7 @@ NOTE_LABEL = r"(?im)^(?:candidate|name|re|subject)\s*[:\-]\s*(.+)$"
 NOTE_BLOCK = r"(?im)(?=^(?:candidate|name|re)\s*[:\-])"
 NOTE_NAME_END = r"[<(,|]|\s—\s|\s-\s"
 NOTE_YEARS = r"(?iU)(\d+(?:\.\d+)?)\s*\+?\s*(?:years|yrs|yr)\b"
+#: Headings of résumés and their sections, words of institutions, degrees and dates.
 HEADINGS = {
     "summary": "summary", "objective": "summary", "profile": "summary", "about": "summary", "experience": "experience", "work experience": "experience", "employment": "experience", "professional experience": "experience", "work history": "experience",
     "education": "education", "academics": "education", "academic background": "education", "skills": "skills", "technical skills": "skills", "core skills": "skills", "technologies": "skills",

@@ -77,18 +77,22 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             for part in pieces(b, "text"):
                 ids, off = tool.encode(*buffers(part.column(1)))
-                raw, crcs, terms, tfs = ids.astype("<u4").tobytes(), [], [], []
+                raw, crcs, n = ids.astype("<u4").tobytes(), [], np.diff(off)
                 for a, z in zip(off[:-1].tolist(), off[1:].tolist()):
                     crc, out = 0, []
                     for i in range(a, z, GRID):
                         crc = zlib.crc32(raw[4 * i : 4 * min(i + GRID, z)], crc)
                         out.append(crc)
                     crcs.append(np.array(out, np.uint32).tobytes())
-                    own = np.sort(ids[a:z].astype(np.uint16), kind="stable")
-                    head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                    terms.append(own[head].tobytes())
-                    tfs.append(np.diff(np.r_[head, len(own)]).astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(crcs, pa.binary()), pa.array(terms, pa.binary()), pa.array(tfs, pa.binary())], ["doc_id", "n", "crcs", "terms", "tfs"])
+                # the terms of all documents at once: sorted by document, then id
+                key = np.repeat(np.arange(len(n), dtype=np.int64), n) << 16 | ids
+                key.sort()
+                head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                edge = np.searchsorted(key[head], np.arange(len(n) + 1, dtype=np.int64) << 16)
+                terms, tfs = (key[head] & 0xFFFF).astype("<u2").tobytes(), np.diff(np.r_[head, len(key)]).astype("<u4").tobytes()
+                edge = edge.tolist()
+                split = lambda raw, size: pa.array([raw[size * a : size * z] for a, z in zip(edge, edge[1:])], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(crcs, pa.binary()), split(terms, 2), split(tfs, 4)], ["doc_id", "n", "crcs", "terms", "tfs"])
 
     return docs.mapInArrow(run, "doc_id long, n long, crcs binary, terms binary, tfs binary")
 

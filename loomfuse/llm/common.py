@@ -137,6 +137,8 @@ _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 LONG_WORD = 1 << 16
+#: Bytes, or values, hashed at once; the hashes do not depend on it.
+HASHED = 1 << 17
 
 
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +165,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
     at = 0
     while at < len(starts):
         lo = int(starts[at])
-        end = max(at + 1, int(np.searchsorted(ends, lo + (1 << 20), "right")))
+        end = max(at + 1, int(np.searchsorted(ends, lo + HASHED, "right")))
         n = int(ends[end - 1]) - lo
         p, q = powers(which, n + 1)
         total = np.zeros(n + 1, np.uint64)
@@ -180,9 +182,8 @@ def hash_windows(h: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.empty(n, np.uint64)
-    step = 1 << 20
-    for at in range(0, n, step):
-        m = min(step, n - at)
+    for at in range(0, n, HASHED):
+        m = min(HASHED, n - at)
         p, q = powers(which, m + size)
         total = np.zeros(m + size, np.uint64)
         np.cumsum(h[at : at + m + size - 1] * p[: m + size - 1], out=total[1:])
@@ -202,6 +203,15 @@ def table(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on after its task, beside its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def one_thread() -> None:
     """Numpy's linear algebra on one thread, where its library lets it be said: a task has one core, on which threads of small products only wait."""
     for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):

@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomfuse.llm.common import NO_ID, buffers, cut, hash_spans, hash_windows, mix, norm_docs, pieces, ragged, real_id, release, spans, without
+from loomfuse.llm.common import NO_ID, buffers, cut, give_back, hash_spans, hash_windows, mix, norm_docs, pieces, ragged, real_id, release, spans, without
 from loomfuse.plans.components import connected_components
 
 SHINGLE, PERCENT = 3, 90
 #: Rows of blocks that a task combines at once; bytes of folded sketches of a group's members that are compared in one step.
 COMBINE, CHUNK = 500_000, 1 << 19
+#: Bytes of text whose sketches are drawn at once.
+PIECE = 1 << 20
 #: Members of a group that is settled along with others.
 SMALL = 256
 #: Shingles that count as common at most; how often a task must see one at least. Only the speed depends on them.
@@ -167,7 +169,7 @@ def sketched(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
             return pa.RecordBatch.from_arrays([*(none.cast(t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())), pa.array(keys.view(np.int64)), pa.array(n)], names)
 
         for b in batches:
-            for part in pieces(b, "text"):
+            for part in pieces(b, "text", PIECE):
                 sets = text_sets(*buffers(part.column(1)), k)
                 sig, drawn = [signature(s) for s in sets], Drawn(sets, percent)
                 seen += sets
@@ -179,6 +181,7 @@ def sketched(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataF
                     size = 0
         if size:
             yield flush()
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, own binary, next binary, key long, times long")
 
@@ -210,7 +213,7 @@ def stars(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> DataFram
             kept.clear()
 
         for b in batches:
-            for part in pieces(b, "text"):
+            for part in pieces(b, "text", PIECE):
                 sets, ids = text_sets(*buffers(part.column(1)), k), part.column(0).to_numpy()
                 new = []
                 for i, x in enumerate(sets):
@@ -227,6 +230,7 @@ def stars(docs: DataFrame, common: np.ndarray, k: int, percent: int) -> DataFram
                     size = 0
         if size:
             yield from flush()
+        give_back()
 
     sent = docs.mapInArrow(run, "part long, key long, a long, b long")
     lead = F.min(F.when(F.col("b").isNull(), F.col("a"))).over(Window.partitionBy("part", "key"))
@@ -249,6 +253,7 @@ def near(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
                 x = x if (two := own_band(m, percent)) == one else x2 if two == one + 1 else None
                 yes.append(x is not None and int(np.bitwise_count(np.frombuffer(x, U) ^ np.frombuffer(y, U)).sum()) <= most_apart(n, percent))
             yield b.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+        give_back()
 
     one = held.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("own").alias("xa"), F.col("next").alias("ya"))
     two = held.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("own").alias("xb"), F.col("next").alias("yb"))
@@ -260,13 +265,14 @@ def verified(pairs: DataFrame, named: DataFrame, k: int, percent: int) -> DataFr
 
     def run(batches):
         for b in batches:
-            for part in pieces(b, "x"):
+            for part in pieces(b, "x", PIECE):
                 yes = []
                 for x, y in zip(text_sets(*buffers(part.column(2)), k), text_sets(*buffers(part.column(3)), k)):
                     both = len(x) + len(y)
                     same = both - len(np.union1d(x, y))
                     yes.append(100 * same >= percent * (both - same))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(yes, pa.bool_())], ["a", "b", "link"])
+        give_back()
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = named.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -443,6 +449,7 @@ def proposals(groups: DataFrame, held: DataFrame, refuted: DataFrame, percent: i
             left = t.slice(last)
         if left is not None and left.num_rows:
             yield settled(left)
+        give_back()
 
     return every.select("key", "c", "d", "at", "id", "label", "n", "own", "next", "no").repartition("key", "c", "d").sortWithinPartitions("key", "c", "d").mapInArrow(run, "key long, a long, b long")
 

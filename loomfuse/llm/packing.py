@@ -27,6 +27,8 @@ from loomfuse.llm.tokens import word_tokens
 
 WINDOW, GRID, END, SHARD_ROWS = 4096, 32, 2, 2048
 K1, B = 1.2, 0.75
+#: A term in more than this part of a shard's documents has a row in its index; only the speed depends on it.
+DENSE = 32
 
 
 # ---- checksums of pieces from checksums of prefixes ------------------------------------------
@@ -151,23 +153,32 @@ def by_content(made: DataFrame, df: np.ndarray, n_docs: int) -> DataFrame:
 
 
 class Index:
-    """BM25 over a shard's documents: for each term its documents and what it adds to their scores."""
+    """BM25 over a shard's documents: for each term its documents and what it adds to their scores. Terms that many documents hold have a row
+    with a score for each document instead."""
 
     def __init__(self, terms: list[np.ndarray], tfs: list[np.ndarray], lengths: np.ndarray, df: np.ndarray, n_docs: int, mean: float):
         self.terms, self.n = terms, len(terms)
         flat, tf = np.concatenate(terms).astype(np.int64), np.concatenate(tfs).astype(np.float64)
         doc = np.repeat(np.arange(self.n), [len(t) for t in terms])
         idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-        score = idf[flat] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))
+        score = (idf[flat] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))).astype(np.float32)
+        often = np.bincount(flat, minlength=1 << 16) > max(self.n // DENSE, 1)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        full = often[flat]
+        self.rows = np.zeros((int(often.sum()), self.n), np.float32)
+        self.rows[self.row[flat[full]], doc[full]] = score[full]
+        flat, doc, score = flat[~full], doc[~full], score[~full]
         order = np.argsort(flat, kind="stable")
-        self.doc, self.score = doc[order], score[order].astype(np.float32)
+        self.doc, self.score = doc[order], score[order].astype(np.float64)
         self.first = np.searchsorted(flat[order], np.arange((1 << 16) + 1))
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Scores of all documents of the shard for the terms of ``seed``."""
         t = self.terms[seed].astype(np.int64)
+        row = self.row[t]
+        t = t[row < 0]
         at = ragged(self.first[t], self.first[t + 1] - self.first[t])
-        return np.bincount(self.doc[at], self.score[at], self.n)
+        return np.bincount(self.doc[at], self.score[at], self.n) + self.rows[row[row >= 0]].sum(0)
 
 
 def pack_shard(lengths: np.ndarray, neighbours, window: int = WINDOW, grid: int = GRID) -> list[tuple[int, int, int, int, int]]:

@@ -135,28 +135,40 @@ class Attention:
 
     def forward(self, x: np.ndarray, first: int, words: np.ndarray, often: np.ndarray, rest: np.ndarray, keep: bool = False):
         """Log probabilities of the words at x[:, first + 1 :]. x: the token before each place, then that place's own; words: which word each
-        is (-1: none); often: the words' frequencies, and rest: log chances of their ids but the first, both from ``first`` on."""
+        is (-1: none; of places that count none but the first sees such a one); often: the words' frequencies, and rest: log chances of their ids
+        but the first, both from ``first`` on."""
         m = x.shape[1] - 1  # places; place i predicts x[:, i + 1] from x[:, : i + 1]
         own, before = x[:, 1 + first :], x[:, :m]
-        q = self.q[before[:, first:]]
+        q = rows_of(self.q, before[:, first:])
         # key j is the token at x[:, j], with the one before it; place i sees j <= i
         shifted = np.concatenate([before[:, :1] * 0, before[:, :-1]], 1)
-        k, v = self.k[before] + self.k2[shifted], self.v[before]
+        k, v = rows_of(self.k, before), rows_of(self.v, before)
+        k += rows_of(self.k2, shifted)
         s = np.matmul(q * np.float32(KEY**-0.5), k.transpose(0, 2, 1))
         i, j = np.arange(first, m)[:, None], np.arange(m)[None]
         s += np.where(j <= i, self.near[np.clip(i - j, 0, WIDE - 1)], np.float32(-1e4))
         s -= s.max(-1, keepdims=True)
         a = np.exp(s, out=s)
-        a /= a.sum(-1, keepdims=True)
+        total = a.sum(-1, keepdims=True)
+        if keep:
+            a /= total
+            total = np.float32(1)
         c = np.matmul(a, v)
-        g = softmax(c @ self.out + self.gate[before[:, first:]] + self.bias)
+        c /= total
+        g = c @ self.out
+        g += rows_of(self.gate, before[:, first:])
+        g += self.bias
+        g -= g.max(-1, keepdims=True)
+        np.exp(g, out=g)
+        g /= g.sum(-1, keepdims=True)
         same = (words[:, None, :m] == words[:, 1 + first :, None]).astype(np.float32)
         copy = np.einsum("nij,nij->ni", a, same)
-        start = words[:, :m] < 0  # attention on what stands before the text falls back on frequency
-        if start.any():
-            copy += np.matmul(a, start[..., None].astype(np.float32))[..., 0] * often
-        e = self.p[own]
-        by_expert, by_word = (g[..., :-2] * e).sum(-1), g[..., -2] * often + g[..., -1] * copy
+        start = (words[:, :1] < 0).astype(np.float32)  # attention on what stands before the text falls back on frequency
+        copy += a[..., 0] * start * often
+        if not keep:
+            copy /= total[..., 0]
+        e = rows_of(self.p, own)
+        by_expert, by_word = np.einsum("nij,nij->ni", g[..., :-2], e), g[..., -2] * often + g[..., -1] * copy
         with np.errstate(divide="ignore"):
             logp = np.logaddexp(np.log(np.maximum(by_expert, 1e-37)) + rest, np.log(by_word))
         return (logp, (q, k, v, a, c, g, same, start, copy, e, by_expert, own, before, shifted)) if keep else logp
@@ -175,17 +187,21 @@ class Attention:
         dc = dz @ self.out.T
         da = np.matmul(dc, v.transpose(0, 2, 1))
         pull = g[..., -1:] * inverse[..., None] * share
-        da -= pull * same
-        if start.any():
-            da -= pull * often[..., None] * start[:, None, :]
+        same *= pull
+        da -= same
+        da[..., 0] -= pull[..., 0] * often * start
         da -= np.einsum("nij,nij->ni", a, da)[..., None]
         ds = np.multiply(a, da, out=da)
         i, j = np.arange(first, x.shape[1] - 1)[:, None], np.arange(x.shape[1] - 1)[None]
         d["near"] = np.bincount(np.clip(i - j, 0, WIDE - 1).ravel(), np.where(j <= i, ds.sum(0), 0).ravel(), WIDE).astype(np.float32)
         ds *= np.float32(KEY**-0.5)
-        d["q"], d["gate"] = scatter(before[:, first:], size, np.matmul(ds, k), dz)
         dk = np.matmul(ds.transpose(0, 2, 1), q)
-        d["k"], d["v"] = scatter(before, size, dk, np.matmul(a.transpose(0, 2, 1), dc))
+        by_query, by_key = (np.matmul(ds, k), dz), (dk, np.matmul(a.transpose(0, 2, 1), dc))
+        if first:
+            sums = scatter(before[:, first:], size, *by_query) + scatter(before, size, *by_key)
+        else:
+            sums = scatter(before, size, *by_query, *by_key)
+        d["q"], d["gate"], d["k"], d["v"] = sums
         (d["k2"],) = scatter(shifted, size, dk)
         soft = post[..., :-2] * share
         d["expert"] = self.p * soft.sum((0, 1)) - scatter(own, size, soft)[0]
@@ -230,6 +246,10 @@ class Attention:
         return self
 
 
+def rows_of(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.take(table, at, 0)
+
+
 def scatter(at: np.ndarray, size: int, *rows: np.ndarray) -> list[np.ndarray]:
     """Sums of rows by token."""
     at = at.ravel().astype(np.uint16)
@@ -239,7 +259,7 @@ def scatter(at: np.ndarray, size: int, *rows: np.ndarray) -> list[np.ndarray]:
     out = []
     for r in rows:
         total = np.zeros((size, r.shape[-1]), np.float32)
-        total[at[head]] = np.add.reduceat(r.reshape(-1, r.shape[-1])[order], head, 0)
+        total[at[head]] = np.add.reduceat(np.take(r.reshape(-1, r.shape[-1]), order, 0), head, 0)
         out.append(total)
     return out
 

@@ -22,6 +22,7 @@ each. Without training documents the counts are zero and the model is uniform ov
 from __future__ import annotations
 
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfuse.llm.common import NO_ID, buffers, cut, hash_spans, mix, norm_docs, one_thread, pieces, ragged, real_id, release, shuffle_parts, spans
+from loomfuse.llm.common import NO_ID, buffers, cut, hash_spans, mix, no_subnormals, norm_docs, one_thread, pieces, ragged, real_id, release, shuffle_parts, spans
 from loomfuse.llm.tokens import release_tools, word_tokens
 
 WIDE, STEP, TOP, EXPERTS, KEY = 64, 32, 2048, 24, 12
@@ -44,6 +45,8 @@ FIRST_DOCS, LEAST_STEPS = 1500, 200
 END, STOP, BEFORE, ANY, IDS = 49407, 49408, 49409, 65535, 49410
 #: Weight of the shorter context.
 SMOOTH = 2.0
+#: Exponentials of scores (of gates) up to these, with sums of at least that, stay far inside float32; else a row loses its largest first.
+MOST_SCORE, MOST_GATE, LEAST_TOTAL = 30.0, 80.0, 1e-10
 
 
 def held_out(doc_id: int) -> bool:
@@ -128,11 +131,31 @@ class Attention:
         return {k: getattr(self, k) for k in self.NAMES}
 
     def ready(self) -> Attention:
+        """What follows from the parameters: chances of the experts, values with a one (its sum over attention is the total), gates with their bias."""
         z = self.expert.astype(np.float64)
         z = np.exp(z - z.max(0))
         self.p = (z / z.sum(0)).astype(np.float32)
+        self.v_one = np.concatenate([self.v, np.ones((len(self.v), 1), np.float32)], 1)
+        self.gate_bias = self.gate + self.bias
         return self
 
+    def attend(self, q: np.ndarray, k: np.ndarray, v: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Attention, not divided by its totals, and its sums of ``v``, the last of which is that total."""
+        lag, seen = lags(first, k.shape[1])
+        keys = k.transpose(0, 2, 1)
+        a = np.matmul(q, keys)
+        if a.max() < MOST_SCORE and np.abs(self.near).max() < MOST_SCORE:
+            np.exp(a, out=a)
+            a *= np.where(seen, np.exp(self.near)[lag], np.float32(0))
+            c = np.matmul(a, v)
+            if c[..., -1].min() > LEAST_TOTAL:
+                return a, c
+        a = np.matmul(q, keys)
+        a += np.where(seen, self.near[lag], np.float32(-1e4))
+        a -= a.max(-1, keepdims=True)
+        np.exp(a, out=a)
+        return a, np.matmul(a, v)
+
     def forward(self, x: np.ndarray, first: int, words: np.ndarray, often: np.ndarray, rest: np.ndarray, keep: bool = False):
         """Log probabilities of the words at x[:, first + 1 :]. x: the token before each place, then that place's own; words: which word each
         is (-1: none; of places that count none but the first sees such a one); often: the words' frequencies, and rest: log chances of their ids
@@ -140,63 +163,59 @@ class Attention:
         m = x.shape[1] - 1  # places; place i predicts x[:, i + 1] from x[:, : i + 1]
         own, before = x[:, 1 + first :], x[:, :m]
         q = rows_of(self.q, before[:, first:])
+        q *= np.float32(KEY**-0.5)
         # key j is the token at x[:, j], with the one before it; place i sees j <= i
         shifted = np.concatenate([before[:, :1] * 0, before[:, :-1]], 1)
-        k, v = rows_of(self.k, before), rows_of(self.v, before)
+        k, v = rows_of(self.k, before), rows_of(self.v_one, before)
         k += rows_of(self.k2, shifted)
-        s = np.matmul(q * np.float32(KEY**-0.5), k.transpose(0, 2, 1))
-        i, j = np.arange(first, m)[:, None], np.arange(m)[None]
-        s += np.where(j <= i, self.near[np.clip(i - j, 0, WIDE - 1)], np.float32(-1e4))
-        s -= s.max(-1, keepdims=True)
-        a = np.exp(s, out=s)
-        total = a.sum(-1, keepdims=True)
-        if keep:
-            a /= total
-            total = np.float32(1)
-        c = np.matmul(a, v)
-        c /= total
-        g = c @ self.out
-        g += rows_of(self.gate, before[:, first:])
-        g += self.bias
-        g -= g.max(-1, keepdims=True)
-        np.exp(g, out=g)
-        g /= g.sum(-1, keepdims=True)
-        same = (words[:, None, :m] == words[:, 1 + first :, None]).astype(np.float32)
-        copy = np.einsum("nij,nij->ni", a, same)
+        a, c = self.attend(q, k, v, first)
+        total = c[..., -1]
+        c = c[..., :-1] / total[..., None]
+        g = c.reshape(-1, EXPERTS) @ self.out
+        g += rows_of(self.gate_bias, before[:, first:].ravel())
+        g = shares(g).reshape(*q.shape[:2], -1)
+        # pairs (place, key) of the same word; a place beyond the end of its text has none
+        same = np.flatnonzero(words[:, None, :m] == np.where(words < 0, -2, words)[:, 1 + first :, None])
+        of = same // m
+        copy = np.bincount(of, a.reshape(-1)[same], total.size).reshape(total.shape)
         start = (words[:, :1] < 0).astype(np.float32)  # attention on what stands before the text falls back on frequency
         copy += a[..., 0] * start * often
-        if not keep:
-            copy /= total[..., 0]
+        copy = (copy / total).astype(np.float32)
         e = rows_of(self.p, own)
         by_expert, by_word = np.einsum("nij,nij->ni", g[..., :-2], e), g[..., -2] * often + g[..., -1] * copy
         with np.errstate(divide="ignore"):
             logp = np.logaddexp(np.log(np.maximum(by_expert, 1e-37)) + rest, np.log(by_word))
-        return (logp, (q, k, v, a, c, g, same, start, copy, e, by_expert, own, before, shifted)) if keep else logp
+        return (logp, (q, k, v, a, total, c, g, same, of, start, copy, e, own, before, shifted)) if keep else logp
 
-    def gradients(self, x: np.ndarray, first: int, words: np.ndarray, often: np.ndarray, rest: np.ndarray, mask: np.ndarray):
-        """Mean loss over the places of ``mask`` and its gradients."""
-        logp, (q, k, v, a, c, g, same, start, copy, e, by_expert, own, before, shifted) = self.forward(x, first, words, often, rest, True)
-        share = (mask / np.float32(mask.sum())).astype(np.float32)[..., None]
+    def gradients(self, x: np.ndarray, first: int, words: np.ndarray, often: np.ndarray, rest: np.ndarray, mask: np.ndarray, places: float = 0.0):
+        """Loss over the places of ``mask``, divided by their number or ``places``, and its gradients."""
+        logp, (q, k, v, a, total, c, g, same, of, start, copy, e, own, before, shifted) = self.forward(x, first, words, often, rest, True)
+        share = (mask / np.float32(places or mask.sum())).astype(np.float32)[..., None]
         inverse = np.exp(np.minimum(-logp, 60)).astype(np.float32)
         post = np.empty_like(g)
-        post[..., :-2] = g[..., :-2] * e * (np.exp(np.minimum(rest - logp, 60)).astype(np.float32))[..., None]
+        np.multiply(g[..., :-2], e, out=post[..., :-2])
+        post[..., :-2] *= np.exp(np.minimum(rest - logp, 60)).astype(np.float32)[..., None]
         post[..., -2], post[..., -1] = g[..., -2] * often * inverse, g[..., -1] * copy * inverse
-        dz = (g - post) * share
-        d = {"bias": dz.sum((0, 1)), "out": np.tensordot(c, dz, ((0, 1), (0, 1)))}
+        dz = g - post
+        dz *= share
+        flat = dz.reshape(-1, dz.shape[-1])
+        d = {"bias": np.ones(len(flat), np.float32) @ flat, "out": c.reshape(-1, EXPERTS).T @ flat}
         size = len(self.q)
-        dc = dz @ self.out.T
-        da = np.matmul(dc, v.transpose(0, 2, 1))
-        pull = g[..., -1:] * inverse[..., None] * share
-        same *= pull
-        da -= same
-        da[..., 0] -= pull[..., 0] * often * start
-        da -= np.einsum("nij,nij->ni", a, da)[..., None]
-        ds = np.multiply(a, da, out=da)
-        i, j = np.arange(first, x.shape[1] - 1)[:, None], np.arange(x.shape[1] - 1)[None]
-        d["near"] = np.bincount(np.clip(i - j, 0, WIDE - 1).ravel(), np.where(j <= i, ds.sum(0), 0).ravel(), WIDE).astype(np.float32)
-        ds *= np.float32(KEY**-0.5)
+        # of scores: a / total * (dc v - pull of copied words - their mean over attention); the mean goes by the one of ``v``
+        dc, pull = (flat @ self.out.T).reshape(c.shape), g[..., -1] * inverse * share[..., 0]
+        down = np.concatenate([dc, (pull * copy - np.einsum("nij,nij->ni", dc, c))[..., None]], -1)
+        down /= total[..., None]
+        pull /= total
+        ds = np.matmul(down, v.transpose(0, 2, 1))
+        ds.reshape(-1)[same] -= pull.reshape(-1)[of]
+        ds[..., 0] -= pull * often * start
+        ds *= a
+        lag, seen = lags(first, k.shape[1])
+        d["near"] = np.bincount(lag.ravel(), np.where(seen, ds.sum(0), 0).ravel(), WIDE).astype(np.float32)
         dk = np.matmul(ds.transpose(0, 2, 1), q)
-        by_query, by_key = (np.matmul(ds, k), dz), (dk, np.matmul(a.transpose(0, 2, 1), dc))
+        dq = np.matmul(ds, k)
+        dq *= np.float32(KEY**-0.5)
+        by_query, by_key = (dq, dz), (dk, np.matmul(a.transpose(0, 2, 1), down)[..., :-1])
         if first:
             sums = scatter(before[:, first:], size, *by_query) + scatter(before, size, *by_key)
         else:
@@ -204,7 +223,7 @@ class Attention:
         d["q"], d["gate"], d["k"], d["v"] = sums
         (d["k2"],) = scatter(shifted, size, dk)
         soft = post[..., :-2] * share
-        d["expert"] = self.p * soft.sum((0, 1)) - scatter(own, size, soft)[0]
+        d["expert"] = self.p * (np.ones(len(flat), np.float32) @ soft.reshape(-1, EXPERTS)) - scatter(own, size, soft)[0]
         return float(-(logp * share[..., 0]).sum()), d
 
     def train(self, windows, rate: float = 0.02) -> Attention:
@@ -214,14 +233,13 @@ class Attention:
         self.losses, held = [], []
 
         def step() -> None:
-            weight, t = sum(w for _, _, w in held), len(self.losses) + 1
-            self.losses.append(sum(loss * w for loss, _, w in held) / weight)
+            places, t = float(sum(batch[-1].sum() for batch in held)), len(self.losses) + 1
+            losses, parts = zip(*(self.gradients(*batch, places) for batch in held))
+            self.losses.append(sum(losses))
             lr = rate / np.sqrt(1 + t / 200) / (1 - 0.9**t)
             for k in self.NAMES:
-                d = held[0][1][k]
-                d *= np.float32(held[0][2] / weight)
-                for _, more, w in held[1:]:
-                    more[k] *= np.float32(w / weight)
+                d = parts[0][k]
+                for more in parts[1:]:
                     d += more[k]
                 m[k] *= 0.9
                 m[k] += np.float32(0.1) * d
@@ -238,7 +256,7 @@ class Attention:
 
         self.ready()
         for batch in windows:
-            held.append((*self.gradients(*batch), float(batch[-1].sum())))
+            held.append(batch)
             if len(held) == GROUP:
                 step()
         if held:
@@ -246,6 +264,24 @@ class Attention:
         return self
 
 
+@cache
+def lags(first: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far each key lies behind each place from ``first`` on, within ``WIDE``; which keys it sees."""
+    lag = np.arange(first, m)[:, None] - np.arange(m)[None]
+    return np.clip(lag, 0, WIDE - 1), lag >= 0
+
+
+def shares(g: np.ndarray) -> np.ndarray:
+    """Softmax of rows."""
+    if g.max() < MOST_GATE:
+        e = np.exp(g)
+        total = e @ np.ones(g.shape[-1], np.float32)
+        if total.min() > LEAST_TOTAL:
+            e /= total[:, None]
+            return e
+    return softmax(g)
+
+
 def rows_of(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.take(table, at, 0)
 
@@ -638,7 +674,8 @@ def learn(rows: DataFrame, vocab: Vocabulary, n: int, ends: int, share: int = SH
             for i in range(least * GROUP - steps if kept else 0):
                 yield kept[i % len(kept)]
 
-        model = Attention(**{k: v.copy() for k, v in held.value.items()}).train(stream())
+        with no_subnormals():
+            model = Attention(**{k: v.copy() for k, v in held.value.items()}).train(stream())
         if model.losses:
             yield row(len(model.losses), model.params())
 
@@ -686,9 +723,11 @@ def lm_score(docs: DataFrame, path: str | None = None, share: int = SHARE, least
             t = chunk.texts(n, np.arange(m))
             of = np.repeat(np.arange(m), np.diff(t.off))
             count = chunk.count[t.word]
+            with no_subnormals():
+                logs = t.log_probs(model)
             sums = lambda x: np.bincount(of, x, m)  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
-                [pa.array(chunk.ids), pa.array([held_out(i) for i in chunk.ids.tolist()], pa.bool_()), pa.array(np.diff(t.off)), pa.array(sums(count > 0).astype(np.int64)), pa.array(np.full(m, n, np.int64)), pa.array(sums(log(count))), pa.array(sums(t.log_probs(model)) / np.log(10))],
+                [pa.array(chunk.ids), pa.array([held_out(i) for i in chunk.ids.tolist()], pa.bool_()), pa.array(np.diff(t.off)), pa.array(sums(count > 0).astype(np.int64)), pa.array(np.full(m, n, np.int64)), pa.array(sums(log(count))), pa.array(sums(logs) / np.log(10))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 

@@ -301,7 +301,7 @@ def scatter(at: np.ndarray, size: int, *rows: np.ndarray) -> list[np.ndarray]:
 
 
 def windows_of(n: np.ndarray, overlap: bool = True):
-    """(place of each column in its text, text, first place that counts) of windows over texts of ``n`` words: first windows whole, later ones
+    """(place of the first word in its text, text, first place that counts) of windows over texts of ``n`` words: first windows whole, later ones
     by their second half, or without overlap."""
     step = STEP if overlap else WIDE
     for later in (False, True):
@@ -313,7 +313,7 @@ def windows_of(n: np.ndarray, overlap: bool = True):
         else:
             of, at = np.flatnonzero(n > 0), np.zeros((n > 0).sum(), np.int64)
         if len(of):
-            yield at[:, None] + np.arange(-1, WIDE)[None], of, WIDE - STEP if later and overlap else 0
+            yield at, of, WIDE - STEP if later and overlap else 0
 
 
 class Texts:
@@ -325,9 +325,9 @@ class Texts:
     def batches(self, overlap: bool, batch: int = BATCH):
         """((x, first, words, often, rest), index of each place that counts or -1), the arguments of ``Attention.forward``."""
         begin, n = self.off[:-1], np.diff(self.off)
-        for place, of, first in windows_of(n, overlap):
+        for begins, of, first in windows_of(n, overlap):
             for i in range(0, len(of), batch):
-                p, t = place[i : i + batch], of[i : i + batch]
+                p, t = begins[i : i + batch, None] + np.arange(-1, WIDE), of[i : i + batch]
                 inside = (p >= 0) & (p < n[t][:, None])
                 index = np.where(inside, begin[t][:, None] + p, 0)
                 at = np.where(inside, index, -1)[:, 1 + first :]
@@ -624,6 +624,11 @@ def chunks(batches, ends: int, end_token: int):
             yield Chunk(blob.as_py(), ends, end_token)
 
 
+def portions(sizes: np.ndarray, most: int = 1 << 17) -> list[np.ndarray]:
+    """Runs of documents with about ``most`` words each, so that what is held for each word stays small."""
+    return np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes + 1) // most)) + 1)
+
+
 def training_docs(chunk: Chunk) -> np.ndarray:
     return np.array([i for i, d in enumerate(chunk.ids.tolist()) if not held_out(d)], np.int64)
 
@@ -719,17 +724,18 @@ def lm_score(docs: DataFrame, path: str | None = None, share: int = SHARE, least
         one_thread()
         model = Attention(**held.value).ready()
         for chunk in chunks(batches, ends, end):
-            m = len(chunk.ids)
-            t = chunk.texts(n, np.arange(m))
-            of = np.repeat(np.arange(m), np.diff(t.off))
-            count = chunk.count[t.word]
-            with no_subnormals():
-                logs = t.log_probs(model)
-            sums = lambda x: np.bincount(of, x, m)  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(chunk.ids), pa.array([held_out(i) for i in chunk.ids.tolist()], pa.bool_()), pa.array(np.diff(t.off)), pa.array(sums(count > 0).astype(np.int64)), pa.array(np.full(m, n, np.int64)), pa.array(sums(log(count))), pa.array(sums(logs) / np.log(10))],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+            for some in portions(chunk.sizes):
+                ids, m = chunk.ids[some], len(some)
+                t = chunk.texts(n, some)
+                of = np.repeat(np.arange(m), np.diff(t.off))
+                count = chunk.count[t.word]
+                with no_subnormals():
+                    logs = t.log_probs(model)
+                sums = lambda x: np.bincount(of, x, m)  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids), pa.array([held_out(i) for i in ids.tolist()], pa.bool_()), pa.array(np.diff(t.off)), pa.array(sums(count > 0).astype(np.int64)), pa.array(np.full(m, n, np.int64)), pa.array(sums(log(count))), pa.array(sums(logs) / np.log(10))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
 
     scored = rows.select("blob").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumn("doc_id", real_id())

@@ -66,3 +66,12 @@ def test_subnormals_are_zero_within_and_come_back():
     with pytest.raises(ValueError), no_subnormals():
         raise ValueError
     assert product() > 0
+
+
+def test_portions_take_every_document_once():
+    from loomfuse.llm import lm_score as L
+
+    for sizes in ([0], [5], [0, 0, 900, 3, 3, 3, 40, 0], [1000, 1000], list(range(60))):
+        got = L.portions(np.array(sizes), 100)
+        assert np.concatenate(got).tolist() == list(range(len(sizes))) and all(len(g) for g in got)
+        assert all(sum(sizes[i] + 1 for i in g[1:]) <= 100 for g in got)  # all but a long first one

@@ -22,13 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfuse.llm.common import buffers, cut, mix, norm_docs, pieces, ragged, real_id, shuffle_parts
-from loomfuse.llm.tokens import word_tokens
+from loomfuse.llm.common import buffers, cut, give_back, mix, norm_docs, pieces, ragged, real_id, shuffle_parts
+from loomfuse.llm.tokens import release_tools, word_tokens
 
 WINDOW, GRID, END, SHARD_ROWS = 4096, 32, 2, 2048
 K1, B = 1.2, 0.75
 #: A term in more than this part of a shard's documents has a row in its index; only the speed depends on it.
 DENSE = 32
+#: Bytes of text, and rows of digests, that a worker takes at once; only its memory depends on them.
+TEXT, ROWS = 1 << 20, 1024
+#: Shards whose pieces share an output file. A shard alone would leave a file of some 60 KB.
+FILE_SHARDS = 16
 
 
 # ---- checksums of pieces from checksums of prefixes ------------------------------------------
@@ -77,7 +81,9 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         if tool.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("packing takes tokenizers of at most 65,536 ids")
         for b in batches:
-            for part in pieces(b, "text"):
+            for i, part in enumerate(pieces(b, "text", TEXT)):
+                if i % 4 == 0:  # a cache of words and freed memory side by side are most of a worker
+                    give_back()
                 ids, off = tool.encode(*buffers(part.column(1)))
                 raw, crcs, n = ids.astype("<u4").tobytes(), [], np.diff(off)
                 for a, z in zip(off[:-1].tolist(), off[1:].tolist()):
@@ -95,16 +101,27 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 edge = edge.tolist()
                 split = lambda raw, size: pa.array([raw[size * a : size * z] for a, z in zip(edge, edge[1:])], pa.binary())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(crcs, pa.binary()), split(terms, 2), split(tfs, 4)], ["doc_id", "n", "crcs", "terms", "tfs"])
+            give_back()
 
     return docs.mapInArrow(run, "doc_id long, n long, crcs binary, terms binary, tfs binary")
 
 
+def by_rows(batches, rows: int = ROWS):
+    """Slices of the batches with ``rows`` rows each or fewer; the tokenizer, which rows of digests no longer need, is dropped first."""
+    release_tools()
+    give_back()
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    give_back()
+
+
 def document_frequencies(made: DataFrame) -> np.ndarray:
     """For each of the 2**16 term ids the number of documents with it; the vocabulary bounds what reaches the driver."""
 
     def run(batches):
         df = np.zeros(1 << 16, np.int64)
-        for b in batches:
+        for b in by_rows(batches):
             df += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint16), minlength=1 << 16)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at])], ["term", "df"])
@@ -134,19 +151,19 @@ def telling_terms(terms: np.ndarray, tfs: np.ndarray, of: np.ndarray, n: int, df
     return out
 
 
+def with_terms(batches, df: np.ndarray, n_docs: int):
+    """Batches of digests with the telling terms of their rows."""
+    for b in by_rows(batches):
+        terms, tfs = (b.column(i).to_pylist() for i in (3, 4))
+        sizes = [len(t) // 2 for t in terms]
+        t = telling_terms(np.frombuffer(b"".join(terms), np.uint16), np.frombuffer(b"".join(tfs), np.uint32), np.repeat(np.arange(len(sizes)), sizes), len(sizes), df, n_docs)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t[:, 0], pa.int32()), pa.array(t[:, 1], pa.int32())], ["doc_id", "n", "crcs", "terms", "tfs", "t1", "t2"])
+
+
 def by_content(made: DataFrame, df: np.ndarray, n_docs: int) -> DataFrame:
     """``made`` with t1 and t2, the telling terms."""
     held = made.sparkSession.sparkContext.broadcast(df)  # 2**16 numbers
-    names = ["doc_id", "n", "crcs", "terms", "tfs", "t1", "t2"]
-
-    def run(batches):
-        for b in batches:
-            terms, tfs = (b.column(i).to_pylist() for i in (3, 4))
-            sizes = [len(t) // 2 for t in terms]
-            t = telling_terms(np.frombuffer(b"".join(terms), np.uint16), np.frombuffer(b"".join(tfs), np.uint32), np.repeat(np.arange(len(sizes)), sizes), len(sizes), held.value, n_docs) if sizes else np.zeros((0, 2), int)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t[:, 0], pa.int32()), pa.array(t[:, 1], pa.int32())], names)
-
-    return made.select(*names[:5]).mapInArrow(run, "doc_id long, n long, crcs binary, terms binary, tfs binary, t1 int, t2 int")
+    return made.select("doc_id", "n", "crcs", "terms", "tfs").mapInArrow(lambda batches: with_terms(batches, held.value, n_docs), "doc_id long, n long, crcs binary, terms binary, tfs binary, t1 int, t2 int")
 
 
 # ---- one shard ----------------------------------------------------------------------------------
@@ -257,11 +274,12 @@ def pack(docs: DataFrame, path: str | None = None, shard_rows: int = SHARD_ROWS)
                 number, rows = int(np.max(out.column(5).to_numpy())) + 1, [r[take:] for r in rows]
                 yield out
 
-        for b in batches:
+        for b in by_rows(batches):
             for r, c in zip(rows, b.columns):
                 r.extend(c.to_pylist())
             yield from shards(False)
         yield from shards(True)
 
     out = dealt.select("doc_id", "n", "crcs", "terms", "tfs").mapInArrow(run, ", ".join(f"{x} long" for x in names))
-    return out.withColumn("doc_id", real_id())
+    # a sequence's pieces stay together, in files of many shards
+    return out.withColumn("doc_id", real_id()).repartition(max(1, -(-n_docs // (FILE_SHARDS * shard_rows))), "sequence_id")

@@ -15,7 +15,7 @@ from loomfuse.functions.text import blank_to_null, clean, col, first_match, let,
 
 def email(c: Column | str) -> Column:
     x = strip(F.regexp_replace(F.replace(F.lower(strip(c)), F.lit("mailto:"), F.lit("")), "^[<>]+|[<>]+$", ""))
-    return F.when(x.rlike(r"(?U)^[^@\s]+@[^@\s]+\.[^@\s]+$"), x)
+    return let(x, lambda e: F.when(e.rlike(r"(?U)^[^@\s]+@[^@\s]+\.[^@\s]+$"), e))
 
 
 def phone(c: Column | str, region: Column | str) -> Column:
@@ -147,8 +147,8 @@ def skill_key(c: Column | str) -> Column:
 
 def skill(c: Column | str) -> Column:
     """The skill's own name; unknown ones of up to three letters in capitals, longer ones capitalized."""
-    key = skill_key(c)
-    return F.when(key != "", F.coalesce(lookup(R.SKILL_OF, key), F.when(F.length(key) <= 3, F.upper(key)).otherwise(F.initcap(key))))
+    own = lambda key: F.when(key != "", F.coalesce(lookup(R.SKILL_OF, key), F.when(F.length(key) <= 3, F.upper(key)).otherwise(F.initcap(key))))
+    return let(skill_key(c), own)
 
 
 def is_known_skill(c: Column | str) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x1c-\x1f]"
+#: The characters that SPACE stands for under (?U).
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def col(c: Column | str) -> Column:
@@ -14,7 +16,7 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space, of any script, at both ends."""
-    return F.regexp_replace(col(c), rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def squash(c: Column | str) -> Column:

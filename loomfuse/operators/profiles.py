@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomfuse.functions import rules as R
-from loomfuse.functions.confidence import mean_times, method, noisy_or, priority
-from loomfuse.functions.text import literal_map
+from loomfuse.functions.confidence import field_weight, mean_times, method, priority
+from loomfuse.functions.text import literal_map, lookup, round4
 from loomfuse.operators.identity import candidate_id
 
 #: Output path -> (trust field, tag). Scalars keep the best value, lists keep all. The order is that of provenance.
@@ -16,6 +16,7 @@ SCALARS = {
     "links.linkedin": ("links", None), "links.github": ("links", None), "links.portfolio": ("links", None),
 }
 LISTS = {"emails": ("emails", "lowercased"), "phones": ("phones", "E164"), "links.other": ("links", None), "skills": ("skills", "canonical")}
+_FIELDS = {p: t for p, (t, _) in (SCALARS | LISTS).items()} | {"experience": "experience", "education": "education"}
 ORDER = ("full_name", "headline", "years_experience", "emails", "phones", "location.city", "location.region", "location.country", "links.linkedin", "links.github", "links.portfolio", "links.other", "skills")
 #: Repeats of one source that still change four decimals are far fewer.
 MOST_REPEATS = 2000
@@ -23,12 +24,19 @@ MOST_REPEATS = 2000
 
 def weight_of(source: Column, path: Column | str, trust: dict[str, str] | None = None) -> Column:
     """Trust weight of a source for the field behind an output path."""
-    trust = trust or {p: t for p, (t, _) in (SCALARS | LISTS).items()} | {"experience": "experience", "education": "education"}
-    pairs = {f"{s}|{p}": R.WEIGHTS[s, t] for p, t in trust.items() for s in R.SOURCE_TRUST}
+    trust = trust or _FIELDS
     path = F.lit(path) if isinstance(path, str) else path
+    pairs = {f"{s}|{p}": R.WEIGHTS[s, t] for p, t in trust.items() for s in R.SOURCE_TRUST}
     return F.coalesce(F.try_element_at(literal_map(pairs), F.concat(source, F.lit("|"), path)), F.lit(R.DEFAULT_TRUST))
 
 
+def known_weight(source: str, path: Column | str) -> Column:
+    """``weight_of`` for a source that is known when the query is made."""
+    if isinstance(path, str):
+        return F.lit(R.WEIGHTS[source, _FIELDS[path]] if path in _FIELDS else R.DEFAULT_TRUST)
+    return F.coalesce(lookup({p: R.WEIGHTS[source, t] for p, t in _FIELDS.items()}, path), F.lit(R.DEFAULT_TRUST))
+
+
 def counts() -> list[Column]:
     """How many contributions each source made; weights differ by source alone, so that these are all noisy-OR needs."""
     known = [F.count_if(F.col("source") == s).alias(f"n_{s}") for s in R.SOURCE_TRUST]
@@ -36,47 +44,73 @@ def counts() -> list[Column]:
 
 
 def confidence(path: Column | str) -> Column:
-    runs = [F.array_repeat(weight_of(F.lit(s), path), F.least(F.col(f"n_{s}"), F.lit(MOST_REPEATS)).cast("int")) for s in R.SOURCE_TRUST]
-    return noisy_or(F.concat(*runs, F.array_repeat(F.lit(R.DEFAULT_TRUST), F.least(F.col("n_other"), F.lit(MOST_REPEATS)).cast("int"))))
+    """The noisy-OR of ``counts``, source by source in a fixed order: one factor as often as its source speaks."""
+    left = F.lit(1.0)
+    for n, w in [*((f"n_{s}", known_weight(s, path)) for s in R.SOURCE_TRUST), ("n_other", F.lit(R.DEFAULT_TRUST))]:
+        rest = F.lit(1.0) - F.least(F.greatest(w, F.lit(0.0)), F.lit(1.0))
+        left = F.aggregate(F.array_repeat(rest, F.least(F.col(n), F.lit(MOST_REPEATS)).cast("int")), left, lambda a, x: a * x)
+    return round4(F.lit(1.0) - left)
 
 
 def claims(records: DataFrame) -> DataFrame:
     """cluster, path, value (text), source: what each record says."""
-    one = lambda p, c: F.struct(F.lit(p).alias("path"), F.col(c).cast("string").alias("value"))
-    many = lambda p, c: F.transform(c, lambda x: F.struct(F.lit(p).alias("path"), x.alias("value")))
-    singles = F.array(*(one(p, p.split(".")[-1]) for p in SCALARS))
-    every = F.concat(singles, many("emails", "emails"), many("phones", "phones"), many("links.other", "other_links"), many("skills", "skills"))
-    return records.select("cluster", "source", F.inline(every)).where("value is not null and value <> ''")
+    said = {**{p: F.array(F.col(p.split(".")[-1]).cast("string")) for p in SCALARS}, "emails": F.col("emails"), "phones": F.col("phones"), "links.other": F.col("other_links"), "skills": F.col("skills")}
+    # two plain generators and no lambda, so that all of it is compiled
+    each = records.select("cluster", "source", F.inline(F.array(*(F.struct(F.lit(p).alias("path"), v.alias("values")) for p, v in said.items()))))
+    return each.select("cluster", "path", F.explode("values").alias("value"), "source").where("value is not null and value <> ''")
 
 
 def evidence(said: DataFrame) -> DataFrame:
-    """cluster, path, value, conf, sources (by priority), source (of the greatest weight), prio (its)."""
-    found = said.groupBy("cluster", "path", "value").agg(*counts())
-    by = F.array_sort("from")
-    best = F.array_min(F.transform(by, lambda x: F.struct((-weight_of(x["source"], F.col("path"))).alias("w"), x["prio"].alias("prio"), x["source"].alias("source"))))
-    return found.select("cluster", "path", "value", confidence(F.col("path")).alias("conf"), F.transform(by, lambda x: x["source"]).alias("sources"), best["source"].alias("source"), best["prio"].alias("prio"))
+    """cluster, path, value, conf, sources (by priority), source (of the greatest weight), prio (its).
+
+    Only numbers are aggregated over all claims: which of the known sources there are follows from their counts, and the names of other
+    sources, if any, are gathered apart."""
+    keys = ("cluster", "path", "value")
+    told = lambda s, w: F.struct(priority(s).alias("prio"), s.alias("source"), w.alias("w"))
+    *numbers, _ = counts()
+    found = said.groupBy(*keys).agg(*numbers)
+    others = said.where(~F.coalesce(F.col("source").isin(*R.SOURCE_TRUST), F.lit(False))).groupBy(*keys).agg(F.array_sort(F.collect_set(told(F.col("source"), F.lit(R.DEFAULT_TRUST)))).alias("others"))
+    same = lambda k: F.col(f"f.{k}").eqNullSafe(F.col(f"o.{k}"))
+    found = found.alias("f").join(others.alias("o"), same("cluster") & same("path") & same("value"), "left").select("f.*", "o.others")
+    known = sorted(R.SOURCE_TRUST, key=lambda s: (R.SOURCE_PRIORITY[s], s))
+    own = F.filter(F.array(*(F.when(F.col(f"n_{s}") > 0, told(F.lit(s), known_weight(s, F.col("path")))) for s in known)), lambda x: x.isNotNull())
+    df = found.select(*keys, confidence(F.col("path")).alias("conf"), F.when(F.col("others").isNull(), own).otherwise(F.concat(own, "others")).alias("by"))
+    best = F.array_min(F.transform("by", lambda x: F.struct((-x["w"]).alias("w"), x["prio"].alias("prio"), x["source"].alias("source"))))
+    df = df.select(*keys, "conf", F.col("by.source").alias("sources"), best.alias("best"))
+    return df.select(*keys, "conf", "sources", F.col("best.source").alias("source"), F.col("best.prio").alias("prio"))
+
+
+def merged_items(records: DataFrame, kind: str, key: tuple[str, str], fields: tuple[str, ...], order: Column) -> DataFrame:
+    """cluster, x (struct of order, first, item: the fields, source, conf): entries with one key are merged, each field from its best source."""
+    each = records.select("cluster", "source", "rec", priority("source").alias("prio"), F.posexplode(kind).alias("at", "it"))
+    each = each.select("*", "it.*", field_weight("source", kind).alias("w"), F.lower(F.coalesce(f"it.{key[0]}", F.lit(""))).alias("k1"), F.lower(F.coalesce(f"it.{key[1]}", F.lit(""))).alias("k2"))
+    pick = lambda f: F.min(F.when(F.col(f).isNotNull() & (F.col(f).cast("string") != ""), F.struct(-F.col("w"), "prio", F.col(f).cast("string").alias("text"), f)))[f].alias(f)
+    winner = F.min(F.struct(-F.col("w"), "prio", "source"))["source"].alias("winner")
+    *numbers, _ = counts()
+    merged = each.groupBy("cluster", "k1", "k2").agg(*map(pick, fields), winner, F.min(F.struct("prio", "source", "rec", "at")).alias("first"), *numbers)
+    return merged.select("cluster", F.struct(order.alias("order"), "first", F.struct(*fields).alias("item"), F.col("winner").alias("source"), confidence(kind).alias("conf")).alias("x"))
 
 
-def items(records: DataFrame, kind: str, key: tuple[str, str], fields: tuple[str, ...], order: Column) -> DataFrame:
-    """cluster, items (struct of the fields, source, conf), later first: entries with one key are merged, each field from its best source."""
-    each = records.select("cluster", "source", "rec", priority("source").alias("prio"), F.posexplode(kind).alias("at", "it"))
-    w = weight_of(F.col("source"), kind)
-    each = each.select("*", "it.*", w.alias("w"), F.lower(F.coalesce(f"it.{key[0]}", F.lit(""))).alias("k1"), F.lower(F.coalesce(f"it.{key[1]}", F.lit(""))).alias("k2"))
-    pick = lambda f: F.min_by(f, F.when(F.col(f).isNotNull() & (F.col(f).cast("string") != ""), F.struct(-F.col("w"), "prio", F.col(f).cast("string")))).alias(f)
-    merged = each.groupBy("cluster", "k1", "k2").agg(*map(pick, fields), F.min_by("source", F.struct(-F.col("w"), "prio")).alias("winner"), F.min(F.struct("prio", "source", "rec", "at")).alias("first"), *counts())
-    made = merged.select("cluster", F.struct(order.alias("order"), "first", F.struct(*fields).alias("item"), F.col("winner").alias("source"), confidence(kind).alias("conf")).alias("x"))
+def _later_first(found: Column) -> Column:
     down = lambda a, b: F.when(a["order"] > b["order"], -1).when(a["order"] < b["order"], 1).when(a["first"] < b["first"], -1).when(a["first"] > b["first"], 1).otherwise(0)
-    return made.groupBy("cluster").agg(F.array_sort(F.collect_list("x"), down).alias(kind))
+    return F.array_sort(found, down)
+
+
+def items(records: DataFrame, kind: str, key: tuple[str, str], fields: tuple[str, ...], order: Column) -> DataFrame:
+    """cluster, items of ``merged_items``, later first."""
+    return merged_items(records, kind, key, fields, order).groupBy("cluster").agg(_later_first(F.collect_list("x")).alias(kind))
 
 
 def merge_clusters(records: DataFrame) -> DataFrame:
     """One profile a cluster: cluster, candidate_id and the default output fields."""
-    found = evidence(claims(records)).groupBy("cluster").agg(F.collect_list(F.struct("path", "value", "conf", "prio", "source", "sources")).alias("ev"))
-    jobs = items(records, "experience", ("company", "title"), ("company", "title", "start", "end", "summary"), F.coalesce("start", F.lit("0000-00")))
-    courses = items(records, "education", ("institution", "degree"), ("institution", "degree", "field", "end_year"), F.coalesce("end_year", F.lit(0)))
-    df = records.select("cluster").distinct().join(found, "cluster", "left").join(jobs, "cluster", "left").join(courses, "cluster", "left")
-    none = lambda c: F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)).alias(c)
-    df = df.select("cluster", none("ev"), none("experience"), none("education"))
+    found = evidence(claims(records)).select("cluster", F.struct("path", "value", "conf", "prio", "source", "sources").alias("ev"))
+    jobs = merged_items(records, "experience", ("company", "title"), ("company", "title", "start", "end", "summary"), F.coalesce("start", F.lit("0000-00"))).withColumnRenamed("x", "experience")
+    courses = merged_items(records, "education", ("institution", "degree"), ("institution", "degree", "field", "end_year"), F.coalesce("end_year", F.lit(0))).withColumnRenamed("x", "education")
+    df = records.select("cluster").distinct()
+    for part, c in ((found, "ev"), (jobs, "experience"), (courses, "education")):
+        df = df.join(part.groupBy("cluster").agg(F.collect_list(c).alias(c)), "cluster", "left")
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType))
+    df = df.select("cluster", none("ev").alias("ev"), *(_later_first(none(c)).alias(c) for c in ("experience", "education")))
     of = lambda p: F.filter("ev", lambda e: e["path"] == p)
     compare = lambda *ks: lambda a, b: _compare(a, b, ks)
     best = lambda p: F.slice(F.array_sort(of(p), compare("conf", "prio", "value")), 1, 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomfuse.functions import normalize as N
-from loomfuse.functions.text import blank_to_null, clean, distinct_present
+from loomfuse.functions.text import blank_to_null, clean, distinct_present, let, strip
 
 
 def normalize_records(raw: DataFrame, default_region: str = "US") -> DataFrame:
@@ -26,10 +26,13 @@ def normalize_records(raw: DataFrame, default_region: str = "US") -> DataFrame:
         used = lambda own, kind: F.when(F.col(own).isNull(), F.array_position(F.transform("_urls", N.link_kind), kind)).otherwise(F.lit(0))
         return F.filter("_urls", lambda u, i: (i + 1 != F.coalesce(used("_in", "linkedin"), F.lit(0))) & (i + 1 != F.coalesce(used("_hub", "github"), F.lit(0))))
 
+    # inside a lambda an expression that is named twice is computed twice
     skills = F.filter(F.transform("skills", N.skill), lambda s: s.isNotNull())
-    first_of_case = F.filter(skills, lambda s, i: F.array_position(F.transform(skills, F.lower), F.lower(s)) == i + 1)
-    job = lambda e: F.struct(clean(e["company"]).alias("company"), clean(e["title"]).alias("title"), N.month(e["start"]).alias("start"), N.month(e["end"]).alias("end"), clean(e["summary"]).alias("summary"))
-    course = lambda e: F.struct(clean(e["institution"]).alias("institution"), clean(e["degree"]).alias("degree"), clean(e["field"]).alias("field"), N.year(e["end_year"]).alias("end_year"))
+    of_case = lambda found: let(F.transform(found, F.lower), lambda low: F.filter(found, lambda s, i: F.array_position(low, F.lower(s)) == i + 1))
+    first_of_case = let(skills, of_case)
+    neat = lambda c: let(strip(c), blank_to_null)
+    job = lambda e: F.struct(neat(e["company"]).alias("company"), neat(e["title"]).alias("title"), N.month(e["start"]).alias("start"), N.month(e["end"]).alias("end"), neat(e["summary"]).alias("summary"))
+    course = lambda e: F.struct(neat(e["institution"]).alias("institution"), neat(e["degree"]).alias("degree"), neat(e["field"]).alias("field"), N.year(e["end_year"]).alias("end_year"))
     return df.select(
         F.struct("spec_idx", "pos").alias("rec"), "source", N.name("full_name").alias("full_name"), distinct_present(F.transform("emails", N.email)).alias("emails"), distinct_present(F.transform("phones", lambda p: N.phone(p, F.col("_region")))).alias("phones"),
         place_of(clean("city"), "city").alias("city"), place_of(clean("region"), "region").alias("region"), place_of(N.country("country_text"), "country").alias("country"),

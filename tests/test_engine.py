@@ -234,6 +234,52 @@ def test_batches_equal_all_records(spark, tmp_path):
     assert all_of(again.profiles()) == all_of(build_profiles(make([r for b in batches for r in b] + more)))
 
 
+def test_batch_graph_holds_ties_only(spark, tmp_path, monkeypatch):
+    """A batch's graph has edges for records that tie two keys, not for all that share one; each bucket of a log is one file here."""
+    from loomfuse.sources.schemas import RAW
+    from loomfuse.streaming import incremental
+
+    seen, solve = [], incremental.connected_components
+    monkeypatch.setattr(incremental, "connected_components", lambda edges: seen.append(edges.count()) or solve(edges))
+    make = lambda rows: spark.read.schema(RAW).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows], 8))
+    store = incremental.ProfileStore(spark, str(tmp_path / "store"), buckets=4)
+    store.add(make([record(n, "ats_json", None, [f"p{n % 20}@x.co"]) for n in range(200)]), 0)
+    store.add(make([record(n, "resume", None, [f"p{n % 20}@x.co"]) for n in range(200, 400)] + [record(400, "resume", None, ["p1@x.co", "p2@x.co"]), record(401, "resume", None, ["p1@x.co"], ["415 555 2671"])]), 1)
+    assert seen == [0, 1] and store.profiles().count() == 19
+    for version in (0, 1):
+        assert len(list((tmp_path / f"store/profiles/version={version}").glob("bucket=*/*.parquet"))) <= 4
+
+
+def test_random_batches_equal_all_records(spark, tmp_path):
+    """Keys that meet in any order, with records smaller than the roots that they join."""
+    import random
+
+    from loomfuse.plans.pipeline import build_profiles
+    from loomfuse.sources.schemas import RAW
+    from loomfuse.streaming.incremental import ProfileStore
+
+    draw = random.Random(5)
+    places = draw.sample(range(1000), 120)
+    some = lambda: [f"k{draw.randrange(70)}@x.co" for _ in range(draw.choice((0, 1, 1, 1, 2, 3)))]
+    rows = [record(p, draw.choice(("ats_json", "resume", "elsewhere", "nowhere")), draw.choice((None, None, f"Nam E{chr(97 + p % 9)}{chr(97 + p % 25)}")), some(), skills=draw.sample(["py", "Go", "weird  skill", "PY"], 2)) for p in places]
+    make = lambda part: spark.read.schema(RAW).json(spark.sparkContext.parallelize([json.dumps(r) for r in part], 2))
+    store = ProfileStore(spark, str(tmp_path / "store"), buckets=4)
+    for n in range(3):
+        store.add(make(rows[40 * n : 40 * (n + 1)]), n)
+    got = all_of(store.profiles())
+    assert got == all_of(build_profiles(make(rows))) and 5 < len(got) < 100
+
+
+def test_evidence_of_known_and_other_sources(spark):
+    from loomfuse.operators.profiles import evidence
+
+    rows = [(1, "skills", "Go", s) for s in ("zeta", "resume", "alpha", "zeta", "ats_json", "resume")] + [(1, "headline", "x", "alpha"), (2, "skills", "Go", "recruiter_csv")]
+    got = {(r.cluster, r.path): (r.conf, r.sources, r.source, r.prio) for r in evidence(spark.createDataFrame(rows, "cluster long, path string, value string, source string")).collect()}
+    assert got == {
+        (1, "skills"): (round(1 - (1 - 0.765) * (1 - 0.8) ** 2 * 0.5**3, 4), ["ats_json", "resume", "alpha", "zeta"], "resume", 2), (1, "headline"): (0.5, ["alpha"], "alpha", 99), (2, "skills"): (0.45, ["recruiter_csv"], "recruiter_csv", 0),
+    }
+
+
 def test_phone_query_takes_whole_texts(spark, tmp_path):
     import re
 
